@@ -1,0 +1,34 @@
+"""Gateway tables, derived from the driver's tables (README, "Data model")."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def request_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One log row an event; created_at is ISO text with milliseconds, as the gateway stores it."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    total = F.floor("value").cast("long")
+    prompt = F.expr("cast(floor(value) as bigint) div 3")
+    kind = F.col("event_type")
+    return e.select(
+        F.col("event_id").cast("string").alias("id"),
+        F.col("user_id").cast("string").alias("api_key_id"),
+        F.concat(F.lit("key-"), F.col("user_id").cast("string")).alias("api_key_name"),
+        (F.col("event_id") % 5).cast("string").alias("channel_id"),
+        F.concat(F.lit("channel-"), (F.col("event_id") % 5).cast("string")).alias("channel_name"),
+        kind.alias("model"),
+        F.when(F.col("event_id") % 3 == 0, "stream").otherwise("chat").alias("mode"),
+        F.when(kind == "error", 502).when(kind == "signup", 429).otherwise(200).cast("long").alias("status_code"),
+        prompt.alias("prompt_tokens"),
+        (total - prompt).alias("completion_tokens"),
+        total.alias("total_tokens"),
+        F.floor(F.col("value") * 10).cast("long").alias("duration_ms"),
+        (F.col("event_id") % 2).alias("is_stream"),
+        F.when(F.col("event_id") % 7 == 0, 1).otherwise(0).cast("long").alias("is_retry"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("created_at"),
+        F.element_at(F.array(*[F.lit(x) for x in ("clean", "info", "low", "medium", "high", "critical")]), (F.col("event_id") % 6 + 1).cast("int")).alias("risk_level"),
+        F.element_at(F.array(*[F.lit(x) for x in ("allow", "warn", "redact", "block")]), (F.col("event_id") % 4 + 1).cast("int")).alias("security_action"),
+        F.col("props").alias("request_body"),
+    )
