@@ -1,6 +1,7 @@
 """The registered queries of the training-data operators, and their SQL where SQL can say it."""
 
 from logloom.llm.chat_format import op6_chat_format
+from logloom.llm.near_dups import op8_minhash_near_dups
 from logloom.llm.packing import op4_best_fit_packing
 from logloom.llm.quality_rules import op2_quality_rules
 from logloom.llm.source_mixing import op10_source_mixing
@@ -13,6 +14,7 @@ QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_chat_format": op6_chat_format,
     "op7_warc": op7_warc,
+    "op8_minhash_near_dups": op8_minhash_near_dups,
     "op10_source_mixing": op10_source_mixing,
 }
 SQL = {"op1_url_filter": OP1_SQL, "op7_warc": OP7_SQL}
