@@ -14,8 +14,14 @@ partitions; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +29,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm.shared import table, text_buffer
+from logloom.llm.shared import batches_of, table, text_buffer
 
 CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a task remembers; then it starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -38,52 +44,70 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: A full stop or comma between a letter and white space is a token of its own.
+MARK = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
+
+
 class WordTokenizer:
-    """ids of texts as little-endian 32-bit bytes."""
+    """ids of texts as little-endian 32-bit bytes; the vocabulary's rules lower-case and drop white space."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.known: dict[bytes, bytes] = {}
 
-    def __call__(self, text: bytes) -> bytes:
-        words = text.split()
-        known = self.known
-        if new := set(words).difference(known):
-            if len(known) > CACHE_WORDS:
-                known.clear()
-                new = set(words)
-            new = list(new)
-            for at in range(0, len(new), 4096):
-                some = new[at : at + 4096]
-                for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+    def learn(self, words: set[bytes]) -> None:
+        """Adds the ids of words: of plain letters by the model itself, of others by all rules."""
+        known, tokenize = self.known, self.model.tokenize
+        rest = []
+        for w in words:
+            if w.isalpha():  # of bytes: ASCII letters only
+                known[w] = array("I", [t.id for t in tokenize(w.decode())]).tobytes()
+            else:
+                rest.append(w)
+        for at in range(0, len(rest), 8192):
+            some = rest[at : at + 8192]
+            e = self.tokenizer.encode([x.decode() for x in some], is_pretokenized=True, add_special_tokens=False)
+            raw, cuts = array("I", e.ids).tobytes(), np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(some) + 1)) * 4
+            known.update((w, raw[i:j]) for w, (i, j) in zip(some, pairwise(cuts.tolist()), strict=True))
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        words = [MARK.sub(rb" \1", t.lower()).split() for t in texts]
+        new = set().union(*words).difference(self.known)
+        if len(self.known) + len(new) > CACHE_WORDS:
+            self.known.clear()
+            new = set().union(*words)
+        gc.disable()  # the cache holds no cycles, and looking for them costs more than filling it
+        self.learn(new)
+        gc.enable()
+        return [b"".join(map(self.known.__getitem__, w)) for w in words]
+
+
+@cache
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One for each Python worker, which serves many tasks."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return WordTokenizer(path)
 
 
 def pieces_of(path: str, with_ids: bool, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids_of, end = WordTokenizer(path), np.array([END_ID], "<u4").tobytes()
-        step = 4 * capacity
-        for b in batches:
-            docs, offsets = b.column("doc_id").to_pylist(), text_buffer(b.column("text"))
-            data, offsets = offsets[0].tobytes(), offsets[1].tolist()
-            rows, ids = [], []
-            for k, doc in enumerate(docs):
-                whole = ids_of(data[offsets[k] : offsets[k + 1]]) + end
+        ids_of, end = word_tokenizer(path), np.array([END_ID], "<u4").tobytes()
+        step, names = 4 * capacity, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids]
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        for b in (x for whole in batches for x in batches_of(whole, "text")):
+            data, offsets = text_buffer(b.column("text"))
+            data, offsets = data.tobytes(), offsets.tolist()
+            rows = []
+            for doc, whole in zip(b.column("doc_id").to_pylist(), ids_of([data[i:j] for i, j in pairwise(offsets)]), strict=True):
+                whole += end
                 for piece, at in enumerate(range(0, len(whole), step)):
                     part = whole[at : at + step]
-                    rows.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part)))
-                    if with_ids:
-                        ids.append(part)
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)] if rows else []
-            if rows:
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.binary())] if with_ids else columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids])
+                    rows.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part), part)[: 5 + with_ids])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=False)], names=names)
 
     return run
 
