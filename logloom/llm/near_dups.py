@@ -209,7 +209,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = bands.groupBy("band").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("_last")).filter("centre < _last").drop("_last")
     stars = staged(bands.join(buckets, "band").filter("doc_id <> centre").select("centre", F.col("doc_id").alias("member")).distinct(), "stars")
     needed = stars.select(F.col("member").alias("doc_id")).union(stars.select("centre")).distinct()
-    sets = staged(texts.join(needed, "doc_id", "left_semi").mapInArrow(set_rows, SETS).dropDuplicates(["doc_id"]), "sets")
+    # the ids grow with the corpus, so they are never broadcast
+    sets = staged(texts.join(needed.hint("merge"), "doc_id", "left_semi").mapInArrow(set_rows, SETS).dropDuplicates(["doc_id"]), "sets")
     salted = stars.withColumn("salt", F.pmod(F.xxhash64("member"), F.lit(SALTS)))
     members = salted.join(sets, salted["member"] == sets["doc_id"]).select("centre", "salt", F.lit(1).alias("kind"), "member", "shingles")
     centres = salted.select("centre", "salt").distinct().join(sets, F.col("centre") == F.col("doc_id")).select("centre", "salt", F.lit(0).alias("kind"), F.col("centre").alias("member"), "shingles")
@@ -243,9 +244,11 @@ def missed_links(stars: DataFrame, sets: DataFrame, first: DataFrame) -> DataFra
     family = family.join(room, "centre").filter("member <> centre")
     family = family.withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks")))
     item = F.struct("member", "component", "shingles")
-    right = family.groupBy("centre", "block").agg(F.collect_list(item).alias("right"))
-    left = family.filter("out").groupBy("centre", "block").agg(F.collect_list(item).alias("left"))
-    pairs = left.withColumnRenamed("block", "_b").join(right, "centre").select("left", "right")
+    # dealt by block, so that a large family is spread over tasks; a left block goes to each right one
+    right = family.repartition("centre", "block").groupBy("centre", "block").agg(F.collect_list(item).alias("right"))
+    left = family.filter("out").repartition("centre", "block").groupBy("centre", "block", "blocks").agg(F.collect_list(item).alias("left"))
+    left = left.select("centre", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "left")
+    pairs = left.join(right, ["centre", "block"]).select("left", "right")
     found = pairs.mapInArrow(block_links, "a long, b long").distinct()
     named = lambda c: first.select(F.col("node").alias(c), F.col("component").alias("c" + c))
     found = found.join(named("a"), "a", "left").join(named("b"), "b", "left")

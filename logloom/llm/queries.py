@@ -1,6 +1,7 @@
 """The registered queries of the training-data operators, and their SQL where SQL can say it."""
 
 from logloom.llm.chat_format import op6_chat_format
+from logloom.llm.metric_search import OP5_SQL, op5_exact_top_k
 from logloom.llm.near_dups import op8_minhash_near_dups
 from logloom.llm.packing import op4_best_fit_packing
 from logloom.llm.quality_rules import op2_quality_rules
@@ -12,9 +13,10 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_quality_rules": op2_quality_rules,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_exact_top_k": op5_exact_top_k,
     "op6_chat_format": op6_chat_format,
     "op7_warc": op7_warc,
     "op8_minhash_near_dups": op8_minhash_near_dups,
     "op10_source_mixing": op10_source_mixing,
 }
-SQL = {"op1_url_filter": OP1_SQL, "op7_warc": OP7_SQL}
+SQL = {"op1_url_filter": OP1_SQL, "op5_exact_top_k": OP5_SQL, "op7_warc": OP7_SQL}
