@@ -6,6 +6,7 @@ from logloom.llm.near_dups import op8_minhash_near_dups
 from logloom.llm.packing import op4_best_fit_packing
 from logloom.llm.quality_rules import op2_quality_rules
 from logloom.llm.source_mixing import op10_source_mixing
+from logloom.llm.toxicity import op9_toxicity
 from logloom.llm.url_filter import OP1_SQL, op1_url_filter
 from logloom.llm.warc import OP7_SQL, op7_warc
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op6_chat_format": op6_chat_format,
     "op7_warc": op7_warc,
     "op8_minhash_near_dups": op8_minhash_near_dups,
+    "op9_toxicity": op9_toxicity,
     "op10_source_mixing": op10_source_mixing,
 }
 SQL = {"op1_url_filter": OP1_SQL, "op5_exact_top_k": OP5_SQL, "op7_warc": OP7_SQL}
