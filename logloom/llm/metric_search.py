@@ -31,7 +31,7 @@ from logloom.llm.shared import staged, table
 K = 5
 SCALE = 256
 QUERY_EVERY = 50
-PAGE_ROWS, LEAF_ROWS, FANOUT = 4096, 128, 16
+PAGE_ROWS, LEAF_ROWS, FANOUT = 4096, 256, 16
 BLOCK_QUERIES = 512
 #: Rounding that bounds may carry; scores are integers, so half of one is safe.
 SLACK = 0.5
@@ -53,18 +53,18 @@ def matrix(vectors: list) -> np.ndarray:
 class Node:
     """A page: routing objects (or rows) of its entries, covering radii, largest norms and distances to its parent."""
 
-    __slots__ = ("centres", "radii", "norms2", "to_parent", "children", "rows")
+    __slots__ = ("centres", "radii", "norms2", "to_parent", "children", "vectors", "ids")
 
 
 def distance(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.sqrt(((x - c) ** 2).sum(axis=-1))
 
 
-def build(x: np.ndarray, norms2: np.ndarray, rows: np.ndarray, parent: np.ndarray) -> Node:
+def build(x: np.ndarray, ids: np.ndarray, norms2: np.ndarray, rows: np.ndarray, parent: np.ndarray) -> Node:
     node = Node()
-    node.rows = node.children = node.centres = node.radii = None
+    node.vectors = node.ids = node.children = node.centres = node.radii = None
     if len(rows) <= LEAF_ROWS:
-        node.rows, node.norms2, node.to_parent = rows, norms2[rows], distance(x[rows], parent)
+        node.vectors, node.ids, node.norms2, node.to_parent = x[rows], ids[rows], norms2[rows], distance(x[rows], parent)
         return node
     # farthest-first routing objects part the space; each row goes to the nearest
     picks, nearest, owner = [], distance(x[rows], parent), np.zeros(len(rows), np.int64)
@@ -84,11 +84,11 @@ def build(x: np.ndarray, norms2: np.ndarray, rows: np.ndarray, parent: np.ndarra
     node.radii = np.array([distance(x[p], c).max() for p, c in zip(parts, node.centres, strict=True)])
     node.norms2 = np.array([norms2[p].max() for p in parts])
     node.to_parent = distance(node.centres, parent)
-    node.children = [build(x, norms2, p, c) for p, c in zip(parts, node.centres, strict=True)]
+    node.children = [build(x, ids, norms2, p, c) for p, c in zip(parts, node.centres, strict=True)]
     return node
 
 
-def search(x: np.ndarray, ids: np.ndarray, root: Node, centre: np.ndarray, q: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
+def search(root: Node, centre: np.ndarray, q: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
     """The k best (score, vec_id)."""
     norm2 = float(q @ q)
     norm = float(np.sqrt(norm2))
@@ -101,19 +101,18 @@ def search(x: np.ndarray, ids: np.ndarray, root: Node, centre: np.ndarray, q: np
             break
         # from stored distances alone: d(q, x) >= |d(q, parent) - d(parent, entry)| - radius
         gap = np.abs(to_q - node.to_parent)
-        if node.rows is None:
+        if node.vectors is None:
             gap = np.maximum(gap - node.radii, 0)
         open_ = np.flatnonzero((norm2 + node.norms2 - gap * gap) / 2 + SLACK >= least)
         if not len(open_):
             continue
-        if node.rows is not None:
-            rows = node.rows[open_]
-            for s, i in zip((x[rows] @ q).tolist(), ids[rows].tolist(), strict=True):
-                if i != own:
-                    if len(best) < k:
-                        heapq.heappush(best, (s, -i))
-                    elif (s, -i) > best[0]:
-                        heapq.heapreplace(best, (s, -i))
+        if node.vectors is not None:
+            all_open = len(open_) == len(node.ids)
+            scores, ids = (node.vectors if all_open else node.vectors[open_]) @ q, node.ids if all_open else node.ids[open_]
+            good = np.flatnonzero((scores >= least) & (ids != own))
+            if len(good) > k:
+                good = good[np.lexsort((ids[good], -scores[good]))[:k]]
+            best = heapq.nlargest(k, [*best, *zip(scores[good].tolist(), (-ids[good]).tolist(), strict=True)])[::-1]
             continue
         centres = node.centres[open_]
         d = distance(centres, q)
@@ -133,7 +132,7 @@ def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows.sort(key=lambda r: r["vec_id"])
             x, ids = matrix([r["v"] for r in rows]), np.array([r["vec_id"] for r in rows], np.int64)
             centre = x.mean(axis=0)
-            raw = pickle.dumps((x, ids, build(x, (x * x).sum(axis=1), np.arange(len(x)), centre), centre))
+            raw = pickle.dumps((build(x, ids, (x * x).sum(axis=1), np.arange(len(x)), centre), centre, x.shape[1]))
             yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([raw], pa.binary())], names=["bucket", "tree"])
 
 
@@ -141,12 +140,12 @@ def searcher(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for raw, block in zip(b.column("tree"), b.column("queries"), strict=True):
-                x, ids, root, centre = pickle.loads(raw.as_py())
+                root, centre, width = pickle.loads(raw.as_py())
                 out = []
                 for r in block.as_py():
                     q = np.array(r["v"], np.float64)
-                    q = np.pad(q, (0, max(0, x.shape[1] - len(q))))[: x.shape[1]]  # what is beyond meets zeros
-                    out += [(r["vec_id"], i, s) for s, i in search(x, ids, root, centre, q, r["vec_id"], k)]
+                    q = np.pad(q, (0, max(0, width - len(q))))[:width]  # what is beyond meets zeros
+                    out += [(r["vec_id"], i, s) for s, i in search(root, centre, q, r["vec_id"], k)]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
 
