@@ -6,6 +6,7 @@ from logloom.llm.near_dups import op8_minhash_near_dups
 from logloom.llm.packing import op4_best_fit_packing
 from logloom.llm.quality_rules import op2_quality_rules
 from logloom.llm.source_mixing import op10_source_mixing
+from logloom.llm.substring_dedup import op3_suffix_array_dedup
 from logloom.llm.toxicity import op9_toxicity
 from logloom.llm.url_filter import OP1_SQL, op1_url_filter
 from logloom.llm.warc import OP7_SQL, op7_warc
@@ -13,6 +14,7 @@ from logloom.llm.warc import OP7_SQL, op7_warc
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_quality_rules": op2_quality_rules,
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_exact_top_k": op5_exact_top_k,
     "op6_chat_format": op6_chat_format,

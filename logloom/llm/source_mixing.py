@@ -98,5 +98,20 @@ def mix_sources(docs: DataFrame, *, seed: int = SEED) -> DataFrame:
     return taken.agg(F.sum("_taken").alias("taken")).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def mixed_documents(docs: DataFrame, *, seed: int = SEED) -> DataFrame:
+    """The mix itself: a row for each whole copy taken, and one for a rest.
+
+    A rest of r words holds the document's first r words, set apart by single spaces; a
+    document of which nothing is taken goes. Rows that share a doc_id share what is taken.
+    """
+    taken = mix_sources(docs, seed=seed).groupBy(F.col("doc_id").alias("_x_id")).agg(F.max("size").alias("_x_size"), F.max("taken").alias("_x_taken"))
+    taken = taken.filter("_x_taken > 0").select("_x_id", F.explode(F.sequence(F.lit(1).cast("long"), F.expr("(_x_taken + _x_size - 1) div _x_size"))).alias("_x_copy"), "_x_size", "_x_taken")
+    rest = F.least(F.col("_x_size"), F.col("_x_taken") - (F.col("_x_copy") - 1) * F.col("_x_size"))
+    words = F.array_remove(F.split("text", f"[{SPACE}]+"), "")
+    text = F.when(rest >= F.col("_x_size"), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), rest.cast("int")), " "))
+    rows = docs.join(taken, F.col("doc_id") == F.col("_x_id"))
+    return rows.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
