@@ -3,16 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from logloom.llm.near_dups import drop_near_duplicates
 from logloom.llm.packing import pack_documents
 from logloom.llm.quality_rules import filter_quality
 from logloom.llm.shared import staged, table
+from logloom.llm.source_mixing import mixed_documents
+from logloom.llm.substring_dedup import remove_repeats
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """n_chars as it is after a stage that changes texts."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
 
 STAGES = [
     ("quality_rules", lambda spark, docs, sf_dir: filter_quality(docs)),
+    ("minhash_near_dups", lambda spark, docs, sf_dir: drop_near_duplicates(docs)),
+    ("suffix_array_dedup", lambda spark, docs, sf_dir: measured(remove_repeats(docs))),
+    ("source_mixing", lambda spark, docs, sf_dir: measured(mixed_documents(docs))),
     ("best_fit_packing", lambda spark, docs, sf_dir: pack_documents(docs)),
 ]
-#: Tokenizing and suffix arrays are beyond SQL; tests hold run() against brute force.
+#: Tokenizing and best-fit packing are beyond SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
