@@ -40,10 +40,10 @@ MATCH = 100
 GRAM = 20
 #: Bytes of a suffix array; three such indices fit in one 64-bit sort key.
 BLOCK = 3 << 19
-HOT = 65_536
+HOT = 262_144  # a shard remembers about 40 window hashes of 8 bytes for each: 90 MB
 #: Contexts of one landmark that a shard knows by heart.
 REMEMBERED = 4096
-STRETCHES = "doc_id long, n_bytes long, h1 long, h2 long, mark array<long>, lo array<int>, hi array<int>"
+STRETCHES = "doc_id long, n_bytes long, h1 long, h2 long, mark array<long>, lo array<int>, hi array<int>, places array<int>"
 
 
 def rolling(data: np.ndarray, size: int) -> np.ndarray:
@@ -81,7 +81,7 @@ def stretch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.add.at(inside, end[has], -1)
         inside = np.cumsum(inside[:-1]) > 0
         new = inside.copy()
-        new[1:] &= (least[1:] != least[:-1]) | leaves[:-1]  # a stretch has one place of its landmark
+        new[1:] &= least[1:] != least[:-1]
         new[first[has]] = True
         starts = np.flatnonzero(new)
         doc = np.searchsorted(offsets, starts, side="right") - 1
@@ -90,13 +90,15 @@ def stretch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hi = np.append(lo[1:], 0).astype(np.int32) - 1
         last = cut[1:][np.diff(cut) > 0] - 1
         hi[last] = (end - first - 1)[has]
+        left = np.append(0, np.cumsum(leaves))  # a stretch of periodic text has its landmark at several places
+        places = (1 + left[starts + hi - lo] - left[starts]).astype(np.int32)
         raw = data.tobytes()
         hashes = [xxhash.xxh3_128_intdigest(raw[i:j]) for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
         half = lambda s: np.array([x >> s & (1 << 64) - 1 for x in hashes], np.uint64).view(np.int64)
         lists = lambda v: pa.ListArray.from_arrays(pa.array(cut), pa.array(v))
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), pa.array(np.diff(offsets)), pa.array(half(0)), pa.array(half(64)), lists(least[starts].view(np.int64)), lists(lo), lists(hi)],
-            names=["doc_id", "n_bytes", "h1", "h2", "mark", "lo", "hi"],
+            [b.column("doc_id"), pa.array(np.diff(offsets)), pa.array(half(0)), pa.array(half(64)), lists(least[starts].view(np.int64)), lists(lo), lists(hi), lists(places)],
+            names=["doc_id", "n_bytes", "h1", "h2", "mark", "lo", "hi", "places"],
         )
 
 
@@ -135,11 +137,16 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
             break
         at = sa[slots]
         second = rank[np.minimum(at + h, n)] + 1
-        key = (rank[at].astype(np.uint64) << bits | second.astype(np.uint64)) << bits | at.astype(np.uint64)
-        key.sort()
-        sa[slots] = (key & low).astype(np.int64)
-        pair = key >> bits
-        split = np.append(True, pair[1:] != pair[:-1])
+        if 3 * int(bits) <= 64:
+            key = (rank[at].astype(np.uint64) << bits | second.astype(np.uint64)) << bits | at.astype(np.uint64)
+            key.sort()
+            sa[slots] = (key & low).astype(np.int64)
+            pair = key >> bits
+            split = np.append(True, pair[1:] != pair[:-1])
+        else:  # one very long text
+            order = np.lexsort((second, rank[at]))
+            sa[slots], one, two = at[order], rank[at][order], second[order]
+            split = np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))
         head[slots] = split
         rank[sa[slots]] = slots[np.maximum.accumulate(np.where(split, np.arange(len(slots)), 0))]
         h *= 2
@@ -286,7 +293,7 @@ def repeated_spans(docs: DataFrame, *, hot: int = HOT) -> DataFrame:
     first = long.groupBy(*key).agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")).filter("_first < _last")
     copies = staged(long.select("doc_id", *key).join(first, key).filter("doc_id > _first").select("doc_id", F.lit(0).cast("long").alias("first"), F.col("n_bytes").alias("end")).distinct(), "copies")
     unique = long.join(copies.select("doc_id"), "doc_id", "left_anti")
-    marks = staged(unique.select(F.explode("mark").alias("mark")).groupBy("mark").agg(F.count("*").alias("n")).filter("n > 1").select("mark", (F.col("n") > hot).alias("hot")), "marks")
+    marks = staged(unique.select(F.explode(F.arrays_zip("mark", "places")).alias("s")).select("s.*").groupBy("mark").agg(F.sum("places").alias("n")).filter("n > 1").select("mark", (F.col("n") > hot).alias("hot")), "marks")
     release(spark)
     each = unique.select("doc_id", F.explode(F.arrays_zip("mark", "lo", "hi")).alias("s")).select("doc_id", "s.*")
     by_doc = staged(each.join(marks, "mark").groupBy("doc_id").agg(F.collect_list(F.struct("mark", "lo", "hi", "hot")).alias("stretches")), "repeated-stretches")
