@@ -2,13 +2,54 @@
 
 from __future__ import annotations
 
-from logloom.operators import logs
+from logloom.operators import knowledge, logs, security
 from logloom.sources import gateway
 
-QUERIES = {"daily_usage": lambda spark, d: logs.daily_usage(gateway.request_logs(spark, d), as_of="2024-01-30", days=7)}
+AS_OF = "2024-01-30"
+usage = lambda s, d: logs.daily_usage(gateway.request_logs(s, d), as_of=AS_OF, days=7)
+docs = lambda s, d: s.read.parquet(f"{d}/documents.parquet")
+
+QUERIES = {
+    "daily_usage": usage,
+    "daily_usage_zero_filled": lambda s, d: logs.zero_filled_usage(gateway.request_logs(s, d), as_of=AS_OF, days=40),
+    "usage_totals": lambda s, d: logs.usage_totals(usage(s, d)),
+    "dashboard_stats": lambda s, d: logs.dashboard(gateway.request_logs(s, d), today=AS_OF),
+    "log_search": lambda s, d: logs.search_logs(gateway.request_logs(s, d), keyword="KEY-1", status_code=200, is_stream=1, date_from="2024-01-05", date_to="2024-01-20", page=2).select("id", "created_at"),
+    "scan_findings": lambda s, d: security.findings(gateway.scan_input(s, d)),
+    "scan_score_level": lambda s, d: security.scores(gateway.scan_input(s, d)),
+    **{f"scan_decide_{m}": (lambda s, d, m=m: security.decide(security.scores(gateway.scan_input(s, d)), m)) for m in ("audit", "warn", "redact", "block")},
+    "doc_hash_dedup": lambda s, d: knowledge.first_by_hash(docs(s, d)),
+    "kb_stats": lambda s, d: knowledge.knowledge_stats(docs(s, d)),
+}
+
+LOGS = """WITH l AS (SELECT CAST(event_id AS VARCHAR) AS id, 'key-' || user_id AS k, 'channel-' || (event_id % 5) AS c, event_type AS m,
+  CASE event_type WHEN 'error' THEN 502 WHEN 'signup' THEN 429 ELSE 200 END AS status, event_id % 2 AS is_stream,
+  CAST(floor(value) AS BIGINT) AS tokens, CAST(floor(value * 10) AS BIGINT) AS ms, CAST(ts AS DATE) AS day,
+  strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS created_at FROM events)"""
+USAGE = "SELECT strftime(day, '%Y-%m-%d') AS date, count(*) AS requests, CAST(sum(tokens) AS BIGINT) AS tokens FROM l WHERE day >= DATE '{}' GROUP BY 1"
+quoted = lambda x: "'" + x + "'"
+SCAN = f"""WITH t AS (SELECT doc_id AS id, translate(coalesce(text || ' ', '') || list_extract([{", ".join(map(quoted, security.SNIPPETS))}], CAST(doc_id % {len(security.SNIPPETS)} AS INT) + 1),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
+f AS ({" UNION ALL ".join(f"SELECT id, {quoted(r)} AS rule_id, {quoted(c)} AS category, {quoted(s)} AS severity FROM t WHERE " + " OR ".join(f"contains(low, {quoted(p)})" for p in ps) for r, c, s, ps in security.RULES)})"""
+SCORE = f"""{SCAN}, b AS (SELECT id, count(*) AS n, max(CASE severity {" ".join(f"WHEN '{k}' THEN {v}" for k, v in security.BASE.items())} END) +
+  CASE WHEN bool_or(category = 'credential') AND bool_or(category = 'network') THEN 25 ELSE 0 END AS s FROM f GROUP BY id),
+s AS (SELECT t.id, CAST(least(100, coalesce(s, 0)) AS INT) AS score, coalesce(n, 0) AS findings FROM t LEFT JOIN b USING (id)),
+v AS (SELECT *, CASE WHEN score >= 90 THEN 'critical' WHEN score >= 65 THEN 'high' WHEN score >= 35 THEN 'medium' WHEN score >= 15 THEN 'low' WHEN score >= 5 THEN 'info' ELSE 'clean' END AS level FROM s)"""
+ACTS = {"audit": "'allow'", "warn": "CASE WHEN level IN ('medium', 'high', 'critical') THEN 'warn' ELSE 'allow' END", "redact": "CASE WHEN level IN ('high', 'critical') THEN 'redact' ELSE 'allow' END", "block": "CASE WHEN level IN ('high', 'critical') THEN 'block' ELSE 'allow' END"}
+
 SQL = {
-    "daily_usage": """
-WITH request_logs AS (SELECT CAST(ts AS DATE) AS day, CAST(floor(value) AS BIGINT) AS total_tokens FROM events)
-SELECT strftime(day, '%Y-%m-%d') AS date, count(*) AS requests, CAST(coalesce(sum(total_tokens), 0) AS BIGINT) AS tokens
-FROM request_logs WHERE day >= DATE '2024-01-23' GROUP BY 1"""
+    "daily_usage": f"{LOGS} {USAGE.format('2024-01-23')}",
+    "daily_usage_zero_filled": f"""{LOGS}, u AS ({USAGE.format("2023-12-21")}),
+d AS (SELECT strftime(x, '%Y-%m-%d') AS date FROM generate_series(TIMESTAMP '2023-12-21', TIMESTAMP '2024-01-30', INTERVAL 1 DAY) g(x))
+SELECT date, coalesce(requests, 0) AS requests, coalesce(tokens, 0) AS tokens FROM d LEFT JOIN u USING (date)""",
+    "usage_totals": f"{LOGS}, u AS ({USAGE.format('2024-01-23')}) SELECT CAST(sum(requests) AS BIGINT) AS requests, CAST(sum(tokens) AS BIGINT) AS tokens, greatest(max(requests), 1) AS busiest FROM u",
+    "dashboard_stats": f"""{LOGS} SELECT count(*) AS total_requests, CAST(sum(tokens) AS BIGINT) AS total_tokens, count(*) FILTER (day = DATE '{AS_OF}') AS today_requests,
+CAST(coalesce(sum(tokens) FILTER (day = DATE '{AS_OF}'), 0) AS BIGINT) AS today_tokens, CAST(coalesce(trunc(avg(ms) FILTER (day = DATE '{AS_OF}')), 0) AS BIGINT) AS avg_latency_ms FROM l""",
+    "log_search": f"""{LOGS} SELECT id, created_at FROM l WHERE (k LIKE '%key-1%' OR c LIKE '%key-1%' OR lower(m) LIKE '%key-1%') AND status = 200 AND is_stream = 1
+AND created_at >= '2024-01-05' AND created_at <= '2024-01-20' ORDER BY created_at DESC, id LIMIT 20 OFFSET 20""",
+    "scan_findings": f"{SCAN} SELECT * FROM f",
+    "scan_score_level": f"{SCORE} SELECT id, score, findings, level FROM v",
+    **{f"scan_decide_{m}": f"{SCORE} SELECT id, score, findings, level, {x} AS action FROM v" for m, x in ACTS.items()},
+    "doc_hash_dedup": "SELECT source, sha256(coalesce(text, '')) AS content_hash, min(doc_id) AS doc_id FROM documents GROUP BY 1, 2",
+    "kb_stats": "SELECT source, count(*) AS docs, CAST(sum((length(coalesce(text, '')) + 3) // 4) AS BIGINT) AS tokens FROM documents GROUP BY 1",
 }

@@ -32,3 +32,12 @@ def request_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(F.array(*[F.lit(x) for x in ("allow", "warn", "redact", "block")]), (F.col("event_id") % 4 + 1).cast("int")).alias("security_action"),
         F.col("props").alias("request_body"),
     )
+
+
+def scan_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a literal snippet behind each, so that rules have something to find."""
+    from logloom.operators.security import SNIPPETS
+
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    snippet = F.element_at(F.array(*map(F.lit, SNIPPETS)), (F.col("doc_id") % len(SNIPPETS) + 1).cast("int"))
+    return d.select(F.col("doc_id").alias("id"), F.concat_ws(" ", "text", snippet).alias("text"))
