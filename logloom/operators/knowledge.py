@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,3 +19,57 @@ def knowledge_stats(docs: DataFrame) -> DataFrame:
     """Documents and estimated tokens, (code points + 3) / 4, by source."""
     tokens = F.floor((F.length(F.coalesce("text", F.lit(""))) + 3) / 4)
     return docs.groupBy("source").agg(F.count("*").alias("docs"), F.sum(tokens).alias("tokens"))
+
+
+def chunks_of(text: str, size: int, overlap: int) -> list[tuple[int, int, str]]:
+    """(first line, last line, content) pieces of about 4 * size characters that share up to 4 * overlap.
+
+    A line over the target is cut by characters on its own. A chunk repeats its predecessor's
+    last lines, one at least, unless the next line would not fit behind them.
+    """
+    if not text:
+        return []
+    target, shared = 4 * size, 4 * overlap
+    out: list[tuple[int, int, str]] = []
+    lines = text.split("\n")
+    held: list[int] = []  # line numbers of the open chunk
+    used = 0
+
+    def close() -> None:
+        if held:
+            out.append((held[0], held[-1], "\n".join(lines[k] for k in held)))
+
+    for i, line in enumerate(lines):
+        if len(line) > target:
+            close()
+            held, used = [], 0
+            out += [(i, i, line[k : k + target]) for k in range(0, len(line), target)]
+            continue
+        if held and used + len(line) > target:
+            close()
+            keep = len(held) - 1
+            used = len(lines[held[keep]]) + 1
+            while keep and used + len(lines[held[keep - 1]]) + 1 <= shared:
+                keep -= 1
+                used += len(lines[held[keep]]) + 1
+            held = held[keep:]
+            if used + len(line) > target:
+                held, used = [], 0
+        held.append(i)
+        used += len(line) + 1
+    close()
+    return out
+
+
+def split_text(docs: DataFrame, *, size: int = 512, overlap: int = 64) -> DataFrame:
+    """One row a chunk of docs(doc_id, text): its number, lines, content and estimated tokens; null text has none."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                if rows := [(doc, n, *c, (len(c[2]) + 3) // 4) for n, c in enumerate(chunks_of(text or "", size, overlap))]:
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
+                    names = ["doc_id", "chunk_index", "line_start", "line_end", "content", "token_count"]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, chunk_index long, line_start long, line_end long, content string, token_count long")

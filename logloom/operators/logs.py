@@ -55,3 +55,9 @@ def dashboard(logs: DataFrame, *, today: str) -> DataFrame:
 def usage_totals(usage: DataFrame) -> DataFrame:
     """Totals of a period and its busiest day, at least 1."""
     return usage.agg(F.sum("requests").alias("requests"), F.sum("tokens").alias("tokens"), F.greatest(F.max("requests"), F.lit(1)).alias("busiest"))
+
+
+def with_finding(logs: DataFrame, findings: DataFrame, rule: str) -> DataFrame:
+    """Logs that have a finding whose rule contains `rule`; each log once."""
+    hits = findings.filter(F.contains(F.lower("rule_id"), F.lit(rule.lower()))).select(F.col("id").cast("string").alias("id"))
+    return logs.join(hits, "id", "left_semi")

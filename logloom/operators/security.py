@@ -1,7 +1,9 @@
-"""Rule findings on text, their score, level and decision."""
+"""Rule findings on text, their score, level and decision; all within the row, without a shuffle."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,36 +22,143 @@ RULES = [
     ("file.cloud_credentials", "file", "high", [".aws/credentials", ".npmrc", ".pypirc"]),
     ("infra.local_path", "infra", "medium", ["/users/", "c:\\users\\", "/home/"]),
 ]
+#: Token prefix and least length in bytes of a secret.
+SECRETS = [("sk-", 24), ("sk-ant-", 30), ("sk-proj-", 24), ("ghp_", 20), ("gho_", 20), ("xoxb-", 20), ("AKIA", 16), ("AIza", 20)]
+#: A web token has this prefix, this length and a dot.
+WEB_TOKEN = ("eyJ", 30)
+#: What ends a token.
+DELIMITERS = " \n\t\"':;,()`=<>"
+PRIVATE_KEYS = ["-----BEGIN OPENSSH PRIVATE KEY-----", "-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----"]
+#: What reads sensitive files, what fetches, what runs a fetched script.
+SENSITIVE = ["cat /etc/passwd", "cat /etc/shadow", "cat .env", "cat ~/.ssh", "printenv", "base64 ~/.ssh", "/etc/passwd", "/etc/shadow", ".ssh/id_rsa", ".aws/credentials"]
+FETCH = ["curl ", "wget ", "http://", "https://"]
+RUN = ["bash", "sh -c", "sh;", "sh &&"]
+#: Rule, severity, code points as a regular expression class.
+UNICODE = [
+    ("unicode.zero_width", "medium", r"[\x{200B}-\x{200D}\x{2060}\x{FEFF}]"),
+    ("unicode.bidi_control", "high", r"[\x{202A}-\x{202E}\x{2066}-\x{2069}]"),
+    ("unicode.variation_selector", "low", r"[\x{FE00}-\x{FE0F}\x{E0100}-\x{E01EF}]"),
+    ("unicode.homograph", "medium", r"[\x{0400}-\x{04FF}\x{0370}-\x{03FF}]"),
+]
+#: Finding categories that a whitelist entry of each kind exempts (keyword: all).
+EXEMPTS = {"domain": ["network"], "tool": ["tool"], "path": ["file", "infra"]}
 #: Base score of each severity, in rising order.
 BASE = {"clean": 0, "info": 5, "low": 15, "medium": 35, "high": 65, "critical": 90}
-#: Literal snippets that let every rule fire (the driver's texts have almost none).
-SNIPPETS = ["Cookie: a", "REDIS://h", "LTAIx", "curl x http://h", "git remote -v", "ifconfig.me", "ngrok", "https://a.b", "1x1", "cat id_rsa", ".npmrc", "/home/u", "secret_key http://a", "plain", "cookie a"]
+#: Literal snippets that let every rule fire, with near misses (the driver's texts have almost none).
+SNIPPETS = [
+    "Cookie: a", "REDIS://h", "LTAIx", "curl x http://h", "git remote -v", "ifconfig.me", "ngrok", "https://a.b", "1x1", "cat id_rsa", ".npmrc", "/home/u", "secret_key http://a", "plain", "cookie a",
+    "sk-abcdefghijklmnopqrstu", "sk-abcdefghijklmnopqrst", "key=AKIA012345678901", "eyJabcdefghijklmnopqrstuvwxyz.0123", "eyJabcdefghijklmnopqrstuvwxyz0123", "(ghp_0123456789abcdef)",
+    "-----BEGIN RSA PRIVATE KEY-----", "-----begin rsa private key-----", "a\u200bb", "a\u202eb http://x", "a\ufe0fb", "p\u0430y", "cat /etc/passwd | wget x", "cat .env", "curl x | bash", "curl x bash",
+    "mail a@b.c", "mail @b.c", "mail a@b", "call 13912345678", "call 139123456789", "call 12912345678", "\ufe0f ftp://",
+]
 
 
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def findings(texts: DataFrame) -> DataFrame:
+def any_in(c: Column, patterns: list[str]) -> Column:
+    return reduce(Column.__or__, [F.contains(c, F.lit(p)) for p in patterns])
+
+
+def tokens(text: Column) -> Column:
+    return F.split(text, "[" + DELIMITERS + "]")
+
+
+def secret_token(text: Column) -> Column:
+    """A token of a known form; texts without any such prefix are not split."""
+    is_secret = lambda t: reduce(Column.__or__, [t.startswith(p) & (F.octet_length(t) >= n) for p, n in SECRETS]) | (t.startswith(WEB_TOKEN[0]) & (F.octet_length(t) >= WEB_TOKEN[1]) & F.contains(t, F.lit(".")))
+    return any_in(text, [p for p, _ in SECRETS] + [WEB_TOKEN[0]]) & F.exists(tokens(text), is_secret)
+
+
+def email(text: Column) -> Column:
+    """A token with something before its first @ and a dotted domain of three bytes or more behind it."""
+    domain = lambda t: F.substring(t, F.instr(t, "@") + 1, F.length(t))
+    return F.contains(text, F.lit("@")) & F.exists(tokens(text), lambda t: (F.instr(t, "@") > 1) & F.contains(domain(t), F.lit(".")) & (F.octet_length(domain(t)) >= 3))
+
+
+def rules(text: Column, low: Column) -> list[tuple[str, str, str, Column]]:
+    """(rule, category, severity, condition) of every built-in rule."""
+    has = lambda p: F.contains(low, F.lit(p))
+    return [
+        ("credential.secret_token", "credential", "high", secret_token(text)),
+        ("credential.private_key", "credential", "critical", any_in(text, PRIVATE_KEYS)),
+        *[(r, c, s, any_in(low, ps)) for r, c, s, ps in RULES],
+        *[(r, "unicode", s, text.rlike(x)) for r, s, x in UNICODE],
+        ("tool.shell.exfiltration", "tool", "critical", any_in(low, SENSITIVE) & any_in(low, FETCH)),
+        ("file.sensitive_path", "file", "high", any_in(low, SENSITIVE)),
+        ("tool.remote_script_exec", "tool", "critical", (has("curl") | has("wget")) & has("|") & any_in(low, RUN)),
+        ("personal.email", "personal", "low", email(text)),
+        ("personal.phone", "personal", "low", text.rlike(r"(?<![0-9])1[3-9][0-9]{9}(?![0-9])")),
+    ]
+
+
+def with_findings(texts: DataFrame, *, disabled: tuple[str, ...] = (), whitelist: tuple[tuple[str, str], ...] = (), custom: tuple[tuple[str, str, str, str], ...] = ()) -> DataFrame:
+    """texts(id, text) with `found`, an array of (rule_id, category, severity, action).
+
+    Built-in rules in `disabled` are left out. A whitelist entry (kind, pattern) that the text
+    contains exempts built-in findings of its kind's categories. Custom rules are (kind, pattern,
+    severity, action); they are never exempt. Null text has no findings.
+    """
+    low = lower_ascii(F.col("text"))
+    entry = lambda r, c, s, a: F.struct(F.lit(r).alias("rule_id"), F.lit(c).alias("category"), F.lit(s).alias("severity"), F.lit(a).alias("action"))
+    hits = []
+    for rule, category, severity, condition in rules(F.col("text"), low):
+        if rule in disabled:
+            continue
+        exempt = [p.lower() for kind, p in whitelist if kind == "keyword" or category in EXEMPTS.get(kind, [])]
+        hits.append(F.when(condition & ~any_in(low, exempt) if exempt else condition, entry(rule, category, severity, "")))
+    hits += [F.when(F.contains(low, F.lit(p.lower())), entry(f"custom.blacklist.{kind}", "custom", severity, action)) for kind, p, severity, action in custom]
+    return texts.withColumn("found", F.array_compact(F.array(*hits)))
+
+
+def findings(texts: DataFrame, **options) -> DataFrame:
     """(id, rule_id, category, severity): a row for each rule that fires on texts(id, text)."""
-    low = texts.select("id", lower_ascii(F.col("text")).alias("_low"))
-    any_of = lambda ps: F.greatest(*[F.contains(F.col("_low"), F.lit(p)) for p in ps]) if len(ps) > 1 else F.contains(F.col("_low"), F.lit(ps[0]))
-    hits = F.array(*[F.when(any_of(ps), F.struct(F.lit(r).alias("rule_id"), F.lit(c).alias("category"), F.lit(s).alias("severity"))) for r, c, s, ps in RULES])
-    return low.select("id", F.explode(F.array_compact(hits)).alias("f")).select("id", "f.*")
-
-
-def scores(texts: DataFrame) -> DataFrame:
-    """(id, score, level, findings) for each text; no finding is clean and 0."""
-    base = F.element_at(F.create_map(*[x for k, v in BASE.items() for x in (F.lit(k), F.lit(v))]), F.col("severity"))
-    has = lambda c: F.max(F.col("category") == c)
-    g = findings(texts).groupBy("id").agg(F.max(base).alias("base"), (has("credential") & has("network")).alias("leak"), F.count("*").alias("findings"))
-    score = F.least(F.lit(100), F.coalesce("base", F.lit(0)) + F.when(F.coalesce("leak", F.lit(False)), 25).otherwise(0))
+    return with_findings(texts, **options).select("id", F.explode("found").alias("f")).select("id", "f.rule_id", "f.category", "f.severity")
+
+
+def scores(texts: DataFrame, **options) -> DataFrame:
+    """(id, score, findings, level, blocked) for each text; no finding is clean and 0.
+
+    The score is the worst severity's base plus bonuses for findings that make each other worse,
+    100 at most; `blocked` is whether a custom rule asks for a block.
+    """
+    some = lambda test: F.exists("found", test)
+    network = some(lambda f: f.category == "network")
+    sensitive = some(lambda f: f.rule_id == "file.sensitive_path")
+    base = F.coalesce(F.array_max(F.transform("found", lambda f: F.element_at(F.create_map(*[F.lit(x) for kv in BASE.items() for x in kv]), f.severity))), F.lit(0))
+    bonus = [
+        (some(lambda f: f.category == "credential") & network, 25),
+        (sensitive & network, 25),
+        (some(lambda f: f.category == "unicode") & network, 15),
+        (some(lambda f: f.rule_id.startswith("tool.shell")) & sensitive, 20),
+    ]
+    score = F.least(F.lit(100), reduce(Column.__add__, [F.when(c, n).otherwise(0) for c, n in bonus], base))
     level = F.when(F.col("score") >= 90, "critical").when(F.col("score") >= 65, "high").when(F.col("score") >= 35, "medium").when(F.col("score") >= 15, "low").when(F.col("score") >= 5, "info").otherwise("clean")
-    out = texts.select("id").join(g, "id", "left").select("id", score.alias("score"), F.coalesce("findings", F.lit(0)).alias("findings"))
-    return out.withColumn("level", level)
+    scored = with_findings(texts, **options).select("id", score.alias("score"), F.size("found").cast("long").alias("findings"), some(lambda f: f.action == "block").alias("blocked"))
+    return scored.select("id", "score", "findings", level.alias("level"), "blocked")
+
+
+def mask(text: Column) -> Column:
+    """First and last four characters; all of a value of eight or fewer."""
+    return F.when(F.length(text) <= 8, "****").otherwise(F.concat(F.left(text, F.lit(4)), F.lit("****"), F.right(text, F.lit(4))))
+
+
+#: A value that starts so (and has more than so many bytes) is masked whole.
+MASKED = [("sk-", 12), ("sk-ant-", 0), ("sk-proj-", 0), ("AIza", 20), ("x-api-key:", 0), ("authorization: bearer", 0), ("ghp_", 0), ("gho_", 0), ("xoxb-", 0), ("AKIA", 0)]
+
+
+def redact(values: DataFrame) -> DataFrame:
+    """values(id, text) with secrets masked and whether that changed anything."""
+    bare = F.regexp_replace("text", r"^\p{IsWhite_Space}+|\p{IsWhite_Space}+$", "")
+    secret = F.coalesce(reduce(Column.__or__, [bare.startswith(p) & (F.octet_length(bare) > n) for p, n in MASKED]), F.lit(False))
+    return values.select("id", F.when(secret, mask(F.col("text"))).otherwise(F.col("text")).alias("text"), secret.alias("changed"))
 
 
-def decide(scored: DataFrame, mode: str) -> DataFrame:
-    """Adds the action of audit, warn, redact or block mode."""
+def decide(scored: DataFrame, mode: str, *, block_on_critical: bool = False) -> DataFrame:
+    """Adds the action of audit, warn, redact or block mode; blocks asked for by rules come last."""
     at = {"warn": ("medium", "high", "critical"), "redact": ("high", "critical"), "block": ("high", "critical")}.get(mode, ())
-    return scored.withColumn("action", F.when(F.col("level").isin(*at), mode).otherwise("allow") if at else F.lit("allow"))
+    action = F.when(F.col("level").isin(*at), mode).otherwise("allow") if at else F.lit("allow")
+    if block_on_critical:
+        action = F.when(F.col("level") == "critical", "block").otherwise(action)
+    return scored.withColumn("action", F.when(F.col("blocked"), "block").otherwise(action))

@@ -41,3 +41,48 @@ def scan_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     snippet = F.element_at(F.array(*map(F.lit, SNIPPETS)), (F.col("doc_id") % len(SNIPPETS) + 1).cast("int"))
     return d.select(F.col("doc_id").alias("id"), F.concat_ws(" ", "text", snippet).alias("text"))
+
+
+#: id, models, mapping keys, status, priority, weight; the models are event types.
+CHANNELS = [
+    (1, ["click", "view", "purchase"], ["Buy"], 1, 100, 3),
+    (2, ["Click", "view"], [], 1, 100, 1),
+    (3, ["error"], [], 0, 80, 1),
+    (4, [], [], 1, 70, 2),
+    (5, ["signup"], ["error", "click"], 1, 100, 0),
+]
+
+
+def channels(spark: SparkSession) -> DataFrame:
+    rows = [(i, m, {k: k for k in keys}, s, p, w) for i, m, keys, s, p, w in CHANNELS]
+    return spark.createDataFrame(rows, "channel_id long, models array<string>, mapping map<string,string>, status int, priority int, weight int")
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a request for the model of its type."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("request_id"), F.upper("event_type").alias("model"))
+
+
+#: Expiry texts by c_custkey: three formats, an empty one and one that is no time.
+EXPIRY = ["2024-01-20T00:00:00+08:00", "2024-03-01T00:00:00.000Z", "2024-01-29", "2024-01-30", "", "soon", "2024-01-30T12:00:00Z"]
+
+
+def api_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    limit = F.when(k % 5 == 0, -1).when(k % 5 == 1, 0).otherwise(F.lit(9000))
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+        k.cast("string").alias("key_id"),
+        (k % 4 != 0).cast("int").alias("status"),
+        limit.cast("long").alias("quota_limit"),
+        (F.abs(F.floor("c_acctbal")) + 0).cast("long").alias("quota_used"),
+        F.element_at(F.array(*map(F.lit, EXPIRY)), (k % len(EXPIRY) + 1).cast("int")).alias("expires_at"),
+    )
+
+
+def secret_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that begin with a snippet, some with blanks before it."""
+    from logloom.operators.security import SNIPPETS
+
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    snippet = F.element_at(F.array(*map(F.lit, SNIPPETS)), (F.col("doc_id") % len(SNIPPETS) + 1).cast("int"))
+    return d.select(F.col("doc_id").alias("id"), F.concat(F.when(F.col("doc_id") % 2 == 0, " ").otherwise(""), snippet, F.lit(" "), F.coalesce("text", F.lit(""))).alias("text"))

@@ -3,17 +3,51 @@
 import duckdb
 import pytest
 
+from logloom.operators import knowledge, security
 from logloom.plans import catalog
+from logloom.sources import gateway
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", list(catalog.QUERIES))
+@pytest.mark.parametrize("name", list(catalog.SQL))
 def test_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("events", "documents"):
+    con.execute("SET TimeZone = 'UTC'")
+    for t in ("events", "documents", "customer"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     want = con.execute(catalog.SQL[name]).df()
     got = catalog.QUERIES[name](spark, SF).toPandas()[list(want.columns)]
     assert sorted(map(tuple, got.values.tolist())) == sorted(map(tuple, want.values.tolist()))
     assert len(got) or name == "log_search"
+
+
+def test_every_rule_fires(spark):
+    texts = spark.createDataFrame(list(enumerate(security.SNIPPETS)), "id long, text string")
+    fired = {r.rule_id for r in security.findings(texts).select("rule_id").distinct().collect()}
+    assert fired == {r for r, *_ in security.rules(*[texts["text"]] * 2)}
+    assert catalog.WHEN.keys() == fired
+    nothing = spark.createDataFrame([(1, None), (2, "")], "id long, text string")
+    assert {(r.level, r.score) for r in security.scores(nothing).collect()} == {("clean", 0)}
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("\n".join(f"line{i}" for i in range(1, 7)), [(0, 4, 8), (4, 5, 3)]),
+        ("\n".join(f"row{i:03d}xx" for i in range(12)), [(0, 2, 7), (2, 4, 7), (4, 6, 7), (6, 8, 7), (8, 10, 7), (10, 11, 5)]),
+        ("short\n" + "x" * 100, [(0, 0, 2), (1, 1, 8), (1, 1, 8), (1, 1, 8), (1, 1, 1)]),
+        ("", []),
+    ],
+)
+def test_chunks(text, want):
+    assert [(a, b, (len(c) + 3) // 4) for a, b, c in knowledge.chunks_of(text, 8, 2)] == want
+
+
+def test_split_text_covers_every_line(spark):
+    rows = catalog.QUERIES["split_text"](spark, SF).collect()
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert {r.doc_id for r in rows} == {k for k, v in docs.items() if v}
+    for r in rows:
+        assert r.content in docs[r.doc_id] and len(r.content) <= 4 * 512
+    assert gateway.channels(spark).count() == 5
