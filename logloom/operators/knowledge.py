@@ -61,15 +61,67 @@ def chunks_of(text: str, size: int, overlap: int) -> list[tuple[int, int, str]]:
     return out
 
 
-def split_text(docs: DataFrame, *, size: int = 512, overlap: int = 64) -> DataFrame:
-    """One row a chunk of docs(doc_id, text): its number, lines, content and estimated tokens; null text has none."""
+#: What Unicode calls white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def markdown_chunks(text: str, size: int, overlap: int) -> list[tuple[int, int, str, str | None]]:
+    """(first line, last line, content, heading) of the sections that lines starting with # open.
+
+    A section of up to 8 * size characters is one chunk; a longer one is cut as plain text, each
+    piece under a line with its heading. Blank sections are dropped; what precedes the first
+    heading has none. Without headings the text is cut as plain text.
+    """
+    lines = text.split("\n")
+    starts = [i for i, line in enumerate(lines) if line.lstrip(WHITE).startswith("#")]
+    if not starts:
+        return [(*c, None) for c in chunks_of(text, size, overlap)]
+    out: list[tuple[int, int, str, str | None]] = []
+    for a, b in zip([0, *starts], [*starts, len(lines)], strict=True):
+        body = "\n".join(lines[a:b])
+        if a == b or not body.strip(WHITE):
+            continue
+        heading = lines[a].lstrip(WHITE).lstrip("#").strip(WHITE) if a in starts[:1] or a > starts[0] else None
+        if len(body) <= 8 * size:
+            out.append((a, b - 1, body, heading))
+        else:
+            over = "" if heading is None else f"# {heading}\n"
+            out += [(a + x, a + y, over + c, heading) for x, y, c in chunks_of(body, size, overlap)]
+    return out
+
+
+CHUNK = {"doc_id": pa.int64(), "chunk_index": pa.int64(), "line_start": pa.int64(), "line_end": pa.int64(), "content": pa.string(), "token_count": pa.int64(), "heading": pa.string()}
+CHUNK_DDL = "doc_id long, chunk_index long, line_start long, line_end long, content string, token_count long, heading string"
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def split_documents(docs: DataFrame, *, size: int = 512, overlap: int = 64, markdown: bool = False) -> DataFrame:
+    """One row a chunk of docs(doc_id, text): its number, lines, content, estimated tokens and heading; null text has none."""
+    cut = markdown_chunks if markdown else lambda *a: [(*c, None) for c in chunks_of(*a)]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                if rows := [(doc, n, *c, (len(c[2]) + 3) // 4) for n, c in enumerate(chunks_of(text or "", size, overlap))]:
-                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
-                    names = ["doc_id", "chunk_index", "line_start", "line_end", "content", "token_count"]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                if found := [(doc, n, x, y, c, (len(c) + 3) // 4, h) for n, (x, y, c, h) in enumerate(cut(text or "", size, overlap))]:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), CHUNK.values(), strict=True)], names=list(CHUNK))
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, CHUNK_DDL)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, chunk_index long, line_start long, line_end long, content string, token_count long")
+
+def split_text(docs: DataFrame, *, size: int = 512, overlap: int = 64) -> DataFrame:
+    """split_documents() of plain text, which has no headings."""
+    return split_documents(docs, size=size, overlap=overlap).drop("heading")
+
+
+def rows_to_markdown(tables: DataFrame) -> DataFrame:
+    """(id, markdown) of tables(id, rows array<array<string>>): the first row heads the table.
+
+    Short rows are filled up, | is escaped and a line break becomes a blank. Tables of fewer
+    than two rows, or without any cell, give null.
+    """
+    width = F.coalesce(F.array_max(F.transform("rows", F.size)), F.lit(0))
+    escaped = lambda cell: F.replace(F.replace(F.coalesce(cell, F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
+    full = lambda row: F.concat(F.transform(row, escaped), F.array_repeat(F.lit(""), F.col("width") - F.size(row)))
+    line = lambda row: F.concat(F.lit("| "), F.array_join(full(row), " | "), F.lit(" |\n"))
+    rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), F.col("width")), F.lit("\n"))
+    text = F.array_join(F.transform("rows", lambda row, i: F.when(i == 0, F.concat(line(row), rule)).otherwise(line(row))), "")
+    return tables.withColumn("width", width).select("id", F.when((F.size("rows") > 1) & (F.col("width") > 0), text).alias("markdown"))

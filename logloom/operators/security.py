@@ -144,6 +144,12 @@ def mask(text: Column) -> Column:
     return F.when(F.length(text) <= 8, "****").otherwise(F.concat(F.left(text, F.lit(4)), F.lit("****"), F.right(text, F.lit(4))))
 
 
+def mask_evidence(text: Column) -> Column:
+    """Line breaks as blanks; of more than 16 bytes the first eight and last four characters."""
+    flat = F.translate(text, "\n", " ")
+    return F.when(F.octet_length(flat) <= 16, flat).otherwise(F.concat(F.left(flat, F.lit(8)), F.lit("****"), F.right(flat, F.lit(4))))
+
+
 #: A value that starts so (and has more than so many bytes) is masked whole.
 MASKED = [("sk-", 12), ("sk-ant-", 0), ("sk-proj-", 0), ("AIza", 20), ("x-api-key:", 0), ("authorization: bearer", 0), ("ghp_", 0), ("gho_", 0), ("xoxb-", 0), ("AKIA", 0)]
 
@@ -162,3 +168,22 @@ def decide(scored: DataFrame, mode: str, *, block_on_critical: bool = False) ->
     if block_on_critical:
         action = F.when(F.col("level") == "critical", "block").otherwise(action)
     return scored.withColumn("action", F.when(F.col("blocked"), "block").otherwise(action))
+
+
+def merge_response(decided: DataFrame, responses: DataFrame, *, scan_response: bool = False) -> DataFrame:
+    """Adds the findings of scored responses to decided requests of the same id.
+
+    A request without findings has its response scanned only if `scan_response` is set. A worse
+    level of the response takes over with the higher score; the action stays the request's.
+    """
+    r = responses.select("id", F.col("score").alias("_score"), F.col("findings").alias("_found"), F.col("level").alias("_level"))
+    rank = lambda c: F.array_position(F.array(*map(F.lit, BASE)), F.col(c))
+    counts = (F.col("_found") > 0) & (F.lit(scan_response) | (F.col("findings") > 0))
+    worse = counts & (rank("_level") > rank("level"))
+    return decided.join(r, "id", "left").select(
+        "id",
+        F.when(worse, F.greatest("score", "_score")).otherwise(F.col("score")).alias("score"),
+        (F.col("findings") + F.when(counts, F.col("_found")).otherwise(0)).alias("findings"),
+        F.when(worse, F.col("_level")).otherwise(F.col("level")).alias("level"),
+        "action",
+    )

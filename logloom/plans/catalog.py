@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from logloom.operators import dispatch, knowledge, logs, security
 from logloom.sources import gateway
+from logloom.streaming import usage as stream_usage
 
 AS_OF = "2024-01-30"
 usage = lambda s, d: logs.daily_usage(gateway.request_logs(s, d), as_of=AS_OF, days=7)
@@ -32,6 +33,9 @@ QUERIES = {
     **{f"scan_decide_{m}": (lambda s, d, m=m: security.decide(security.scores(gateway.scan_input(s, d)), m)) for m in ("audit", "warn", "redact", "block")},
     "scan_options": lambda s, d: security.decide(security.scores(gateway.scan_input(s, d), **OPTIONS), "redact", block_on_critical=True),
     "redact_live": lambda s, d: security.redact(gateway.secret_values(s, d)),
+    "mask_evidence": lambda s, d: gateway.scan_input(s, d).select("id", security.mask_evidence(F.col("text")).alias("evidence")),
+    "response_merge": lambda s, d: security.merge_response(security.decide(security.scores(gateway.scan_input(s, d)), "redact"), security.scores(gateway.scan_input(s, d, 5))),
+    "usage_from_sse": lambda s, d: stream_usage.usage_of_streams(gateway.stream_chunks(s, d)),
     "logs_with_finding_rule": lambda s, d: logs.with_finding(gateway.request_logs(s, d), security.findings(gateway.scan_input(s, d)), "Shell").select("id", "model"),
     "channel_candidates": lambda s, d: dispatch.candidates(gateway.requests(s, d), gateway.channels(s)),
     "failover_queue": lambda s, d: queue(s, d).select("request_id", "channel_id", "rank"),
@@ -41,6 +45,8 @@ QUERIES = {
     "quota_verdict": lambda s, d: dispatch.quota_verdict(gateway.api_keys(s, d), max_tokens=4000),
     "quota_usage": lambda s, d: dispatch.charge(gateway.api_keys(s, d), gateway.request_logs(s, d)),
     "split_text": lambda s, d: knowledge.split_text(docs(s, d)),
+    "split_markdown": lambda s, d: knowledge.split_documents(gateway.headed_documents(s, d), markdown=True),
+    "rows_to_markdown": lambda s, d: knowledge.rows_to_markdown(gateway.text_tables(s, d)),
     "doc_hash_dedup": lambda s, d: knowledge.first_by_hash(docs(s, d)),
     "kb_stats": lambda s, d: knowledge.knowledge_stats(docs(s, d)),
 }
@@ -111,6 +117,12 @@ AND created_at >= '2024-01-05' AND created_at <= '2024-01-20' ORDER BY created_a
     "redact_live": f"""WITH a AS (SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN ' ' ELSE '' END || list_extract([{", ".join(map(char, security.SNIPPETS))}], CAST(doc_id % {len(security.SNIPPETS)} AS INT) + 1) || ' ' || coalesce(text, '') AS text FROM documents),
 b AS (SELECT *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS bare FROM a), c AS (SELECT id, text, {" OR ".join(f"(starts_with(bare, '{p}') AND strlen(bare) > {n})" for p, n in security.MASKED)} AS changed FROM b)
 SELECT id, CASE WHEN NOT changed THEN text WHEN length(text) <= 8 THEN '****' ELSE left(text, 4) || '****' || right(text, 4) END AS text, changed FROM c""",
+    "mask_evidence": f"{TEXTS} SELECT id, CASE WHEN strlen(flat) <= 16 THEN flat ELSE left(flat, 8) || '****' || right(flat, 4) END AS evidence FROM (SELECT id, replace(text, chr(10), ' ') AS flat FROM t)",
+    "response_merge": f"""WITH q AS (FROM ({SCORE} SELECT id, score, findings, level, {ACTS['redact']} AS action FROM v)), r AS (FROM ({SCORE.replace('doc_id % ', '(doc_id + 5) % ')} SELECT id, score AS s2, findings AS f2, level AS l2 FROM v)),
+j AS (SELECT *, f2 > 0 AND findings > 0 AS counts, list_position({list(security.BASE)}, l2) > list_position({list(security.BASE)}, level) AS above FROM q JOIN r USING (id))
+SELECT id, CASE WHEN counts AND above THEN greatest(score, s2) ELSE score END AS score, findings + CASE WHEN counts THEN f2 ELSE 0 END AS findings, CASE WHEN counts AND above THEN l2 ELSE level END AS level, action FROM j""",
+    "usage_from_sse": """WITH e AS (SELECT user_id AS stream_id, event_id, CAST(floor(value) AS BIGINT) AS n, event_id % 7 <> 0 AND event_id % 3 = 0 AND floor(value) > 0 AS given FROM events)
+SELECT stream_id, coalesce(arg_max(n // 3, event_id) FILTER (given), 0) AS prompt_tokens, CAST(0 AS BIGINT) AS completion_tokens, coalesce(arg_max(n, event_id) FILTER (given), 0) AS total_tokens FROM e GROUP BY 1""",
     "logs_with_finding_rule": f"{SCAN}, l AS (SELECT CAST(event_id AS VARCHAR) AS id, event_type AS model FROM events) SELECT id, model FROM l WHERE EXISTS (SELECT 1 FROM f WHERE CAST(f.id AS VARCHAR) = l.id AND f.rule_id ILIKE '%Shell%')",
     "channel_candidates": f"{CANDIDATES} SELECT * FROM k",
     "failover_queue": f"{QUEUE} SELECT request_id, channel_id, rank FROM q",
@@ -120,6 +132,10 @@ SELECT request_id, rank, channel_id, status, status = 200 AS ok FROM a QUALIFY r
     "key_validity": f"""{KEYS} SELECT key_id, status = 1 AND coalesce(coalesce(try_cast(CASE WHEN expires_at LIKE '%T%' THEN expires_at END AS TIMESTAMPTZ), try_cast(try_strptime(expires_at, '%Y-%m-%d') + INTERVAL 86399 SECOND || '+00' AS TIMESTAMPTZ)) >= TIMESTAMPTZ '{NOW}', true) AS valid FROM k""",
     "quota_verdict": f"{KEYS} SELECT key_id, CASE WHEN quota_limit > 0 AND (quota_used >= quota_limit OR quota_used + 4000 > quota_limit OR quota_limit - quota_used < 2000) THEN 429 ELSE 200 END AS verdict FROM k",
     "quota_usage": f"{KEYS}, e AS (SELECT CAST(user_id AS VARCHAR) AS key_id, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS spent FROM events GROUP BY 1) SELECT key_id, quota_used + coalesce(spent, 0) AS quota_used FROM k LEFT JOIN e USING (key_id)",
+    "rows_to_markdown": r"""WITH a AS (SELECT doc_id AS id, list_transform(string_split(replace(text, 'the ', 'the|'), chr(10)), lambda l: string_split(l, ', ')) AS rows FROM documents),
+b AS (SELECT *, list_max(list_transform(rows, lambda r: len(r))) AS width FROM a),
+c AS (SELECT id, width, list_transform(rows, lambda r: '| ' || replace(array_to_string(list_concat(r, list_transform(range(width - len(r)), lambda x: '')), chr(1)), '|', '\|') || ' |' || chr(10)) AS lines FROM b)
+SELECT id, CASE WHEN len(lines) > 1 THEN replace(lines[1], chr(1), ' | ') || '|' || repeat(' --- |', width) || chr(10) || replace(array_to_string(lines[2:], ''), chr(1), ' | ') END AS markdown FROM c""",
     "doc_hash_dedup": "SELECT source, sha256(coalesce(text, '')) AS content_hash, min(doc_id) AS doc_id FROM documents GROUP BY 1, 2",
     "kb_stats": "SELECT source, count(*) AS docs, CAST(sum((length(coalesce(text, '')) + 3) // 4) AS BIGINT) AS tokens FROM documents GROUP BY 1",
 }

@@ -34,12 +34,12 @@ def request_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def scan_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with a literal snippet behind each, so that rules have something to find."""
+def scan_input(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
+    """Documents with a literal snippet behind each, so that rules have something to find; another one for each shift."""
     from logloom.operators.security import SNIPPETS
 
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    snippet = F.element_at(F.array(*map(F.lit, SNIPPETS)), (F.col("doc_id") % len(SNIPPETS) + 1).cast("int"))
+    snippet = F.element_at(F.array(*map(F.lit, SNIPPETS)), ((F.col("doc_id") + shift) % len(SNIPPETS) + 1).cast("int"))
     return d.select(F.col("doc_id").alias("id"), F.concat_ws(" ", "text", snippet).alias("text"))
 
 
@@ -86,3 +86,25 @@ def secret_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     snippet = F.element_at(F.array(*map(F.lit, SNIPPETS)), (F.col("doc_id") % len(SNIPPETS) + 1).cast("int"))
     return d.select(F.col("doc_id").alias("id"), F.concat(F.when(F.col("doc_id") % 2 == 0, " ").otherwise(""), snippet, F.lit(" "), F.coalesce("text", F.lit(""))).alias("text"))
+
+
+def headed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with every seventh line a heading, from the third on."""
+    lines = F.transform(F.split("text", "\n"), lambda line, i: F.when(i % 7 == 2, F.concat(F.lit(" ## "), line)).otherwise(line))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.array_join(lines, "\n").alias("text"))
+
+
+def text_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of each document: a row a line, cut at commas; some cells hold a bar."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    text = F.replace("text", F.lit("the "), F.lit("the|"))
+    return d.select(F.col("doc_id").alias("id"), F.transform(F.split(text, "\n"), lambda line: F.split(line, ", ")).alias("rows"))
+
+
+def stream_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as pieces of a stream for each user: usage, zero usage, broken JSON and end marks."""
+    n = F.expr("cast(floor(value) as bigint)")
+    usage = lambda p, t: F.format_string('data: {"choices":[]}\n\ndata:{"usage":{"prompt_tokens":%d,"total_tokens":%d}}\n', p, t)
+    e = F.col("event_id")
+    data = F.when(e % 7 == 0, "data: [DONE]\n").when(e % 3 == 0, usage(F.expr("cast(floor(value) as bigint) div 3"), n)).when(e % 3 == 1, usage(n * 0, n * 0)).otherwise('data: {"usage":{"total\n: x\n')
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("stream_id"), e.alias("offset"), data.alias("data"))

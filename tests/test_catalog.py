@@ -3,9 +3,10 @@
 import duckdb
 import pytest
 
-from logloom.operators import knowledge, security
+from logloom.operators import knowledge, security, tables
 from logloom.plans import catalog
 from logloom.sources import gateway
+from logloom.streaming.usage import usage_of_streams
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,3 +52,57 @@ def test_split_text_covers_every_line(spark):
     for r in rows:
         assert r.content in docs[r.doc_id] and len(r.content) <= 4 * 512
     assert gateway.channels(spark).count() == 5
+
+
+def test_markdown_chunks():
+    cut = lambda t: knowledge.markdown_chunks(t, 8, 2)
+    assert cut("intro\n# One\nbody\n  ## Two\nmore") == [(0, 0, "intro", None), (1, 2, "# One\nbody", "One"), (3, 4, "  ## Two\nmore", "Two")]
+    assert cut("# A\n# B") == [(0, 0, "# A", "A"), (1, 1, "# B", "B")]
+    assert cut(" \n# A") == [(1, 1, "# A", "A")]
+    assert cut("") == [] and cut("plain") == [(0, 0, "plain", None)]
+    long = cut("x\n# Big\n" + "y" * 70)
+    assert long[0] == (0, 0, "x", None) and {c[3] for c in long[1:]} == {"Big"}
+    assert all(c[2].startswith("# Big\n") for c in long[1:]) and "".join(c[2][6:] for c in long[2:]) == "y" * 70
+
+
+def test_split_markdown_keeps_every_line(spark):
+    docs = {r.doc_id: (r.text or "").split("\n") for r in gateway.headed_documents(spark, SF).collect()}
+    seen = {k: set() for k in docs}
+    for r in catalog.QUERIES["split_markdown"](spark, SF).collect():
+        seen[r.doc_id].update(range(r.line_start, r.line_end + 1))
+        assert r.token_count == (len(r.content) + 3) // 4
+    assert all(i in seen[k] or not line.strip() for k, lines in docs.items() for i, line in enumerate(lines))
+
+
+def test_rows_to_markdown(spark):
+    data = [(1, [["a", "b|c"], ["d\ne"]]), (2, [["a"]]), (3, None), (4, [[], []]), (5, [["h"], [None]])]
+    got = {r.id: r.markdown for r in knowledge.rows_to_markdown(spark.createDataFrame(data, "id long, rows array<array<string>>")).collect()}
+    assert got == {1: "| a | b\\|c |\n| --- | --- |\n| d e |  |\n", 2: None, 3: None, 4: None, 5: "| h |\n| --- |\n|  |\n"}
+
+
+def test_usage_of_streams(spark):
+    one = 'data: {"usage":{"prompt_tokens":3,"completion_tokens":4,"total_tokens":7}}'
+    data = [(1, 0, one), (1, 1, 'data: {"usage":{"total_tokens":0}}'), (2, 0, one.replace("7", "8")), (2, 5, f"event: x\r\n\r\n{one}\r\n"), (3, 0, None), (4, 0, "data: [DONE]\ndata:\n{}")]
+    got = {tuple(r) for r in usage_of_streams(spark.createDataFrame(data, "stream_id long, offset long, data string")).collect()}
+    assert got == {(1, 3, 4, 7), (2, 3, 4, 7), (3, 0, 0, 0), (4, 0, 0, 0)}
+
+
+def test_evidence(spark):
+    data = [(0, "sk-ant-api03-abcdefghijklmnopqrstux123"), (1, "short"), (2, "a\nb"), (3, None)]
+    masked = spark.createDataFrame(data, "id int, text string").select("id", security.mask_evidence(security.F.col("text")).alias("e")).collect()
+    assert [r.e for r in sorted(masked)] == ["sk-ant-a****x123", "short", "a b", None]
+
+
+def test_table_changes(spark):
+    rows = lambda data: spark.createDataFrame(data, "id long, a string, b long")
+    listed = lambda df: sorted(map(tuple, df.collect()))
+    base = rows([(1, "x", 1), (2, "y", 2)])
+    assert listed(tables.overlay(base, rows([(2, None, 9), (3, "z", 3)]), "id")) == [(1, "x", 1), (2, "y", 9)]
+    assert listed(tables.insert_ignore(base, rows([(2, "no", 0), (3, "z", 3), (3, "z", 3)]), "id")) == [(1, "x", 1), (2, "y", 2), (3, "z", 3)]
+    with pytest.raises(ValueError, match="no such columns"):
+        tables.overlay(base, base.withColumnRenamed("a", "c"), "id")
+    kbs, gone = spark.createDataFrame([(1,), (2,)], "kb_id long"), spark.createDataFrame([(1,)], "kb_id long")
+    docs = spark.createDataFrame([(10, 1), (20, 2)], "doc_id long, kb_id long")
+    chunks = spark.createDataFrame([(10, 0), (20, 0), (20, 1)], "doc_id long, chunk_index long")
+    left = tables.delete_knowledge_bases(kbs, docs, chunks, gone)
+    assert [df.count() for df in left] == [1, 1, 2]
