@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from logloom.operators import dispatch, knowledge, logs, security
+from logloom.operators import dispatch, json_fields, knowledge, logs, security
 from logloom.sources import gateway
 from logloom.streaming import usage as stream_usage
 
@@ -33,6 +33,8 @@ QUERIES = {
     **{f"scan_decide_{m}": (lambda s, d, m=m: security.decide(security.scores(gateway.scan_input(s, d)), m)) for m in ("audit", "warn", "redact", "block")},
     "scan_options": lambda s, d: security.decide(security.scores(gateway.scan_input(s, d), **OPTIONS), "redact", block_on_critical=True),
     "redact_live": lambda s, d: security.redact(gateway.secret_values(s, d)),
+    "json_fields": lambda s, d: json_fields.json_fields(gateway.json_bodies(s, d)),
+    "scan_json_fields": lambda s, d: json_fields.field_findings(gateway.json_bodies(s, d)),
     "mask_evidence": lambda s, d: gateway.scan_input(s, d).select("id", security.mask_evidence(F.col("text")).alias("evidence")),
     "response_merge": lambda s, d: security.merge_response(security.decide(security.scores(gateway.scan_input(s, d)), "redact"), security.scores(gateway.scan_input(s, d, 5))),
     "usage_from_sse": lambda s, d: stream_usage.usage_of_streams(gateway.stream_chunks(s, d)),
@@ -117,6 +119,9 @@ AND created_at >= '2024-01-05' AND created_at <= '2024-01-20' ORDER BY created_a
     "redact_live": f"""WITH a AS (SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN ' ' ELSE '' END || list_extract([{", ".join(map(char, security.SNIPPETS))}], CAST(doc_id % {len(security.SNIPPETS)} AS INT) + 1) || ' ' || coalesce(text, '') AS text FROM documents),
 b AS (SELECT *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS bare FROM a), c AS (SELECT id, text, {" OR ".join(f"(starts_with(bare, '{p}') AND strlen(bare) > {n})" for p, n in security.MASKED)} AS changed FROM b)
 SELECT id, CASE WHEN NOT changed THEN text WHEN length(text) <= 8 THEN '****' ELSE left(text, 4) || '****' || right(text, 4) END AS text, changed FROM c""",
+    "json_fields": f"""{TEXTS} SELECT id, unnest(['$.messages[0].role', '$.messages[0].content', '$.messages[1].role', '$.messages[1].content[0].type', '$.messages[1].content[0].text']) AS path,
+unnest(['user', text, 'assistant', 'text', 'see https://a.b']) AS text FROM t""",
+    "scan_json_fields": f"{SCAN} SELECT id, '$.messages[0].content' AS path, rule_id, severity FROM f UNION ALL SELECT id, '$.messages[1].content[0].text', 'network.external_url', 'info' FROM t",
     "mask_evidence": f"{TEXTS} SELECT id, CASE WHEN strlen(flat) <= 16 THEN flat ELSE left(flat, 8) || '****' || right(flat, 4) END AS evidence FROM (SELECT id, replace(text, chr(10), ' ') AS flat FROM t)",
     "response_merge": f"""WITH q AS (FROM ({SCORE} SELECT id, score, findings, level, {ACTS['redact']} AS action FROM v)), r AS (FROM ({SCORE.replace('doc_id % ', '(doc_id + 5) % ')} SELECT id, score AS s2, findings AS f2, level AS l2 FROM v)),
 j AS (SELECT *, f2 > 0 AND findings > 0 AS counts, list_position({list(security.BASE)}, l2) > list_position({list(security.BASE)}, level) AS above FROM q JOIN r USING (id))

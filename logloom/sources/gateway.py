@@ -108,3 +108,12 @@ def stream_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     data = F.when(e % 7 == 0, "data: [DONE]\n").when(e % 3 == 0, usage(F.expr("cast(floor(value) as bigint) div 3"), n)).when(e % 3 == 1, usage(n * 0, n * 0)).otherwise('data: {"usage":{"total\n: x\n')
     return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("stream_id"), e.alias("offset"), data.alias("data"))
+
+
+def json_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Request bodies whose user message is a scanned text, with blocks and other values around it."""
+    block = F.array(F.struct(F.lit("text").alias("type"), F.lit("see https://a.b").alias("text")))
+    user = F.to_json(F.struct(F.lit("user").alias("role"), F.col("text").alias("content")))
+    other = F.to_json(F.struct(F.lit("assistant").alias("role"), block.alias("content")))
+    body = F.concat(F.lit('{"max_tokens": 5, "stream": null, "messages": ['), user, F.lit(", "), other, F.lit("]}"))
+    return scan_input(spark, sf_dir).select("id", body.alias("body"))

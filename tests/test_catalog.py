@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from logloom.operators import knowledge, security, tables
+from logloom.operators.json_fields import strings_of
 from logloom.plans import catalog
 from logloom.sources import gateway
 from logloom.streaming.usage import usage_of_streams
@@ -106,3 +107,10 @@ def test_table_changes(spark):
     chunks = spark.createDataFrame([(10, 0), (20, 0), (20, 1)], "doc_id long, chunk_index long")
     left = tables.delete_knowledge_bases(kbs, docs, chunks, gone)
     assert [df.count() for df in left] == [1, 1, 2]
+
+
+def test_strings_of_json():
+    assert strings_of('{"b": [1, "x", {"c d": "y"}], "a": true, "b2": {"k": null, "s": ""}}') == [("$.b[1]", "x"), ("$.b[2].c d", "y"), ("$.b2.s", "")]
+    assert strings_of('"top"') == [("$", "top")] and strings_of('{"a": "x", "a": "y"}') == [("$.a", "y")]
+    for bad in (None, "", "{", "[NaN]", '"\\ud800"', "[" * 100000, "1" * 5000):
+        assert strings_of(bad) == []
