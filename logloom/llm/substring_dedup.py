@@ -188,7 +188,8 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray) -> np.ndarray:
 class Shard:
     """Contexts sorted by (landmark, doc_id, start), taken block by block."""
 
-    def __init__(self):
+    def __init__(self, block: int = BLOCK):
+        self.block = block
         self.mark, self.first, self.seen = None, set(), np.empty(0, np.uint64)
         self.docs: list[int] = []
         self.los: list[int] = []
@@ -198,7 +199,7 @@ class Shard:
 
     def add(self, mark: int, doc: int, lo: int, context: bytes) -> None:
         if mark != self.mark:
-            if self.size > BLOCK // 2:
+            if self.size > self.block // 2 or len(self.seen):  # seen blocks are forgotten with their landmark
                 self.flush()
             self.mark, self.first, self.seen, self.tail = mark, set(), np.empty(0, np.uint64), len(self.docs)
         if context in self.first:
@@ -210,7 +211,7 @@ class Shard:
         self.los.append(lo)
         self.contexts.append(context)
         self.size += len(context)
-        if self.size > BLOCK:
+        if self.size > self.block:
             self.flush(open_group=True)
 
     def flush(self, open_group: bool = False) -> None:

@@ -50,6 +50,26 @@ def test_substrings(docs):
             assert n - int(substring_dedup.keep_mask(n, spans)[0].sum()) == want[doc]
 
 
+def test_shard_blocks():
+    """A landmark over three blocks, the last one short, and another landmark after it."""
+    rng = np.random.default_rng(5)
+    text = lambda n: rng.integers(97, 123, n, np.uint8).tobytes()
+    passages, seen, want, got = [text(120) for _ in range(4)], set(), {}, {}
+    shard = substring_dedup.Shard(block=2048)
+    rows = [(1, doc, text(30) + passages[doc % 4] + text(30)) for doc in range(25)] + [(2, 25, text(150))]
+    for mark, doc, context in rows:
+        shard.add(mark, doc, 0, context)
+        gone = np.zeros(len(context), bool)
+        for k in range(len(context) - 99):
+            gone[k : k + 100] |= context[k : k + 100] in seen
+            seen.add(context[k : k + 100])
+        want[doc] = int(gone.sum())
+    shard.flush()
+    for doc, first, end in shard.take():
+        got.setdefault(doc, np.zeros(180, bool))[first:end] = True
+    assert {doc: int(got[doc].sum()) if doc in got else 0 for doc in want} == want
+
+
 def test_suffix_array():
     data = np.frombuffer(b"abracadabra" * 20, np.uint8)
     raw = data.tobytes()
