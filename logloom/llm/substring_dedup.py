@@ -156,14 +156,15 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
 def common_prefixes(data: np.ndarray, sa: np.ndarray) -> np.ndarray:
     """Kasai: common prefix of each suffix with the one before it in sa, in sa's order.
 
-    Where the preceding suffix's predecessor is one to the left, the value is one less than the
-    left neighbour's; only the other positions are compared, eight bytes at a time.
+    Where the preceding suffix's predecessor is one to the left and shares its first byte, the
+    value is one less than the left neighbour's; only the other positions are compared, eight
+    bytes at a time.
     """
     n = len(data)
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
     fresh = np.append(True, before[1:] != before[:-1] + 1) | (before < 0)
-    fresh[1:] |= before[:-1] < 0
+    fresh[1:] |= (before[:-1] < 0) | (data[:-1] != data[before[:-1]])
     words = np.zeros(n + 8, np.uint64)
     for k in range(8):
         words[:n] |= np.append(data[k:], np.zeros(min(k, n), np.uint8))[:n].astype(np.uint64) << np.uint64(8 * k)

@@ -77,6 +77,15 @@ def test_suffix_array():
     assert sa.tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
 
 
+def test_common_prefixes():
+    rng = np.random.default_rng(7)
+    for raw in [b"XabYabz", b"a", *(rng.integers(97, 97 + k, n, np.uint8).tobytes() for k in (1, 2, 3, 8) for n in range(1, 120))]:
+        data = np.frombuffer(raw, np.uint8)
+        sa = substring_dedup.suffix_array(data, len(raw) + 1)
+        want = [0] + [next((k for k in range(len(raw)) if a + k == len(raw) or b + k == len(raw) or raw[a + k] != raw[b + k])) for a, b in zip(sa[:-1].tolist(), sa[1:].tolist(), strict=True)]
+        assert substring_dedup.common_prefixes(data, sa).tolist() == want
+
+
 def test_near_duplicates(docs):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dups.near_duplicates(docs).collect()}
     assert got[2] == (59, 1) and got[3] == (59, 1)
