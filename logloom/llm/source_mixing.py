@@ -62,10 +62,13 @@ def sainte_lague(df: DataFrame, group: list[str], key: list[str], weight: str, t
     return seats.groupBy(*df.columns).agg((F.first("_low") + F.sum("_won")).alias(out))
 
 
-def mix_sources(docs: DataFrame, *, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target and the words taken of each document."""
+def placed_words(docs: DataFrame, *keep: str, seed: int = SEED) -> DataFrame:
+    """A row for each document and block: its words _from to _to lie in block _j, which is given _copies times.
+
+    A document without words has one row, with no block. Columns of `keep` settle ties in the stream.
+    """
     words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(f"[^{SPACE}]+")).cast("long")
-    sizes = staged(docs.select("doc_id", "source", words.alias("size")), "mix-sizes")
+    sizes = staged(docs.select(*keep, "doc_id", "source", words.alias("size")), "mix-sizes")
     n_docs, n_words = sizes.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     shards = max(1, min(MAX_SHARDS, -(-n_docs // SHARD_DOCS)))
     block = max(LEAST_BLOCK, min(MOST_BLOCK, n_words // BLOCKS))
@@ -85,31 +88,47 @@ def mix_sources(docs: DataFrame, *, seed: int = SEED) -> DataFrame:
     parts = parts.select(F.col("source").alias("_p_source"), F.col("shard").alias("_p_shard"), "part_size", "blocks", "source_size", "target", "part_quota")
     rows = sizes.join(parts, F.col("source").eqNullSafe(F.col("_p_source")) & (F.col("shard") == F.col("_p_shard"))).drop("_p_source", "_p_shard")
     w = Window.partitionBy("source", "shard")
-    rows = rows.withColumn("_end", F.sum("size").over(w.orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("_end", F.sum("size").over(w.orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size", *keep).rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("_at", F.col("_end") - F.col("size"))
     block_of = lambda word: F.expr(f"(({word} + 1) * blocks - 1) div part_size")
     rows = rows.withColumn("_j", F.explode_outer(F.when(F.col("size") > 0, F.sequence(block_of("_at"), block_of("_end - 1")))))
     edge = lambda j: F.expr(f"(({j}) * part_size) div blocks")
-    rows = rows.withColumn("_in", F.when(F.col("_j").isNull(), 0).otherwise(F.least("_end", edge("_j + 1")) - F.greatest("_at", edge("_j"))))
+    rows = rows.withColumn("_from", F.when(F.col("_j").isNull(), 0).otherwise(F.greatest("_at", edge("_j")) - F.col("_at")))
+    rows = rows.withColumn("_to", F.when(F.col("_j").isNull(), 0).otherwise(F.least("_end", edge("_j + 1")) - F.col("_at")))
     rank = F.dense_rank().over(w.orderBy(F.asc_nulls_last(F.when(F.col("_j").isNotNull(), F.xxhash64(F.lit(seed + 2), "source", "shard", "_j"))), "_j"))
     copies = F.expr("part_quota div blocks") + F.when(F.col("_rank") <= F.expr("part_quota % blocks"), 1).otherwise(0)
-    rows = rows.withColumn("_rank", rank).withColumn("_taken", F.when(F.col("_in") > 0, F.col("_in") * copies).otherwise(0))
+    return rows.withColumn("_rank", rank).withColumn("_copies", F.when(F.col("_to") > F.col("_from"), copies).otherwise(0))
+
+
+def mix_sources(docs: DataFrame, *, seed: int = SEED) -> DataFrame:
+    """doc_id, source, size, source_size, target and the words taken of each document."""
+    rows = placed_words(docs, seed=seed).withColumn("_taken", (F.col("_to") - F.col("_from")) * F.col("_copies"))
     taken = rows.groupBy("source", "shard", "doc_id", "_at", "_end", "size", "source_size", "target", F.when(F.col("size") == 0, F.monotonically_increasing_id()).alias("_zero"))
     return taken.agg(F.sum("_taken").alias("taken")).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
 def mixed_documents(docs: DataFrame, *, seed: int = SEED) -> DataFrame:
-    """The mix itself: a row for each whole copy taken, and one for a rest.
+    """The mix itself: for each copy, a row for each unbroken range of the document's chosen words.
 
-    A rest of r words holds the document's first r words, set apart by single spaces; a
-    document of which nothing is taken goes. Rows that share a doc_id share what is taken.
+    A range holds the original text from its first word up to the next range's; white space
+    goes with the word before it, and at the start of a text with the first word. A document of
+    which nothing is taken goes. Rows are told apart by an internal key, written once, so null
+    and shared doc_ids each have their own ranges.
     """
-    taken = mix_sources(docs, seed=seed).groupBy(F.col("doc_id").alias("_x_id")).agg(F.max("size").alias("_x_size"), F.max("taken").alias("_x_taken"))
-    taken = taken.filter("_x_taken > 0").select("_x_id", F.explode(F.sequence(F.lit(1).cast("long"), F.expr("(_x_taken + _x_size - 1) div _x_size"))).alias("_x_copy"), "_x_size", "_x_taken")
-    rest = F.least(F.col("_x_size"), F.col("_x_taken") - (F.col("_x_copy") - 1) * F.col("_x_size"))
-    words = F.array_remove(F.split("text", f"[{SPACE}]+"), "")
-    text = F.when(rest >= F.col("_x_size"), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), rest.cast("int")), " "))
-    rows = docs.join(taken, F.col("doc_id") == F.col("_x_id"))
+    keyed = staged(docs.withColumn("_x_row", F.monotonically_increasing_id()), "mix-rows")
+    rows = placed_words(keyed, "_x_row", seed=seed).filter("_copies > 0")
+    rows = rows.select("_x_row", "size", "_from", "_to", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")).alias("_copy"))
+    w = Window.partitionBy("_x_row").orderBy("_copy", "_from")
+    joined = (F.lag("_copy").over(w) == F.col("_copy")) & (F.lag("_to").over(w) == F.col("_from"))
+    rows = rows.withColumn("_new", F.when(joined, 0).otherwise(1)).withColumn("_range", F.sum("_new").over(w))
+    ranges = rows.groupBy("_x_row", "_range").agg(F.min("_from").alias("first"), F.max("_to").alias("end"), F.max("size").alias("size"))
+    ranges = ranges.withColumn("whole", F.col("end") - F.col("first") == F.col("size"))
+    ranges = ranges.groupBy("_x_row").agg(F.collect_list(F.struct("first", "end", "whole")).alias("_x_ranges"), F.min("whole").alias("_x_whole"))
+    words = F.regexp_extract_all("text", F.lit(rf"(?:\A[{SPACE}]+)?[^{SPACE}]+[{SPACE}]*"), F.lit(0))
+    # texts are cut into words below the explode, once a document
+    rows = keyed.join(ranges, "_x_row").withColumn("_x_words", F.when(~F.col("_x_whole"), words)).withColumn("_x", F.explode("_x_ranges"))
+    part = F.slice("_x_words", (F.col("_x.first") + 1).cast("int"), (F.col("_x.end") - F.col("_x.first")).cast("int"))
+    text = F.when(F.col("_x.whole"), F.col("text")).otherwise(F.array_join(part, ""))
     return rows.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
 
 

@@ -1,6 +1,7 @@
 """The operators against brute force on small tables with nulls, ties, copies and empties."""
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -108,6 +109,29 @@ def test_mixing(docs):
     assert abs(got.groupby("source", dropna=False).target.first().sum() - 1.5 * got["size"].sum()) < 1e-6
 
 
+def test_mixed_texts(spark):
+    """The chosen word ranges come out as they stand in the text, also for null and shared doc_ids."""
+    gaps = [" ", "\n", "\t ", "\n\n"]
+    text = lambda name, n: " \n" * (n % 2) + "".join(f"{name}w{k}{gaps[k % 4]}" for k in range(n))
+    rows = [(k if k < 7 else None if k < 9 else 1, text(f"d{k}", n), "ab"[k % 2]) for k, n in enumerate([50, 333, 1, 17, 90, 8, 64, 40, 75, 61, 200])]
+    docs = spark.createDataFrame([*rows, (11, None, "a"), (12, " \n", "b")], "doc_id long, text string, source string").repartition(1).sortWithinPartitions("text").cache()
+    want = Counter()
+    for r in source_mixing.placed_words(docs, "text").collect():
+        want.update({(r.text.split()[k], r.doc_id): r._copies for k in range(r._from, r._to) if r._copies})
+    got = source_mixing.mixed_documents(docs).collect()
+    assert Counter((x, r.doc_id) for r in got for x in r.text.split()) == want
+    assert {n for n in want.values()} == {1, 2} and len(want) < 939
+    starts = []
+    for r in got:
+        first, last = r.text.split()[0], r.text.split()[-1]
+        whole = next(t for _, t, _ in rows if first in t.split())
+        a, z = whole.split().index(first), whole.split().index(last) + 1
+        cut = lambda k, whole=whole: 0 if k == 0 else len(whole) if k == len(whole.split()) else whole.index(whole.split()[k] + gaps[k % 4])
+        assert r.text == whole[cut(a) : cut(z)]
+        starts.append(a)
+    assert max(starts) > 0
+
+
 def test_quality(docs):
     got = {r.doc_id: r for r in quality_rules.quality_rules(docs).collect()}
     assert got[7].n_repeat_words == 180 and got[7].base_failed and not got[4].kept and got[1].kept
