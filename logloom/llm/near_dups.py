@@ -13,8 +13,9 @@
 Two sets with a similarity of 0.8 share no bucket with probability (1 - 0.8^ROWS)^BANDS, 1e-7.
 
 Defined cases: null or blank text has an empty set, n_shingles 0 and is its own component; a
-text of one word has one shingle, the word; repeated doc_ids are one node; very long texts
-are whole; an empty table gives no rows; other columns are ignored.
+text of one word has one shingle, the word; repeated doc_ids are one node, but
+`drop_near_duplicates` judges each row, null doc_ids too; very long texts are whole; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -256,9 +257,15 @@ def missed_links(stars: DataFrame, sets: DataFrame, first: DataFrame) -> DataFra
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each group, with all its columns."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_n_id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_n_id"), "left_semi")
+    """One row of each group, with all its columns: that of the smallest doc_id, null being the last.
+
+    Rows are told apart by a key written once, so those that share a doc_id are members of a group each.
+    """
+    keyed = staged(docs.withColumn("_n_row", F.monotonically_increasing_id()), "near-rows")
+    groups = near_duplicates(keyed.select(F.col("_n_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_n_row"), "component_id")
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text").alias("hash"), "_n_row")
+    kept = keyed.select("_n_row", rank.alias("rank")).join(groups, "_n_row").groupBy("component_id").agg(F.min("rank")["_n_row"].alias("_n_row"))
+    return keyed.join(kept.select("_n_row"), "_n_row", "left_semi").select(*docs.columns)
 
 
 def op8_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:

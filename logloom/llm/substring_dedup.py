@@ -18,8 +18,9 @@ doc_id, or the same document further left), judged on the input.
 5. Spans go back to their documents, merge, and are cut out.
 
 Defined cases: null text is empty; matches never cross documents; a document under MATCH bytes
-is kept; rows that share a doc_id count as one document and get the same spans; an empty table
-gives no rows; other columns are kept by `remove_repeats`.
+is kept; rows that share a doc_id count as one document and get the same spans, but
+`remove_repeats` takes each row for a document, null doc_ids too; an empty table gives no rows;
+other columns are kept by `remove_repeats`.
 """
 
 from __future__ import annotations
@@ -322,14 +323,20 @@ def keep_mask(n: int, spans: list[dict]) -> tuple[np.ndarray, int]:
     return ~gone, int(np.count_nonzero(gone & ~np.append(False, gone[:-1])))
 
 
-def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
+def with_spans(docs: DataFrame, spans: DataFrame, key: str = "doc_id") -> DataFrame:
     by_doc = spans.groupBy(F.col("doc_id").alias("_s_id")).agg(F.collect_list(F.struct("first", "end")).alias("_spans"))
-    return docs.join(by_doc, F.col("doc_id") == F.col("_s_id"), "left").drop("_s_id")
+    return docs.join(by_doc, F.col(key) == F.col("_s_id"), "left").drop("_s_id")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """The documents with their repeated bytes cut out; a code point that lost a byte goes whole."""
+    """The documents with their repeated bytes cut out; a code point that lost a byte goes whole.
+
+    Each row is a document, in the order of doc_id with nulls last, by a key in that order written once.
+    """
     columns = docs.columns
+    ordered = docs.sort(F.asc_nulls_last("doc_id"), F.xxhash64("text"))
+    keyed = staged(ordered.withColumn("_s_row", F.monotonically_increasing_id()), "repeat-rows")
+    release(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x for whole in batches for x in batches_of(whole, "text")):
@@ -339,7 +346,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 new.append(data[i:j][keep_mask(j - i, spans)[0]].tobytes().decode("utf-8", "ignore") if spans else text)
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if c == "text" else b.column(c) for c in columns], names=columns)
 
-    return with_spans(docs, repeated_spans(docs)).mapInArrow(cut, docs.schema)
+    spans = repeated_spans(keyed.select(F.col("_s_row").alias("doc_id"), "text"))
+    return with_spans(keyed, spans, "_s_row").mapInArrow(cut, docs.schema)
 
 
 def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

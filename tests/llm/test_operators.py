@@ -137,6 +137,19 @@ def test_quality(docs):
     assert got[7].n_repeat_words == 180 and got[7].base_failed and not got[4].kept and got[1].kept
 
 
+def test_stages_null_and_shared_ids(spark):
+    """Stages judge rows: a null doc_id stays, and rows that share a doc_id have their own verdicts."""
+    good = [" ".join(f"{c}word{i}" for i in range(60)) for c in "abc"]
+    bad = "the same the same the same " * 30
+    rows = [(None, good[0], "en", "a", 1), (1, good[1], "en", "a", 2), (1, bad, "en", "a", 3), (1, good[1], "en", "a", 4), (1, good[2], "en", "a", 5), (None, good[2], "en", "a", 6)]
+    docs = spark.createDataFrame(rows, DOCS)
+    assert sorted(r.extra for r in quality_rules.filter_quality(docs).collect()) == [1, 2, 4, 5, 6]
+    got = near_dups.drop_near_duplicates(docs).collect()
+    assert sorted(r.text for r in got) == sorted([*good, bad]) and {r.extra for r in got} in ({1, 2, 3, 5}, {1, 4, 3, 5})
+    got = {r.extra: r.text for r in substring_dedup.remove_repeats(docs.filter("text not like 'the %'")).collect()}
+    assert got[1] == good[0] and got[5] == good[2] and got[6] == "" and sorted([got[2], got[4]]) == ["", good[1]]
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(3)
     x = np.floor(rng.normal(size=(700, 6)) * 20)
