@@ -12,6 +12,9 @@ from logloom.llm.shared import staged, table
 from logloom.llm.source_mixing import mixed_documents
 from logloom.llm.substring_dedup import remove_repeats
 
+#: Words of a shingle in the near-dup stage; op8's contract of two binds its query alone.
+SHINGLE = 5
+
 
 def measured(docs: DataFrame) -> DataFrame:
     """n_chars as it is after a stage that changes texts."""
@@ -20,7 +23,7 @@ def measured(docs: DataFrame) -> DataFrame:
 
 STAGES = [
     ("quality_rules", lambda spark, docs, sf_dir: filter_quality(docs)),
-    ("minhash_near_dups", lambda spark, docs, sf_dir: drop_near_duplicates(docs)),
+    ("minhash_near_dups", lambda spark, docs, sf_dir: drop_near_duplicates(docs, width=SHINGLE)),
     ("suffix_array_dedup", lambda spark, docs, sf_dir: measured(remove_repeats(docs))),
     ("source_mixing", lambda spark, docs, sf_dir: measured(mixed_documents(docs))),
     ("best_fit_packing", lambda spark, docs, sf_dir: pack_documents(docs)),

@@ -13,7 +13,7 @@
 Two sets with a similarity of 0.8 share no bucket with probability (1 - 0.8^ROWS)^BANDS, 1e-7.
 
 Defined cases: null or blank text has an empty set, n_shingles 0 and is its own component; a
-text of one word has one shingle, the word; repeated doc_ids are one node, but
+text of fewer words than a shingle has one shingle, all its words; repeated doc_ids are one node, but
 `drop_near_duplicates` judges each row, null doc_ids too; very long texts are whole; an empty
 table gives no rows; other columns are ignored.
 """
@@ -21,6 +21,7 @@ table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ from logloom.llm.shared import batches_of, mix64, staged, table, text_buffer
 ROWS, BANDS = 5, 40
 BINS = ROWS * BANDS
 THRESHOLD = 80  # per cent
+#: Words of a shingle, by op8's contract.
+WIDTH = 2
 #: A hot centre's members are dealt to so many tasks.
 SALTS = 8
 #: Shingle bytes of a block in step 4.
@@ -76,17 +79,19 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return value, np.searchsorted(starts, offsets)
 
 
-def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+def shingle_sets(column: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
+    """The sorted distinct hashes of each text's shingles of `width` words; a shorter text is one shingle."""
     words, first = word_hashes(column)
+    runs = [words]  # hashes of 1, 2, ... width words from each word on
     with np.errstate(over="ignore"):
-        pairs = mix64(words[:-1] * np.uint64(0x9FB21C651E98DF25) + words[1:])
+        for k in range(1, width):
+            runs.append(mix64(runs[-1][:-1] * np.uint64(0x9FB21C651E98DF25) + words[k:]))
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        if b - a > 1:
-            s = np.sort(pairs[a : b - 1])
+        if b - a > width:
+            s = np.sort(runs[-1][a : b - width + 1])
             yield s[np.append(True, s[1:] != s[:-1])]
         else:
-            yield words[a:b]
+            yield runs[b - a - 1][a : a + 1] if b > a else words[a:b]
 
 
 def sketches(sets: list[np.ndarray]) -> np.ndarray:
@@ -108,10 +113,10 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def sketch_rows(batches: Iterator[pa.RecordBatch], width: int = WIDTH) -> Iterator[pa.RecordBatch]:
     index = np.arange(BANDS, dtype=np.uint64)
     for b in (x for whole in batches for x in batches_of(whole, "text")):
-        sets = list(shingle_sets(b.column("text")))
+        sets = list(shingle_sets(b.column("text"), width))
         some = [k for k, s in enumerate(sets) if len(s)]
         h, bands = np.zeros((len(sets), 2), np.uint64), [None] * len(sets)
         with np.errstate(over="ignore"):
@@ -131,9 +136,9 @@ def sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def set_rows(batches: Iterator[pa.RecordBatch], width: int = WIDTH) -> Iterator[pa.RecordBatch]:
     for b in (x for whole in batches for x in batches_of(whole, "text")):
-        sets = [s.tobytes() for s in shingle_sets(b.column("text"))]
+        sets = [s.tobytes() for s in shingle_sets(b.column("text"), width)]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
 
 
@@ -198,10 +203,10 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each document."""
     texts = docs.select(F.col("doc_id").cast("long"), "text")
-    sketch = staged(texts.mapInArrow(sketch_rows, SKETCH), "sketch")
+    sketch = staged(texts.mapInArrow(partial(sketch_rows, width=width), SKETCH), "sketch")
     some = sketch.filter("n_shingles > 0")
     same = some.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     member = staged(some.select("doc_id", "h1", "h2", "n_shingles").join(same, ["h1", "h2", "n_shingles"]).select("doc_id", "n_shingles", "rep"), "members")
@@ -211,7 +216,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = staged(bands.join(buckets, "band").filter("doc_id <> centre").select("centre", F.col("doc_id").alias("member")).distinct(), "stars")
     needed = stars.select(F.col("member").alias("doc_id")).union(stars.select("centre")).distinct()
     # the ids grow with the corpus, so they are never broadcast
-    sets = staged(texts.join(needed.hint("merge"), "doc_id", "left_semi").mapInArrow(set_rows, SETS).dropDuplicates(["doc_id"]), "sets")
+    sets = staged(texts.join(needed.hint("merge"), "doc_id", "left_semi").mapInArrow(partial(set_rows, width=width), SETS).dropDuplicates(["doc_id"]), "sets")
     salted = stars.withColumn("salt", F.pmod(F.xxhash64("member"), F.lit(SALTS)))
     members = salted.join(sets, salted["member"] == sets["doc_id"]).select("centre", "salt", F.lit(1).alias("kind"), "member", "shingles")
     centres = salted.select("centre", "salt").distinct().join(sets, F.col("centre") == F.col("doc_id")).select("centre", "salt", F.lit(0).alias("kind"), F.col("centre").alias("member"), "shingles")
@@ -256,13 +261,13 @@ def missed_links(stars: DataFrame, sets: DataFrame, first: DataFrame) -> DataFra
     return found.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, *, width: int = WIDTH) -> DataFrame:
     """One row of each group, with all its columns: that of the smallest doc_id, null being the last.
 
     Rows are told apart by a key written once, so those that share a doc_id are members of a group each.
     """
     keyed = staged(docs.withColumn("_n_row", F.monotonically_increasing_id()), "near-rows")
-    groups = near_duplicates(keyed.select(F.col("_n_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_n_row"), "component_id")
+    groups = near_duplicates(keyed.select(F.col("_n_row").alias("doc_id"), "text"), width=width).select(F.col("doc_id").alias("_n_row"), "component_id")
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text").alias("hash"), "_n_row")
     kept = keyed.select("_n_row", rank.alias("rank")).join(groups, "_n_row").groupBy("component_id").agg(F.min("rank")["_n_row"].alias("_n_row"))
     return keyed.join(kept.select("_n_row"), "_n_row", "left_semi").select(*docs.columns)

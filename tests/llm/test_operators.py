@@ -4,8 +4,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from logloom.llm import chat_format, metric_search, near_dups, packing, quality_rules, source_mixing, substring_dedup, toxicity, url_filter, warc
 from logloom.llm.shared import shared_path
 
@@ -93,6 +95,16 @@ def test_near_duplicates(docs):
     assert got[4] == (0, 4) and got[5] == (0, 5) and got[6] == (1, 6)
 
 
+def test_shingle_width(spark):
+    words = [f"word{i}" for i in range(60)]
+    column = pa.array([" ".join(words), " ".join([*words[:20], "x", *words[21:40], "y", *words[41:]]), "one", "a b c d", "a b c d", "a b c", "a b c d e", "", None])
+    sets = list(near_dups.shingle_sets(column, 5))
+    assert [len(s) for s in sets] == [56, 56, 1, 1, 1, 1, 1, 0, 0] and sets[3] == sets[4] and sets[3] != sets[5] and sets[3] != sets[6]
+    assert len(np.intersect1d(*sets[:2])) == 46 and not near_dups.alike(*sets[:2])
+    assert near_dups.alike(*list(near_dups.shingle_sets(column))[:2])
+    assert corpus_pipeline.SHINGLE == 5
+
+
 def test_packing(docs):
     got = packing.pack_documents(docs, capacity=64).toPandas()
     used = got.groupby("sequence_id").length.sum()
