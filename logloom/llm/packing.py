@@ -2,7 +2,8 @@
 
 Documents are tokenized word by word (white space never joins two tokens of this vocabulary,
 so a word's ids do not depend on its neighbours; a cache of words makes it quick) and cut into
-pieces. Pieces are dealt by hash to shards and sorted by length, longest first; each shard
+pieces. A text that holds one of the vocabulary's added tokens, which the tokenizer matches
+before all rules, goes through the tokenizer whole. Pieces are dealt by hash to shards and sorted by length, longest first; each shard
 packs best-fit decreasing: a segment tree over the remaining capacities finds the tightest
 open sequence in O(log capacity) a piece. Full pieces fill a sequence alone. A shard keeps
 only its open sequences in memory, never its pieces.
@@ -57,6 +58,9 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        self.whole = Tokenizer.from_file(path)  # matches its added tokens
+        added = self.whole.get_added_tokens_decoder().values()
+        self.added = re.compile(b"|".join(re.escape(t.content.encode()) for t in added) or rb"(?!)")
         self.known: dict[bytes, bytes] = {}
 
     def learn(self, words: set[bytes]) -> None:
@@ -75,7 +79,8 @@ class WordTokenizer:
             known.update((w, raw[i:j]) for w, (i, j) in zip(some, pairwise(cuts.tolist()), strict=True))
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        words = [MARK.sub(rb" \1", t.lower()).split() for t in texts]
+        special = {k: self.whole.encode(t.decode(), add_special_tokens=False).ids for k, t in enumerate(texts) if self.added.search(t)}
+        words = [[] if k in special else MARK.sub(rb" \1", t.lower()).split() for k, t in enumerate(texts)]
         new = set().union(*words).difference(self.known)
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known.clear()
@@ -83,7 +88,7 @@ class WordTokenizer:
         gc.disable()  # the cache holds no cycles, and looking for them costs more than filling it
         self.learn(new)
         gc.enable()
-        return [b"".join(map(self.known.__getitem__, w)) for w in words]
+        return [array("I", special[k]).tobytes() if k in special else b"".join(map(self.known.__getitem__, w)) for k, w in enumerate(words)]
 
 
 @cache

@@ -115,6 +115,17 @@ def test_packing(docs):
     assert empty.length == 1 and empty.ids_crc32 == zlib.crc32(b"\1\0\0\0")
 
 
+def test_added_tokens():
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    whole, words = Tokenizer.from_file(path), packing.WordTokenizer(path)
+    texts = ["one<|endoftext|>Two, three.", "<|startoftext|>", "x<|startoftext|><|endoftext|>y z", "A\n <|endoftext|> b.\nc", "<|ENDOFTEXT|> no", "<|endoftext |> no", "plain Words, é. ok", ""]
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in words([t.encode() for t in texts])] == want
+    assert 49407 in want[0] and want[1] == [49406]
+
+
 def test_mixing(docs):
     got = source_mixing.mix_sources(docs).toPandas()
     assert len(got) == len(ROWS) and (got.taken <= 2 * got["size"]).all()
