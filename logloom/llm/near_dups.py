@@ -25,7 +25,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logloom.llm.shared import batches_of, mix64, staged, table, text_buffer
@@ -264,13 +264,15 @@ def missed_links(stars: DataFrame, sets: DataFrame, first: DataFrame) -> DataFra
 def drop_near_duplicates(docs: DataFrame, *, width: int = WIDTH) -> DataFrame:
     """One row of each group, with all its columns: that of the smallest doc_id, null being the last.
 
-    Rows are told apart by a key written once, so those that share a doc_id are members of a group each.
+    A row's key is a hash of its doc_id and text, so rows that share a doc_id are members of a
+    group each, and equal rows are copies of one member.
     """
-    keyed = staged(docs.withColumn("_n_row", F.monotonically_increasing_id()), "near-rows")
-    groups = near_duplicates(keyed.select(F.col("_n_row").alias("doc_id"), "text"), width=width).select(F.col("doc_id").alias("_n_row"), "component_id")
-    rank = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text").alias("hash"), "_n_row")
+    keyed = docs.withColumn("_n_row", F.xxhash64("doc_id", "text", F.col("doc_id").isNull(), F.col("text").isNull()))
+    groups = near_duplicates(keyed.select(F.col("_n_row").alias("doc_id"), "text"), width=width).select(F.col("doc_id").alias("_n_row"), "component_id").distinct()
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "_n_row")
     kept = keyed.select("_n_row", rank.alias("rank")).join(groups, "_n_row").groupBy("component_id").agg(F.min("rank")["_n_row"].alias("_n_row"))
-    return keyed.join(kept.select("_n_row"), "_n_row", "left_semi").select(*docs.columns)
+    first = F.row_number().over(Window.partitionBy("_n_row").orderBy(F.xxhash64(*docs.columns)))
+    return keyed.join(kept.select("_n_row"), "_n_row", "left_semi").withColumn("_n_copy", first).filter("_n_copy = 1").select(*docs.columns)
 
 
 def op8_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ counts, so partial aggregation keeps a hot source cheap and reruns agree to the
 Defined cases: a null or blank text has no words and fails the base rules; a null language
 or source is a group of its own; a group of fewer than MIN_GROUP passing documents takes the
 merged sketch of its language over all sources; repeated rows are judged each alone, and in
-`filter_quality` so are rows with a null or shared doc_id, by a key written once; columns
+`filter_quality` so are rows with a null or shared doc_id, by a hash of what is judged; columns
 of the input other than the named ones are kept by `filter_quality` and never clash, as
 internal names start with "_q_".
 """
@@ -156,10 +156,12 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 
 def filter_quality(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with all their columns; each row by itself, whatever its doc_id."""
-    keyed = staged(docs.withColumn("_q_row", F.monotonically_increasing_id()), "quality-rows")
-    kept = quality_rules(keyed.select(F.col("_q_row").alias("doc_id"), "text", "lang", "source")).filter("kept")
-    return keyed.join(kept.select(F.col("doc_id").alias("_q_row")), "_q_row", "left_semi").select(*docs.columns)
+    """The documents that the rules keep, with all their columns; null and shared doc_ids are judged by their rows."""
+    columns = ("doc_id", "text", "lang", "source")
+    kinds = [F.col(c).isNull() for c in columns]  # a hash passes over nulls
+    keyed = docs.withColumns({f"_q_key{k}": F.xxhash64(F.lit(k), *columns, *kinds) for k in (1, 2)})
+    kept = quality_rules(keyed.select(F.struct("_q_key1", "_q_key2").alias("doc_id"), "text", "lang", "source")).filter("kept")
+    return keyed.join(kept.select("doc_id.*").distinct(), ["_q_key1", "_q_key2"], "left_semi").select(*docs.columns)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
