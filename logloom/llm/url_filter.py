@@ -7,7 +7,7 @@ and the longest matching rule decides.
 
 Defined cases: a null url or one without "://" has empty host and path and no rule; a rule
 matches its host, all subdomains, and paths that start with its path; of several the longest
-wins (host plus path, then the longer host); a url without a rule gets `DEFAULT`; repeated
+wins (host plus path, then the longer host), whatever its length; a null rule matches nothing; a url without a rule gets `DEFAULT`; repeated
 rows are judged each alone; an empty table gives no rows; extra columns are ignored.
 The filter is broadcast, so its size is checked: beyond `MAX_FILTER_BYTES` candidates go to
 the join unfiltered, which gives the same verdicts.
@@ -27,8 +27,6 @@ from logloom.llm.shared import mix64, table
 DEFAULT = "allow"
 MAX_FILTER_BYTES = 64 << 20
 BITS_PER_KEY = 16
-#: Longest rule path; the distinct lengths below it are the prefixes that are tried.
-MAX_PATH = 2048
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 
 
@@ -77,7 +75,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, *, id_column: str = "page_id
         F.regexp_extract("rule", r"^[^/]*", 0).alias("_rule_host"),
         F.regexp_extract("rule", r"^[^/]*(.*)$", 1).alias("_rule_path"),
     )
-    listed = listed.filter(F.length("_rule_path") <= MAX_PATH).select("rule", "_rule_verdict", F.concat("_rule_host", F.lit(" "), "_rule_path").alias("_key"), F.length("_rule_host").alias("_host_len"))
+    listed = listed.filter(F.col("rule").isNotNull()).select("rule", "_rule_verdict", F.concat("_rule_host", F.lit(" "), "_rule_path").alias("_key"), F.length("_rule_host").alias("_host_len"))
     lengths = [r[0] for r in listed.select(F.length(F.substring_index("_key", " ", -1)).alias("n")).distinct().collect()]
     n_rules = listed.count()
     if n_rules * BITS_PER_KEY // 8 <= MAX_FILTER_BYTES:

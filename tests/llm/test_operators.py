@@ -209,6 +209,14 @@ def test_urls(spark):
     assert got == [(1, "www.example.com", "/en/x", "www.example.com/en/", "allow"), (2, "m.example.com", "/en/", "example.com/en/", "block"), (3, "", "", None, "allow"), (4, "", "", None, "allow")]
 
 
+def test_long_rule(spark):
+    path = "/en/" + "x" * 3000
+    rules = spark.createDataFrame([("example.com/en/", "allow"), (f"example.com{path}", "block"), (None, "block")], "rule string, verdict string")
+    urls = spark.createDataFrame([(1, f"http://example.com{path}/y"), (2, "http://example.com/en/x")], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(urls, rules).collect()}
+    assert got == {1: "block", 2: "allow"}
+
+
 def test_toxicity_restores(spark):
     text = ["the man is an idiot here" if i % 5 == 0 else "the man is kind here" for i in range(150)]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(text)] + [(100, "an 1d10t and an i d i o t"), (101, None)], "doc_id long, text string")
