@@ -13,9 +13,10 @@
 Two sets with a similarity of 0.8 share no bucket with probability (1 - 0.8^ROWS)^BANDS, 1e-7.
 
 Defined cases: null or blank text has an empty set, n_shingles 0 and is its own component; a
-text of fewer words than a shingle has one shingle, all its words; repeated doc_ids are one node, but
-`drop_near_duplicates` judges each row, null doc_ids too; very long texts are whole; an empty
-table gives no rows; other columns are ignored.
+text of fewer words than a shingle has one shingle, all its words; repeated doc_ids are one node,
+which takes the greatest of their sets for near links where texts differ; a row without a doc_id
+is linked with nothing and kept, but `drop_near_duplicates` judges each row, null doc_ids too;
+very long texts are whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logloom.llm.shared import batches_of, mix64, staged, table, text_buffer
+from logloom.llm.shared import batches_of, mix64, packed, staged, table, text_buffer, unstage
 
 ROWS, BANDS = 5, 40
 BINS = ROWS * BANDS
@@ -168,7 +169,7 @@ def star_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compares the members of two blocks that are in different components."""
+    """Compares the members of two blocks that are in different components; gives the components to join."""
     for b in batches:
         out = set()
         for left, right in zip(b.column("left").to_pylist(), b.column("right").to_pylist(), strict=True):
@@ -181,99 +182,122 @@ def block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = np.minimum(np.searchsorted(s, every), len(s) - 1)
                 shared = np.add.reduceat((s[at] == every).astype(np.int64), starts)
                 for k in np.flatnonzero((100 * shared >= THRESHOLD * (len(s) + sizes - shared)) & (comps != x["component"])):
-                    out.add((x["member"], others[k][0]))
+                    out.add((x["component"], others[k][1]))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
 
+def is_settled(edges: DataFrame) -> bool:
+    """Whether each node u of edges(u, v) has one smaller neighbour v, which has none itself: one job."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    each = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return each.agg(F.count_if(F.col("up") + F.when(F.col("up") > 0, F.col("down")).otherwise(0) > 1)).first()[0] == 0
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) of all nodes in links(a, b); component is the smallest node."""
+    """(node, component) of the nodes in links(a, b) that are not their component's smallest.
+
+    A round moves the larger neighbours of each node to its least neighbour (large star), then
+    each node's smaller neighbours to their least (small star). A round is one written table
+    and one small job, which looks whether only stars are left.
+    """
     edges = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        small = staged(small.filter("u <> v").distinct(), "links")
-        changed = small.exceptAll(edges).limit(1).count() + edges.exceptAll(small).limit(1).count()
-        edges = small
-        if not changed:
-            break
-    return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    while not is_settled(edges):
+        low = edges.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
+        moved = edges.join(low, "v", "left").select("u", F.coalesce("m", "v").alias("v"))
+        low = moved.groupBy("u").agg(F.min("v").alias("m"))
+        small = moved.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        before, edges = edges, staged(small.filter("u <> v").distinct(), "links")
+        unstage(before)
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, *, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each document."""
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     sketch = staged(texts.mapInArrow(partial(sketch_rows, width=width), SKETCH), "sketch")
-    some = sketch.filter("n_shingles > 0")
-    same = some.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    member = staged(some.select("doc_id", "h1", "h2", "n_shingles").join(same, ["h1", "h2", "n_shingles"]).select("doc_id", "n_shingles", "rep"), "members")
-    reps = sketch.join(member.filter("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
-    bands = reps.select("doc_id", F.explode("bands").alias("band"))
+    key = ["h1", "h2", "n_shingles"]
+    linkable = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    reps = staged(sketch.filter(linkable).groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "set-reps")
+    bands = reps.select(F.col("rep").alias("doc_id"), "n_shingles", F.explode("bands").alias("band"))
     buckets = bands.groupBy("band").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("_last")).filter("centre < _last").drop("_last")
-    stars = staged(bands.join(buckets, "band").filter("doc_id <> centre").select("centre", F.col("doc_id").alias("member")).distinct(), "stars")
+    stars = staged(bands.join(buckets, "band").filter("doc_id <> centre").select("centre", F.col("doc_id").alias("member"), "n_shingles").distinct(), "stars")
     needed = stars.select(F.col("member").alias("doc_id")).union(stars.select("centre")).distinct()
     # the ids grow with the corpus, so they are never broadcast
-    sets = staged(texts.join(needed.hint("merge"), "doc_id", "left_semi").mapInArrow(partial(set_rows, width=width), SETS).dropDuplicates(["doc_id"]), "sets")
-    salted = stars.withColumn("salt", F.pmod(F.xxhash64("member"), F.lit(SALTS)))
-    members = salted.join(sets, salted["member"] == sets["doc_id"]).select("centre", "salt", F.lit(1).alias("kind"), "member", "shingles")
-    centres = salted.select("centre", "salt").distinct().join(sets, F.col("centre") == F.col("doc_id")).select("centre", "salt", F.lit(0).alias("kind"), F.col("centre").alias("member"), "shingles")
-    rows = centres.unionByName(members).repartition("centre", "salt").sortWithinPartitions("centre", "salt", "kind")
-    links = staged(rows.mapInArrow(star_links, "a long, b long"), "star-links")
-    first = staged(components(links), "components")
-    again = staged(missed_links(stars, sets, first), "missed-links")
-    node = lambda c: F.coalesce(c, F.col("rep"))
-    if again.isEmpty():
-        comp = first
-    else:
-        merged = staged(components(again.select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "merged").select(F.col("node").alias("component"), F.col("component").alias("over"))
-        known = first.unionByName(again.select(F.col("ca").alias("node"), F.col("ca").alias("component")).union(again.select("cb", "cb"))).groupBy("node").agg(F.min("component").alias("component"))
-        comp = known.join(merged, "component", "left").select("node", F.coalesce("over", "component").alias("component"))
-    out = member.join(comp, F.col("rep") == F.col("node"), "left").select("doc_id", "n_shingles", node(F.col("component")).alias("component_id"))
-    out = out.unionByName(sketch.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
-
-
-def missed_links(stars: DataFrame, sets: DataFrame, first: DataFrame) -> DataFrame:
-    """Links between components (a, b, ca, cb) that no star confirmed."""
-    family = stars.unionByName(stars.select("centre", F.col("centre").alias("member"))).distinct()
-    family = family.join(first.withColumnRenamed("node", "member"), "member", "left").withColumn("component", F.coalesce("component", "member"))
-    parts = family.groupBy("centre", "component").agg(F.count("*").alias("n"))
-    main = parts.groupBy("centre").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("size"))
-    # a centre has been compared with all its members: of two components nothing is left unless both hold others
-    open_ = main.filter("parts > 1 and size > 2").drop("parts", "size")
-    family = family.join(open_, "centre").join(sets.withColumnRenamed("doc_id", "member"), "member")
-    family = family.withColumn("out", (F.col("component") != F.col("main")) & (F.col("member") != F.col("centre")))
-    room = family.groupBy("centre").agg(F.ceil(F.sum(F.length("shingles")) / BLOCK_BYTES).alias("blocks"), F.max("out").alias("any")).filter("any").drop("any")
-    family = family.join(room, "centre").filter("member <> centre")
-    family = family.withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks")))
+    sets = texts.join(needed.hint("merge"), "doc_id", "left_semi").mapInArrow(partial(set_rows, width=width), SETS)
+    sets = staged(sets.groupBy("doc_id").agg(F.max("shingles").alias("shingles")), "sets")
+    salt = F.pmod(F.xxhash64("member"), F.lit(SALTS)).alias("salt")
+    asked = stars.select("centre", salt, F.lit(1).alias("kind"), "member").unionByName(stars.select("centre", salt, F.lit(0).alias("kind"), F.col("centre").alias("member")).distinct())
+    rows = asked.join(sets, F.col("member") == F.col("doc_id")).select("centre", "salt", "kind", "member", "shingles")
+    rows = rows.repartition("centre", "salt").sortWithinPartitions("centre", "salt", "kind")
+    comp = components(rows.mapInArrow(star_links, "a long, b long"))
+    again = missed_links(stars, sets, comp)
+    if again is not None:
+        merged = components(again).select(F.col("node").alias("component"), F.col("component").alias("over"))
+        comp = comp.join(merged, "component", "left").select("node", F.coalesce("over", "component").alias("component")).unionByName(merged.select(F.col("component").alias("node"), F.col("over").alias("component")))
+    unstage(stars, sets)
+    named = reps.drop("bands").join(comp, F.col("rep") == F.col("node"), "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
+    out = sketch.filter(linkable).select("doc_id", *key).join(named, key).select("doc_id", "n_shingles", "component_id")
+    out = out.unionByName(sketch.filter(~linkable).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def missed_links(stars: DataFrame, sets: DataFrame, comp: DataFrame) -> DataFrame | None:
+    """Links between components (a, b) that no star confirmed; None where no members are left apart.
+
+    A centre has been compared with all its members, so only families whose members, without
+    their centre, lie in several components are opened.
+    """
+    family = stars.join(comp, F.col("member") == F.col("node"), "left").select("centre", "member", "n_shingles", F.coalesce("component", "member").alias("component"))
+    parts = family.groupBy("centre", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
+    open_ = parts.groupBy("centre").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts"), F.ceil(8 * F.sum("size") / BLOCK_BYTES).alias("blocks"))
+    open_ = open_.filter("parts > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    family = family.withColumn("salt", F.pmod(F.xxhash64("member"), F.lit(SALTS)).cast("int")).join(open_, ["centre", "salt"]).drop("salt")
+    family = staged(family.withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks"))), "open-families")
+    if not family.count():
+        return None
     item = F.struct("member", "component", "shingles")
     # dealt by block, so that a large family is spread over tasks; a left block goes to each right one
-    right = family.repartition("centre", "block").groupBy("centre", "block").agg(F.collect_list(item).alias("right"))
-    left = family.filter("out").repartition("centre", "block").groupBy("centre", "block", "blocks").agg(F.collect_list(item).alias("left"))
-    left = left.select("centre", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "left")
-    pairs = left.join(right, ["centre", "block"]).select("left", "right")
-    found = pairs.mapInArrow(block_links, "a long, b long").distinct()
-    named = lambda c: first.select(F.col("node").alias(c), F.col("component").alias("c" + c))
-    found = found.join(named("a"), "a", "left").join(named("b"), "b", "left")
-    return found.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+    dealt = family.join(sets.withColumnRenamed("doc_id", "member"), "member")
+    right = staged(dealt.groupBy("centre", "block", "blocks", "main").agg(F.collect_list(item).alias("right")), "blocks")
+    apart = F.filter("right", lambda x: x["component"] != F.col("main")).alias("left")
+    alone = right.filter("blocks = 1").select(apart, "right")
+    left = right.filter("blocks > 1").select("centre", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), apart).filter(F.size("left") > 0)
+    pairs = left.join(right.drop("blocks", "main"), ["centre", "block"]).select("left", "right")
+    found = alone.mapInArrow(block_links, "a long, b long").unionByName(pairs.mapInArrow(block_links, "a long, b long"))
+    found = staged(found.distinct(), "missed-links")
+    unstage(family, right)
+    return found
 
 
 def drop_near_duplicates(docs: DataFrame, *, width: int = WIDTH) -> DataFrame:
     """One row of each group, with all its columns: that of the smallest doc_id, null being the last.
 
     A row's key is a hash of its doc_id and text, so rows that share a doc_id are members of a
-    group each, and equal rows are copies of one member.
+    group each, and equal rows are copies of one member. Null and blank texts are no copies of
+    each other and stay; an empty table gives no rows; columns may have any names.
     """
-    keyed = docs.withColumn("_n_row", F.xxhash64("doc_id", "text", F.col("doc_id").isNull(), F.col("text").isNull()))
-    groups = near_duplicates(keyed.select(F.col("_n_row").alias("doc_id"), "text"), width=width).select(F.col("doc_id").alias("_n_row"), "component_id").distinct()
-    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "_n_row")
-    kept = keyed.select("_n_row", rank.alias("rank")).join(groups, "_n_row").groupBy("component_id").agg(F.min("rank")["_n_row"].alias("_n_row"))
-    first = F.row_number().over(Window.partitionBy("_n_row").orderBy(F.xxhash64(*docs.columns)))
-    return keyed.join(kept.select("_n_row"), "_n_row", "left_semi").withColumn("_n_copy", first).filter("_n_copy = 1").select(*docs.columns)
+    rows = packed(docs, doc_id="doc_id", key=F.xxhash64("doc_id", "text", F.col("doc_id").isNull(), F.col("text").isNull()), text="text")
+    groups = near_duplicates(rows.select(F.col("key").alias("doc_id"), "text"), width=width).select(F.col("doc_id").alias("key"), "component_id").distinct()
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
+    kept = rows.select("key", rank.alias("rank")).join(groups, "key").groupBy("component_id").agg(F.min("rank")["key"].alias("key"))
+    first = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("row")))
+    return rows.join(kept.select("key"), "key", "left_semi").withColumn("copy", first).filter("copy = 1").select("row.*")
 
 
 def op8_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: Exact pairs by joining shingles, then all that each document reaches.
+OP8_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) > 1 THEN list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) ELSE words END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 80 * (a.n + b.n - k)),
+b AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(doc_id, seen) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, b.y FROM r JOIN b ON r.seen = b.x)
+SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(seen) AS component_id, doc_id = min(seen) AS kept FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""

@@ -166,3 +166,35 @@ def filter_quality(docs: DataFrame) -> DataFrame:
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
+
+
+def _fence(metric: str, name: str, sign: str, q: str) -> str:
+    own = lambda k: f"CASE WHEN o.n >= {MIN_GROUP} THEN o.{k} ELSE l.{k} END"
+    return f"max(CASE WHEN o.metric = '{metric}' THEN ({own(q)}) {sign} {SPREAD} * (({own('hi')}) - ({own('lo')})) {sign} {MARGINS[metric]} END) AS {name}"
+
+
+OP2_SQL = rf"""
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+e AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+q AS (SELECT doc_id, words, unnest(range((len(words) + 56) // 64)) AS b FROM d WHERE len(words) >= 8),
+p AS (SELECT doc_id, 64 * b AS start, unnest(range(1, least(65, len(words) - 6 - 64 * b))) AS i, words[64 * b + 1:64 * b + 71] AS words FROM q),
+f AS (SELECT doc_id, start + i AS pos, count(*) OVER (PARTITION BY doc_id, array_to_string(words[i:i + 7], chr(1))) AS k FROM p),
+g AS (SELECT doc_id, least(8, coalesce(pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos), 8)) AS more FROM f WHERE k > 1),
+s AS (SELECT doc_id, lang, source, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+  len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, CAST(coalesce((SELECT sum(more) FROM g WHERE g.doc_id = e.doc_id), 0) AS BIGINT) AS n_repeat_words FROM e),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM s),
+m AS (SELECT lang, source, unnest(['word_length', 'symbols', 'dup_lines', 'repeats']) AS metric,
+  unnest([word_chars / n_words, n_symbols / n_words, n_dup_lines / (n_lines + 4), n_repeat_words / n_words]) AS v FROM b WHERE NOT base_failed),
+k AS (SELECT lang, source, metric, CASE WHEN v <= 0 THEN {ZERO} ELSE CAST(ceil(ln(v) / ln({GAMMA})) AS INT) END AS bucket FROM m),
+x AS (SELECT lang, source, metric, CASE WHEN bucket = {ZERO} THEN 0.0 ELSE pow({GAMMA}, bucket) * 2 / (1 + {GAMMA}) END AS v,
+  row_number() OVER (PARTITION BY lang, source, metric ORDER BY bucket) AS i, count(*) OVER (PARTITION BY lang, source, metric) AS n,
+  row_number() OVER (PARTITION BY lang, metric ORDER BY bucket) AS li, count(*) OVER (PARTITION BY lang, metric) AS ln FROM k),
+o AS (SELECT lang, source, metric, min(CASE WHEN i >= ceil(n * 0.25) THEN v END) AS lo, min(CASE WHEN i >= ceil(n * 0.75) THEN v END) AS hi, max(n) AS n FROM x GROUP BY ALL),
+l AS (SELECT lang, metric, min(CASE WHEN li >= ceil(ln * 0.25) THEN v END) AS lo, min(CASE WHEN li >= ceil(ln * 0.75) THEN v END) AS hi FROM x GROUP BY ALL),
+c AS (SELECT o.lang, o.source, {", ".join([*(_fence(k, f"high_{k}", "+", "hi") for k in MARGINS), _fence("word_length", "low_word_length", "-", "lo")])}
+  FROM o JOIN l ON o.lang IS NOT DISTINCT FROM l.lang AND o.metric = l.metric GROUP BY o.lang, o.source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, CASE WHEN base_failed THEN false ELSE coalesce(
+  word_chars / n_words <= high_word_length AND word_chars / n_words >= low_word_length AND n_symbols / n_words <= high_symbols
+  AND n_dup_lines / (n_lines + 4) <= high_dup_lines AND n_repeat_words / n_words <= high_repeats, true) END AS kept
+FROM b LEFT JOIN c ON b.lang IS NOT DISTINCT FROM c.lang AND b.source IS NOT DISTINCT FROM c.source
+"""

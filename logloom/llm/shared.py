@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step handles at once.
 CHUNK_BYTES = 4 << 20
@@ -16,22 +22,31 @@ CHUNK_BYTES = 4 << 20
 #: The word separators of the contracts, as a regular expression class.
 SPACE = r"\x20\x09-\x0D"
 
+#: Paths that this process has staged, and those of the tables read from them.
+_STAGED: set[str] = set()
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share; a temporary one only in local mode, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="logloom-shared-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _STAGED.add(path)
+    return path
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -39,7 +54,37 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Deletes staged tables that no later step reads."""
+    for df in tables:
+        remove(_PATHS.pop(df))
+
+
+def remove(path: str) -> None:
+    _STAGED.discard(path)
+    where, place = fs.FileSystem.from_uri(path)
+    where.delete_dir(place)
+
+
+def remove_staged() -> None:
+    """Deletes all that operators have staged in this process; for callers that have written their results."""
+    _PATHS.clear()
+    for path in list(_STAGED):
+        if fs.FileSystem.from_uri(path)[0].get_file_info(fs.FileSystem.from_uri(path)[1]).type == fs.FileType.NotFound:
+            _STAGED.discard(path)
+        else:
+            remove(path)
+
+
+def packed(df: DataFrame, **columns: str | Column) -> DataFrame:
+    """All columns of df in one struct `row`, beside the named ones, so that no names clash."""
+    whole = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
+    return df.select(whole.alias("row"), *[(F.col(c) if isinstance(c, str) else c).alias(name) for name, c in columns.items()])
 
 
 def batches_of(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:

@@ -364,3 +364,19 @@ def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
     return with_spans(docs, repeated_spans(docs)).mapInArrow(digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+#: Every 100-byte string by its place, as hexadecimal text; bytes under a string that starts earlier elsewhere go.
+OP3_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+b AS (SELECT doc_id, n, b, substr(h, CAST(512 * b + 1 AS INT), 710) AS part FROM (SELECT *, unnest(range((n + 255) // 256)) AS b FROM d WHERE n >= 100)),
+p AS (SELECT doc_id, part, 256 * b AS start, unnest(range(least(256, n - 99 - 256 * b))) AS i FROM b),
+w AS (SELECT doc_id, start + i AS pos, row_number() OVER (PARTITION BY md5(substr(part, CAST(2 * i + 1 AS INT), 200)) ORDER BY doc_id, start + i) AS k FROM p),
+g AS (SELECT doc_id, pos, pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS gap FROM w WHERE k > 1),
+s AS (SELECT doc_id, pos, sum(CASE WHEN gap <= 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS span FROM g),
+r AS (SELECT doc_id, span, min(pos) AS a, max(pos) + 100 AS z FROM s GROUP BY 1, 2),
+c AS (SELECT doc_id, a, z, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS kept_from, row_number() OVER (PARTITION BY doc_id ORDER BY a DESC) AS last FROM r),
+o AS (SELECT doc_id, sum(z - a) AS removed, count(*) AS spans, string_agg(substr(h, CAST(2 * kept_from + 1 AS INT), CAST(2 * (a - kept_from) AS INT)), '' ORDER BY a)
+  || substr(any_value(h), CAST(2 * max(z) + 1 AS INT)) AS kept FROM c JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN o USING (doc_id)
+"""
