@@ -9,8 +9,8 @@ Defined cases: a null or blank text has no words and fails the base rules; a nul
 or source is a group of its own; a group of fewer than MIN_GROUP passing documents takes the
 merged sketch of its language over all sources; repeated rows are judged each alone, and in
 `filter_quality` so are rows with a null or shared doc_id, by a hash of what is judged; columns
-of the input other than the named ones are kept by `filter_quality` and never clash, as
-internal names start with "_q_".
+of the input other than the named ones are kept by `filter_quality`, whatever their names; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logloom.llm.shared import SPACE, staged, table
+from logloom.llm.shared import SPACE, packed, staged, table
 
 #: Relative bucket width of the sketches.
 GAMMA = 1.02
@@ -159,9 +159,10 @@ def filter_quality(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with all their columns; null and shared doc_ids are judged by their rows."""
     columns = ("doc_id", "text", "lang", "source")
     kinds = [F.col(c).isNull() for c in columns]  # a hash passes over nulls
-    keyed = docs.withColumns({f"_q_key{k}": F.xxhash64(F.lit(k), *columns, *kinds) for k in (1, 2)})
-    kept = quality_rules(keyed.select(F.struct("_q_key1", "_q_key2").alias("doc_id"), "text", "lang", "source")).filter("kept")
-    return keyed.join(kept.select("doc_id.*").distinct(), ["_q_key1", "_q_key2"], "left_semi").select(*docs.columns)
+    key = F.struct(*[F.xxhash64(F.lit(k), *columns, *kinds).alias(f"k{k}") for k in (1, 2)])
+    rows = packed(docs, key=key, **{c: c for c in columns[1:]})
+    kept = quality_rules(rows.select(F.col("key").alias("doc_id"), "text", "lang", "source")).filter("kept").select(F.col("doc_id").alias("key")).distinct()
+    return rows.join(kept, "key", "left_semi").select("row.*")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logloom.llm.shared import SPACE, staged, table
+from logloom.llm.shared import SPACE, packed, staged, table
 
 WEIGHTS = (3.0, 1.0, 2.0)
 TOTAL_SHARE = 1.5
@@ -115,7 +115,9 @@ def mixed_documents(docs: DataFrame, *, seed: int = SEED) -> DataFrame:
     which nothing is taken goes. Rows are told apart by an internal key, written once, so null
     and shared doc_ids each have their own ranges.
     """
-    keyed = staged(docs.withColumn("_x_row", F.monotonically_increasing_id()), "mix-rows")
+    rest = [c for c in docs.columns if c.lower() not in ("doc_id", "text", "source")]
+    rows = packed(docs, doc_id="doc_id", text="text", source="source").withColumn("_x_row", F.monotonically_increasing_id())
+    keyed = staged(rows.select("_x_row", "doc_id", "text", "source", F.struct(F.lit(0).alias("_x_none"), *[F.col("row").getField(c).alias(f"c{k}") for k, c in enumerate(rest)]).alias("_x_rest")), "mix-rows")
     rows = placed_words(keyed, "_x_row", seed=seed).filter("_copies > 0")
     rows = rows.select("_x_row", "size", "_from", "_to", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")).alias("_copy"))
     w = Window.partitionBy("_x_row").orderBy("_copy", "_from")
@@ -128,8 +130,8 @@ def mixed_documents(docs: DataFrame, *, seed: int = SEED) -> DataFrame:
     # texts are cut into words below the explode, once a document
     rows = keyed.join(ranges, "_x_row").withColumn("_x_words", F.when(~F.col("_x_whole"), words)).withColumn("_x", F.explode("_x_ranges"))
     part = F.slice("_x_words", (F.col("_x.first") + 1).cast("int"), (F.col("_x.end") - F.col("_x.first")).cast("int"))
-    text = F.when(F.col("_x.whole"), F.col("text")).otherwise(F.array_join(part, ""))
-    return rows.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    given = {c.lower(): F.col(c) for c in ("doc_id", "source")} | {"text": F.when(F.col("_x.whole"), F.col("text")).otherwise(F.array_join(part, ""))}
+    return rows.select(*[given.get(c.lower(), F.col(f"_x_rest.c{rest.index(c)}") if c in rest else None).alias(c) for c in docs.columns])
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

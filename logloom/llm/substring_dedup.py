@@ -13,38 +13,45 @@ doc_id, or the same document further left), judged on the input.
    groups that are still tied, Kasai's rule (a suffix loses one byte of common prefix to its
    left neighbour at most) gives common prefixes, and runs of MATCH or more are repeats; the
    first keeps its bytes. A landmark with more text than a block is merged over its blocks by
-   binary search among the windows seen before. One with more than HOT stretches is not
-   gathered at all: its windows are dealt one by one and pre-aggregated to their first place.
-5. Spans go back to their documents, merge, and are cut out.
+   binary search among the sorted windows of earlier blocks.
+5. A landmark with more than HOT places is dealt to several shards by its stretches' bytes.
+   Each sorts its own and gives its distinct windows with their first places; the least place
+   of a window over all shards stays, and all other windows of these stretches go.
+6. Spans go back to their documents, merge, and are cut out.
 
 Defined cases: null text is empty; matches never cross documents; a document under MATCH bytes
-is kept; rows that share a doc_id count as one document and get the same spans, but
-`remove_repeats` takes each row for a document, null doc_ids too; an empty table gives no rows;
-other columns are kept by `remove_repeats`.
+is kept; a null doc_id counts as the largest; equal rows (one doc_id, one text) are one document,
+so neither is a copy of the other; rows that share a doc_id alone are documents of their own, in
+the order of a hash of their texts; an empty table gives no rows; other columns do not matter.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from logloom.llm.near_dups import _BYTE, _INVERSE, _PRIME, powers
-from logloom.llm.shared import batches_of, mix64, staged, table, text_buffer
+from logloom.llm.near_dups import _BYTE, _INVERSE, _PRIME, SALTS, powers
+from logloom.llm.shared import batches_of, mix64, packed, staged, table, text_buffer, unstage
 
 MATCH = 100
 GRAM = 20
 #: Bytes of a suffix array; three such indices fit in one 64-bit sort key.
 BLOCK = 3 << 19
-HOT = 262_144  # a shard remembers about 40 window hashes of 8 bytes for each: 90 MB
+HOT = 16_384  # of one landmark's windows a shard holds about 40 for each place: 65 MB
+#: The place of a null doc_id.
+LAST = (1 << 63) - 1
 #: Contexts of one landmark that a shard knows by heart.
 REMEMBERED = 4096
-STRETCHES = "doc_id long, n_bytes long, h1 long, h2 long, mark array<long>, lo array<int>, hi array<int>, places array<int>"
+#: Kinds of spans: bytes that go; starts of windows that go; a start among these that stays.
+GONE, STARTS, FIRST = 0, 1, 2
+SPANS = "doc_id long, version long, first long, end long, kind int, window binary"
+STRETCHES = "doc_id long, version long, n_bytes long, h1 long, h2 long, mark array<long>, lo array<int>, hi array<int>, places array<int>"
 
 
 def rolling(data: np.ndarray, size: int) -> np.ndarray:
@@ -98,21 +105,24 @@ def stretch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         half = lambda s: np.array([x >> s & (1 << 64) - 1 for x in hashes], np.uint64).view(np.int64)
         lists = lambda v: pa.ListArray.from_arrays(pa.array(cut), pa.array(v))
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), pa.array(np.diff(offsets)), pa.array(half(0)), pa.array(half(64)), lists(least[starts].view(np.int64)), lists(lo), lists(hi), lists(places)],
-            names=["doc_id", "n_bytes", "h1", "h2", "mark", "lo", "hi", "places"],
+            [b.column("doc_id"), b.column("version"), pa.array(np.diff(offsets)), pa.array(half(0)), pa.array(half(64)), lists(least[starts].view(np.int64)), lists(lo), lists(hi), lists(places)],
+            names=["doc_id", "version", "n_bytes", "h1", "h2", "mark", "lo", "hi", "places"],
         )
 
 
+CONTEXTS = "mark long, doc_id long, version long, lo int, context binary, parts long"
+
+
 def context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes under each listed stretch."""
     for b in (x for whole in batches for x in batches_of(whole, "text")):
         data, offsets = text_buffer(b.column("text"))
         raw, rows = data.tobytes(), []
-        for doc, at, some in zip(b.column("doc_id").to_pylist(), offsets[:-1].tolist(), b.column("stretches").to_pylist(), strict=True):
-            rows += [(s["mark"], doc, s["lo"], raw[at + s["lo"] : at + s["hi"] + MATCH], s["hot"]) for s in some]
+        for doc, version, at, some in zip(b.column("doc_id").to_pylist(), b.column("version").to_pylist(), offsets[:-1].tolist(), b.column("stretches").to_pylist(), strict=True):
+            rows += [(s["mark"], doc, version, s["lo"], raw[at + s["lo"] : at + s["hi"] + MATCH], s["parts"]) for s in some]
         if rows:
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["mark", "doc_id", "lo", "context", "hot"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in CONTEXTS.split(", ")])
 
 
 def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
@@ -188,24 +198,31 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray) -> np.ndarray:
 
 
 class Shard:
-    """Contexts sorted by (landmark, doc_id, start), taken block by block."""
+    """Contexts sorted by (landmark, document, start), taken block by block.
 
-    def __init__(self, block: int = BLOCK):
-        self.block = block
-        self.mark, self.first, self.seen = None, set(), np.empty(0, np.uint64)
-        self.docs: list[int] = []
+    A part of a landmark (`split`) gives its distinct windows with their first places instead of
+    its repeats: an entry of `out` has a window then, and its end is the start's successor.
+    """
+
+    def __init__(self, block: int = BLOCK, split: bool = False):
+        self.block, self.split = block, split
+        self.mark, self.first, self.seen = None, set(), np.empty(0, f"S{MATCH}")
+        self.docs: list = []
         self.los: list[int] = []
         self.contexts: list[bytes] = []
         self.size, self.tail = 0, 0
-        self.out: list[tuple[int, int, int]] = []
+        self.out: list[tuple] = []
 
-    def add(self, mark: int, doc: int, lo: int, context: bytes) -> None:
+    def add(self, mark: int, doc, lo: int, context: bytes) -> None:
         if mark != self.mark:
             if self.size > self.block // 2 or len(self.seen):  # seen blocks are forgotten with their landmark
                 self.flush()
-            self.mark, self.first, self.seen, self.tail = mark, set(), np.empty(0, np.uint64), len(self.docs)
+            self.mark, self.first, self.seen, self.tail = mark, set(), np.empty(0, f"S{MATCH}"), len(self.docs)
+        elif self.docs and (doc, lo) == (self.docs[-1], self.los[-1]):
+            return  # an equal row
         if context in self.first:
-            self.out.append((doc, lo, lo + len(context)))
+            if not self.split:
+                self.out.append((doc, lo, lo + len(context)))
             return
         if len(self.first) < REMEMBERED:  # what is forgotten meets in the suffix array
             self.first.add(context)
@@ -222,121 +239,145 @@ class Shard:
         lengths = np.array(list(map(len, self.contexts)), np.int64)
         ends = np.cumsum(lengths)
         starts = ends - lengths
-        data = np.frombuffer(b"".join(self.contexts), np.uint8)
+        raw = b"".join(self.contexts)
+        data = np.frombuffer(raw, np.uint8)
         valid = np.ones(len(data), bool)
         tails = ends[:, None] - np.arange(1, MATCH)
         valid[tails.ravel()] = False
         sa = suffix_array(data, MATCH)
         run = np.flatnonzero(np.append(True, common_prefixes(data, sa)[1:] < MATCH))
         place = np.where(valid[sa], sa, len(data))
-        first = np.repeat(np.minimum.reduceat(place, run), np.diff(np.append(run, len(sa))))
-        again = np.zeros(len(data), bool)
-        again[sa[valid[sa] & (place != first)]] = True
-        if open_group or len(self.seen):  # the last landmark's windows meet those of its other blocks
-            at = starts[self.tail] if self.tail < len(starts) else len(data)
-            own = np.flatnonzero(valid[at:]) + at
-            h = rolling(data, MATCH)[own]
-            if len(self.seen):
-                k = np.minimum(np.searchsorted(self.seen, h), len(self.seen) - 1)
-                again[own[self.seen[k] == h]] = True
-            self.seen = np.union1d(self.seen, h)
-        edge = np.flatnonzero(np.diff(np.concatenate([[False], again, [False]]).astype(np.int8)))
-        for i, j in edge.reshape(-1, 2).tolist():
-            for c in range(int(np.searchsorted(ends, i, side="right")), int(np.searchsorted(starts, j, side="left"))):
-                a, z = max(i, int(starts[c])), min(j, int(ends[c]) - MATCH + 1)
-                if a < z:
-                    self.out.append((self.docs[c], self.los[c] + a - int(starts[c]), self.los[c] + z - int(starts[c]) + MATCH - 1))
+        least = np.minimum.reduceat(place, run)  # first place of each distinct window, in their order
+        if self.split:
+            for p in least[least < len(data)].tolist():
+                c = int(np.searchsorted(ends, p, side="right"))
+                at = self.los[c] + p - int(starts[c])
+                self.out.append((self.docs[c], at, at + 1, raw[p : p + MATCH]))
+        else:
+            first = np.repeat(least, np.diff(np.append(run, len(sa))))
+            again = np.zeros(len(data), bool)
+            again[sa[valid[sa] & (place != first)]] = True
+            if open_group or len(self.seen):  # the last landmark's windows meet those of its other blocks
+                at = int(starts[self.tail]) if self.tail < len(starts) else len(data)
+                own = np.array([raw[p : p + MATCH] for p in least[(least >= at) & (least < len(data))].tolist()], f"S{MATCH}")
+                if len(self.seen) and len(own):
+                    k = np.minimum(np.searchsorted(self.seen, own), len(self.seen) - 1)
+                    old = self.seen[k] == own
+                    known = np.zeros(len(data) + 1, bool)
+                    known[least[(least >= at) & (least < len(data))][old]] = True
+                    again[sa[valid[sa] & known[first]]] = True
+                    own = own[~old]
+                self.seen = np.sort(np.concatenate([self.seen, own]), kind="stable")
+            edge = np.flatnonzero(np.diff(np.concatenate([[False], again, [False]]).astype(np.int8)))
+            for i, j in edge.reshape(-1, 2).tolist():
+                for c in range(int(np.searchsorted(ends, i, side="right")), int(np.searchsorted(starts, j, side="left"))):
+                    a, z = max(i, int(starts[c])), min(j, int(ends[c]) - MATCH + 1)
+                    if a < z:
+                        self.out.append((self.docs[c], self.los[c] + a - int(starts[c]), self.los[c] + z - int(starts[c]) + MATCH - 1))
         self.docs, self.los, self.contexts, self.size, self.tail = [], [], [], 0, 0
 
-    def take(self) -> list[tuple[int, int, int]]:
+    def take(self) -> list[tuple]:
         out, self.out = self.out, []
         return out
 
 
-def spans_batch(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "first", "end"])
+def spans_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in SPANS.split(", ")])
 
 
 def repeat_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shard = Shard()
-    for b in batches:
-        for row in zip(*(b.column(c).to_pylist() for c in ("mark", "doc_id", "lo", "context")), strict=True):
-            shard.add(*row)
-        if rows := shard.take():
-            yield spans_batch(rows)
-    shard.flush()
-    if rows := shard.take():
-        yield spans_batch(rows)
-
+    """Spans of whole landmarks; of split ones the starts that go and each shard's first windows."""
+    whole, part = Shard(), Shard(split=True)
 
-def window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each window of a hot landmark by its own hash."""
-    import xxhash
+    def taken(starts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        rows = [(*doc, a, z, GONE, None) for doc, a, z in whole.take()] + [(*doc, a, z, FIRST, w) for doc, a, z, w in part.take()] + starts
+        if rows:
+            yield spans_batch(rows)
 
     for b in batches:
-        for doc, lo, context in zip(*(b.column(c).to_pylist() for c in ("doc_id", "lo", "context")), strict=True):
-            h = [xxhash.xxh3_128_intdigest(context[k : k + MATCH]) for k in range(len(context) - MATCH + 1)]
-            half = lambda s: np.array([x >> s & (1 << 64) - 1 for x in h], np.uint64).view(np.int64)  # noqa: E731, B023
-            yield pa.RecordBatch.from_arrays([pa.array(half(0)), pa.array(half(64)), pa.array([doc] * len(h), pa.int64()), pa.array(np.arange(lo, lo + len(h)))], names=["w1", "w2", "doc_id", "first"])
+        starts = []
+        for mark, doc, version, lo, context, parts, salt in zip(*(b.column(c).to_pylist() for c in ("mark", "doc_id", "version", "lo", "context", "parts", "salt")), strict=True):
+            if parts > 1:
+                part.add((mark, salt), (doc, version), lo, context)
+                starts.append((doc, version, lo, lo + len(context) - MATCH + 1, STARTS, None))
+            else:
+                whole.add(mark, (doc, version), lo, context)
+        yield from taken(starts)
+    whole.flush()
+    part.flush()
+    yield from taken([])
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of finished steps before the next one writes its own."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def version() -> Column:
+    """Tells rows apart that share a doc_id."""
+    return F.xxhash64("text")
 
 
 def repeated_spans(docs: DataFrame, *, hot: int = HOT) -> DataFrame:
-    """(doc_id, first, end) byte spans to remove; they may overlap."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    """(doc_id, version, first, end, kind) spans that `keep_mask` reads; they may overlap."""
+    place = ["doc_id", "version"]
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), version().alias("version"), "text")
     found = staged(texts.mapInArrow(stretch_rows, STRETCHES), "stretches")
     long = found.filter(F.col("n_bytes") >= MATCH)
     key = ["h1", "h2", "n_bytes"]
     first = long.groupBy(*key).agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")).filter("_first < _last")
-    copies = staged(long.select("doc_id", *key).join(first, key).filter("doc_id > _first").select("doc_id", F.lit(0).cast("long").alias("first"), F.col("n_bytes").alias("end")).distinct(), "copies")
-    unique = long.join(copies.select("doc_id"), "doc_id", "left_anti")
-    marks = staged(unique.select(F.explode(F.arrays_zip("mark", "places")).alias("s")).select("s.*").groupBy("mark").agg(F.sum("places").alias("n")).filter("n > 1").select("mark", (F.col("n") > hot).alias("hot")), "marks")
-    release(spark)
-    each = unique.select("doc_id", F.explode(F.arrays_zip("mark", "lo", "hi")).alias("s")).select("doc_id", "s.*")
-    by_doc = staged(each.join(marks, "mark").groupBy("doc_id").agg(F.collect_list(F.struct("mark", "lo", "hi", "hot")).alias("stretches")), "repeated-stretches")
-    release(spark)
-    contexts = texts.join(by_doc, "doc_id").mapInArrow(context_rows, "mark long, doc_id long, lo int, context binary, hot boolean")
-    dealt = contexts.filter(~F.col("hot")).drop("hot").repartition("mark").sortWithinPartitions("mark", "doc_id", "lo")
-    spans = staged(dealt.mapInArrow(repeat_rows, "doc_id long, first long, end long"), "spans")
-    if not marks.filter("hot").isEmpty():
-        windows = staged(contexts.filter("hot").mapInArrow(window_rows, "w1 long, w2 long, doc_id long, first long"), "hot-windows")
-        least = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "first")).alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
-        later = windows.join(least, ["w1", "w2"]).filter(F.struct("doc_id", "first") > F.col("least"))
-        spans = spans.unionByName(later.select("doc_id", "first", (F.col("first") + MATCH).alias("end")))
-    release(spark)
-    return spans.unionByName(copies)
+    # a group of copies may hold a third of all rows, so its rows meet its first in SALTS tasks
+    first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    copies = long.select(*place, *key, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")).join(first, [*key, "salt"]).filter("doc_id > _first")
+    copies = staged(copies.select(*place, F.lit(0).cast("long").alias("first"), F.col("n_bytes").alias("end"), F.lit(GONE).alias("kind")).distinct(), "copies")
+    unique = long.join(copies.select(*place), place, "left_anti")
+    marks = unique.select(F.explode(F.arrays_zip("mark", "places")).alias("s")).select("s.*").groupBy("mark").agg(F.sum("places").alias("n"))
+    marks = staged(marks.filter("n > 1").select("mark", F.ceil(F.col("n") / hot).alias("parts")), "marks")
+    each = unique.select(*place, F.explode(F.arrays_zip("mark", "lo", "hi")).alias("s")).select(*place, "s.*")
+    by_doc = staged(each.join(marks, "mark").groupBy(*place).agg(F.collect_list(F.struct("mark", "lo", "hi", "parts")).alias("stretches")), "repeated-stretches")
+    unstage(found, marks)
+    contexts = texts.join(by_doc, place).mapInArrow(context_rows, CONTEXTS)
+    dealt = contexts.withColumn("salt", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("context"), F.col("parts"))).otherwise(0))
+    dealt = dealt.repartition("mark", "salt").sortWithinPartitions("mark", "salt", "doc_id", "version", "lo")
+    spans = staged(dealt.mapInArrow(repeat_rows, SPANS), "spans")
+    unstage(by_doc)
+    windows = spans.filter(F.col("window").isNotNull()).groupBy("window").agg(F.min(F.struct(*place, "first", "end", "kind")).alias("s"))
+    return spans.filter(F.col("window").isNull()).drop("window").unionByName(windows.select("s.*")).unionByName(copies)
 
 
 def keep_mask(n: int, spans: list[dict]) -> tuple[np.ndarray, int]:
     """True for bytes that stay, and the number of removed runs."""
-    change = np.zeros(n + 1, np.int64)
+    bytes_, starts = np.zeros(n + MATCH + 1, np.int64), np.zeros(n + 1, np.int64)
     for s in spans:
-        change[min(s["first"], n)] += 1
-        change[min(s["end"], n)] -= 1
-    gone = np.cumsum(change[:-1]) > 0
+        if s["kind"] != FIRST:
+            change = bytes_ if s["kind"] == GONE else starts
+            change[min(s["first"], n)] += 1
+            change[min(s["end"], n)] -= 1
+    if starts.any():
+        windows = np.cumsum(starts[:-1]) > 0
+        windows[[s["first"] for s in spans if s["kind"] == FIRST]] = False
+        at = np.flatnonzero(windows)
+        bytes_[at] += 1
+        bytes_[at + MATCH] -= 1
+    gone = np.cumsum(bytes_[:n]) > 0
     return ~gone, int(np.count_nonzero(gone & ~np.append(False, gone[:-1])))
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, key: str = "doc_id") -> DataFrame:
-    by_doc = spans.groupBy(F.col("doc_id").alias("_s_id")).agg(F.collect_list(F.struct("first", "end")).alias("_spans"))
-    return docs.join(by_doc, F.col(key) == F.col("_s_id"), "left").drop("_s_id")
+    """docs with the spans of their rows in `_spans`."""
+    by_doc = spans.groupBy(F.col("doc_id").alias("_s_id"), F.col("version").alias("_s_version")).agg(F.collect_list(F.struct("first", "end", "kind")).alias("_spans"))
+    same = (F.coalesce(F.col(key).cast("long"), F.lit(LAST)) == F.col("_s_id")) & (version() == F.col("_s_version"))
+    return docs.join(by_doc, same, "left").drop("_s_id", "_s_version")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """The documents with their repeated bytes cut out; a code point that lost a byte goes whole.
 
-    Each row is a document, in the order of doc_id with nulls last, by a key in that order written once.
+    Each row is a document, in the order of doc_id with nulls last, by a key in that order
+    written once; of equal rows all but one are emptied. Null and empty texts stay as they are,
+    an empty table gives no rows, and other columns, of any names, are kept.
     """
     columns = docs.columns
-    ordered = docs.sort(F.asc_nulls_last("doc_id"), F.xxhash64("text"))
-    keyed = staged(ordered.withColumn("_s_row", F.monotonically_increasing_id()), "repeat-rows")
-    release(docs.sparkSession)
+    ordered = packed(docs, doc_id="doc_id", text="text").sort(F.asc_nulls_last("doc_id"), F.xxhash64("text"))
+    rest = [c for c in columns if c.lower() != "text"]
+    other = F.struct(*[F.col("row").getField(c).alias(c) for c in rest]) if rest else F.lit(0)
+    keyed = staged(ordered.select(F.monotonically_increasing_id().alias("key"), "text", other.alias("other")), "repeat-rows")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x for whole in batches for x in batches_of(whole, "text")):
@@ -344,10 +385,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             old, new = b.column("text").to_pylist(), []
             for text, i, j, spans in zip(old, offsets[:-1].tolist(), offsets[1:].tolist(), b.column("_spans").to_pylist(), strict=True):
                 new.append(data[i:j][keep_mask(j - i, spans)[0]].tobytes().decode("utf-8", "ignore") if spans else text)
-            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if c == "text" else b.column(c) for c in columns], names=columns)
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()), b.column("other")], names=["text", "other"])
 
-    spans = repeated_spans(keyed.select(F.col("_s_row").alias("doc_id"), "text"))
-    return with_spans(keyed, spans, "_s_row").mapInArrow(cut, docs.schema)
+    spans = repeated_spans(keyed.select(F.col("key").alias("doc_id"), "text"))
+    kept = with_spans(keyed, spans, "key").select("text", "_spans", "other")
+    kept = kept.mapInArrow(cut, T.StructType([T.StructField("text", T.StringType()), keyed.schema["other"]]))
+    return kept.select(*[F.col("text").alias(c) if c.lower() == "text" else F.col("other").getField(c).alias(c) for c in columns])
 
 
 def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,8 @@
 
 Labels, lang, source and doc_id are never inputs of a score. Defined cases: null or empty
 text has no words and gets the model's base rate; without training rows every score is 0;
-repeated rows are scored each; texts are whole, however long; other columns are ignored.
+repeated rows are scored each; of conflicting labels of one doc_id toxic counts; an empty table
+gives no rows; texts are whole, however long; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -269,7 +270,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def fit_words(docs: DataFrame, labels: DataFrame, model: np.ndarray) -> dict[bytes, float]:
     """Weights of words; b"" is the intercept."""
     rows = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select(F.col("doc_id").alias("_l_id"), F.col("toxic").cast("int").alias("_toxic"))
-    rows = rows.dropDuplicates(["_l_id"]).orderBy(F.xxhash64(F.lit(9), "_l_id"), "_l_id").limit(TRAIN_ROWS)
+    rows = rows.groupBy("_l_id").agg(F.max("_toxic").alias("_toxic")).orderBy(F.xxhash64(F.lit(9), "_l_id"), "_l_id").limit(TRAIN_ROWS)
     train = docs.select("doc_id", "text").join(F.broadcast(rows), F.col("doc_id") == F.col("_l_id")).select("text", "_toxic")  # bounded by TRAIN_ROWS
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,8 @@ record_type, page_id, uri, payload_digest and refers_to are pushed down; `payloa
 only when option payload is "true". One file is one partition.
 
 Writing: every task writes its own file into the shared folder and the driver's commit lists
-the files in a manifest, so lost, retried or speculative tasks leave nothing that is read.
+the files in a manifest of its own, so lost, retried or speculative tasks leave nothing that is
+read, and an append adds to what is there; mode overwrite deletes the older manifests.
 
 Defined cases: null html is an empty payload; payloads under `MIN_REVISIT` bytes are always
 responses; of equal longer payloads the rows with the largest page_id are responses, others
@@ -36,7 +37,7 @@ SCHEMA = "page_id long, uri string, record_type string, payload_digest string, p
 PUSHED = {"page_id": "WARC-X-Page-ID", "uri": "WARC-Target-URI", "record_type": "WARC-Type", "payload_digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To"}
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-MANIFEST = "_manifest.json"
+MANIFEST = "_manifest-"
 
 
 def place(path: str) -> tuple[fs.FileSystem, str]:
@@ -116,6 +117,10 @@ class Written(WriterCommitMessage):
     records: int
 
 
+def manifests(where: fs.FileSystem, path: str) -> list[str]:
+    return [x.path for x in where.get_file_info(fs.FileSelector(path)) if x.base_name.startswith(MANIFEST)]
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.payload, self.tests = options["path"], options.get("payload", "false").lower() == "true", []
@@ -129,8 +134,11 @@ class WarcReader(DataSourceReader):
 
     def partitions(self):
         where, path = place(self.path)
-        with where.open_input_stream(f"{path}/{MANIFEST}") as f:
-            return [Archive(x) for x in json.loads(f.read())] or [Archive("")]
+        files = []
+        for found in manifests(where, path):
+            with where.open_input_stream(found) as f:
+                files += json.loads(f.read())
+        return [Archive(x) for x in sorted(files)] or [Archive("")]
 
     def read(self, partition):
         if not partition.file:
@@ -161,8 +169,8 @@ def to_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, options: dict):
-        self.path = options["path"]
+    def __init__(self, options: dict, overwrite: bool):
+        self.path, self.overwrite = options["path"], overwrite
 
     def write(self, iterator):
         where, path = place(self.path)
@@ -178,8 +186,11 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages):
         where, path = place(self.path)
         where.create_dir(path, recursive=True)
-        with where.open_output_stream(f"{path}/{MANIFEST}") as f:
+        older = manifests(where, path) if self.overwrite else []
+        with where.open_output_stream(f"{path}/{MANIFEST}{uuid.uuid4().hex}.json") as f:
             f.write(json.dumps([m.file for m in messages if m is not None and m.records]).encode())
+        for found in older:
+            where.delete_file(found)
 
     def abort(self, messages):
         pass
@@ -197,7 +208,7 @@ class WarcDataSource(DataSource):
         return WarcReader(dict(self.options))
 
     def writer(self, schema, overwrite):
-        return WarcWriter(dict(self.options))
+        return WarcWriter(dict(self.options), overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -224,9 +235,9 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     )
 
 
-def write_warc(pages: DataFrame, path: str) -> None:
+def write_warc(pages: DataFrame, path: str, *, mode: str = "append") -> None:
     register(pages.sparkSession)
-    with_revisits(pages).write.format("warc").mode("append").option("path", path).save()
+    with_revisits(pages).write.format("warc").mode(mode).option("path", path).save()
 
 
 def read_warc(spark: SparkSession, path: str, *, payload: bool = False) -> DataFrame:

@@ -173,6 +173,29 @@ def test_stages_null_and_shared_ids(spark):
     assert got[1] == good[0] and got[5] == good[2] and got[6] == "" and sorted([got[2], got[4]]) == ["", good[1]]
 
 
+def test_repeated_rows_lose_nothing(spark):
+    """Equal rows are one document for op3; rows that share a doc_id alone are documents of their own."""
+    texts = [" ".join(f"{c}word{i}" for i in range(60)) for c in "abc"]
+    rows = [(1, texts[0]), (1, texts[0]), (2, texts[1]), (2, texts[2]), (None, texts[1]), (3, "x" + texts[0]), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (substring_dedup.HOT, 1):
+        got = substring_dedup.with_spans(docs, substring_dedup.repeated_spans(docs, hot=hot)).collect()
+        left = {(r.doc_id, r.text): int(substring_dedup.keep_mask(len(r.text or ""), r._spans or [])[0].sum()) for r in got}
+        assert left == {(1, texts[0]): len(texts[0]), (2, texts[1]): len(texts[1]), (2, texts[2]): len(texts[2]), (None, texts[1]): 0, (3, "x" + texts[0]): 1, (4, None): 0}
+
+
+CLASHING = ["_spans", "_s_id", "_n_row", "_q_key1", "_x_row", "row", "key", "copy", "kept", "rank", "other", "stretches", "n words", "_copies", "shard"]
+
+
+def test_clashing_names(spark):
+    """Stages keep other columns, whatever their names."""
+    docs = spark.createDataFrame([(k, " ".join(f"{c}word{i}" for i in range(60)), "en", "a", *range(len(CLASHING))) for k, c in enumerate("aab")], "doc_id long, text string, lang string, source string, " + ", ".join(f"`{c}` int" for c in CLASHING))
+    for stage in (quality_rules.filter_quality, near_dups.drop_near_duplicates, substring_dedup.remove_repeats, source_mixing.mixed_documents):
+        got = stage(docs)
+        assert got.columns == docs.columns
+        assert all(tuple(r)[4:] == tuple(range(len(CLASHING))) for r in got.collect())
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(3)
     x = np.floor(rng.normal(size=(700, 6)) * 20)
@@ -202,6 +225,15 @@ def test_warc_round_trip(spark):
     assert warc.read_warc(spark, path).filter("record_type = 'revisit'").count() == 1
 
 
+def test_warc_modes(spark):
+    """An append adds records, an overwrite replaces them, and an empty table writes none."""
+    path, page = shared_path(spark, "warc-test"), lambda k: spark.createDataFrame([(k, "http://a/", "x")] * (k > 0), "page_id long, url string, html string")
+    ids = lambda: sorted(r.page_id for r in warc.read_warc(spark, path).collect())
+    for k, mode, want in ((0, "append", []), (1, "append", [1]), (2, "append", [1, 2]), (3, "overwrite", [3])):
+        warc.write_warc(page(k), path, mode=mode)
+        assert ids() == want
+
+
 def test_urls(spark):
     urls = [(1, "http://WWW.Example.com/en/x?q"), (2, "https://m.example.com/en/"), (3, None), (4, "no scheme"), (5, "http://a.net/fr/1#x"), (5, "http://a.org")]
     rules = spark.createDataFrame(url_filter.RULES, "rule string, verdict string")
