@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.operators.security import with_findings
+from logloom.operators.security import MASKED, explode_findings, with_findings
 
 
 def _refuse(name: str) -> None:
@@ -39,20 +39,88 @@ def strings_of(body: str | None) -> list[tuple[str, str]]:
     return out
 
 
+#: Text bytes of a batch that goes back to Spark.
+BATCH_BYTES = 4 << 20
+
+
+def in_batches(rows: Iterator[tuple], kinds: dict[str, pa.DataType], size) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of about BATCH_BYTES each, by the size of each row."""
+    held, total = [], 0
+    batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds.values(), strict=True)], names=list(kinds))
+    for row in rows:
+        held.append(row)
+        total += 64 + size(row)
+        if total > BATCH_BYTES:
+            yield batch()
+            held, total = [], 0
+    if held:
+        yield batch()
+
+
 def json_fields(bodies: DataFrame) -> DataFrame:
     """(id, path, text): a row for each string value of bodies(id, body)."""
+    kinds = {"id": pa.int64(), "path": pa.string(), "text": pa.string()}
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, body in zip(b.column("id").to_pylist(), b.column("body").to_pylist(), strict=True):
-                if found := strings_of(body):
-                    paths, texts = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(found), pa.int64()), pa.array(paths, pa.string()), pa.array(texts, pa.string())], names=["id", "path", "text"])
+        rows = ((i, path, text) for b in batches for i, body in zip(b.column("id").to_pylist(), b.column("body").to_pylist(), strict=True) for path, text in strings_of(body))
+        return in_batches(rows, kinds, lambda r: len(r[1]) + len(r[2]))
 
     return bodies.select(F.col("id").cast("long"), "body").mapInArrow(walk, "id long, path string, text string")
 
 
+def parse_errors(bodies: DataFrame) -> DataFrame:
+    """(id, status, error) of bodies that are no JSON: the error rows beside json_fields()."""
+    bad = bodies.filter(F.try_parse_json("body").isNull())
+    return bad.select("id", F.lit(400).alias("status"), F.lit("invalid JSON body").alias("error"))
+
+
+def redact_bodies(bodies: DataFrame) -> DataFrame:
+    """(id, body, changed): secrets that are whole strings masked; compact JSON with sorted keys.
+
+    A body without such strings, and one that is no JSON, comes back as it was.
+    """
+    kinds = {"id": pa.int64(), "body": pa.string(), "changed": pa.bool_()}
+
+    def mask(value: str) -> str:
+        return value[:4] + "****" + value[-4:] if len(value) > 8 else "****"
+
+    def secret(value: str) -> bool:
+        bare = value.strip()
+        return any(bare.startswith(p) and len(bare.encode()) > n for p, n in MASKED)
+
+    def masked(value, changed: list):
+        if isinstance(value, str) and secret(value):
+            changed.append(True)
+            return mask(value)
+        if isinstance(value, list):
+            return [masked(v, changed) for v in value]
+        return {k: masked(v, changed) for k, v in value.items()} if isinstance(value, dict) else value
+
+    def one(i: int, body: str | None) -> tuple:
+        changed: list = []
+        if strings_of(body):
+            whole = masked(json.loads(body), changed)
+        return (i, json.dumps(whole, ensure_ascii=False, sort_keys=True, separators=(",", ":")), True) if changed else (i, body, False)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (one(i, body) for b in batches for i, body in zip(b.column("id").to_pylist(), b.column("body").to_pylist(), strict=True))
+        return in_batches(rows, kinds, lambda r: len(r[1] or ""))
+
+    return bodies.select(F.col("id").cast("long"), "body").mapInArrow(walk, "id long, body string, changed boolean")
+
+
+def forwarded(bodies: DataFrame, decided: DataFrame, *, redact_secrets: bool = True) -> DataFrame:
+    """(id, body, status, sanitized) of decided bodies: what goes on to a channel, or 451 where blocked.
+
+    Secrets are masked where the action is redact or the setting asks for it.
+    """
+    masks = (F.col("action") == "redact") | F.lit(redact_secrets)
+    clean = redact_bodies(bodies).select("id", F.col("body").alias("_masked"), "changed")
+    rows = bodies.join(decided.select("id", "action"), "id").join(clean, "id")
+    blocked = F.col("action") == "block"
+    return rows.select("id", F.when(blocked, None).when(masks, F.col("_masked")).otherwise(F.col("body")).alias("body"), F.when(blocked, 451).otherwise(200).alias("status"), (masks & F.col("changed")).alias("sanitized"))
+
+
 def field_findings(bodies: DataFrame, **options) -> DataFrame:
     """(id, path, rule_id, severity): a row for each rule that fires on a string of a body."""
-    found = with_findings(json_fields(bodies), **options)
-    return found.select("id", "path", F.explode("found").alias("f")).select("id", "path", "f.rule_id", "f.severity")
+    return explode_findings(with_findings(json_fields(bodies), **options), "id", "path").select("id", "path", "rule_id", "severity")

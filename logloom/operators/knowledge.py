@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logloom.operators.json_fields import in_batches
+
 
 def first_by_hash(docs: DataFrame) -> DataFrame:
     """The first document of each (source, content hash)."""
@@ -99,10 +101,9 @@ def split_documents(docs: DataFrame, *, size: int = 512, overlap: int = 64, mark
     cut = markdown_chunks if markdown else lambda *a: [(*c, None) for c in chunks_of(*a)]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                if found := [(doc, n, x, y, c, (len(c) + 3) // 4, h) for n, (x, y, c, h) in enumerate(cut(text or "", size, overlap))]:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), CHUNK.values(), strict=True)], names=list(CHUNK))
+        texts = ((doc, text or "") for b in batches for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True))
+        found = ((doc, n, x, y, c, (len(c) + 3) // 4, h) for doc, text in texts for n, (x, y, c, h) in enumerate(cut(text, size, overlap)))
+        return in_batches(found, CHUNK, lambda r: len(r[4]))
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, CHUNK_DDL)
 

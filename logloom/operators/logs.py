@@ -58,6 +58,7 @@ def usage_totals(usage: DataFrame) -> DataFrame:
 
 
 def with_finding(logs: DataFrame, findings: DataFrame, rule: str) -> DataFrame:
-    """Logs that have a finding whose rule contains `rule`; each log once."""
-    hits = findings.filter(F.contains(F.lower("rule_id"), F.lit(rule.lower()))).select(F.col("id").cast("string").alias("id"))
+    """Logs that have a finding whose rule is LIKE %rule%, ASCII case-insensitive; each log once."""
+    low = F.translate("rule_id", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    hits = findings.filter(low.like("%" + "".join(c.lower() if c.isascii() else c for c in rule) + "%")).select(F.col("id").cast("string").alias("id"))
     return logs.join(hits, "id", "left_semi")

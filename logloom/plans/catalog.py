@@ -38,7 +38,7 @@ QUERIES = {
     "mask_evidence": lambda s, d: gateway.scan_input(s, d).select("id", security.mask_evidence(F.col("text")).alias("evidence")),
     "response_merge": lambda s, d: security.merge_response(security.decide(security.scores(gateway.scan_input(s, d)), "redact"), security.scores(gateway.scan_input(s, d, 5))),
     "usage_from_sse": lambda s, d: stream_usage.usage_of_streams(gateway.stream_chunks(s, d)),
-    "logs_with_finding_rule": lambda s, d: logs.with_finding(gateway.request_logs(s, d), security.findings(gateway.scan_input(s, d)), "Shell").select("id", "model"),
+    "logs_with_finding_rule": lambda s, d: logs.with_finding(gateway.request_logs(s, d), security.findings(gateway.scan_input(s, d), only="Sh_ll%c"), "Sh_ll%c").select("id", "model"),
     "channel_candidates": lambda s, d: dispatch.candidates(gateway.requests(s, d), gateway.channels(s)),
     "failover_queue": lambda s, d: queue(s, d).select("request_id", "channel_id", "rank"),
     "attempts_and_outcome": lambda s, d: dispatch.outcomes(tried(s, d)),
@@ -75,7 +75,7 @@ WHEN = {
     "personal.email": ("personal", "low", f"len(list_filter({PARTS}, lambda x: instr(x, '@') > 1 AND contains(substr(x, instr(x, '@') + 1), '.') AND strlen(substr(x, instr(x, '@') + 1)) >= 3)) > 0"),
     "personal.phone": ("personal", "low", "regexp_matches(text, '(^|[^0-9])1[3-9][0-9]{9}([^0-9]|$)')"),
 }
-TEXTS = f"""WITH t0 AS (SELECT doc_id AS id, coalesce(text || ' ', '') || list_extract([{", ".join(map(char, security.SNIPPETS))}], CAST(doc_id % {len(security.SNIPPETS)} AS INT) + 1) AS text FROM documents),
+TEXTS = f"""WITH t0 AS (SELECT doc_id AS id, coalesce(text || ' ', '') || list_extract([{", ".join(map(char, gateway.SNIPPETS))}], CAST(doc_id % {len(gateway.SNIPPETS)} AS INT) + 1) AS text FROM documents),
 t AS (SELECT *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM t0)"""
 select = lambda r, c, s, a, w: f"SELECT id, {char(r)} AS rule_id, {char(c)} AS category, {char(s)} AS severity, '{a}' AS act FROM t WHERE {w}"
 FOUND = " UNION ALL ".join(select(r, c, s, "", w) for r, (c, s, w) in WHEN.items())
@@ -116,7 +116,7 @@ AND created_at >= '2024-01-05' AND created_at <= '2024-01-20' ORDER BY created_a
     "scan_score_level": f"{SCORE} SELECT id, score, findings, level, blocked FROM v",
     **{f"scan_decide_{m}": f"{SCORE} SELECT id, score, findings, level, blocked, {x} AS action FROM v" for m, x in ACTS.items()},
     "scan_options": f"""{scored(TUNED)} SELECT id, score, findings, level, blocked, CASE WHEN blocked OR level = 'critical' THEN 'block' WHEN level = 'high' THEN 'redact' ELSE 'allow' END AS action FROM v""",
-    "redact_live": f"""WITH a AS (SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN ' ' ELSE '' END || list_extract([{", ".join(map(char, security.SNIPPETS))}], CAST(doc_id % {len(security.SNIPPETS)} AS INT) + 1) || ' ' || coalesce(text, '') AS text FROM documents),
+    "redact_live": f"""WITH a AS (SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN ' ' ELSE '' END || list_extract([{", ".join(map(char, gateway.SNIPPETS))}], CAST(doc_id % {len(gateway.SNIPPETS)} AS INT) + 1) || ' ' || coalesce(text, '') AS text FROM documents),
 b AS (SELECT *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS bare FROM a), c AS (SELECT id, text, {" OR ".join(f"(starts_with(bare, '{p}') AND strlen(bare) > {n})" for p, n in security.MASKED)} AS changed FROM b)
 SELECT id, CASE WHEN NOT changed THEN text WHEN length(text) <= 8 THEN '****' ELSE left(text, 4) || '****' || right(text, 4) END AS text, changed FROM c""",
     "json_fields": f"""{TEXTS} SELECT id, unnest(['$.messages[0].role', '$.messages[0].content', '$.messages[1].role', '$.messages[1].content[0].type', '$.messages[1].content[0].text']) AS path,
@@ -128,7 +128,7 @@ j AS (SELECT *, f2 > 0 AND findings > 0 AS counts, list_position({list(security.
 SELECT id, CASE WHEN counts AND above THEN greatest(score, s2) ELSE score END AS score, findings + CASE WHEN counts THEN f2 ELSE 0 END AS findings, CASE WHEN counts AND above THEN l2 ELSE level END AS level, action FROM j""",
     "usage_from_sse": """WITH e AS (SELECT user_id AS stream_id, event_id, CAST(floor(value) AS BIGINT) AS n, event_id % 7 <> 0 AND event_id % 3 = 0 AND floor(value) > 0 AS given FROM events)
 SELECT stream_id, coalesce(arg_max(n // 3, event_id) FILTER (given), 0) AS prompt_tokens, CAST(0 AS BIGINT) AS completion_tokens, coalesce(arg_max(n, event_id) FILTER (given), 0) AS total_tokens FROM e GROUP BY 1""",
-    "logs_with_finding_rule": f"{SCAN}, l AS (SELECT CAST(event_id AS VARCHAR) AS id, event_type AS model FROM events) SELECT id, model FROM l WHERE EXISTS (SELECT 1 FROM f WHERE CAST(f.id AS VARCHAR) = l.id AND f.rule_id ILIKE '%Shell%')",
+    "logs_with_finding_rule": f"{SCAN}, l AS (SELECT CAST(event_id AS VARCHAR) AS id, event_type AS model FROM events) SELECT id, model FROM l WHERE EXISTS (SELECT 1 FROM f WHERE CAST(f.id AS VARCHAR) = l.id AND f.rule_id ILIKE '%Sh_ll%c%')",
     "channel_candidates": f"{CANDIDATES} SELECT * FROM k",
     "failover_queue": f"{QUEUE} SELECT request_id, channel_id, rank FROM q",
     "attempts_and_outcome": f"""{QUEUE}, a AS (SELECT request_id, channel_id, rank, CASE WHEN (request_id + channel_id) % 3 = 0 THEN 200 ELSE 500 + rank END AS status FROM q WHERE rank <= 3)

@@ -25,7 +25,7 @@ def test_equals_sql(spark, name):
 
 
 def test_every_rule_fires(spark):
-    texts = spark.createDataFrame(list(enumerate(security.SNIPPETS)), "id long, text string")
+    texts = spark.createDataFrame(list(enumerate(gateway.SNIPPETS)), "id long, text string")
     fired = {r.rule_id for r in security.findings(texts).select("rule_id").distinct().collect()}
     assert fired == {r for r, *_ in security.rules(*[texts["text"]] * 2)}
     assert catalog.WHEN.keys() == fired
