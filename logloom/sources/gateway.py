@@ -122,3 +122,79 @@ def json_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     other = F.to_json(F.struct(F.lit("assistant").alias("role"), block.alias("content")))
     body = F.concat(F.lit('{"max_tokens": 5, "stream": null, "messages": ['), user, F.lit(", "), other, F.lit("]}"))
     return scan_input(spark, sf_dir).select("id", body.alias("body"))
+
+
+def in_json(c) -> object:
+    """A string column as a JSON string."""
+    return F.to_json(c.cast("variant"))
+
+
+def bodies(spark: SparkSession, sf_dir: str, *parts) -> DataFrame:
+    """(id, body) for each document: parts are literal JSON, or columns over id, t (its text as a JSON string) and short."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    text = F.coalesce("text", F.lit(""))
+    d = d.select(F.col("doc_id").alias("id"), in_json(text).alias("t"), in_json(F.left(text, F.lit(20))).alias("short"))
+    return d.select("id", F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]).alias("body"))
+
+
+def case_of(modulus: int, *values):
+    """The value for id modulo so many; the last is for all others."""
+    out = F.lit(values[-1]) if isinstance(values[-1], str) else values[-1]
+    for k, v in reversed(list(enumerate(values[:-1]))):
+        out = F.when(F.col("id") % modulus == k, v).otherwise(out)
+    return out
+
+
+def message_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages requests with system texts, blocks, tool calls and results."""
+    i = F.col("id")
+    return bodies(
+        spark, sf_dir, '{"model":"m-', i % 3, '",', case_of(3, '"system":"Be brief.",', '"system":[{"type":"text","text":"Be "},{"type":"text","text":"brief."}],', ""),
+        '"messages":[{"role":"user","content":', F.col("t"), '},{"role":"assistant","content":[{"type":"thinking","thinking":"hm "},{"type":"text","text":"ok"},{"type":"tool_use","id":"t', i, '","name":"find","input":{"q":', F.col("short"), ',"k":[1,2.5,null]}}]},',
+        '{"role":"user","content":[{"type":"tool_result","tool_use_id":"t', i, '","content":[{"text":"a"},{"text":"b"}]},{"type":"image"},{"type":"text","text":"so?"}]}],',
+        F.when(i % 2 == 0, F.concat(F.lit('"max_tokens":'), i, F.lit(","))).otherwise('"stream":true,'), '"temperature":0.5,"stop_sequences":', case_of(4, '["x"]', "[]"),
+        ',"tools":[{"name":"find","description":"d","input_schema":{"type":"object"}},{"description":"no name"}],"tool_choice":', case_of(3, '"any"', '{"type":"tool","name":"find"}', '{"type":"auto"}'), "}",
+    )
+
+
+def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chat responses with texts, tool calls, usage, errors, and some that are no JSON."""
+    i = F.col("id")
+    calls = ',"tool_calls":[{"id":"k","function":{"name":"find","arguments":"{\\"q\\": 1, \\"a\\": 2}"}},{"function":{"name":"g","arguments":"no"}}]'
+    good = [F.lit('{"id":"c'), i, F.lit('","choices":[{"message":{"content":'), F.when(i % 4 == 1, "null").otherwise(F.col("t")), case_of(2, "", calls), F.lit('},"finish_reason":'), case_of(3, '"stop"', '"length"', '"tool_calls"'), F.lit('}],"usage":{"prompt_tokens":'), i, F.lit(',"completion_tokens":'), i * 2, case_of(5, F.lit("}}"), F.concat(F.lit(',"total_tokens":'), i * 3, F.lit("}}")))]
+    return bodies(spark, sf_dir, F.when(i % 7 == 0, '{"error":{"message":"m","type":"t"}}').when(i % 11 == 0, "{").otherwise(F.concat(*good)))
+
+
+def response_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("id")
+    items = [F.lit('[{"type":"message","role":"user","content":'), F.col("t"), F.lit('},{"type":"message","content":[{"text":"a"},{"x":1},{"text":"b"}]},{"type":"function_call","call_id":"k","name":"f","arguments":{"b":1,"a":2}},{"type":"function_call_output","call_id":"k","output":"done"},{"type":"other"}]')]
+    return bodies(spark, sf_dir, '{"model":"m",', case_of(2, "", '"instructions":"Be",'), '"input":', F.when(i % 5 == 0, F.col("t")).otherwise(F.concat(*items)), ',"max_output_tokens":', i, ',"tools":[{"type":"web_search","name":"w"},{"type":"function","name":"f","parameters":{}}],"tool_choice":"auto"}')
+
+
+def chat_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("id")
+    return bodies(spark, sf_dir, '{"model":"GPT","messages":[{"role":"system","content":"one"},{"role":"system","content":"two"},{"role":"tool","content":', F.col("t"), '},{"role":"assistant","content":[{"x":1}]},{"content":"no role"}]', case_of(2, "", F.concat(F.lit(',"temperature":0.2,"max_tokens":'), i)), "}")
+
+
+def claude_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("id")
+    return bodies(spark, sf_dir, "{", case_of(2, "", F.concat(F.lit('"id":"x'), i, F.lit('",'))), '"content":[{"type":"text","text":', F.col("t"), '},{"type":"tool_use"},{"text":"!"}],"usage":{"input_tokens":', i, ',"output_tokens":1}}')
+
+
+def gemini_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bodies(spark, sf_dir, '{"candidates":[{"content":{"parts":[{"text":', F.col("t"), '},{"text":"!"}]}}],"usageMetadata":{"promptTokenCount":', F.col("id"), "}}")
+
+
+def header_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests with headers of all kinds."""
+    i = F.col("id")
+    d = bodies(spark, sf_dir, case_of(2, '{"input":"x"}', '{"input":"x","messages":[]}'))
+    pair = lambda k, v, on: F.when(on, F.map_from_arrays(F.array(F.lit(k)), F.array(v))).otherwise(F.create_map().cast("map<string,string>"))
+    headers = F.map_concat(
+        pair("authorization", F.concat(case_of(4, "Bearer ", "Basic ", "Bearer  "), i.cast("string")), i % 3 == 0),
+        pair("x-api-key", F.concat(F.lit(" k"), i.cast("string")), i % 2 == 0),
+        pair("x-trace-id", F.lit(" "), i % 5 == 0),
+        pair("trace-id", F.concat(F.lit("t"), i.cast("string")), i % 4 == 0),
+        pair("anthropic-version", F.lit("1"), i % 7 == 0),
+    )
+    return d.withColumn("headers", headers)
