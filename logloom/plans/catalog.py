@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from logloom.operators import dispatch, json_fields, knowledge, logs, security
-from logloom.plans import protocols
+from logloom.plans import protocols, streams
 from logloom.sources import gateway
 from logloom.streaming import usage as stream_usage
 
@@ -146,5 +146,5 @@ SELECT id, CASE WHEN len(lines) > 1 THEN replace(lines[1], chr(1), ' | ') || '|'
     "kb_stats": "SELECT source, count(*) AS docs, CAST(sum((length(coalesce(text, '')) + 3) // 4) AS BIGINT) AS tokens FROM documents GROUP BY 1",
 }
 
-QUERIES |= protocols.QUERIES
-SQL |= protocols.SQL
+QUERIES |= protocols.QUERIES | streams.QUERIES
+SQL |= protocols.SQL | streams.SQL

@@ -198,3 +198,18 @@ def header_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         pair("anthropic-version", F.lit("1"), i % 7 == 0),
     )
     return d.withColumn("headers", headers)
+
+
+def answer_chunks(spark: SparkSession, sf_dir: str, size: int = 997) -> DataFrame:
+    """A streamed answer for each document, in chunks of `size` bytes wherever they cut; odd ones call a tool."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(text) / 2).cast("int")
+    d = d.select(F.col("doc_id").alias("id"), in_json(F.left(text, half)).alias("a"), in_json(F.substring(text, half + 1, F.length(text))).alias("b"))
+    said = lambda c: F.concat(F.lit('data: {"choices":[{"delta":{"content":'), c, F.lit("}}]}"))
+    tool = 'data: {"choices":[{"delta":{"tool_calls":[{"index":0,"id":"k","function":{"name":"find","arguments":""}}]}}]}\n' + 'data: {"choices":[{"delta":{"tool_calls":[{"index":0,"function":{"arguments":"{\\"q\\":1}"}}]}}]}\n'
+    end = F.concat(F.lit('data: {"choices":[{"delta":{},"finish_reason":'), case_of(3, '"stop"', '"length"', '"tool_calls"'), F.lit('}],"usage":{"prompt_tokens":'), F.col("id"), F.lit(',"completion_tokens":7}}\n\ndata: [DONE]\n\n'))
+    whole = F.concat(F.lit('data: {"choices":[{"delta":{"role":"assistant","content":""}}]}\n\n'), said(F.col("a")), F.lit("\n\n: note\ndata: {\n"), said(F.col("b")), F.lit("\r\n\r\n"), case_of(2, "", tool), end)
+    d = d.select("id", F.encode(whole, "utf-8").alias("bytes"))
+    d = d.select("id", "bytes", F.explode(F.sequence(F.lit(0), F.floor((F.octet_length("bytes") - 1) / size).cast("int"))).alias("k"))
+    return d.select(F.col("id").alias("stream_id"), F.col("k").cast("long").alias("offset"), F.substring("bytes", F.col("k") * size + 1, F.lit(size)).alias("data"), F.lit(None).cast("string").alias("error"))
