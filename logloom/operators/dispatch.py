@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 #: Fixed value: a limited key with fewer tokens left is refused.
 LEAST_LEFT = 2000
+#: Channels are a configuration table; those that serve every model are listed by their ids.
+MOST_CHANNELS = 10_000
+#: A moment of RFC 3339: date, time, fraction and offset.
+MOMENT = r"^(\d{4}-\d{2}-\d{2})[Tt ](\d{2}:\d{2}:\d{2})(\.\d{1,6})?\d*([Zz]|[+-]\d{2}:\d{2})$"
 
 
 def served_models(channels: DataFrame) -> DataFrame:
@@ -23,8 +27,10 @@ def candidates(requests: DataFrame, channels: DataFrame) -> DataFrame:
     """
     wanted = requests.select(F.lower("model").alias("model")).distinct()
     named = wanted.join(served_models(channels), "model").select("model", "channel_id")
-    every = channels.filter((F.col("status") == 1) & (F.size("models") == 0)).agg(F.collect_set("channel_id").alias("ids"))
-    for_all = wanted.withColumn("_k", F.lit(1)).join(every.withColumn("_k", F.lit(1)), "_k").select("model", F.explode("ids").alias("channel_id"))
+    every = [r[0] for r in channels.filter((F.col("status") == 1) & (F.size("models") == 0)).select("channel_id").distinct().limit(MOST_CHANNELS + 1).collect()]
+    if len(every) > MOST_CHANNELS:
+        raise ValueError(f"more than {MOST_CHANNELS} channels serve every model")
+    for_all = wanted.select("model", F.explode(F.array(*map(F.lit, sorted(every))).cast("array<long>")).alias("channel_id"))
     pairs = named.unionByName(for_all).distinct().join(channels.select("channel_id", "priority", "weight"), "channel_id")
     return requests.withColumn("model", F.lower("model")).join(pairs, "model").select("request_id", "model", "channel_id", "priority", "weight")
 
@@ -33,11 +39,11 @@ def failover_queue(found: DataFrame, *, seed: str) -> DataFrame:
     """Ranks candidates: priority first, then a weighted draw without replacement.
 
     The draw orders by -ln(u) / weight, with u from a hash of seed, request and channel, so
-    that reruns agree; weights of 0 or less come last, by channel.
+    that reruns agree; weights of 0 or less come last, the larger first.
     """
     u = (F.conv(F.left(F.md5(F.concat_ws(":", F.lit(seed), "request_id", "channel_id")), F.lit(8)), 16, 10).cast("double") + 1) / F.lit(4294967297.0)
     key = F.when(F.col("weight") > 0, -F.log(u) / F.col("weight"))
-    order = Window.partitionBy("request_id").orderBy(F.desc("priority"), F.col("_key").asc_nulls_last(), "channel_id")
+    order = Window.partitionBy("request_id").orderBy(F.desc("priority"), F.col("_key").asc_nulls_last(), F.desc("weight"), "channel_id")
     return found.withColumn("_key", key).withColumn("rank", F.row_number().over(order)).drop("_key")
 
 
@@ -55,17 +61,17 @@ def outcomes(tried: DataFrame) -> DataFrame:
 
 
 def list_models(channels: DataFrame) -> DataFrame:
-    """Every enabled channel's declared models, then mapping keys; the first channel keeps a name."""
-    names = channels.filter("status = 1").select("channel_id", F.posexplode(F.concat("models", F.map_keys("mapping"))).alias("place", "model"))
-    return names.groupBy("model").agg(F.min("channel_id").alias("owner"))
+    """Every enabled channel's declared models, then mapping keys; the first channel by priority and weight keeps a name."""
+    names = channels.filter("status = 1").select("channel_id", "priority", "weight", F.posexplode(F.concat("models", F.map_keys("mapping"))).alias("place", "model"))
+    return names.groupBy("model").agg(F.min_by("channel_id", F.struct(-F.col("priority"), -F.col("weight"), "channel_id", "place")).alias("owner"))
 
 
 def key_validity(keys: DataFrame, *, as_of: str) -> DataFrame:
     """Whether each enabled key has not expired; a bare date lasts its whole day, and what is no time never expires."""
     text = F.col("expires_at")
+    at = lambda k: F.regexp_extract(text, MOMENT, k)
     moment = F.coalesce(
-        F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")),
-        F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSX")),
+        F.when(text.rlike(MOMENT), F.concat(at(1), F.lit("T"), at(2), at(3), F.upper(at(4))).try_cast("timestamp")),
         F.try_to_timestamp(F.concat(text, F.lit(" 23:59:59")), F.lit("yyyy-MM-dd HH:mm:ss")),
     )
     return keys.select("key_id", ((F.col("status") == 1) & F.coalesce(moment >= F.to_timestamp(F.lit(as_of)), F.lit(True))).alias("valid"))

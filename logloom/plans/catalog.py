@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from logloom.operators import dispatch, json_fields, knowledge, logs, security
-from logloom.plans import protocols, streams
+from logloom.plans import lookups, protocols, streams
 from logloom.sources import gateway
 from logloom.streaming import usage as stream_usage
 
@@ -99,7 +99,7 @@ CHANNELS = "ch(channel_id, models, keys, status, priority, weight) AS (VALUES "
 CANDIDATES = f"""WITH {CHANNELS}, k AS (SELECT event_id AS request_id, lower(event_type) AS model, channel_id, priority, weight FROM events, ch WHERE status = 1
   AND (len(models) = 0 OR list_contains(list_transform(list_concat(models, keys), lambda x: lower(x)), lower(event_type))))"""
 QUEUE = f"""{CANDIDATES}, q AS (SELECT *, CAST(row_number() OVER (PARTITION BY request_id ORDER BY priority DESC,
-  CASE WHEN weight > 0 THEN -ln((CAST('0x' || left(md5('{SEED}:' || request_id || ':' || channel_id), 8) AS BIGINT) + 1) / 4294967297.0) / weight END NULLS LAST, channel_id) AS INT) AS rank FROM k)"""
+  CASE WHEN weight > 0 THEN -ln((CAST('0x' || left(md5('{SEED}:' || request_id || ':' || channel_id), 8) AS BIGINT) + 1) / 4294967297.0) / weight END NULLS LAST, weight DESC, channel_id) AS INT) AS rank FROM k)"""
 KEYS = f"""WITH k AS (SELECT CAST(c_custkey AS VARCHAR) AS key_id, CAST(c_custkey % 4 <> 0 AS INT) AS status, CAST(CASE c_custkey % 5 WHEN 0 THEN -1 WHEN 1 THEN 0 ELSE 9000 END AS BIGINT) AS quota_limit,
   CAST(abs(floor(c_acctbal)) AS BIGINT) AS quota_used, list_extract({gateway.EXPIRY}, CAST(c_custkey % {len(gateway.EXPIRY)} AS INT) + 1) AS expires_at FROM customer)"""
 
@@ -134,8 +134,8 @@ SELECT stream_id, coalesce(arg_max(n // 3, event_id) FILTER (given), 0) AS promp
     "failover_queue": f"{QUEUE} SELECT request_id, channel_id, rank FROM q",
     "attempts_and_outcome": f"""{QUEUE}, a AS (SELECT request_id, channel_id, rank, CASE WHEN (request_id + channel_id) % 3 = 0 THEN 200 ELSE 500 + rank END AS status FROM q WHERE rank <= 3)
 SELECT request_id, rank, channel_id, status, status = 200 AS ok FROM a QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY status = 200 DESC, CASE WHEN status = 200 THEN rank ELSE -rank END) = 1""",
-    "list_models": f"WITH {CHANNELS} SELECT model, min(channel_id) AS owner FROM (SELECT channel_id, unnest(list_concat(models, keys)) AS model FROM ch WHERE status = 1) GROUP BY 1",
-    "key_validity": f"""{KEYS} SELECT key_id, status = 1 AND coalesce(coalesce(try_cast(CASE WHEN expires_at LIKE '%T%' THEN expires_at END AS TIMESTAMPTZ), try_cast(try_strptime(expires_at, '%Y-%m-%d') + INTERVAL 86399 SECOND || '+00' AS TIMESTAMPTZ)) >= TIMESTAMPTZ '{NOW}', true) AS valid FROM k""",
+    "list_models": f"WITH {CHANNELS}, n AS (SELECT channel_id, priority, weight, unnest(list_concat(models, keys)) AS model FROM ch WHERE status = 1) SELECT DISTINCT model, first_value(channel_id) OVER (PARTITION BY model ORDER BY priority DESC, weight DESC, channel_id) AS owner FROM n",
+    "key_validity": f"""{KEYS} SELECT key_id, status = 1 AND coalesce(coalesce(try_cast(CASE WHEN upper(expires_at) LIKE '%T%' THEN upper(expires_at) END AS TIMESTAMPTZ), try_cast(try_strptime(expires_at, '%Y-%m-%d') + INTERVAL 86399 SECOND || '+00' AS TIMESTAMPTZ)) >= TIMESTAMPTZ '{NOW}', true) AS valid FROM k""",
     "quota_verdict": f"{KEYS} SELECT key_id, CASE WHEN quota_limit > 0 AND (quota_used >= quota_limit OR quota_used + 4000 > quota_limit OR quota_limit - quota_used < 2000) THEN 429 ELSE 200 END AS verdict FROM k",
     "quota_usage": f"{KEYS}, e AS (SELECT CAST(user_id AS VARCHAR) AS key_id, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS spent FROM events GROUP BY 1) SELECT key_id, quota_used + coalesce(spent, 0) AS quota_used FROM k LEFT JOIN e USING (key_id)",
     "rows_to_markdown": r"""WITH a AS (SELECT doc_id AS id, list_transform(string_split(replace(text, 'the ', 'the|'), chr(10)), lambda l: string_split(l, ', ')) AS rows FROM documents),
@@ -146,5 +146,5 @@ SELECT id, CASE WHEN len(lines) > 1 THEN replace(lines[1], chr(1), ' | ') || '|'
     "kb_stats": "SELECT source, count(*) AS docs, CAST(sum((length(coalesce(text, '')) + 3) // 4) AS BIGINT) AS tokens FROM documents GROUP BY 1",
 }
 
-QUERIES |= protocols.QUERIES | streams.QUERIES
-SQL |= protocols.SQL | streams.SQL
+QUERIES |= protocols.QUERIES | streams.QUERIES | lookups.QUERIES
+SQL |= protocols.SQL | streams.SQL | lookups.SQL | lookups.scan_sql(TEXTS, SCAN, scored, WHEN, select, listed)

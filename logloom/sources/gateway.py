@@ -52,8 +52,8 @@ def scan_input(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
 
 #: id, models, mapping keys, status, priority, weight; the models are event types.
 CHANNELS = [
-    (1, ["click", "view", "purchase"], ["Buy"], 1, 100, 3),
-    (2, ["Click", "view"], [], 1, 100, 1),
+    (1, ["click", "view", "purchase"], ["Buy"], 1, 90, 3),
+    (2, ["Click", "view"], [], 1, 100, -1),
     (3, ["error"], [], 0, 80, 1),
     (4, [], [], 1, 70, 2),
     (5, ["signup"], ["error", "click"], 1, 100, 0),
@@ -70,8 +70,8 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("request_id"), F.upper("event_type").alias("model"))
 
 
-#: Expiry texts by c_custkey: three formats, an empty one and one that is no time.
-EXPIRY = ["2024-01-20T00:00:00+08:00", "2024-03-01T00:00:00.000Z", "2024-01-29", "2024-01-30", "", "soon", "2024-01-30T12:00:00Z"]
+#: Expiry texts by c_custkey: moments with fractions and offsets, dates, an empty one and one that is no time.
+EXPIRY = ["2024-01-20T00:00:00+08:00", "2024-03-01T00:00:00.000Z", "2024-01-29", "2024-01-30", "", "soon", "2024-01-30T12:00:00Z", "2020-01-20T00:00:00.123456Z", "2020-01-20T00:00:00.123+02:00", "2030-01-20t00:00:00.1z"]
 
 
 def api_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,3 +213,52 @@ def answer_chunks(spark: SparkSession, sf_dir: str, size: int = 997) -> DataFram
     d = d.select("id", F.encode(whole, "utf-8").alias("bytes"))
     d = d.select("id", "bytes", F.explode(F.sequence(F.lit(0), F.floor((F.octet_length("bytes") - 1) / size).cast("int"))).alias("k"))
     return d.select(F.col("id").alias("stream_id"), F.col("k").cast("long").alias("offset"), F.substring("bytes", F.col("k") * size + 1, F.lit(size)).alias("data"), F.lit(None).cast("string").alias("error"))
+
+
+def channel_table(spark: SparkSession) -> DataFrame:
+    """Channels with their creation, type and address."""
+    of = lambda *v: F.element_at(F.array(*map(F.lit, v)), F.col("channel_id").cast("int"))
+    return channels(spark).withColumn("created_at", of("2024-01-05", "2024-01-02", "2024-01-03", "2024-01-04", "2024-01-01")).withColumn("type", of("openai", "claude", "other", "deepseek", "custom")).withColumn("base_url", of("", "http://x//", "", None, ""))
+
+
+def secret_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """API keys with their secrets, some of which header_requests() carry."""
+    n = F.col("key_id").cast("long")
+    return api_keys(spark, sf_dir).withColumn("secret", F.when(n % 2 == 0, F.concat(F.lit("k"), "key_id")).otherwise(F.col("key_id")))
+
+
+#: rule_type, category, pattern, severity, action, enabled, description, created_at
+CUSTOM_RULES = [
+    ("blacklist", "keyword", "Cookie", "low", "block", 1, "no cookies", "2024-01-01"),
+    ("blacklist", "tool", "wget", "critical", "warn", 1, None, "2024-01-02"),
+    ("blacklist", "path", "/home", "odd", None, 1, None, "2024-01-03"),
+    ("blacklist", "keyword", "plain", "high", "block", 0, None, "2024-01-04"),
+    ("blacklist", "other", "a", "high", "block", 1, None, "2024-01-05"),
+    ("whitelist", "domain", "NGROK", "low", None, 1, None, "2024-01-06"),
+    ("whitelist", "path", "/home/u", "low", None, 1, None, "2024-01-07"),
+    ("whitelist", "keyword", "plain", "low", None, 1, None, "2024-01-08"),
+]
+
+
+def custom_rules(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(CUSTOM_RULES, "rule_type string, category string, pattern string, severity string, action string, enabled int, description string, created_at string")
+
+
+def builtin_rules(spark: SparkSession) -> DataFrame:
+    """All built-in rules; two of them are switched off."""
+    from logloom.operators.security import SAID
+
+    return spark.createDataFrame([(r, int(r not in ("network.external_url", "personal.email"))) for r in SAID], "rule_id string, enabled int")
+
+
+def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as an upload: five file names, three knowledge bases, some copies and some that are no base64."""
+    i = F.col("doc_id")
+    name = F.element_at(F.array(*map(F.lit, ("a.MD", "b.txt", "c.py", "d.doc", "readme"))), (i % 5 + 1).cast("int"))
+    text = F.when(i % 10 == 9, "a copy").otherwise(F.coalesce("text", F.lit("")))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", (i % 3).alias("kb_id"), name.alias("name"), F.when(i % 13 == 0, "*").otherwise(F.base64(text.cast("binary"))).alias("base64"))
+
+
+def secret_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies of which half hold a secret as a whole string."""
+    return bodies(spark, sf_dir, '{"z": ', F.col("t"), ', "a": [{"k": ', case_of(2, '" sk-ant-01234567"', '"none"'), '}], "n": 1}')

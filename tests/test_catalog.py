@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from logloom.operators import knowledge, security, tables
+from logloom.operators import json_fields, knowledge, lookups, security, tables
 from logloom.operators.json_fields import strings_of
 from logloom.plans import catalog
 from logloom.sources import gateway
@@ -16,11 +16,14 @@ SF = "/root/testdata/sf0.001"
 def test_equals_sql(spark, name):
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")
-    for t in ("events", "documents", "customer"):
+    for t in ("events", "documents", "customer", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
-    want = con.execute(catalog.SQL[name]).df()
-    got = catalog.QUERIES[name](spark, SF).toPandas()[list(want.columns)]
-    assert sorted(map(tuple, got.values.tolist())) == sorted(map(tuple, want.values.tolist()))
+    want = con.execute(catalog.SQL[name])
+    columns = [c[0] for c in want.description]
+    found = catalog.QUERIES[name](spark, SF)
+    assert sorted(found.columns) == sorted(columns)
+    got = found.select(*columns).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want.fetchall(), key=str)
     assert len(got) or name == "log_search"
 
 
@@ -114,3 +117,32 @@ def test_strings_of_json():
     assert strings_of('"top"') == [("$", "top")] and strings_of('{"a": "x", "a": "y"}') == [("$.a", "y")]
     for bad in (None, "", "{", "[NaN]", '"\\ud800"', "[" * 100000, "1" * 5000):
         assert strings_of(bad) == []
+
+
+def test_rule_tables_and_bodies(spark):
+    with pytest.raises(ValueError, match="more than"):
+        security.rule_options(spark.range(security.MOST_RULES + 1).selectExpr("cast(id as string) as rule_id", "0 as enabled"), gateway.custom_rules(spark))
+    assert security.like("tool.shell.command", "SH_LL%c") and not security.like("tool.shell.command", "sh.ll")
+    bodies = spark.createDataFrame([(1, '{"k": "sk-ant-1234", "b": ["AKIA", 1.5, null]}'), (2, "{bad"), (3, None), (4, '{"b": 1}')], "id long, body string")
+    got = {r.id: (r.body, r.changed) for r in json_fields.redact_bodies(bodies).collect()}
+    assert got == {1: ('{"b":["****",1.5,null],"k":"sk-a****1234"}', True), 2: ("{bad", False), 3: (None, False), 4: ('{"b": 1}', False)}
+    assert sorted(r.id for r in json_fields.parse_errors(bodies).collect()) == [2, 3]
+
+
+def test_redact_inside(spark):
+    cases = {
+        "a sk-abcdefghijklmnopqrstuvwx, b": "a sk-a****uvwx, b",
+        "sk-short BEARER abcdefg": "sk-short BEARER ab****fg",
+        "bearer abcdef\nbearer é12345": "bearer ****\nbearer é1****45",
+        "x -----BEGIN CERTIFICATE-----\nabc\n-----end certificate----- y": "x -----BEGIN CERTIFICATE-----\n[REDACTED PRIVATE KEY BLOCK]\n y",
+        "-----BEGIN PRIVATE KEY----- open": "-----BEGIN PRIVATE KEY----- open",
+    }
+    rows = spark.createDataFrame([*[(k, None) for k in cases], ("value", "Password"), ("abc", "token")], "text string, name string")
+    got = {r.text: r.out for r in rows.select("text", security.redact_inside(security.F.col("text"), security.F.col("name")).alias("out")).collect()}
+    assert got == cases | {"value": "****", "abc": "abc"}
+
+
+def test_numbers_follow(spark):
+    rows = spark.createDataFrame([("b", "2024-01-01T00:00"), ("a", "2024-01-01T00:00"), ("c", "2023-01-01T00:00")], "id string, created_at string")
+    assert {r.id: r.seq for r in lookups.appended_logs(spark.createDataFrame([(7,)], "seq long"), rows).collect()} == {"c": 8, "a": 9, "b": 10}
+    assert lookups.numbered(rows.filter("false")).count() == 0
