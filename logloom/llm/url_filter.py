@@ -1,16 +1,18 @@
 """URL rules: a blocked Bloom filter of listed canonical URLs, then an exact hash join.
 
-A url's candidates are every (host suffix at a label border, path prefix of a listed length).
-A blocked Bloom filter (one 512-bit block and eight bits a key) drops nearly all of them in
-vectorised batches; the rest meet the rules in an exact join, which removes false positives,
-and the longest matching rule decides.
+A url's candidates are every (host suffix at a label border, path prefix of a listed length), made
+and hashed by SQL functions. A blocked Bloom filter (one 512-bit block and eight bits a key)
+drops nearly all of them in vectorised batches; the rest meet the rules in an exact join, which
+removes false positives, and the longest matching rule decides. Executors build parts of the
+filter, which are combined by bit_or block by block; rules never go to the driver.
 
 Defined cases: a null url or one without "://" has empty host and path and no rule; a rule
 matches its host, all subdomains, and paths that start with its path; of several the longest
-wins (host plus path, then the longer host), whatever its length; a null rule matches nothing; a url without a rule gets `DEFAULT`; repeated
-rows are judged each alone; an empty table gives no rows; extra columns are ignored.
-The filter is broadcast, so its size is checked: beyond `MAX_FILTER_BYTES` candidates go to
-the join unfiltered, which gives the same verdicts.
+wins (host plus path, then the longer host), whatever its length; a null rule matches nothing; a
+url without a rule gets `DEFAULT`; repeated rows are judged each alone; an empty table gives no
+rows, and an empty list no rules; extra columns are ignored.
+The filter is broadcast, so its size is fixed: beyond `MAX_FILTER_BYTES` keys share its bits, and
+more false positives meet the exact join.
 """
 
 from __future__ import annotations
@@ -39,18 +41,11 @@ def split_url(url: str) -> tuple[F.Column, F.Column]:
     return F.when(there, host).otherwise(""), F.when(there, path).otherwise("")
 
 
-def key_hash(keys: pa.Array) -> np.ndarray:
-    """64-bit hashes of strings, alike on driver and executors."""
-    import xxhash
-
-    return np.array([xxhash.xxh3_64_intdigest(k) for k in keys.to_pylist()], np.uint64)
-
-
 class BlockedBloom:
     """Keys set eight bits within one block of eight 64-bit words."""
 
-    def __init__(self, n_keys: int):
-        self.words = np.zeros((max(1, -(-n_keys * BITS_PER_KEY // 512)), 8), np.uint64)
+    def __init__(self, blocks: int):
+        self.words = np.zeros((blocks, 8), np.uint64)
 
     def _place(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         block = (h >> np.uint64(32)) % np.uint64(len(self.words))
@@ -66,49 +61,62 @@ class BlockedBloom:
         return ((self.words[block] & bits) == bits).all(axis=1)
 
 
+def bloom_of(keys: DataFrame) -> BlockedBloom:
+    """The filter of keys(h), their 64-bit hashes: partial filters by task, combined block by block."""
+    blocks = max(1, min(-(-keys.count() * BITS_PER_KEY // 512), MAX_FILTER_BYTES // 64))
+    names = [f"w{k}" for k in range(8)]
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = BlockedBloom(blocks)
+        for b in batches:
+            part.add(b.column("h").to_numpy().view(np.uint64))
+        some = np.flatnonzero(part.words.any(axis=1))
+        for at in np.array_split(some, -(-len(some) // 65_536)) if len(some) else []:
+            yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(part.words[at, k].view(np.int64)) for k in range(8))], names=["block", *names])
+
+    rows = keys.mapInArrow(parts, "block long, " + ", ".join(f"{n} long" for n in names))
+    table = rows.groupBy("block").agg(*[F.bit_or(n).alias(n) for n in names]).toArrow()  # at most MAX_FILTER_BYTES of words
+    bloom = BlockedBloom(blocks)
+    if table.num_rows:
+        bloom.words[table.column("block").to_numpy()] = np.stack([table.column(n).to_numpy().view(np.uint64) for n in names], axis=1)
+    return bloom
+
+
 def filter_urls(pages: DataFrame, rules: DataFrame, *, id_column: str = "page_id", default: str = DEFAULT) -> DataFrame:
     """Judges each row's url by rules(rule, verdict): id, host, path, rule, verdict."""
     spark = pages.sparkSession
-    listed = rules.select(
+    listed = rules.filter(F.col("rule").isNotNull()).select(
         "rule",
         F.col("verdict").alias("_rule_verdict"),
         F.regexp_extract("rule", r"^[^/]*", 0).alias("_rule_host"),
-        F.regexp_extract("rule", r"^[^/]*(.*)$", 1).alias("_rule_path"),
+        F.regexp_extract("rule", r"(?s)^[^/]*(.*)$", 1).alias("_rule_path"),
     )
-    listed = listed.filter(F.col("rule").isNotNull()).select("rule", "_rule_verdict", F.concat("_rule_host", F.lit(" "), "_rule_path").alias("_key"), F.length("_rule_host").alias("_host_len"))
-    lengths = [r[0] for r in listed.select(F.length(F.substring_index("_key", " ", -1)).alias("n")).distinct().collect()]
-    n_rules = listed.count()
-    if n_rules * BITS_PER_KEY // 8 <= MAX_FILTER_BYTES:
-        bloom = BlockedBloom(n_rules)
-        for batch in listed.select("_key").toArrow().to_batches():  # bounded by MAX_FILTER_BYTES
-            bloom.add(key_hash(batch.column(0)))
-        held = spark.sparkContext.broadcast(bloom)
-    else:
-        held = None
+    shape = listed.agg(F.collect_set(F.length("_rule_path")), F.max(F.size(F.split("_rule_host", "[.]")))).first()  # lengths, not paths
+    lengths, labels = sorted(shape[0]), shape[1] or 0
+    listed = listed.select("rule", "_rule_verdict", F.concat("_rule_host", F.lit(" "), "_rule_path").alias("_key"), F.length("_rule_host").alias("_host_len"))
+    held = spark.sparkContext.broadcast(bloom_of(listed.select(F.xxhash64("_key").alias("h"))))
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, keys = [], []
-            for i, host, path in zip(range(b.num_rows), b.column("_host").to_pylist(), b.column("_path").to_pylist(), strict=True):
-                prefixes = [path[:n] for n in lengths if n <= len(path)]
-                while prefixes and host is not None:
-                    row += [i] * len(prefixes)
-                    keys += [f"{host} {p}" for p in prefixes]
-                    _, dot, host = host.partition(".")
-                    if not dot:
-                        break
-            found = [[] for _ in range(b.num_rows)]
-            if keys:
-                kept = range(len(keys)) if held is None else np.flatnonzero(held.value.might_hold(key_hash(pa.array(keys))))
-                for k in kept:
-                    found[row[k]].append(keys[k])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(pa.string()))], names=[*b.schema.names, "_keys"])
+            keys, hashes = b.column("_keys"), b.column("_hashes").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            found = held.value.might_hold(hashes)
+            offsets = np.append(0, np.cumsum(found))[keys.offsets.to_numpy() - keys.offsets[0].as_py()]
+            kept = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), keys.flatten().filter(pa.array(found)))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("_id", "_host", "_path")), kept], names=["_id", "_host", "_path", "_keys"])
 
     host, path = split_url("_url")
     rows = pages.select(F.col(id_column).alias("_id"), F.col("url").alias("_url")).select("_id", host.alias("_host"), path.alias("_path"))
     kind = dict(rows.dtypes)["_id"]
+    parts = F.split("_host", "[.]")
+    starts = F.sequence(F.greatest(F.lit(1), F.size(parts) - labels + 1), F.size(parts))  # no rule has more labels
+    fits = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("_path"))
+    suffix = lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ".")
+    keys = F.flatten(F.transform(starts, lambda i: F.transform(fits, lambda n: F.concat(suffix(i), F.lit(" "), F.left("_path", n)))))
+    rows = rows.withColumn("_keys", keys if lengths else F.array().cast("array<string>")).withColumn("_hashes", F.transform("_keys", lambda k: F.xxhash64(k)))
     rows = rows.mapInArrow(hits, f"_id {kind}, _host string, _path string, _keys array<string>")
     rows = rows.withColumn("_row", F.monotonically_increasing_id()).withColumn("_key", F.explode_outer("_keys")).drop("_keys")
+    # urls without a hit get keys of their own, which no rule has, so that they do not meet in one task
+    rows = rows.withColumn("_key", F.coalesce("_key", F.concat(F.lit("\0"), F.col("_row").cast("string"))))
     judged = rows.join(listed, "_key", "left")
     best = F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("n"), "_host_len", "rule", F.col("_rule_verdict").alias("v"))))
     judged = judged.groupBy("_row", "_id", "_host", "_path").agg(best.alias("b"))

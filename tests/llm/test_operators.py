@@ -249,6 +249,29 @@ def test_long_rule(spark):
     assert got == {1: "block", 2: "allow"}
 
 
+def test_urls_brute_force(spark, monkeypatch):
+    """Many rules and urls, with a filter of full size and with one so small that nearly all keys pass it."""
+    rng = np.random.default_rng(11)
+    pick = lambda xs: xs[rng.integers(len(xs))]
+    hosts = [".".join(pick("abc") for _ in range(rng.integers(1, 5))) for _ in range(40)] + ["a..b", "x.", ""]
+    paths = ["", "/", *("/" + "/".join(pick(["en", "fr", "x" * 40]) for _ in range(rng.integers(1, 4))) for _ in range(40))]
+    rules = sorted({pick(hosts) + pick([p for p in paths if p]) for _ in range(150)})
+    verdicts = {r: pick(["allow", "block"]) for r in rules}
+    urls = [f"http://{pick(hosts).upper()}{pick(paths)}{pick(['', '?q', '#f'])}" for _ in range(400)] + [None, "x"]
+    pages = spark.createDataFrame([(k, u, 1) for k, u in enumerate(urls)], "page_id long, url string, rule int")
+    table = spark.createDataFrame([(r, v) for r, v in verdicts.items()], "rule string, verdict string")
+    for size in (url_filter.MAX_FILTER_BYTES, 64):
+        monkeypatch.setattr(url_filter, "MAX_FILTER_BYTES", size)
+        got = {r.page_id: r for r in url_filter.filter_urls(pages, table, default="none").collect()}
+        assert len(got) == len(urls)
+        for k, r in got.items():
+            fits = [x for x in rules if (r.host == (h := x.partition("/")[0]) or r.host.endswith("." + h)) and r.path.startswith(x[len(h) :])]
+            best = max(fits, key=lambda x: (len(x), len(x.partition("/")[0])), default=None) if urls[k] and "://" in urls[k] else None
+            assert (len(r.rule or ""), r.verdict) == (len(best or ""), verdicts.get(r.rule, "none")) and (best is None) == (r.rule is None)
+    assert url_filter.filter_urls(pages.limit(0), table).count() == 0
+    assert {r.verdict for r in url_filter.filter_urls(pages, table.limit(0)).collect()} == {"allow"}
+
+
 def test_toxicity_restores(spark):
     text = ["the man is an idiot here" if i % 5 == 0 else "the man is kind here" for i in range(150)]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(text)] + [(100, "an 1d10t and an i d i o t"), (101, None)], "doc_id long, text string")
