@@ -2,9 +2,14 @@
 
 Archives are gzip with one member a record; each member's header carries its own length (the
 skip-length extra field of the WARC annex), so a reader inflates only a record's headers,
-tests the pushed predicates on them and seeks over what it does not want. Filters on
-record_type, page_id, uri, payload_digest and refers_to are pushed down; `payload` is decoded
-only when option payload is "true". One file is one partition.
+tests the pushed predicates on them and seeks over what it does not want, by ranged reads.
+Filters on record_type, page_id, uri, payload_digest and refers_to are pushed down; `payload` is
+decoded only when option payload is "true". A file is cut into partitions at the record offsets
+that its writer left in the manifest, about SPLIT_BYTES each.
+
+Other archives, .warc or .warc.gz without a manifest, are read too, one file a partition: plain
+ones seek over unwanted records, compressed ones inflate them without keeping them. Headers they
+lack are null; content and transfer encodings of their payloads stay as they are.
 
 Writing: every task writes its own file into the shared folder and the driver's commit lists
 the files in a manifest of its own, so lost, retried or speculative tasks leave nothing that is
@@ -12,17 +17,20 @@ read, and an append adds to what is there; mode overwrite deletes the older mani
 
 Defined cases: null html is an empty payload; payloads under `MIN_REVISIT` bytes are always
 responses; of equal longer payloads the rows with the largest page_id are responses, others
-revisits; an empty table writes an archive without records; extra columns are ignored.
+(null page_ids too) revisits; an empty table writes an archive without records; extra columns
+are ignored; a record that ends too early is an error.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import pyarrow as pa
 from pyarrow import fs
@@ -30,9 +38,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, WriterCommitMessage
 
-from logloom.llm.shared import shared_path, table
+from logloom.llm.shared import shared_path, staged, table
 
 MIN_REVISIT = 1000
+#: Bytes of a partition, and of a ranged read: over headers alone, and over payloads.
+SPLIT_BYTES, HEADER_STEP, PAYLOAD_STEP = 16 << 20, 64 << 10, 1 << 20
 SCHEMA = "page_id long, uri string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
 PUSHED = {"page_id": "WARC-X-Page-ID", "uri": "WARC-Target-URI", "record_type": "WARC-Type", "payload_digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To"}
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
@@ -75,46 +85,134 @@ def member(raw: bytes) -> bytes:
 
 
 def headers_of(text: bytes) -> dict[str, str]:
-    return dict(x.split(": ", 1) for x in text.decode().split("\r\n")[1:] if ": " in x)
-
-
-def read_members(data: memoryview, wanted, payload: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
-    """Headers, and the payload of records that `wanted` accepts."""
-    at = 0
-    while at < len(data):
-        (size,) = struct.unpack_from("<I", data, at + 16)
-        z, text, rest = zlib.decompressobj(-15), b"", data[at + 24 : at + size - 8]
-        while (end := text.find(b"\r\n\r\n")) < 0:
-            text += z.decompress(rest, 1024)
-            rest = z.unconsumed_tail
-        head = headers_of(text[:end])
+    return dict(x.split(": ", 1) for x in text.decode("utf-8", "replace").split("\r\n")[1:] if ": " in x)
+
+
+class Ranges:
+    """Reads at any place of a file through one window of `step` bytes or more."""
+
+    def __init__(self, file, step: int):
+        self.file, self.step, self.size, self.at, self.data = file, step, file.size(), 0, b""
+
+    def read(self, at: int, n: int) -> bytes:
+        """n bytes, or less at the end of the file."""
+        n = min(n, self.size - at)
+        if not (self.at <= at and at + n <= self.at + len(self.data)):
+            self.at, self.data = at, self.file.read_at(min(max(n, self.step), self.size - at), at)
+        return self.data[at - self.at : at - self.at + n]
+
+
+def own_records(ranges: Ranges, start: int, end: int, wanted, payload: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """Headers, and the payload of records that `wanted` accepts, of members that tell their length."""
+    at = start
+    while at < end:
+        (size,) = struct.unpack("<I", ranges.read(at + 16, 4))
+        z, text, place = zlib.decompressobj(-15), b"", at + 24
+        while (cut := text.find(b"\r\n\r\n")) < 0:
+            part = ranges.read(place, min(1024, at + size - 8 - place))
+            if not part:
+                raise ValueError(f"truncated record at byte {at}")
+            place += len(part)
+            text += z.decompress(part)
+        head = headers_of(text[:cut])
         if wanted(head):
             body = None
             if payload and head["WARC-Type"] == "response":
-                block = (text[end + 4 :] + z.decompress(rest))[: int(head["Content-Length"])]
+                block = (text[cut + 4 :] + z.decompress(ranges.read(place, at + size - 8 - place)))[: int(head["Content-Length"])]
                 body = block[block.find(b"\r\n\r\n") + 4 :]
             yield head, body
         at += size
 
 
+class Plain:
+    """The bytes of a file in order, inflated if they are gzip, of any number of members."""
+
+    def __init__(self, ranges: Ranges):
+        self.ranges, self.at, self.held = ranges, 0, b""
+        self.packed = ranges.read(0, 2) == b"\x1f\x8b"
+        self.z = zlib.decompressobj(31)
+
+    def more(self) -> bool:
+        """Adds bytes to `held`; False at the end."""
+        part = self.ranges.read(self.at, self.ranges.step)
+        self.at += len(part)
+        if not self.packed:
+            self.held += part
+            return bool(part)
+        while part:
+            self.held += self.z.decompress(part)
+            part = self.z.unused_data
+            if self.z.eof:
+                self.z = zlib.decompressobj(31)
+            if self.held:
+                self.at -= len(part)
+                return True
+            if not part:
+                part = self.ranges.read(self.at, self.ranges.step)
+                self.at += len(part)
+        return False
+
+    def take(self, n: int, keep: bool = True) -> bytes:
+        out = [b""]
+        while n > 0:
+            if not self.held and not keep and not self.packed:
+                self.at, n = self.at + n, 0
+                break
+            if not self.held and not self.more():
+                raise ValueError("truncated record at the end of the file")
+            part, self.held = self.held[:n], self.held[n:]
+            n -= len(part)
+            if keep:
+                out.append(part)
+        return b"".join(out)
+
+    def head(self) -> bytes | None:
+        """Up to an empty line; None at the end."""
+        while (cut := self.held.find(b"\r\n\r\n")) < 0:
+            if not self.more():
+                if self.held.strip():
+                    raise ValueError("truncated record at the end of the file")
+                return None
+        return self.take(cut + 4)[:-4]
+
+
+def other_records(ranges: Ranges, wanted, payload: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """The same of any archive, from its first byte to its last."""
+    stream = Plain(ranges)
+    while (text := stream.head()) is not None:
+        head = headers_of(text)
+        n, body = int(head["Content-Length"]), None
+        keep = payload and wanted(head) and head.get("WARC-Type") != "revisit"
+        block = stream.take(n, keep)
+        if keep:
+            body = block[block.find(b"\r\n\r\n") + 4 :] if head.get("Content-Type", "").startswith("application/http") else block
+        stream.take(4)
+        if wanted(head):
+            yield head, body
+
+
 def page_of(value: str | None) -> int | None:
-    digits = (value or "").removeprefix("<urn:page:").removesuffix(">")
-    return int(digits) if digits else None
+    found = re.fullmatch(r"(?:<urn:page:)?(\d+)>?", value or "")
+    return int(found[1]) if found else None
 
 
 def as_row(head: dict[str, str], body: bytes | None) -> tuple:
-    return (page_of(head.get("WARC-X-Page-ID")), head.get("WARC-Target-URI"), head["WARC-Type"], head["WARC-Payload-Digest"].removeprefix("sha1:"), int(head["WARC-X-Payload-Length"]), page_of(head.get("WARC-Refers-To")), body)
+    digest, size = head.get("WARC-Payload-Digest"), head.get("WARC-X-Payload-Length")
+    n = int(size) if size else None if body is None else len(body)
+    return (page_of(head.get("WARC-X-Page-ID")), head.get("WARC-Target-URI"), head.get("WARC-Type"), digest and digest.removeprefix("sha1:"), n, page_of(head.get("WARC-Refers-To")), body)
 
 
 @dataclass
 class Archive(InputPartition):
     file: str
+    start: int = 0
+    end: int = -1  # -1: an archive of another writer, whole
 
 
 @dataclass
 class Written(WriterCommitMessage):
     file: str
-    records: int
+    edges: list[int]
 
 
 def manifests(where: fs.FileSystem, path: str) -> list[str]:
@@ -134,33 +232,39 @@ class WarcReader(DataSourceReader):
 
     def partitions(self):
         where, path = place(self.path)
-        files = []
-        for found in manifests(where, path):
-            with where.open_input_stream(found) as f:
-                files += json.loads(f.read())
-        return [Archive(x) for x in sorted(files)] or [Archive("")]
+        if where.get_file_info(path).type == fs.FileType.File:
+            return [Archive(path)]
+        found, parts = manifests(where, path), []
+        for name in found:
+            with where.open_input_stream(name) as f:
+                for file, edges in json.loads(f.read()):
+                    parts += [Archive(f"{path}/{file}", a, z) for a, z in pairwise(edges)]
+        if not found:
+            parts = [Archive(x.path) for x in where.get_file_info(fs.FileSelector(path)) if x.base_name.endswith((".warc", ".warc.gz"))]
+        return sorted(parts, key=lambda p: (p.file, p.start)) or [Archive("")]
 
     def read(self, partition):
         if not partition.file:
             return
-        where, path = place(self.path)
+        where, _ = place(self.path)
         columns = {c: i for i, c in enumerate(x.split()[0] for x in SCHEMA.split(", "))}
 
         def wanted(head: dict[str, str]) -> bool:
             row = as_row(head, None)
             return all((v := row[columns[c]]) is not None and (allowed is None or v in allowed) for c, allowed in self.tests)
 
-        with where.open_input_file(f"{path}/{partition.file}") as f:
-            data = memoryview(f.read_buffer())
-        rows, size = [], 0
-        for head, body in read_members(data, wanted, self.payload):
-            rows.append(as_row(head, body))
-            size += len(body or b"") + 200
-            if size > 4 << 20:
+        with where.open_input_file(partition.file) as f:
+            ranges = Ranges(f, PAYLOAD_STEP if self.payload and not self.tests or partition.end < 0 else HEADER_STEP)
+            found = other_records(ranges, wanted, self.payload) if partition.end < 0 else own_records(ranges, partition.start, partition.end, wanted, self.payload)
+            rows, size = [], 0
+            for head, body in found:
+                rows.append(as_row(head, body))
+                size += len(body or b"") + 200
+                if size > 4 << 20:
+                    yield to_batch(rows)
+                    rows, size = [], 0
+            if rows:
                 yield to_batch(rows)
-                rows, size = [], 0
-        if rows:
-            yield to_batch(rows)
 
 
 def to_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -175,20 +279,23 @@ class WarcWriter(DataSourceArrowWriter):
     def write(self, iterator):
         where, path = place(self.path)
         where.create_dir(path, recursive=True)
-        name, n = f"part-{uuid.uuid4().hex}.warc.gz", 0
+        name, edges, at = f"part-{uuid.uuid4().hex}.warc.gz", [0], 0
         with where.open_output_stream(f"{path}/{name}", compression=None) as out:
             for b in iterator:
                 for page_id, uri, kind, digest, _, refers_to, payload in zip(*(b.column(c.split()[0]).to_pylist() for c in SCHEMA.split(", ")), strict=True):
-                    out.write(member(record(page_id, uri, kind, digest, payload or b"", refers_to)))
-                    n += 1
-        return Written(name, n)
+                    raw = member(record(page_id, uri, kind, digest, payload or b"", refers_to))
+                    out.write(raw)
+                    at += len(raw)
+                    if at - edges[-1] >= SPLIT_BYTES:
+                        edges.append(at)
+        return Written(name, edges + [at] * (at > edges[-1]))
 
     def commit(self, messages):
         where, path = place(self.path)
         where.create_dir(path, recursive=True)
         older = manifests(where, path) if self.overwrite else []
         with where.open_output_stream(f"{path}/{MANIFEST}{uuid.uuid4().hex}.json") as f:
-            f.write(json.dumps([m.file for m in messages if m is not None and m.records]).encode())
+            f.write(json.dumps([(m.file, m.edges) for m in messages if m is not None and len(m.edges) > 1]).encode())
         for found in older:
             where.delete_file(found)
 
@@ -217,22 +324,21 @@ def register(spark: SparkSession) -> None:
 
 
 def with_revisits(pages: DataFrame) -> DataFrame:
-    """Rows of SCHEMA: which record each page gets. Only digests with copies meet in the join."""
+    """Rows of SCHEMA: which record each page gets.
+
+    Only ids and digests are shuffled to find the revisits. Their table is written, so the
+    planner knows its size and broadcasts it, or shuffles the pages where it is too large.
+    """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select("page_id", F.col("url").alias("uri"), payload.alias("payload"), F.octet_length("html").alias("_n"), F.sha1(payload).alias("payload_digest"))
-    long = pages.filter(F.octet_length("html") >= MIN_REVISIT).select("page_id", F.sha1(F.col("html").cast("binary")).alias("_digest"))
-    first = long.groupBy("_digest").agg(F.max("page_id").alias("_first"), F.count("*").alias("_copies")).filter("_copies > 1").drop("_copies")
-    rows = rows.join(first, (rows["payload_digest"] == first["_digest"]) & (F.coalesce("_n", F.lit(0)) >= MIN_REVISIT), "left")
-    again = F.col("_first").isNotNull() & ~F.coalesce(F.col("page_id") == F.col("_first"), F.lit(False))
-    return rows.select(
-        F.col("page_id").cast("long"),
-        "uri",
-        F.when(again, "revisit").otherwise("response").alias("record_type"),
-        "payload_digest",
-        F.coalesce("_n", F.lit(0)).cast("long").alias("payload_bytes"),
-        F.when(again, F.col("_first")).cast("long").alias("refers_to"),
-        "payload",
-    )
+    digest = F.sha1(payload)
+    long = pages.filter(F.octet_length("html") >= MIN_REVISIT).select(F.col("page_id").cast("long").alias("page_id"), digest.alias("digest"))
+    first = long.groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
+    again = long.join(first, "digest").filter(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))).distinct()
+    again = staged(again.select(F.col("page_id").alias("_again"), F.col("digest").alias("_same"), F.col("first").alias("_first")), "revisits")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("uri"), payload.alias("payload"), F.coalesce(F.octet_length("html"), F.lit(0)).cast("long").alias("payload_bytes"), digest.alias("payload_digest"))
+    rows = rows.join(again, F.col("page_id").eqNullSafe(F.col("_again")) & (F.col("payload_digest") == F.col("_same")), "left")
+    kind = F.when(F.col("_first").isNotNull(), "revisit").otherwise("response")
+    return rows.select("page_id", "uri", kind.alias("record_type"), "payload_digest", "payload_bytes", F.col("_first").alias("refers_to"), "payload")
 
 
 def write_warc(pages: DataFrame, path: str, *, mode: str = "append") -> None:

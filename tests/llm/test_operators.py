@@ -234,6 +234,61 @@ def test_warc_modes(spark):
         assert ids() == want
 
 
+class Counted:
+    """A file in memory that counts the bytes read of it."""
+
+    def __init__(self, data):
+        self.data, self.n = data, 0
+
+    def size(self):
+        return len(self.data)
+
+    def read_at(self, n, at):
+        self.n += n
+        return self.data[at : at + n]
+
+
+def test_warc_ranged_reads():
+    """A pushed filter reads little of an archive, and a truncated record is an error."""
+    rng = np.random.default_rng(2)
+    records = [warc.record(k, f"http://h/{k}", "response", "d", rng.integers(0, 256, 50_000, np.uint8).tobytes(), None) for k in range(50)]
+    data = b"".join(map(warc.member, records))
+    file = Counted(data)
+    got = list(warc.own_records(warc.Ranges(file, 4096), 0, len(data), lambda h: h["WARC-X-Page-ID"] == "7", True))
+    assert len(got) == 1 and len(got[0][1]) == 50_000 and file.n < len(data) // 5
+    for cut, how in ((data[:100], warc.own_records), (data[:100], None), (b"".join(records)[:-30_000], None)):
+        ranges = warc.Ranges(Counted(cut), 4096)
+        with pytest.raises((ValueError, zlib.error)):
+            list(how(ranges, 0, len(cut), lambda h: True, True) if how else warc.other_records(ranges, lambda h: True, True))
+
+
+def test_foreign_warc(spark, tmp_path):
+    """Archives of other writers: plain, a member a record, and one member for all; and splits of our own."""
+    import gzip
+
+    http = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n"
+    blocks = [(b"warcinfo", b"application/warc-fields", b"software: x\r\n"), (b"response", b"application/http; msgtype=response", http + b"<p>" * 40_000), (b"resource", b"text/html", b"<b>"), (b"revisit", b"application/http", http)]
+    records = [b"WARC/1.0\r\nWARC-Type: " + t + b"\r\nWARC-Target-URI: http://x/\r\nWARC-Refers-To: <urn:uuid:1>\r\nContent-Type: " + c + b"\r\nContent-Length: " + str(len(b)).encode() + b"\r\n\r\n" + b + b"\r\n\r\n" for t, c, b in blocks]
+    for name, data in (("a.warc", b"".join(records)), ("b.warc.gz", b"".join(map(gzip.compress, records))), ("c.warc.gz", gzip.compress(b"".join(records)))):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / name).write_bytes(data)
+        path = f"file://{tmp_path}/{name}"
+        got = {r.record_type: r for r in warc.read_warc(spark, path, payload=True).collect()}
+        assert len(got) == 4 and bytes(got["response"].payload) == b"<p>" * 40_000 and bytes(got["resource"].payload) == b"<b>" and got["revisit"].payload is None
+        assert got["response"].payload_bytes == 120_000 and got["response"].page_id is None and got["response"].refers_to is None
+        assert warc.read_warc(spark, f"{path}/{name}").filter("record_type = 'response'").count() == 1
+
+
+def test_warc_splits(spark, monkeypatch):
+    path = shared_path(spark, "warc-test")
+    monkeypatch.setattr(warc, "SPLIT_BYTES", 1)  # the writer runs in other processes; edges are those of its own setting
+    pages = spark.createDataFrame([(k, None, "p" * 2000 if k % 2 else f"{k}" * 1500) for k in range(1, 40)] + [(None, None, "p" * 2000)], "page_id long, url string, html string")
+    warc.write_warc(pages, path)
+    got = warc.read_warc(spark, path, payload=True).collect()
+    assert sorted(r.page_id or 0 for r in got) == list(range(40))
+    assert {r.refers_to for r in got if r.record_type == "revisit"} == {39} and sum(r.record_type == "revisit" for r in got) == 20
+
+
 def test_urls(spark):
     urls = [(1, "http://WWW.Example.com/en/x?q"), (2, "https://m.example.com/en/"), (3, None), (4, "no scheme"), (5, "http://a.net/fr/1#x"), (5, "http://a.org")]
     rules = spark.createDataFrame(url_filter.RULES, "rule string, verdict string")
