@@ -1,18 +1,21 @@
 """Exact top-k inner products by M-trees searched best first.
 
-Every valid vector is dealt by hash to a bucket of about PAGE_ROWS rows, and each bucket
-becomes one M-tree: leaf pages of vectors around a routing object, inner pages above them,
-each entry with its covering radius and its distance to the parent's routing object. All
-queries are cut into blocks, and each block meets each tree once (an equi-join on the bucket
-number). With metric d, q.x <= q.c + |q| d(c, x), so a page within radius r of c holds no
-score above q.c + |q| r. Since q.x = (|q|^2 + |x|^2 - d(q, x)^2) / 2 and
-d(q, x) >= |d(q, parent) - d(parent, c)| - r, stored parent distances discard entries before
-their own distance is computed. Scores are exact: components are integers, sums below 2^53.
+Rows are dealt to the nearest of at most MAX_PIVOTS pivots, a sample by hash, and each cell is cut
+by hash into parts of about PAGE_ROWS rows. A part becomes one M-tree: leaf pages of vectors
+around a routing object, inner pages above them, each entry with its covering radius and its
+distance to the parent's routing object. With metric d, q.x <= q.c + |q| d(c, x), so a page (or a
+cell) within radius r of c holds no score above q.c + |q| r. Since
+q.x = (|q|^2 + |x|^2 - d(q, x)^2) / 2 and d(q, x) >= |d(q, parent) - d(parent, c)| - r, stored
+parent distances discard entries before their own distance is computed. Queries first search the
+cell that promises most; the k-th score found is a floor, and only cells whose bound reaches it
+get the query. The table of cells is all that is broadcast. Scores are exact: components are
+integers, sums below 2^53.
 
 Defined cases: a vector that is null, empty or holds a null or non-finite component takes no
 part, as query or as candidate; shorter vectors count as padded with zeros; ties go to the
 smaller vec_id; vec_id names the row, so a repeated vec_id is kept once (its first vector by
-order); fewer than k candidates give fewer rows; an empty table gives none.
+order); fewer than k candidates give fewer rows; an empty table gives none; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ K = 5
 SCALE = 256
 QUERY_EVERY = 50
 PAGE_ROWS, LEAF_ROWS, FANOUT = 4096, 256, 16
+#: Cells at most; with 1,000 components their table has 32 MB.
+MAX_PIVOTS = 4096
 BLOCK_QUERIES = 512
 #: Rounding that bounds may carry; scores are integers, so half of one is safe.
 SLACK = 0.5
@@ -42,14 +47,33 @@ def valid(c: Column) -> Column:
     return c.isNotNull() & (F.size(c) > 0) & F.coalesce(ok, F.lit(False))
 
 
-def matrix(vectors: list) -> np.ndarray:
-    width = max(map(len, vectors))
+def matrix(vectors: pa.Array | list, width: int | None = None) -> np.ndarray:
+    vectors = vectors.to_pylist() if isinstance(vectors, pa.Array) else vectors
+    width = max(map(len, vectors)) if width is None else width
     out = np.zeros((len(vectors), width))
     for row, v in zip(out, vectors, strict=True):
-        row[: len(v)] = v
+        row[: len(v)] = v[:width]  # what is beyond meets zeros
     return out
 
 
+class Cells:
+    """Pivots with the covering radius and the largest squared norm of their cells."""
+
+    def __init__(self, pivots: np.ndarray):
+        self.pivots, self.norms2 = pivots, (pivots * pivots).sum(axis=1)
+        self.radii, self.largest = np.full(len(pivots), -1.0), np.zeros(len(pivots))  # -1: an empty cell
+
+    def distances(self, x: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] - 2 * (x @ self.pivots.T) + self.norms2, 0))
+
+    def bounds(self, q: np.ndarray) -> np.ndarray:
+        """No score of a cell's rows is above its bound."""
+        norm2 = (q * q).sum(axis=1)[:, None]
+        outside = np.maximum(self.distances(q) - self.radii - SLACK, 0)
+        bound = np.minimum(q @ self.pivots.T + np.sqrt(norm2) * (self.radii + SLACK), (norm2 + self.largest - outside * outside) / 2) + SLACK
+        return np.where(self.radii < 0, -np.inf, bound)
+
+
 class Node:
     """A page: routing objects (or rows) of its entries, covering radii, largest norms and distances to its parent."""
 
@@ -88,15 +112,15 @@ def build(x: np.ndarray, ids: np.ndarray, norms2: np.ndarray, rows: np.ndarray,
     return node
 
 
-def search(root: Node, centre: np.ndarray, q: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
-    """The k best (score, vec_id)."""
+def search(root: Node, centre: np.ndarray, q: np.ndarray, own: int, k: int, floor: float = -np.inf) -> list[tuple[int, int]]:
+    """The k best (score, vec_id) of a score of `floor` or more."""
     norm2 = float(q @ q)
     norm = float(np.sqrt(norm2))
     best: list[tuple[float, int]] = []  # (score, -vec_id), the worst first
     heap, turn = [(-np.inf, 0, root, float(distance(q, centre)))], 0
     while heap:
         bound, _, node, to_q = heapq.heappop(heap)
-        least = best[0][0] if len(best) == k else -np.inf
+        least = max(floor, best[0][0]) if len(best) == k else floor
         if -bound < least:
             break
         # from stored distances alone: d(q, x) >= |d(q, parent) - d(parent, entry)| - radius
@@ -126,14 +150,14 @@ def search(root: Node, centre: np.ndarray, q: np.ndarray, own: int, k: int) -> l
 
 
 def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One pickled tree for each (bucket, rows) row."""
+    """One pickled tree for each (cell, part, rows) row."""
     for b in batches:
-        for bucket, rows in zip(b.column("bucket").to_pylist(), b.column("rows").to_pylist(), strict=True):
+        for cell, part, rows in zip(b.column("cell").to_pylist(), b.column("part").to_pylist(), b.column("rows").to_pylist(), strict=True):
             rows.sort(key=lambda r: r["vec_id"])
             x, ids = matrix([r["v"] for r in rows]), np.array([r["vec_id"] for r in rows], np.int64)
             centre = x.mean(axis=0)
             raw = pickle.dumps((build(x, ids, (x * x).sum(axis=1), np.arange(len(x)), centre), centre, x.shape[1]))
-            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([raw], pa.binary())], names=["bucket", "tree"])
+            yield pa.RecordBatch.from_arrays([pa.array([cell], pa.int32()), pa.array([part], pa.int32()), pa.array([raw], pa.binary())], names=["cell", "part", "tree"])
 
 
 def searcher(k: int):
@@ -145,32 +169,82 @@ def searcher(k: int):
                 for r in block.as_py():
                     q = np.array(r["v"], np.float64)
                     q = np.pad(q, (0, max(0, width - len(q))))[:width]  # what is beyond meets zeros
-                    out += [(r["vec_id"], i, s) for s, i in search(root, centre, q, r["vec_id"], k)]
+                    out += [(r["vec_id"], i, s) for s, i in search(root, centre, q, r["vec_id"], k, r["floor"])]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
 
     return run
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = K) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = K, page_rows: int = PAGE_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score for vectors(vec_id, v) and queries(vec_id, v)."""
-    n = vectors.count()
-    buckets = max(1, -(-n // PAGE_ROWS))
-    item = F.struct("vec_id", "v")
-    index = vectors.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(buckets)).cast("long").alias("bucket")).agg(F.collect_list(item).alias("rows"))
-    index = staged(index.mapInArrow(trees, "bucket long, tree binary"), "m-trees")
+    spark = vectors.sparkSession
+    n, width = vectors.agg(F.count("*"), F.max(F.size("v"))).first()
+    if not n:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    sample = vectors.orderBy(F.xxhash64(F.lit(3), "vec_id"), "vec_id").select("v").limit(min(MAX_PIVOTS, -(-n // page_rows))).collect()
+    cells = Cells(np.unique(matrix([r["v"] for r in sample], width), axis=0))
+    near = spark.sparkContext.broadcast(cells)
+
+    def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                x = matrix(b.column("v"), width)
+                d = near.value.distances(x)
+                cell = d.argmin(axis=1)
+                off = np.sqrt(((x - near.value.pivots[cell]) ** 2).sum(axis=1))
+                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(cell, pa.int32()), pa.array(off), pa.array((x * x).sum(axis=1))], names=["vec_id", "v", "cell", "off", "norm2"])
+
+    dealt = staged(vectors.select("vec_id", "v").mapInArrow(assigned, "vec_id long, v array<double>, cell int, off double, norm2 double"), "cells")
+    sizes = dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("off").alias("radius"), F.max("norm2").alias("norm2")).collect()  # one row a cell
+    for r in sizes:
+        cells.radii[r["cell"]], cells.largest[r["cell"]] = r["radius"], r["norm2"]
+    known = spark.sparkContext.broadcast(cells)
+    parts = spark.createDataFrame([(r["cell"], -(-r["n"] // page_rows)) for r in sizes], "cell int, parts int")
+    rows = dealt.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+    index = rows.groupBy("cell", "part").agg(F.collect_list(F.struct("vec_id", "v")).alias("rows"))
+    index = staged(index.mapInArrow(trees, "cell int, part int, tree binary"), "m-trees")
     blocks = max(1, -(-n // (QUERY_EVERY * BLOCK_QUERIES)))
-    asked = queries.groupBy(F.pmod(F.xxhash64(F.lit(7), "vec_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(item).alias("queries"))
-    asked = asked.withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))))
-    found = asked.join(index, "bucket").repartition("bucket", "block").select("tree", "queries").mapInArrow(searcher(k), "query_id long, vec_id long, score long")
+
+    def routed(first: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 512):
+                    b = whole.slice(at, 512)
+                    bounds = known.value.bounds(matrix(b.column("v"), width))
+                    home = bounds.argmax(axis=1)
+                    floor = b.column("floor").to_numpy()
+                    if first:
+                        row, cell = np.arange(len(home)), home
+                    else:
+                        bounds[np.arange(len(home)), home] = -np.inf  # searched before
+                        row, cell = np.nonzero((bounds >= floor[:, None]) & (bounds > -np.inf))
+                    take = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([b.column("vec_id").take(take), b.column("v").take(take), pa.array(floor[row]), pa.array(cell, pa.int32())], names=["vec_id", "v", "floor", "cell"])
+
+        return run
+
+    def found(asked: DataFrame, first: bool) -> DataFrame:
+        """Results of each query in its cells: blocks of queries meet the trees of their cell, part by part."""
+        asked = asked.select("vec_id", "v", "floor").mapInArrow(routed(first), "vec_id long, v array<double>, floor double, cell int")
+        block = F.pmod(F.xxhash64(F.lit(7), "vec_id"), F.lit(blocks)).alias("block")
+        asked = asked.groupBy("cell", block).agg(F.collect_list(F.struct("vec_id", "v", "floor")).alias("queries"))
+        asked = asked.join(F.broadcast(parts), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        return asked.join(index, ["cell", "part"]).repartition("cell", "part", "block").select("tree", "queries").mapInArrow(searcher(k), "query_id long, vec_id long, score long")
+
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    home = staged(found(queries.withColumn("floor", F.lit(float("-inf"))), True).withColumn("rank", rank).filter(F.col("rank") <= k), "home-results")
+    floors = home.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("floor"))
+    rest = queries.join(floors, "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    every = home.drop("rank").unionByName(found(rest, False))
+    return every.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").filter(F.col("vec_id").isNotNull() & valid(F.col("embedding")))
     e = e.select("vec_id", F.transform("embedding", lambda x: F.floor(SCALE * x.cast("double")).cast("double")).alias("v"))
-    e = e.groupBy("vec_id").agg(F.min("v").alias("v"))
+    e = staged(e.groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
     return top_k(e, e.filter(F.col("vec_id") % QUERY_EVERY == 0))
 
 

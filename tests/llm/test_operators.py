@@ -207,6 +207,24 @@ def test_top_k(spark):
         assert part.sort_values("rank").vec_id.tolist() == order
 
 
+def test_top_k_cells(spark):
+    """Many cells: clustered and scattered vectors, ties, ragged and equal ones, against brute force."""
+    rng = np.random.default_rng(4)
+    near = np.repeat(rng.normal(size=(8, 5)) * 300, 60, axis=0) + rng.normal(size=(480, 5)) * 3
+    x = np.floor(np.concatenate([near, rng.normal(size=(200, 5)) * 100, np.tile([[3.0, 1, 4, 1, 5]], (120, 1)), np.zeros((3, 5))]))
+    x[:, 4] = np.where(np.arange(len(x)) % 3 == 0, 0, x[:, 4])
+    rows = spark.createDataFrame([(i, v[: 4 if i % 3 == 0 else 5].tolist(), i) for i, v in enumerate(x)], "vec_id long, v array<double>, cell int").select("vec_id", "v")
+    got = metric_search.top_k(rows, rows.filter("vec_id % 7 = 0"), page_rows=40).toPandas()
+    assert got["query_id"].nunique() == -(-len(x) // 7)
+    for q, part in got.groupby("query_id"):
+        order = sorted((i for i in range(len(x)) if i != q), key=lambda i: (-(x[i] @ x[q]), i))[:5]
+        part = part.sort_values("rank")
+        assert part.vec_id.tolist() == order and part.score.tolist() == [int(x[i] @ x[q]) for i in order]
+    assert metric_search.top_k(rows.limit(0), rows.limit(0)).count() == 0
+    two = rows.filter("vec_id < 2")
+    assert sorted(tuple(r)[:3] for r in metric_search.top_k(two, two).collect()) == [(0, 1, 1), (1, 1, 0)]
+
+
 def test_chat_round_trip(spark):
     turns = [(1, 0, "user", "a <|end|>\n <\\|turn|> b"), (1, 1, "assistant", None), (2, 0, None, ""), (1, 2, "assistant", "é\n<|turn|>user\n")]
     got = {r.conv_id: r for r in chat_format.format_chats(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()}
