@@ -112,41 +112,73 @@ def build(x: np.ndarray, ids: np.ndarray, norms2: np.ndarray, rows: np.ndarray,
     return node
 
 
-def search(root: Node, centre: np.ndarray, q: np.ndarray, own: int, k: int, floor: float = -np.inf) -> list[tuple[int, int]]:
-    """The k best (score, vec_id) of a score of `floor` or more."""
-    norm2 = float(q @ q)
-    norm = float(np.sqrt(norm2))
-    best: list[tuple[float, int]] = []  # (score, -vec_id), the worst first
-    heap, turn = [(-np.inf, 0, root, float(distance(q, centre)))], 0
-    while heap:
-        bound, _, node, to_q = heapq.heappop(heap)
-        least = max(floor, best[0][0]) if len(best) == k else floor
-        if -bound < least:
-            break
-        # from stored distances alone: d(q, x) >= |d(q, parent) - d(parent, entry)| - radius
-        gap = np.abs(to_q - node.to_parent)
-        if node.vectors is None:
-            gap = np.maximum(gap - node.radii, 0)
-        open_ = np.flatnonzero((norm2 + node.norms2 - gap * gap) / 2 + SLACK >= least)
-        if not len(open_):
-            continue
-        if node.vectors is not None:
-            all_open = len(open_) == len(node.ids)
-            scores, ids = (node.vectors if all_open else node.vectors[open_]) @ q, node.ids if all_open else node.ids[open_]
-            good = np.flatnonzero((scores >= least) & (ids != own))
-            if len(good) > k:
-                good = good[np.lexsort((ids[good], -scores[good]))[:k]]
-            best = heapq.nlargest(k, [*best, *zip(scores[good].tolist(), (-ids[good]).tolist(), strict=True)])[::-1]
-            continue
-        centres = node.centres[open_]
-        d = distance(centres, q)
-        outside = np.maximum(d - node.radii[open_], 0)
-        bounds = np.minimum(centres @ q + norm * node.radii[open_], (norm2 + node.norms2[open_] - outside * outside) / 2) + SLACK
-        for c, b, e in zip(open_.tolist(), bounds.tolist(), d.tolist(), strict=True):
-            if b >= least:
+def squared(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Squared distances of each q to each c; exact, as all are integers below 2^53."""
+    return np.maximum((q * q).sum(axis=1)[:, None] - 2 * (q @ c.T) + (c * c).sum(axis=1), 0)
+
+
+class Search:
+    """Best-first search for a block of queries at once.
+
+    The page with the best bound of any query comes first, with the queries that still need it;
+    each query leaves a page when its k-th score passes the page's bound for it.
+    """
+
+    def __init__(self, q: np.ndarray, own: np.ndarray, floor: np.ndarray, k: int):
+        self.q, self.own, self.k = q, own, k
+        self.norm2 = (q * q).sum(axis=1)
+        self.norm = np.sqrt(self.norm2)
+        self.scores, self.ids = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+        self.least = floor.astype(np.float64)
+
+    def run(self, root: Node, centre: np.ndarray) -> None:
+        heap, turn = [(-np.inf, 0, root, np.arange(len(self.q)), np.full(len(self.q), np.inf), distance(self.q, centre))], 0
+        while heap:
+            _, _, node, rows, bounds, to_q = heapq.heappop(heap)
+            needed = bounds >= self.least[rows]
+            rows, to_q = rows[needed], to_q[needed]
+            if not len(rows):
+                continue
+            # from stored distances alone: d(q, x) >= |d(q, parent) - d(parent, entry)| - radius
+            gap = np.abs(to_q[:, None] - node.to_parent)
+            if node.vectors is None:
+                gap = np.maximum(gap - node.radii, 0)
+            open_ = (self.norm2[rows, None] + node.norms2 - gap * gap) / 2 + SLACK >= self.least[rows, None]
+            if node.vectors is not None:
+                self.leaf(node, rows, np.flatnonzero(open_.any(axis=0)))
+                continue
+            some = np.flatnonzero(open_.any(axis=0))
+            centres = node.centres[some]
+            d = np.sqrt(squared(self.q[rows], centres))
+            outside = np.maximum(d - node.radii[some], 0)
+            bounds = np.minimum(self.q[rows] @ centres.T + self.norm[rows, None] * node.radii[some], (self.norm2[rows, None] + node.norms2[some] - outside * outside) / 2) + SLACK
+            go = open_[:, some] & (bounds >= self.least[rows, None])
+            for c in np.flatnonzero(go.any(axis=0)).tolist():
                 turn += 1
-                heapq.heappush(heap, (-b, turn, node.children[c], e))
-    return [(int(s), -i) for s, i in best]
+                mine = go[:, c]
+                heapq.heappush(heap, (-float(bounds[mine, c].max()), turn, node.children[some[c]], rows[mine], bounds[mine, c], d[mine, c]))
+
+    def leaf(self, node: Node, rows: np.ndarray, some: np.ndarray) -> None:
+        if not len(some):
+            return
+        ids = node.ids[some]  # in order, so a stable sort puts ties right
+        scores = self.q[rows] @ node.vectors[some].T
+        scores[self.own[rows, None] == ids] = -np.inf
+        better = np.flatnonzero(scores.max(axis=1) >= self.least[rows])
+        if not len(better):
+            return
+        rows, scores = rows[better], scores[better]
+        best = np.argsort(-scores, axis=1, kind="stable")[:, : self.k]
+        scores = np.concatenate([self.scores[rows], np.take_along_axis(scores, best, axis=1)], axis=1)
+        ids = np.concatenate([self.ids[rows], ids[best]], axis=1)
+        order = np.lexsort((ids, -scores), axis=-1)[:, : self.k]
+        self.scores[rows], self.ids[rows] = np.take_along_axis(scores, order, axis=1), np.take_along_axis(ids, order, axis=1)
+        self.least[rows] = np.maximum(self.least[rows], self.scores[rows, -1])
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, vec_id and score of all results."""
+        row, place = np.nonzero(self.scores > -np.inf)
+        return row, self.ids[row, place], self.scores[row, place]
 
 
 def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,13 +197,13 @@ def searcher(k: int):
         for b in batches:
             for raw, block in zip(b.column("tree"), b.column("queries"), strict=True):
                 root, centre, width = pickle.loads(raw.as_py())
-                out = []
-                for r in block.as_py():
-                    q = np.array(r["v"], np.float64)
-                    q = np.pad(q, (0, max(0, width - len(q))))[:width]  # what is beyond meets zeros
-                    out += [(r["vec_id"], i, s) for s, i in search(root, centre, q, r["vec_id"], k, r["floor"])]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+                asked = block.as_py()
+                own = np.array([r["vec_id"] for r in asked], np.int64)
+                search = Search(matrix([r["v"] for r in asked], width), own, np.array([r["floor"] for r in asked]), k)
+                search.run(root, centre)
+                row, ids, scores = search.found()
+                if len(row):
+                    yield pa.RecordBatch.from_arrays([pa.array(own[row]), pa.array(ids), pa.array(scores.astype(np.int64))], names=["query_id", "vec_id", "score"])
 
     return run
 
