@@ -22,6 +22,8 @@ CHUNK_BYTES = 4 << 20
 #: The word separators of the contracts, as a regular expression class.
 SPACE = r"\x20\x09-\x0D"
 
+#: Whether Spark deletes a finished query's shuffle files at once.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Paths that this process has staged, and those of the tables read from them.
 _STAGED: set[str] = set()
 _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
@@ -50,10 +52,18 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: cuts lineage, survives lost executors."""
+    """Writes df to the shared folder and reads it again: cuts lineage, survives lost executors.
+
+    The shuffle files of the write go as soon as it has ended, as nothing reads them any more.
+    """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
     return out
