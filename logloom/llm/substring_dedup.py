@@ -15,8 +15,9 @@ doc_id, or the same document further left), judged on the input.
    first keeps its bytes. A landmark with more text than a block is merged over its blocks by
    binary search among the sorted windows of earlier blocks.
 5. A landmark with more than HOT places is dealt to several shards by its stretches' bytes.
-   Each sorts its own and gives its distinct windows with their first places; the least place
-   of a window over all shards stays, and all other windows of these stretches go.
+   Each sorts its own and gives its distinct windows with their first places. Binary search
+   among splitters, drawn from all shards' windows, deals them to ranges, in which a window's
+   places lie side by side; its least place stays, and all other windows of these stretches go.
 6. Spans go back to their documents, merge, and are cut out.
 
 Defined cases: null text is empty; matches never cross documents; a document under MATCH bytes
@@ -247,13 +248,17 @@ class Shard:
         sa = suffix_array(data, MATCH)
         run = np.flatnonzero(np.append(True, common_prefixes(data, sa)[1:] < MATCH))
         place = np.where(valid[sa], sa, len(data))
-        least = np.minimum.reduceat(place, run)  # first place of each distinct window, in their order
-        if self.split:
-            for p in least[least < len(data)].tolist():
+        if self.split:  # a block holds contexts of several salts, so the first place is not the leftmost
+            order = np.empty(len(lengths), np.int64)
+            order[sorted(range(len(lengths)), key=lambda c: (self.docs[c], self.los[c]))] = np.arange(len(lengths))
+            inside = np.minimum(np.searchsorted(ends, place, side="right"), len(lengths) - 1)
+            least = np.minimum.reduceat(np.where(place < len(data), order[inside] << 32 | place, LAST), run)
+            for p in (least[least < LAST] & (1 << 32) - 1).tolist():
                 c = int(np.searchsorted(ends, p, side="right"))
                 at = self.los[c] + p - int(starts[c])
                 self.out.append((self.docs[c], at, at + 1, raw[p : p + MATCH]))
         else:
+            least = np.minimum.reduceat(place, run)  # first place of each distinct window, in their order
             first = np.repeat(least, np.diff(np.append(run, len(sa))))
             again = np.zeros(len(data), bool)
             again[sa[valid[sa] & (place != first)]] = True
@@ -309,6 +314,18 @@ def repeat_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from taken([])
 
 
+def first_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of each window, of rows sorted by window and place."""
+    last = None
+    for b in batches:
+        if b.num_rows:
+            windows = text_buffer(b.column("window"))[0].view(f"S{MATCH}")
+            new = np.append(True, windows[1:] != windows[:-1])
+            new[0] = windows[0] != last
+            last = windows[-1]
+            yield b.filter(pa.array(new))
+
+
 def version() -> Column:
     """Tells rows apart that share a doc_id."""
     return F.xxhash64("text")
@@ -337,8 +354,8 @@ def repeated_spans(docs: DataFrame, *, hot: int = HOT) -> DataFrame:
     dealt = dealt.repartition("mark", "salt").sortWithinPartitions("mark", "salt", "doc_id", "version", "lo")
     spans = staged(dealt.mapInArrow(repeat_rows, SPANS), "spans")
     unstage(by_doc)
-    windows = spans.filter(F.col("window").isNotNull()).groupBy("window").agg(F.min(F.struct(*place, "first", "end", "kind")).alias("s"))
-    return spans.filter(F.col("window").isNull()).drop("window").unionByName(windows.select("s.*")).unionByName(copies)
+    windows = spans.filter(F.col("window").isNotNull()).repartitionByRange("window").sortWithinPartitions("window", *place, "first")
+    return spans.filter(F.col("window").isNull()).unionByName(windows.mapInArrow(first_rows, SPANS)).drop("window").unionByName(copies)
 
 
 def keep_mask(n: int, spans: list[dict]) -> tuple[np.ndarray, int]:
