@@ -192,8 +192,9 @@ def other_records(ranges: Ranges, wanted, payload: bool) -> Iterator[tuple[dict[
 
 
 def page_of(value: str | None) -> int | None:
-    found = re.fullmatch(r"(?:<urn:page:)?(\d+)>?", value or "")
-    return int(found[1]) if found else None
+    found = re.fullmatch(r"(?:<urn:page:)?(-?\d{1,19})>?", value or "")
+    page = int(found[1]) if found else None
+    return page if page is not None and -(1 << 63) <= page < 1 << 63 else None
 
 
 def as_row(head: dict[str, str], body: bytes | None) -> tuple:
