@@ -13,8 +13,8 @@
 Two sets with a similarity of 0.8 share no bucket with probability (1 - 0.8^ROWS)^BANDS, 1e-7.
 
 Defined cases: null or blank text has an empty set, n_shingles 0 and is its own component; a
-text of fewer words than a shingle has one shingle, all its words; repeated doc_ids are one node,
-which takes the greatest of their sets for near links where texts differ; a row without a doc_id
+text of fewer words than a shingle has one shingle, all its words; rows that share a doc_id
+are one node, linked by any of their sets; a row without a doc_id
 is linked with nothing and kept, but `drop_near_duplicates` judges each row, null doc_ids too;
 very long texts are whole; an empty table gives no rows; other columns are ignored.
 """
@@ -154,15 +154,17 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def star_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (centre, salt, kind): the centre's set comes before its members' sets."""
-    centre_set = np.empty(0, np.uint64)
+    """Rows sorted by (centre, salt, kind): the centre's sets come before its members' sets."""
+    star, own = None, []
     for b in batches:
         out = []
-        for centre, kind, member, shingles in zip(*(b.column(c).to_pylist() for c in ("centre", "kind", "member", "shingles")), strict=True):
+        for centre, salt, kind, member, shingles in zip(*(b.column(c).to_pylist() for c in ("centre", "salt", "kind", "member", "shingles")), strict=True):
             s = np.frombuffer(shingles, np.uint64)
+            if (centre, salt) != star:
+                star, own = (centre, salt), []
             if kind == 0:
-                centre_set = s
-            elif alike(centre_set, s):
+                own.append(s)
+            elif any(alike(o, s) for o in own):
                 out.append((centre, member))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
@@ -226,7 +228,7 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH) -> DataFrame:
     needed = stars.select(F.col("member").alias("doc_id")).union(stars.select("centre")).distinct()
     # the ids grow with the corpus, so they are never broadcast
     sets = texts.join(needed.hint("merge"), "doc_id", "left_semi").mapInArrow(partial(set_rows, width=width), SETS)
-    sets = staged(sets.groupBy("doc_id").agg(F.max("shingles").alias("shingles")), "sets")
+    sets = staged(sets.filter(F.length("shingles") > 0).distinct(), "sets")
     salt = F.pmod(F.xxhash64("member"), F.lit(SALTS)).alias("salt")
     asked = stars.select("centre", salt, F.lit(1).alias("kind"), "member").unionByName(stars.select("centre", salt, F.lit(0).alias("kind"), F.col("centre").alias("member")).distinct())
     rows = asked.join(sets, F.col("member") == F.col("doc_id")).select("centre", "salt", "kind", "member", "shingles")
