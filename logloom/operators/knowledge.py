@@ -1,15 +1,10 @@
-"""Knowledge-base ingest: content-hash dedup and token estimates."""
+"""Knowledge-base ingest: content-hash dedup, token estimates and Markdown tables."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.operators.json_fields import in_batches
-
 
 def first_by_hash(docs: DataFrame) -> DataFrame:
     """The first document of each (source, content hash)."""
@@ -23,96 +18,6 @@ def knowledge_stats(docs: DataFrame) -> DataFrame:
     return docs.groupBy("source").agg(F.count("*").alias("docs"), F.sum(tokens).alias("tokens"))
 
 
-def chunks_of(text: str, size: int, overlap: int) -> list[tuple[int, int, str]]:
-    """(first line, last line, content) pieces of about 4 * size characters that share up to 4 * overlap.
-
-    A line over the target is cut by characters on its own. A chunk repeats its predecessor's
-    last lines, one at least, unless the next line would not fit behind them.
-    """
-    if not text:
-        return []
-    target, shared = 4 * size, 4 * overlap
-    out: list[tuple[int, int, str]] = []
-    lines = text.split("\n")
-    held: list[int] = []  # line numbers of the open chunk
-    used = 0
-
-    def close() -> None:
-        if held:
-            out.append((held[0], held[-1], "\n".join(lines[k] for k in held)))
-
-    for i, line in enumerate(lines):
-        if len(line) > target:
-            close()
-            held, used = [], 0
-            out += [(i, i, line[k : k + target]) for k in range(0, len(line), target)]
-            continue
-        if held and used + len(line) > target:
-            close()
-            keep = len(held) - 1
-            used = len(lines[held[keep]]) + 1
-            while keep and used + len(lines[held[keep - 1]]) + 1 <= shared:
-                keep -= 1
-                used += len(lines[held[keep]]) + 1
-            held = held[keep:]
-            if used + len(line) > target:
-                held, used = [], 0
-        held.append(i)
-        used += len(line) + 1
-    close()
-    return out
-
-
-#: What Unicode calls white space.
-WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-
-
-def markdown_chunks(text: str, size: int, overlap: int) -> list[tuple[int, int, str, str | None]]:
-    """(first line, last line, content, heading) of the sections that lines starting with # open.
-
-    A section of up to 8 * size characters is one chunk; a longer one is cut as plain text, each
-    piece under a line with its heading. Blank sections are dropped; what precedes the first
-    heading has none. Without headings the text is cut as plain text.
-    """
-    lines = text.split("\n")
-    starts = [i for i, line in enumerate(lines) if line.lstrip(WHITE).startswith("#")]
-    if not starts:
-        return [(*c, None) for c in chunks_of(text, size, overlap)]
-    out: list[tuple[int, int, str, str | None]] = []
-    for a, b in zip([0, *starts], [*starts, len(lines)], strict=True):
-        body = "\n".join(lines[a:b])
-        if a == b or not body.strip(WHITE):
-            continue
-        heading = lines[a].lstrip(WHITE).lstrip("#").strip(WHITE) if a in starts[:1] or a > starts[0] else None
-        if len(body) <= 8 * size:
-            out.append((a, b - 1, body, heading))
-        else:
-            over = "" if heading is None else f"# {heading}\n"
-            out += [(a + x, a + y, over + c, heading) for x, y, c in chunks_of(body, size, overlap)]
-    return out
-
-
-CHUNK = {"doc_id": pa.int64(), "chunk_index": pa.int64(), "line_start": pa.int64(), "line_end": pa.int64(), "content": pa.string(), "token_count": pa.int64(), "heading": pa.string()}
-CHUNK_DDL = "doc_id long, chunk_index long, line_start long, line_end long, content string, token_count long, heading string"
-
-
-def split_documents(docs: DataFrame, *, size: int = 512, overlap: int = 64, markdown: bool = False) -> DataFrame:
-    """One row a chunk of docs(doc_id, text): its number, lines, content, estimated tokens and heading; null text has none."""
-    cut = markdown_chunks if markdown else lambda *a: [(*c, None) for c in chunks_of(*a)]
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = ((doc, text or "") for b in batches for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True))
-        found = ((doc, n, x, y, c, (len(c) + 3) // 4, h) for doc, text in texts for n, (x, y, c, h) in enumerate(cut(text, size, overlap)))
-        return in_batches(found, CHUNK, lambda r: len(r[4]))
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, CHUNK_DDL)
-
-
-def split_text(docs: DataFrame, *, size: int = 512, overlap: int = 64) -> DataFrame:
-    """split_documents() of plain text, which has no headings."""
-    return split_documents(docs, size=size, overlap=overlap).drop("heading")
-
-
 def rows_to_markdown(tables: DataFrame) -> DataFrame:
     """(id, markdown) of tables(id, rows array<array<string>>): the first row heads the table.
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions.text import extension, file_type, language
+from logloom.operators.chunks import split_by_type
 
 #: Channel types with their default address and models; an unknown type is custom.
 ADAPTORS = [
@@ -112,18 +113,15 @@ def ingested(uploads: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFram
 
     Text is decoded leniently, formats that are refused drop out, and so does what the same
     knowledge base already holds by content hash, in the upload or in stored(kb_id,
-    content_hash). Markdown is split at headings, the rest as plain text.
+    content_hash). Markdown is split at headings, the rest as plain text, as no symbols are given.
     """
-    from logloom.operators.knowledge import split_documents
-
     content = F.try_to_binary("base64", F.lit("base64"))
     rows = uploads.withColumn("content", content).filter(F.col("content").isNotNull())
     rows = rows.withColumn("file_type", file_type(extension(F.col("name")))).filter(F.col("file_type").isNotNull()).withColumn("content_hash", F.sha2("content", 256))
     first = rows.groupBy("kb_id", "content_hash").agg(F.min("doc_id").alias("doc_id"))
     rows = rows.join(first, ["kb_id", "content_hash", "doc_id"], "left_semi").join(stored, ["kb_id", "content_hash"], "left_anti")
     docs = rows.select("doc_id", "kb_id", "content_hash", "file_type", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
-    plain, marked = docs.filter("file_type <> 'markdown'"), docs.filter("file_type = 'markdown'")
-    return docs, split_documents(plain).unionByName(split_documents(marked, markdown=True))
+    return docs, split_by_type(docs)
 
 
 def vectors_as_bytes(vectors: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from logloom.operators import dispatch, json_fields, knowledge, logs, security
-from logloom.plans import lookups, protocols, streams
+from logloom.plans import lookups, protocols, splitting, streams
 from logloom.sources import gateway
 from logloom.streaming import usage as stream_usage
 
@@ -47,8 +47,6 @@ QUERIES = {
     "key_validity": lambda s, d: dispatch.key_validity(gateway.api_keys(s, d), as_of=NOW),
     "quota_verdict": lambda s, d: dispatch.quota_verdict(gateway.api_keys(s, d), max_tokens=4000),
     "quota_usage": lambda s, d: dispatch.charge(gateway.api_keys(s, d), gateway.request_logs(s, d)),
-    "split_text": lambda s, d: knowledge.split_text(docs(s, d)),
-    "split_markdown": lambda s, d: knowledge.split_documents(gateway.headed_documents(s, d), markdown=True),
     "rows_to_markdown": lambda s, d: knowledge.rows_to_markdown(gateway.text_tables(s, d)),
     "doc_hash_dedup": lambda s, d: knowledge.first_by_hash(docs(s, d)),
     "kb_stats": lambda s, d: knowledge.knowledge_stats(docs(s, d)),
@@ -146,5 +144,5 @@ SELECT id, CASE WHEN len(lines) > 1 THEN replace(lines[1], chr(1), ' | ') || '|'
     "kb_stats": "SELECT source, count(*) AS docs, CAST(sum((length(coalesce(text, '')) + 3) // 4) AS BIGINT) AS tokens FROM documents GROUP BY 1",
 }
 
-QUERIES |= protocols.QUERIES | streams.QUERIES | lookups.QUERIES
-SQL |= protocols.SQL | streams.SQL | lookups.SQL | lookups.scan_sql(TEXTS, SCAN, scored, WHEN, select, listed)
+QUERIES |= protocols.QUERIES | streams.QUERIES | lookups.QUERIES | splitting.QUERIES
+SQL |= protocols.SQL | streams.SQL | lookups.SQL | splitting.SQL | lookups.scan_sql(TEXTS, SCAN, scored, WHEN, select, listed)

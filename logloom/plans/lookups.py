@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from logloom.functions import text
-from logloom.operators import json_fields, knowledge, logs, lookups, protocol, security
+from logloom.operators import chunks, json_fields, logs, lookups, protocol, security
+from logloom.plans import splitting
 from logloom.sources import gateway
 
 TODAY = "2024-01-30"
@@ -47,7 +48,7 @@ QUERIES = {
     "models_shown": lambda s, d: lookups.models_shown(gateway.channels(s)),
     "dashboard_full": lambda s, d: lookups.full_dashboard(gateway.request_logs(s, d), gateway.channels(s), gateway.api_keys(s, d), today=TODAY),
     "dashboard_rounded": lambda s, d: lookups.rounded_dashboard(gateway.request_logs(s, d), today=TODAY),
-    "knowledge_counts": lambda s, d: lookups.knowledge_counts(docs(s, d).groupBy("source").agg((F.min("doc_id") % 2).alias("enabled")), docs(s, d), knowledge.split_text(docs(s, d).filter("length(text) <= 2048 and text not like concat('%', char(10), '%')"))),
+    "knowledge_counts": lambda s, d: lookups.knowledge_counts(docs(s, d).groupBy("source").agg((F.min("doc_id") % 2).alias("enabled")), docs(s, d), chunks.split_text(docs(s, d))),
     "log_numbers": lambda s, d: lookups.numbered(gateway.request_logs(s, d)).select("id", "seq"),
     "log_numbers_after": lambda s, d: lookups.appended_logs(lookups.numbered(gateway.request_logs(s, d).filter("created_at < '2024-01-15'")), gateway.request_logs(s, d).filter("created_at >= '2024-01-15'")).select("id", "seq"),
     "log_filters": lambda s, d: logs.search_logs(gateway.request_logs(s, d), api_key_name="key-3", channel_name="channel-2", model="click", mode="chat", is_retry=0, page_size=500).select("id"),
@@ -64,9 +65,10 @@ QUERIES = {
     "redact_inside": lambda s, d: docs(s, d).select("doc_id", security.redact_inside(F.concat(F.lit("Bearer abcdefgh, bearer abc\n"), F.coalesce("text", F.lit("")), F.lit(" key=ghp_0123456789abcdef01 eyJabcdefghijklmnopqrstuvwxyz.0123 -----begin PRIVATE KEY-----\nx\n-----END private KEY----- z"))).alias("text")),
     "text_functions": text_functions,
     "compatible_text": lambda s, d: docs(s, d).select("doc_id", text.compatible(F.concat(F.lit("\uff21\u200b\u00bd"), F.coalesce("text", F.lit("")))).alias("text")),
-    "ingested_documents": lambda s, d: lookups.ingested(gateway.uploads(s, d), s.createDataFrame([(0, "-")], "kb_id long, content_hash string"))[0].select("doc_id", "kb_id", "content_hash", "file_type"),
+    "ingested_documents": lambda s, d: lookups.ingested(gateway.uploads(s, d), gateway.stored_documents(s, d))[0].select("doc_id", "kb_id", "content_hash", "file_type"),
+    "ingested_chunks": lambda s, d: lookups.ingested(gateway.uploads(s, d), gateway.stored_documents(s, d))[1].select("doc_id", "chunk_index", "line_start", "line_end", "content", "token_count", "heading"),
     "vector_bytes": lambda s, d: lookups.vectors_as_bytes(s.read.parquet(f"{d}/embeddings.parquet")).select("vec_id", F.hex("embedding").alias("bytes")),
-    "exported_documents": lambda s, d: lookups.exported(lookups.ingested(gateway.uploads(s, d), s.createDataFrame([(0, "-")], "kb_id long, content_hash string"))[0], 1),
+    "exported_documents": lambda s, d: lookups.exported(lookups.ingested(gateway.uploads(s, d), gateway.stored_documents(s, d))[0], 1),
     "stream_logs": lambda s, d: lookups.charged_streams(s.read.parquet(f"{d}/events.parquet").groupBy(F.col("user_id").alias("stream_id")).agg(F.count("*").alias("total_tokens")).filter("stream_id % 2 = 0"), s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("stream_id"), F.col("c_nationkey").alias("key_id"), F.when(F.col("c_custkey") % 3 == 0, "reset").alias("error"))),
     "conversation_turns": lambda s, d: s.read.parquet(f"{d}/conversations.parquet").filter("conv_id = 1").orderBy("turn").select("turn", "role"),
 }
@@ -77,7 +79,8 @@ CHANNELS = "ch(channel_id, models, status, priority, weight, created_at, type, b
 DASH = f"(SELECT count(*) FROM l) AS total_requests, (SELECT CAST(sum(tokens) AS BIGINT) FROM l) AS total_tokens, (SELECT count(*) FROM l WHERE created_at LIKE '{TODAY}%') AS today_requests, (SELECT CAST(coalesce(sum(tokens), 0) AS BIGINT) FROM l WHERE created_at LIKE '{TODAY}%') AS today_tokens, (SELECT CAST(coalesce(trunc(avg(ms)), 0) AS BIGINT) FROM l WHERE created_at LIKE '{TODAY}%') AS avg_latency_ms"
 INGEST = """WITH u AS (SELECT doc_id, doc_id % 3 AS kb_id, doc_id % 5 AS f, CASE WHEN doc_id % 10 = 9 THEN 'a copy' ELSE coalesce(text, '') END AS t FROM documents WHERE doc_id % 13 <> 0),
 i AS (SELECT min(doc_id) AS doc_id, kb_id, sha256(t) AS content_hash, arg_min(f, doc_id) AS f, any_value(t) AS t FROM u WHERE f <> 3 GROUP BY kb_id, sha256(t)),
-n AS (SELECT doc_id, kb_id, content_hash, CASE f WHEN 0 THEN 'markdown' WHEN 2 THEN 'code' ELSE 'text' END AS file_type, t FROM i)"""
+n AS (SELECT doc_id, kb_id, content_hash, CASE f WHEN 0 THEN 'markdown' WHEN 2 THEN 'code' ELSE 'text' END AS file_type, t FROM i
+  WHERE (kb_id, content_hash) NOT IN (SELECT (doc_id % 3, sha256(coalesce(text, ''))) FROM documents WHERE doc_id % 7 = 0))"""
 KINDS = "unnest(['ts', 'kts', 'yml', 'md', 'csv'])"
 
 SQL = {
@@ -93,7 +96,8 @@ SELECT id, CAST(c_custkey AS VARCHAR) AS key_id FROM h JOIN customer ON api_key
     "models_shown": f"WITH {CHANNELS} SELECT channel_id, coalesce(array_to_string(models[1:3], ','), '') AS shown, CAST(greatest(len(models) - 3, 0) AS INT) AS more FROM ch",
     "dashboard_full": f"{LOGS}, {CHANNELS} SELECT {DASH}, (SELECT count(*) FROM ch) AS total_channels, (SELECT count(*) FROM ch WHERE status = 1) AS active_channels, (SELECT count(*) FROM customer) AS total_api_keys",
     "dashboard_rounded": f"{LOGS} SELECT count(*) FILTER (created_at LIKE '{TODAY}%') AS today_requests, CAST(floor(avg(ms) + 0.5) AS BIGINT) AS avg_latency_ms FROM l",
-    "knowledge_counts": "SELECT count(DISTINCT source) AS kbs, (SELECT count(*) FROM (SELECT min(doc_id) % 2 AS e FROM documents GROUP BY source) WHERE e = 1) AS enabled_kbs, count(*) AS documents, count(*) FILTER (text <> '' AND length(text) <= 2048 AND NOT contains(text, chr(10))) AS chunks FROM documents",
+    "knowledge_counts": f"""WITH RECURSIVE s AS (SELECT doc_id AS id, text FROM documents), {splitting.cut("c", "s", 512, 64)}
+SELECT count(DISTINCT source) AS kbs, (SELECT count(*) FROM (SELECT min(doc_id) % 2 AS e FROM documents GROUP BY source) WHERE e = 1) AS enabled_kbs, count(*) AS documents, (SELECT count(*) FROM c) AS chunks FROM documents""",
     "log_numbers": f"{LOGS} SELECT id, row_number() OVER (ORDER BY created_at, id) AS seq FROM l",
     "log_numbers_after": f"{LOGS}, n AS (SELECT id, created_at, row_number() OVER (ORDER BY created_at, id) AS seq FROM l) SELECT id, seq FROM n WHERE created_at >= '2024-01-15'",
     "log_filters": f"{LOGS} SELECT id FROM l WHERE k = 'key-3' AND c = 'channel-2' AND m = 'click' AND event_id % 3 <> 0 AND event_id % 7 <> 0 ORDER BY created_at DESC, id LIMIT 200",
@@ -113,6 +117,10 @@ left(md5(CAST(doc_id AS VARCHAR)), 8) || '-' || substr(md5(CAST(doc_id AS VARCHA
 CASE WHEN doc_id % 2 = 0 THEN 'a+b' ELSE '' END AS strings, CAST(greatest(1, ceil(doc_id / 20)) AS BIGINT) AS pages, CAST(CASE WHEN doc_id % 30 >= 20 THEN 60 ELSE 40 END AS BIGINT) AS estimated FROM c""",
     "compatible_text": "SELECT doc_id, 'A1⁄2' || nfc_normalize(coalesce(text, '')) AS text FROM documents",
     "ingested_documents": f"{INGEST} SELECT doc_id, kb_id, content_hash, file_type FROM n",
+    "ingested_chunks": f"""{INGEST.replace("WITH", "WITH RECURSIVE", 1)}, {splitting.markdown(512, 64, "SELECT doc_id, t AS text FROM n WHERE file_type = 'markdown'")},
+tx AS (SELECT doc_id AS id, t AS text FROM n WHERE file_type <> 'markdown'), {splitting.cut("tc", "tx", 512, 64)}
+SELECT doc_id, {splitting.NUMBER.format("o1, o2, o3")}, {splitting.LINES}, content, {splitting.TOKENS}, heading FROM md
+UNION ALL SELECT id, {splitting.NUMBER.format("line, k").replace("doc_id", "id")}, {splitting.LINES}, content, {splitting.TOKENS}, NULL FROM tc""",
     "exported_documents": f"{INGEST} SELECT doc_id, CASE WHEN kb_id = 1 THEN 200 ELSE 404 END AS status, CASE WHEN kb_id = 1 THEN CASE WHEN file_type = 'markdown' THEN 'text/markdown; charset=utf-8' ELSE 'text/plain; charset=utf-8' END END AS content_type, CASE WHEN kb_id = 1 THEN t END AS body FROM n",
     "stream_logs": """WITH u AS (SELECT user_id, count(*) AS n FROM events WHERE user_id % 2 = 0 GROUP BY 1)
 SELECT c_custkey AS stream_id, c_nationkey AS key_id, CASE WHEN c_custkey % 3 = 0 THEN 502 ELSE 200 END AS status_code, coalesce(n, 0) AS total_tokens FROM customer LEFT JOIN u ON user_id = c_custkey""",

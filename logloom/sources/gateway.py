@@ -99,6 +99,30 @@ def headed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.array_join(lines, "\n").alias("text"))
 
 
+def stored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the knowledge bases hold before the uploads come: every seventh document."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id % 7 = 0")
+    return d.select((F.col("doc_id") % 3).alias("kb_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"))
+
+
+def lined_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a line break behind each sentence."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.replace("text", F.lit(". "), F.lit(".\n")).alias("text"))
+
+
+def code_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to five symbols for three in four documents; they nest, overlap, and some lie behind the last line."""
+    n, k, i = F.size(F.split("text", "\n")), F.col("k"), F.col("doc_id")
+    d = lined_documents(spark, sf_dir).filter((i % 4 != 3) & F.col("text").isNotNull() & (i % 6 > 0))
+    d = d.select("doc_id", n.alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), i % 6 - 1)).alias("k"))
+    start = (k * 5 + i) % (F.col("n") + 2)
+    kinds = F.element_at(F.array(*map(F.lit, ("function", "class", "type_alias"))), (k % 3 + 1).cast("int"))
+    signature = F.when(k % 2 == 0, F.concat(F.lit("sig "), k))
+    return d.select(
+        "doc_id", F.concat(F.lit("s"), k).alias("name"), kinds.alias("kind"), signature.alias("signature"), start.alias("start_line"), (start + k * 7 % 9).alias("end_line")
+    )
+
+
 def text_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table of each document: a row a line, cut at commas; some cells hold a bar."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")

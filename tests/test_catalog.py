@@ -36,19 +36,6 @@ def test_every_rule_fires(spark):
     assert {(r.level, r.score) for r in security.scores(nothing).collect()} == {("clean", 0)}
 
 
-@pytest.mark.parametrize(
-    ("text", "want"),
-    [
-        ("\n".join(f"line{i}" for i in range(1, 7)), [(0, 4, 8), (4, 5, 3)]),
-        ("\n".join(f"row{i:03d}xx" for i in range(12)), [(0, 2, 7), (2, 4, 7), (4, 6, 7), (6, 8, 7), (8, 10, 7), (10, 11, 5)]),
-        ("short\n" + "x" * 100, [(0, 0, 2), (1, 1, 8), (1, 1, 8), (1, 1, 8), (1, 1, 1)]),
-        ("", []),
-    ],
-)
-def test_chunks(text, want):
-    assert [(a, b, (len(c) + 3) // 4) for a, b, c in knowledge.chunks_of(text, 8, 2)] == want
-
-
 def test_split_text_covers_every_line(spark):
     rows = catalog.QUERIES["split_text"](spark, SF).collect()
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
@@ -58,17 +45,6 @@ def test_split_text_covers_every_line(spark):
     assert gateway.channels(spark).count() == 5
 
 
-def test_markdown_chunks():
-    cut = lambda t: knowledge.markdown_chunks(t, 8, 2)
-    assert cut("intro\n# One\nbody\n  ## Two\nmore") == [(0, 0, "intro", None), (1, 2, "# One\nbody", "One"), (3, 4, "  ## Two\nmore", "Two")]
-    assert cut("# A\n# B") == [(0, 0, "# A", "A"), (1, 1, "# B", "B")]
-    assert cut(" \n# A") == [(1, 1, "# A", "A")]
-    assert cut("") == [] and cut("plain") == [(0, 0, "plain", None)]
-    long = cut("x\n# Big\n" + "y" * 70)
-    assert long[0] == (0, 0, "x", None) and {c[3] for c in long[1:]} == {"Big"}
-    assert all(c[2].startswith("# Big\n") for c in long[1:]) and "".join(c[2][6:] for c in long[2:]) == "y" * 70
-
-
 def test_split_markdown_keeps_every_line(spark):
     docs = {r.doc_id: (r.text or "").split("\n") for r in gateway.headed_documents(spark, SF).collect()}
     seen = {k: set() for k in docs}
