@@ -11,11 +11,11 @@ Line numbers start at 0 and lengths are in code points. Null and empty texts hav
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logloom.functions.variants import bound
+
 SIZE, OVERLAP = 512, 64
 #: Characters that count as one token.
 PER_TOKEN = 4
@@ -27,11 +27,6 @@ RANGES = "array<struct<first:int,last:int>>"
 CHUNKS = "array<struct<first:int,last:int,content:string,heading:string,symbol_name:string,symbol_kind:string,signature:string>>"
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with the value computed once, however often it is read."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def whole(n: Column | int) -> Column:
     return (F.lit(n) if isinstance(n, int) else n).cast("int")
 

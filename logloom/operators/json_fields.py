@@ -1,124 +1,109 @@
-"""The string values of JSON bodies, and rule findings on each."""
+"""The string values of JSON bodies, rule findings on each, and bodies with their secrets masked."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.operators.security import MASKED, explode_findings, with_findings
-
+from logloom.functions.json_text import DEPTH, valid_json, with_value
+from logloom.functions.variants import bound
+from logloom.operators.security import explode_findings, is_whole_secret, mask, with_findings
 
-def _refuse(name: str) -> None:
-    raise ValueError(name)
+ITEMS, FIELDS = "array<variant>", "map<string,variant>"
+#: A string of a compact body with its colon if it is a key, or what lies between strings.
+_PIECE = r'"(?:[^"\\]++|\\.)*+":?|[^"]++'
 
 
-def strings_of(body: str | None) -> list[tuple[str, str]]:
-    """(path, value) of every string, such as ("$.a[0].b", "x"), in the order of the body.
+def strings_of(value: Column) -> Column:
+    """(path, text) of every string of a VARIANT, such as ("$.a[0].b", "x").
 
-    Keys and other values give none; neither does null, or text that is not valid JSON. Of a
-    repeated key the last value counts.
+    A fold over depths: each round turns the open values into their strings and their children.
+    Keys and other values give none.
     """
-    try:
-        whole = json.loads(body or "", parse_constant=_refuse)
-        json.dumps(whole, ensure_ascii=False).encode()  # half a surrogate pair is not valid
-    except (ValueError, RecursionError):
-        return []
-    out, left = [], [("$", whole)]
-    while left:
-        path, value = left.pop()
-        if isinstance(value, str):
-            out.append((path, value))
-        elif isinstance(value, list):
-            left += [(f"{path}[{i}]", v) for i, v in enumerate(value)][::-1]
-        elif isinstance(value, dict):
-            left += [(f"{path}.{k}", v) for k, v in value.items()][::-1]
-    return out
-
-
-#: Text bytes of a batch that goes back to Spark.
-BATCH_BYTES = 4 << 20
-
-
-def in_batches(rows: Iterator[tuple], kinds: dict[str, pa.DataType], size) -> Iterator[pa.RecordBatch]:
-    """Rows as batches of about BATCH_BYTES each, by the size of each row."""
-    held, total = [], 0
-    batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds.values(), strict=True)], names=list(kinds))
-    for row in rows:
-        held.append(row)
-        total += 64 + size(row)
-        if total > BATCH_BYTES:
-            yield batch()
-            held, total = [], 0
-    if held:
-        yield batch()
+    opened, found = "array<struct<path:string,v:variant>>", "array<struct<path:string,text:string>>"
 
+    def at(path: Column, v: Column) -> Column:
+        return F.struct(path.alias("path"), v.alias("v"))
 
-def json_fields(bodies: DataFrame) -> DataFrame:
-    """(id, path, text): a row for each string value of bodies(id, body)."""
-    kinds = {"id": pa.int64(), "path": pa.string(), "text": pa.string()}
+    def children(x: Column) -> Column:
+        def of(items: Column, fields: Column) -> Column:
+            elements = F.transform(items, lambda v, i: at(F.concat(x["path"], F.lit("["), i.cast("string"), F.lit("]")), v))
+            members = F.transform(F.map_entries(fields), lambda e: at(F.concat(x["path"], F.lit("."), e["key"]), e["value"]))
+            return F.coalesce(elements, members, F.array().cast(opened))
+
+        return of(F.try_variant_get(x["v"], "$", ITEMS), F.try_variant_get(x["v"], "$", FIELDS))
+
+    def is_string(x: Column) -> Column:
+        container = F.try_variant_get(x["v"], "$", ITEMS).isNotNull() | F.try_variant_get(x["v"], "$", FIELDS).isNotNull()
+        return F.coalesce(~container & (F.schema_of_variant(x["v"]) == "STRING"), F.lit(False))
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((i, path, text) for b in batches for i, body in zip(b.column("id").to_pylist(), b.column("body").to_pylist(), strict=True) for path, text in strings_of(body))
-        return in_batches(rows, kinds, lambda r: len(r[1]) + len(r[2]))
+    def round_(s: Column, _: Column) -> Column:
+        texts = F.transform(F.filter(s["open"], is_string), lambda x: F.struct(x["path"].alias("path"), F.variant_get(x["v"], "$", "string").alias("text")))
+        after = F.struct(F.flatten(F.transform(s["open"], children)).alias("open"), F.concat(s["found"], texts).alias("found"))
+        return F.when(F.size(s["open"]) > 0, after).otherwise(s)
 
-    return bodies.select(F.col("id").cast("long"), "body").mapInArrow(walk, "id long, path string, text string")
+    start = F.struct(F.array(at(F.lit("$"), value)).cast(opened).alias("open"), F.array().cast(found).alias("found"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(DEPTH)), start, round_, lambda s: s["found"])
+
+
+def json_fields(bodies: DataFrame) -> DataFrame:
+    """(id, path, text): a row for each string value of bodies(id, body); bodies that are no JSON give none."""
+    read = with_value(bodies.select(F.col("id").cast("long").alias("id"), "body"))
+    # an inner explode, or a filter on the value, would have the body read again in the filter it adds
+    return read.select("id", F.explode_outer(strings_of(F.col("v"))).alias("s")).select("id", "s.path", "s.text").filter("path IS NOT NULL")
 
 
 def parse_errors(bodies: DataFrame) -> DataFrame:
-    """(id, status, error) of bodies that are no JSON: the error rows beside json_fields()."""
-    bad = bodies.filter(F.try_parse_json("body").isNull())
-    return bad.select("id", F.lit(400).alias("status"), F.lit("invalid JSON body").alias("error"))
+    """(id, status, error) of the bodies that json_fields() and the conversions give nothing for."""
+    bad = with_value(bodies.select("id", "body")).filter(F.col("v").isNull())
+    valid = valid_json(F.make_valid_utf8("body"))
+    return bad.select("id", F.when(valid, 413).otherwise(400).alias("status"), F.when(valid, "JSON body too large").otherwise("invalid JSON body").alias("error"))
 
 
-def redact_bodies(bodies: DataFrame) -> DataFrame:
-    """(id, body, changed): secrets that are whole strings masked; compact JSON with sorted keys.
+def masked_body(value: Column) -> Column:
+    """(body, changed) of a VARIANT: compact JSON with sorted keys, strings that are secrets masked."""
 
-    A body without such strings, and one that is no JSON, comes back as it was.
-    """
-    kinds = {"id": pa.int64(), "body": pa.string(), "changed": pa.bool_()}
+    def piece(p: Column) -> Column:
+        def of(text: Column) -> Column:
+            secret = F.coalesce(is_whole_secret(text), F.lit(False))
+            return F.struct(F.when(secret, F.to_json(mask(text).cast("variant"))).otherwise(p).alias("piece"), secret.alias("secret"))
+
+        text = F.when(p.startswith('"') & ~p.endswith(":"), F.try_variant_get(F.try_parse_json(p), "$", "string"))
+        return bound(text, of)
 
-    def mask(value: str) -> str:
-        return value[:4] + "****" + value[-4:] if len(value) > 8 else "****"
+    pieces = F.transform(F.regexp_extract_all(F.to_json(value), F.lit(_PIECE), F.lit(0)), piece)
+    whole = lambda ps: F.struct(F.array_join(F.transform(ps, lambda p: p["piece"]), "").alias("body"), F.exists(ps, lambda p: p["secret"]).alias("changed"))
+    return bound(pieces, whole)
 
-    def secret(value: str) -> bool:
-        bare = value.strip()
-        return any(bare.startswith(p) and len(bare.encode()) > n for p, n in MASKED)
 
-    def masked(value, changed: list):
-        if isinstance(value, str) and secret(value):
-            changed.append(True)
-            return mask(value)
-        if isinstance(value, list):
-            return [masked(v, changed) for v in value]
-        return {k: masked(v, changed) for k, v in value.items()} if isinstance(value, dict) else value
+def with_masked(bodies: DataFrame) -> DataFrame:
+    """bodies with _masked and changed beside their columns, in one pass."""
+    read = with_value(bodies, "_v")
+    read = read.withColumn("_m", masked_body(F.col("_v")))
+    changed = F.coalesce(F.col("_m.changed"), F.lit(False))
+    return read.withColumns({"_masked": F.when(changed, F.col("_m.body")).otherwise(F.col("body")), "changed": changed}).drop("_v", "_m")
 
-    def one(i: int, body: str | None) -> tuple:
-        changed: list = []
-        if strings_of(body):
-            whole = masked(json.loads(body), changed)
-        return (i, json.dumps(whole, ensure_ascii=False, sort_keys=True, separators=(",", ":")), True) if changed else (i, body, False)
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (one(i, body) for b in batches for i, body in zip(b.column("id").to_pylist(), b.column("body").to_pylist(), strict=True))
-        return in_batches(rows, kinds, lambda r: len(r[1] or ""))
+def redact_bodies(bodies: DataFrame) -> DataFrame:
+    """(id, body, changed): secrets that are whole strings masked; compact JSON with sorted keys.
 
-    return bodies.select(F.col("id").cast("long"), "body").mapInArrow(walk, "id long, body string, changed boolean")
+    A body without such strings, and one that is no JSON, comes back as it was.
+    """
+    read = with_masked(bodies.select(F.col("id").cast("long").alias("id"), "body"))
+    return read.select("id", F.col("_masked").alias("body"), "changed")
 
 
 def forwarded(bodies: DataFrame, decided: DataFrame, *, redact_secrets: bool = True) -> DataFrame:
     """(id, body, status, sanitized) of decided bodies: what goes on to a channel, or 451 where blocked.
 
-    Secrets are masked where the action is redact or the setting asks for it.
+    Secrets are masked where the action is redact or the setting asks for it. A body's decisions are
+    brought to one, the strictest, so that rows that share an id neither multiply nor go unblocked.
     """
-    masks = (F.col("action") == "redact") | F.lit(redact_secrets)
-    clean = redact_bodies(bodies).select("id", F.col("body").alias("_masked"), "changed")
-    rows = bodies.join(decided.select("id", "action"), "id").join(clean, "id")
-    blocked = F.col("action") == "block"
-    return rows.select("id", F.when(blocked, None).when(masks, F.col("_masked")).otherwise(F.col("body")).alias("body"), F.when(blocked, 451).otherwise(200).alias("status"), (masks & F.col("changed")).alias("sanitized"))
+    strict = F.max(F.when(F.col("action") == "block", 2).when(F.col("action") == "redact", 1).otherwise(0))
+    rows = with_masked(bodies.select("id", "body")).join(decided.groupBy("id").agg(strict.alias("_act")), "id")
+    blocked, masks = F.col("_act") == 2, (F.col("_act") == 1) | F.lit(redact_secrets)
+    body = F.when(blocked, None).when(masks, F.col("_masked")).otherwise(F.col("body"))
+    return rows.select("id", body.alias("body"), F.when(blocked, 451).otherwise(200).alias("status"), (masks & F.col("changed")).alias("sanitized"))
 
 
 def field_findings(bodies: DataFrame, **options) -> DataFrame:

@@ -77,12 +77,12 @@ def knowledge_counts(bases: DataFrame, docs: DataFrame, chunks: DataFrame) -> Da
 
 
 def numbered(logs: DataFrame, *, after: int = 0) -> DataFrame:
-    """Logs with seq, after + 1 on, by created_at and id.
+    """Logs with seq, after + 1 on, by created_at and id; those without a created_at come first.
 
     Rows are numbered within their minute, and minutes by the counts before them, so only the
     table of minutes is ordered in one task.
     """
-    minute = F.substring("created_at", 1, 16)
+    minute = F.coalesce(F.substring("created_at", 1, 16), F.lit(""))
     rows = logs.withColumn("_minute", minute)
     counts = rows.groupBy("_minute").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1))

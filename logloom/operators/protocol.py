@@ -1,7 +1,8 @@
 """Request and response bodies between chat protocols, as columns: JSON text in, JSON text out.
 
 Every function takes bodies(id, body) and gives (id, body). Bodies are parsed once, as VARIANT,
-and written with sorted keys; a body that is no JSON gives null. Nothing is shuffled.
+and written with sorted keys; a body that is not valid (`functions.json_text`) gives null. Nothing
+is shuffled.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logloom.functions.json_text import last_key_counts, valid_json, with_value
 from logloom.functions.variants import as_value, count_of, field, first_of, flag_of, if_any, items_of, joined, kind, null_value, obj, text_of
 
 #: Token limit and roles where a body gives none; a chat's finish and a message's stop reasons.
@@ -19,7 +21,7 @@ CONVERTED_ID = "chatcmpl-converted"
 
 
 def parsed(bodies: DataFrame) -> DataFrame:
-    return bodies.withColumn("v", F.try_parse_json("body"))
+    return with_value(bodies)
 
 
 def written(rows: DataFrame, body: Column) -> DataFrame:
@@ -113,7 +115,8 @@ def openai_to_anthropic(bodies: DataFrame, model: str) -> DataFrame:
     block = lambda **f: obj(**({k: F.lit(None).cast(t) for k, t in (("text", "string"), ("id", "string"), ("name", "string"), ("input", "variant"))} | f))
     text = text_of(field(reply, "content"))
     said = F.when(or_empty(text) != "", F.array(block(type=F.lit("text"), text=text))).otherwise(F.array().cast("array<struct<id:string,input:variant,name:string,text:string,type:string>>"))
-    input_ = lambda t: F.coalesce(F.try_parse_json(or_empty(text_of(field(t, "function.arguments")))), null_value())
+    arguments = lambda t: or_empty(text_of(field(t, "function.arguments")))
+    input_ = lambda t: F.coalesce(F.when(valid_json(arguments(t)), F.try_parse_json(arguments(t))), null_value())
     used = F.transform(F.coalesce(items_of(field(reply, "tool_calls")), F.array().cast("array<variant>")), lambda t: block(type=F.lit("tool_use"), id=or_empty(text_of(field(t, "id"))), name=or_empty(text_of(field(t, "function.name"))), input=input_(t)))
     given, made = usage_of(v, "prompt_tokens", "completion_tokens")
     body = obj(
@@ -128,7 +131,9 @@ def openai_to_anthropic(bodies: DataFrame, model: str) -> DataFrame:
     )
     rows = parsed(bodies)
     failed = field(v, "error").isNotNull()
-    return rows.select("id", F.when(failed, F.to_json(error_shape(text_of(field(v, "error.message")), text_of(field(v, "error.type"))))).when(v.isNotNull(), F.to_json(body)).alias("body"))
+    error = error_shape(text_of(field(v, "error.message")), text_of(field(v, "error.type")))
+    with last_key_counts(rows.sparkSession):
+        return rows.select("id", F.when(failed, F.to_json(error)).when(v.isNotNull(), F.to_json(body)).alias("body"))
 
 
 def error_shape(text: Column, type_: Column | None = None) -> Column:

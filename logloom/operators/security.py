@@ -311,10 +311,15 @@ def mask_evidence(text: Column) -> Column:
 MASKED = [("sk-", 12), ("sk-ant-", 0), ("sk-proj-", 0), ("AIza", 20), ("x-api-key:", 0), ("authorization: bearer", 0), ("ghp_", 0), ("gho_", 0), ("xoxb-", 0), ("AKIA", 0)]
 
 
+def is_whole_secret(text: Column) -> Column:
+    """Whether a value as a whole is a secret, white space around it aside."""
+    bare = F.regexp_replace(text, r"^\p{IsWhite_Space}+|\p{IsWhite_Space}+$", "")
+    return reduce(Column.__or__, [bare.startswith(p) & (F.octet_length(bare) > n) for p, n in MASKED])
+
+
 def redact(values: DataFrame) -> DataFrame:
     """values(id, text) with secrets masked and whether that changed anything."""
-    bare = F.regexp_replace("text", r"^\p{IsWhite_Space}+|\p{IsWhite_Space}+$", "")
-    secret = F.coalesce(reduce(Column.__or__, [bare.startswith(p) & (F.octet_length(bare) > n) for p, n in MASKED]), F.lit(False))
+    secret = F.coalesce(is_whole_secret(F.col("text")), F.lit(False))
     return values.select("id", F.when(secret, mask(F.col("text"))).otherwise(F.col("text")).alias("text"), secret.alias("changed"))
 
 

@@ -4,7 +4,6 @@ import duckdb
 import pytest
 
 from logloom.operators import json_fields, knowledge, lookups, security, tables
-from logloom.operators.json_fields import strings_of
 from logloom.plans import catalog
 from logloom.sources import gateway
 from logloom.streaming.usage import usage_of_streams
@@ -88,13 +87,6 @@ def test_table_changes(spark):
     assert [df.count() for df in left] == [1, 1, 2]
 
 
-def test_strings_of_json():
-    assert strings_of('{"b": [1, "x", {"c d": "y"}], "a": true, "b2": {"k": null, "s": ""}}') == [("$.b[1]", "x"), ("$.b[2].c d", "y"), ("$.b2.s", "")]
-    assert strings_of('"top"') == [("$", "top")] and strings_of('{"a": "x", "a": "y"}') == [("$.a", "y")]
-    for bad in (None, "", "{", "[NaN]", '"\\ud800"', "[" * 100000, "1" * 5000):
-        assert strings_of(bad) == []
-
-
 def test_rule_tables_and_bodies(spark):
     with pytest.raises(ValueError, match="more than"):
         security.rule_options(spark.range(security.MOST_RULES + 1).selectExpr("cast(id as string) as rule_id", "0 as enabled"), gateway.custom_rules(spark))
@@ -122,3 +114,5 @@ def test_numbers_follow(spark):
     rows = spark.createDataFrame([("b", "2024-01-01T00:00"), ("a", "2024-01-01T00:00"), ("c", "2023-01-01T00:00")], "id string, created_at string")
     assert {r.id: r.seq for r in lookups.appended_logs(spark.createDataFrame([(7,)], "seq long"), rows).collect()} == {"c": 8, "a": 9, "b": 10}
     assert lookups.numbered(rows.filter("false")).count() == 0
+    undated = rows.unionByName(spark.createDataFrame([("n", None), ("m", None), ("e", "")], rows.schema))
+    assert {r.id: r.seq for r in lookups.numbered(undated).collect()} == {"m": 1, "n": 2, "e": 3, "c": 4, "a": 5, "b": 6}
