@@ -15,9 +15,9 @@ doc_id, or the same document further left), judged on the input.
    first keeps its bytes. A landmark with more text than a block is merged over its blocks by
    binary search among the sorted windows of earlier blocks.
 5. A landmark with more than HOT places is dealt to several shards by its stretches' bytes.
-   Each sorts its own and gives its distinct windows with their first places. Binary search
-   among splitters, drawn from all shards' windows, deals them to ranges, in which a window's
-   places lie side by side; its least place stays, and all other windows of these stretches go.
+   Each removes its own repeats and gives its distinct windows with their first places. Binary
+   search among splitters, drawn from all shards' windows, deals them to ranges, in which a
+   window's places lie side by side; all but the least go too.
 6. Spans go back to their documents, merge, and are cut out.
 
 Defined cases: null text is empty; matches never cross documents; a document under MATCH bytes
@@ -49,8 +49,8 @@ HOT = 16_384  # of one landmark's windows a shard holds about 40 for each place:
 LAST = (1 << 63) - 1
 #: Contexts of one landmark that a shard knows by heart.
 REMEMBERED = 4096
-#: Kinds of spans: bytes that go; starts of windows that go; a start among these that stays.
-GONE, STARTS, FIRST = 0, 1, 2
+#: Kinds of spans: bytes that go; a start whose window goes; a shard's first place of a window.
+GONE, START, FIRST = 0, 1, 2
 SPANS = "doc_id long, version long, first long, end long, kind int, window binary"
 STRETCHES = "doc_id long, version long, n_bytes long, h1 long, h2 long, mark array<long>, lo array<int>, hi array<int>, places array<int>"
 
@@ -201,8 +201,8 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray) -> np.ndarray:
 class Shard:
     """Contexts sorted by (landmark, document, start), taken block by block.
 
-    A part of a landmark (`split`) gives its distinct windows with their first places instead of
-    its repeats: an entry of `out` has a window then, and its end is the start's successor.
+    A part of a landmark (`split`) also gives its distinct windows with their first places, in
+    `firsts`. Of windows that several parts in a block have, the least place by document counts.
     """
 
     def __init__(self, block: int = BLOCK, split: bool = False):
@@ -213,6 +213,7 @@ class Shard:
         self.contexts: list[bytes] = []
         self.size, self.tail = 0, 0
         self.out: list[tuple] = []
+        self.firsts: list[tuple] = []
 
     def add(self, mark: int, doc, lo: int, context: bytes) -> None:
         if mark != self.mark:
@@ -222,8 +223,7 @@ class Shard:
         elif self.docs and (doc, lo) == (self.docs[-1], self.los[-1]):
             return  # an equal row
         if context in self.first:
-            if not self.split:
-                self.out.append((doc, lo, lo + len(context)))
+            self.out.append((doc, lo, lo + len(context)))
             return
         if len(self.first) < REMEMBERED:  # what is forgotten meets in the suffix array
             self.first.add(context)
@@ -248,43 +248,49 @@ class Shard:
         sa = suffix_array(data, MATCH)
         run = np.flatnonzero(np.append(True, common_prefixes(data, sa)[1:] < MATCH))
         place = np.where(valid[sa], sa, len(data))
-        if self.split:  # a block holds contexts of several salts, so the first place is not the leftmost
+        if self.split:  # a block holds contexts of several parts, so the first place is not the leftmost
             order = np.empty(len(lengths), np.int64)
             order[sorted(range(len(lengths)), key=lambda c: (self.docs[c], self.los[c]))] = np.arange(len(lengths))
             inside = np.minimum(np.searchsorted(ends, place, side="right"), len(lengths) - 1)
             least = np.minimum.reduceat(np.where(place < len(data), order[inside] << 32 | place, LAST), run)
-            for p in (least[least < LAST] & (1 << 32) - 1).tolist():
-                c = int(np.searchsorted(ends, p, side="right"))
-                at = self.los[c] + p - int(starts[c])
-                self.out.append((self.docs[c], at, at + 1, raw[p : p + MATCH]))
+            least = np.where(least < LAST, least & (1 << 32) - 1, len(data))
         else:
             least = np.minimum.reduceat(place, run)  # first place of each distinct window, in their order
-            first = np.repeat(least, np.diff(np.append(run, len(sa))))
-            again = np.zeros(len(data), bool)
-            again[sa[valid[sa] & (place != first)]] = True
-            if open_group or len(self.seen):  # the last landmark's windows meet those of its other blocks
-                at = int(starts[self.tail]) if self.tail < len(starts) else len(data)
-                own = np.array([raw[p : p + MATCH] for p in least[(least >= at) & (least < len(data))].tolist()], f"S{MATCH}")
-                if len(self.seen) and len(own):
-                    k = np.minimum(np.searchsorted(self.seen, own), len(self.seen) - 1)
-                    old = self.seen[k] == own
-                    known = np.zeros(len(data) + 1, bool)
-                    known[least[(least >= at) & (least < len(data))][old]] = True
-                    again[sa[valid[sa] & known[first]]] = True
-                    own = own[~old]
-                self.seen = np.sort(np.concatenate([self.seen, own]), kind="stable")
-            edge = np.flatnonzero(np.diff(np.concatenate([[False], again, [False]]).astype(np.int8)))
-            for i, j in edge.reshape(-1, 2).tolist():
-                for c in range(int(np.searchsorted(ends, i, side="right")), int(np.searchsorted(starts, j, side="left"))):
-                    a, z = max(i, int(starts[c])), min(j, int(ends[c]) - MATCH + 1)
-                    if a < z:
-                        self.out.append((self.docs[c], self.los[c] + a - int(starts[c]), self.los[c] + z - int(starts[c]) + MATCH - 1))
+        first = np.repeat(least, np.diff(np.append(run, len(sa))))
+        again, known = np.zeros(len(data), bool), np.zeros(len(data) + 1, bool)
+        again[sa[valid[sa] & (place != first)]] = True
+        if open_group or len(self.seen):  # the last landmark's windows meet those of its other blocks
+            at = int(starts[self.tail]) if self.tail < len(starts) else len(data)
+            last = least[(least >= at) & (least < len(data))]
+            own = np.array([raw[p : p + MATCH] for p in last.tolist()], f"S{MATCH}")
+            if len(self.seen) and len(own):
+                k = np.minimum(np.searchsorted(self.seen, own), len(self.seen) - 1)
+                old = self.seen[k] == own
+                known[last[old]] = True
+                again[sa[valid[sa] & known[first]]] = True
+                own = own[~old]
+            self.seen = np.sort(np.concatenate([self.seen, own]), kind="stable")
+        if self.split:
+            for p in least[(least < len(data)) & ~known[least]].tolist():
+                c = int(np.searchsorted(ends, p, side="right"))
+                self.firsts.append((self.docs[c], self.los[c] + p - int(starts[c]), raw[p : p + MATCH]))
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], again, [False]]).astype(np.int8)))
+        for i, j in edge.reshape(-1, 2).tolist():
+            for c in range(int(np.searchsorted(ends, i, side="right")), int(np.searchsorted(starts, j, side="left"))):
+                a, z = max(i, int(starts[c])), min(j, int(ends[c]) - MATCH + 1)
+                if a < z:
+                    self.out.append((self.docs[c], self.los[c] + a - int(starts[c]), self.los[c] + z - int(starts[c]) + MATCH - 1))
         self.docs, self.los, self.contexts, self.size, self.tail = [], [], [], 0, 0
 
     def take(self) -> list[tuple]:
         out, self.out = self.out, []
         return out
 
+    def rows(self) -> list[tuple]:
+        """What was found since, as rows of SPANS."""
+        firsts, self.firsts = self.firsts, []
+        return [(*doc, a, z, GONE, None) for doc, a, z in self.take()] + [(*doc, a, a + 1, FIRST, w) for doc, a, w in firsts]
+
 
 def spans_batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
@@ -292,38 +298,38 @@ def spans_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def repeat_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans of whole landmarks; of split ones the starts that go and each shard's first windows."""
+    """Spans that go, and of split landmarks each shard's first windows."""
     whole, part = Shard(), Shard(split=True)
 
-    def taken(starts: list[tuple]) -> Iterator[pa.RecordBatch]:
-        rows = [(*doc, a, z, GONE, None) for doc, a, z in whole.take()] + [(*doc, a, z, FIRST, w) for doc, a, z, w in part.take()] + starts
-        if rows:
+    def taken() -> Iterator[pa.RecordBatch]:
+        if rows := whole.rows() + part.rows():
             yield spans_batch(rows)
 
     for b in batches:
-        starts = []
         for mark, doc, version, lo, context, parts, salt in zip(*(b.column(c).to_pylist() for c in ("mark", "doc_id", "version", "lo", "context", "parts", "salt")), strict=True):
             if parts > 1:
                 part.add((mark, salt), (doc, version), lo, context)
-                starts.append((doc, version, lo, lo + len(context) - MATCH + 1, STARTS, None))
             else:
                 whole.add(mark, (doc, version), lo, context)
-        yield from taken(starts)
+        yield from taken()
     whole.flush()
     part.flush()
-    yield from taken([])
+    yield from taken()
 
 
-def first_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first row of each window, of rows sorted by window and place."""
+def later_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The places of each window but its first, of rows sorted by window and place, as starts that go."""
     last = None
     for b in batches:
         if b.num_rows:
             windows = text_buffer(b.column("window"))[0].view(f"S{MATCH}")
-            new = np.append(True, windows[1:] != windows[:-1])
-            new[0] = windows[0] != last
+            old = np.append(False, windows[1:] == windows[:-1])
+            old[0] = windows[0] == last
             last = windows[-1]
-            yield b.filter(pa.array(new))
+            if old.any():
+                b = b.filter(pa.array(old))
+                kind = pa.array(np.full(b.num_rows, START, np.int32))
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "version", "first", "end")), kind], names=["doc_id", "version", "first", "end", "kind"])
 
 
 def version() -> Column:
@@ -355,24 +361,17 @@ def repeated_spans(docs: DataFrame, *, hot: int = HOT) -> DataFrame:
     spans = staged(dealt.mapInArrow(repeat_rows, SPANS), "spans")
     unstage(by_doc)
     windows = spans.filter(F.col("window").isNotNull()).repartitionByRange("window").sortWithinPartitions("window", *place, "first")
-    return spans.filter(F.col("window").isNull()).unionByName(windows.mapInArrow(first_rows, SPANS)).drop("window").unionByName(copies)
+    later = windows.mapInArrow(later_rows, SPANS.removesuffix(", window binary"))
+    return spans.filter(F.col("window").isNull()).drop("window").unionByName(later).unionByName(copies)
 
 
 def keep_mask(n: int, spans: list[dict]) -> tuple[np.ndarray, int]:
     """True for bytes that stay, and the number of removed runs."""
-    bytes_, starts = np.zeros(n + MATCH + 1, np.int64), np.zeros(n + 1, np.int64)
+    change = np.zeros(n + 1, np.int64)
     for s in spans:
-        if s["kind"] != FIRST:
-            change = bytes_ if s["kind"] == GONE else starts
-            change[min(s["first"], n)] += 1
-            change[min(s["end"], n)] -= 1
-    if starts.any():
-        windows = np.cumsum(starts[:-1]) > 0
-        windows[[s["first"] for s in spans if s["kind"] == FIRST]] = False
-        at = np.flatnonzero(windows)
-        bytes_[at] += 1
-        bytes_[at + MATCH] -= 1
-    gone = np.cumsum(bytes_[:n]) > 0
+        change[min(s["first"], n)] += 1
+        change[min(s["end"] + (MATCH - 1 if s["kind"] == START else 0), n)] -= 1
+    gone = np.cumsum(change[:n]) > 0
     return ~gone, int(np.count_nonzero(gone & ~np.append(False, gone[:-1])))
 
 
