@@ -75,8 +75,6 @@ SAID = {
 CUSTOM_SAID = ("自定义规则: {kind}", "匹配自定义blacklist规则: {pattern}")
 NOTHING, SUMMARY, RESPONSE_PART = "未发现安全风险", "检测到 %d 条风险规则命中，涉及类别：%s（最高等级：%s）", " | 响应侧: "
 PRIVATE_KEY_EVIDENCE, EVIDENCE_BYTES = "-----BEGIN PRIVATE KEY-----", 64
-#: Rules whose texts a rule table may hold at most; it is collected to build the scan's expressions.
-MOST_RULES = 10_000
 
 
 def lower_ascii(c: Column) -> Column:
@@ -221,25 +219,6 @@ def stored_findings(found: DataFrame, *keys: str, phase: str = "request", said:
     )
 
 
-def rule_options(builtin: DataFrame, custom: DataFrame) -> dict:
-    """Options of with_findings() from rule tables, of MOST_RULES rows each at most.
-
-    builtin(rule_id, enabled); custom(rule_type, category, pattern, severity, action, enabled,
-    created_at), newest first. Unknown severities are medium, no action is a warning, and rules
-    of other categories never match.
-    """
-    off = builtin.filter("enabled = 0").orderBy("rule_id").limit(MOST_RULES + 1).collect()
-    rows = custom.filter(F.col("enabled") != 0).filter(F.col("category").isin(*EXEMPTS, "keyword")).orderBy(F.desc("created_at"), "pattern").limit(MOST_RULES + 1).collect()
-    if max(len(off), len(rows)) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
-    known = set(BASE) - {"clean"}
-    return {
-        "disabled": tuple(r["rule_id"] for r in off),
-        "whitelist": tuple((r["category"], r["pattern"]) for r in rows if r["rule_type"] == "whitelist"),
-        "custom": tuple((r["category"], r["pattern"], r["severity"] if r["severity"] in known else "medium", r["action"] or "warn") for r in rows if r["rule_type"] == "blacklist"),
-    }
-
-
 def base_of(severity: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in BASE.items() for x in kv]), severity)
 
@@ -265,6 +244,11 @@ def summary_of(count: Column, categories: Column, level: Column) -> Column:
 
 
 def scores(texts: DataFrame, *, summary: bool = False, **options) -> DataFrame:
+    """scored() of texts(id, text) under options of with_findings()."""
+    return scored(with_findings(texts, **options), summary=summary)
+
+
+def scored(found: DataFrame, *, summary: bool = False) -> DataFrame:
     """(id, score, findings, level, blocked) for each text, and a summary; no finding is clean and 0.
 
     `blocked` is whether a custom rule asks for a block.
@@ -272,9 +256,9 @@ def scores(texts: DataFrame, *, summary: bool = False, **options) -> DataFrame:
     some = lambda test: F.exists("found", test)
     score = total(F.array_max(F.transform("found", lambda f: base_of(f["severity"]))), some)
     categories = F.array_sort(F.array_distinct(F.transform("found", lambda f: f["category"])))
-    scored = with_findings(texts, **options).select("id", score.alias("score"), F.size("found").cast("long").alias("findings"), some(lambda f: f["action"] == "block").alias("blocked"), *[categories.alias("categories")] * summary)
+    rows = found.select("id", score.alias("score"), F.size("found").cast("long").alias("findings"), some(lambda f: f["action"] == "block").alias("blocked"), *[categories.alias("categories")] * summary)
     said = [summary_of(F.col("findings"), F.col("categories"), level_of(F.col("score"))).alias("summary")] * summary
-    return scored.select("id", "score", "findings", level_of(F.col("score")).alias("level"), "blocked", *said)
+    return rows.select("id", "score", "findings", level_of(F.col("score")).alias("level"), "blocked", *said)
 
 
 def body_scores(found: DataFrame) -> DataFrame:

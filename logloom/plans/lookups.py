@@ -5,21 +5,26 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from logloom.functions import text
-from logloom.operators import chunks, json_fields, logs, lookups, protocol, security
+from logloom.operators import chunks, json_fields, logs, lookups, protocol, rule_tables, security
 from logloom.plans import splitting
 from logloom.sources import gateway
 
 TODAY = "2024-01-30"
 docs = lambda s, d: s.read.parquet(f"{d}/documents.parquet")
-options = lambda s: security.rule_options(gateway.builtin_rules(s), gateway.custom_rules(s))
+ruled = lambda s, d: rule_tables.with_rule_tables(gateway.scan_input(s, d).withColumn("path", F.lit("$.text")), gateway.builtin_rules(s), gateway.custom_rules(s))
 fields = lambda s, d: security.with_findings(json_fields.json_fields(gateway.json_bodies(s, d)))
 SAID = {r[2]: r[6] for r in gateway.CUSTOM_RULES if r[6]}
 summed = lambda s, d, k=0: security.scores(gateway.scan_input(s, d, k), summary=True)
 
 
 def stored(s, d):
-    found = security.with_findings(gateway.scan_input(s, d).withColumn("path", F.lit("$.text")), **options(s))
-    return security.stored_findings(found, "id", said=SAID)
+    return security.stored_findings(ruled(s, d), "id", said=SAID)
+
+
+def custom_hits(s, d):
+    """Each rule that a document contains, by the document."""
+    hits = rule_tables.rule_hits(F.col("text"), gateway.many_rules(s, d))
+    return docs(s, d).select("doc_id", F.explode_outer(hits).alias("h")).filter("h IS NOT NULL").select("doc_id", "h.*")
 
 
 def text_functions(s, d):
@@ -55,7 +60,9 @@ QUERIES = {
     "log_risk_filters": lambda s, d: logs.search_logs(gateway.request_logs(s, d), risk_level="critical", security_action="block", is_stream=1).select("id"),
     "stored_findings": stored,
     "findings_of_log": lambda s, d: lookups.findings_of(stored(s, d), 5).select("place", "rule_id", "severity"),
-    "scan_rule_tables": lambda s, d: security.scores(gateway.scan_input(s, d), **options(s)),
+    "scan_rule_tables": lambda s, d: security.scored(ruled(s, d)),
+    "scan_many_rules": lambda s, d: security.scored(rule_tables.with_rule_tables(gateway.scan_input(s, d), gateway.builtin_rules(s), gateway.many_rules(s, d))),
+    "custom_rule_hits": custom_hits,
     "scan_summary": lambda s, d: security.decide(summed(s, d), "block"),
     "scan_bodies": lambda s, d: security.body_scores(fields(s, d)),
     "response_merge_summary": lambda s, d: security.merge_response(security.decide(summed(s, d), "redact"), summed(s, d, 5)),
@@ -128,6 +135,14 @@ SELECT c_custkey AS stream_id, c_nationkey AS key_id, CASE WHEN c_custkey % 3 =
 }
 
 
+lowered = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: The many rules that the source derives, as they count.
+MANY = f"""m0 AS (SELECT doc_id AS i, CASE WHEN doc_id % 5 = 0 THEN 'whitelist' ELSE 'blacklist' END AS rule_type, left(text, 12) AS pattern FROM documents WHERE length(text) >= 12
+  UNION ALL SELECT c_custkey, 'blacklist', c_name FROM customer UNION ALL SELECT p_partkey, 'blacklist', split_part(p_name, ' ', 1) FROM part),
+m AS (SELECT rule_type, list_extract(['domain', 'tool', 'path', 'keyword'], CAST(i % 4 + 1 AS INT)) AS category, pattern, list_extract(['critical', 'high', 'low', 'info', 'medium', 'medium'], CAST(i % 6 + 1 AS INT)) AS severity,
+  CASE i % 3 WHEN 1 THEN 'block' ELSE 'warn' END AS action, {lowered("pattern")} AS low FROM m0 WHERE i % 7 <> 0)"""
+
+
 def scan_sql(texts, scan, scored, when, select, listed) -> dict[str, str]:
     """SQL of the scan queries here, from the catalog's SQL for each rule's condition."""
     on = {r: v for r, v in when.items() if r not in ("network.external_url", "personal.email")}
@@ -151,7 +166,14 @@ WHEN 'unicode.zero_width' THEN {count("zero_width", "[\\x{200B}-\\x{200D}\\x{206
 WHEN 'custom.blacklist.keyword' THEN 'Cookie' WHEN 'custom.blacklist.tool' THEN 'wget' WHEN 'custom.blacklist.path' THEN '/home' ELSE {show} END"""
     names = "s(rule_id, title, detail) AS (VALUES " + ", ".join(f"('{r}', '{a}', '{b}')" for r, (a, b) in security.SAID.items()) + ", ('custom.blacklist.keyword', '自定义规则: keyword', 'no cookies'), ('custom.blacklist.tool', '自定义规则: tool', '匹配自定义blacklist规则: wget'), ('custom.blacklist.path', '自定义规则: path', '匹配自定义blacklist规则: /home'))"
     tables = f"{texts}, f AS ({all_rows}), {names}"
+    spares = "category = 'keyword' OR category = 'domain' AND x.category = 'network' OR category = 'tool' AND x.category = 'tool' OR category = 'path' AND x.category IN ('file', 'infra')"
+    ruled = " UNION ALL ".join(select(r, c, v, "", w) for r, (c, v, w) in on.items())
+    many = f"""SELECT * FROM ({ruled}) x WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.id = x.id AND h.rule_type = 'whitelist' AND ({spares.replace("category =", "h.category =").replace("x.h.", "x.")}))
+UNION ALL SELECT id, 'custom.blacklist.' || category, 'custom', severity, action FROM h WHERE rule_type = 'blacklist'"""
+    matched = f"{MANY}, h AS (SELECT t.id, m.* EXCLUDE (low) FROM t JOIN m ON contains(t.low, m.low))"
     return {
+        "scan_many_rules": scored(many).replace(", f AS (", f", {matched}, f AS (", 1) + " SELECT id, score, findings, level, blocked FROM v",
+        "custom_rule_hits": f"WITH {MANY}, t AS (SELECT doc_id, {lowered('text')} AS low FROM documents) SELECT doc_id, rule_type, category AS kind, pattern, severity, action FROM t JOIN m ON contains(t.low, m.low)",
         "scan_rule_tables": f"{scored(all_rows)} SELECT id, score, findings, level, blocked FROM v",
         "scan_without_groups": f"{scored(grouped)} SELECT id, score, findings, level, blocked FROM v",
         "scan_summary": f"{base} SELECT id, score, findings, level, blocked, summary, CASE WHEN level IN ('high', 'critical') THEN 'block' ELSE 'allow' END AS action, CASE WHEN level IN ('high', 'critical') THEN summary END AS blocked_reason FROM y",
