@@ -248,17 +248,46 @@ def scores(texts: DataFrame, *, summary: bool = False, **options) -> DataFrame:
     return scored(with_findings(texts, **options), summary=summary)
 
 
-def scored(found: DataFrame, *, summary: bool = False) -> DataFrame:
+#: A gateway's security settings before any is made.
+DEFAULTS = {
+    "enabled": "true",
+    "mode": "audit",
+    "scan_request": "true",
+    "scan_response": "false",
+    "scan_unicode": "false",
+    "scan_tools": "true",
+    "scan_network": "true",
+    "redact_secrets": "true",
+    "block_on_critical": "false",
+    "max_scan_bytes": "65536",
+}
+
+
+def under_settings(found: DataFrame, *, phase: str = "request") -> DataFrame:
+    """with_findings() of rows with a `setting` of DEFAULTS' names, less what it switches off.
+
+    Nothing is found where scanning, or that of the phase, is off; the groups unicode, network and
+    tools have a switch each. Texts are scanned whole, whatever max_scan_bytes says.
+    """
+    is_on = lambda name: F.col("setting")[name] == "true"
+    tool = lambda f: f["rule_id"].startswith("tool.") | (f["rule_id"] == "file.sensitive_path")
+    kept = F.filter("found", lambda f: ((f["category"] != "unicode") | is_on("scan_unicode")) & ((f["category"] != "network") | is_on("scan_network")) & (~tool(f) | is_on("scan_tools")))
+    return found.withColumn("found", F.when(is_on("enabled") & is_on(f"scan_{phase}"), kept).otherwise(F.slice("found", 1, 0)))
+
+
+def scored(found: DataFrame, *, summary: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, score, findings, level, blocked) for each text, and a summary; no finding is clean and 0.
 
+    Columns to `keep` come last.
+
     `blocked` is whether a custom rule asks for a block.
     """
     some = lambda test: F.exists("found", test)
     score = total(F.array_max(F.transform("found", lambda f: base_of(f["severity"]))), some)
     categories = F.array_sort(F.array_distinct(F.transform("found", lambda f: f["category"])))
-    rows = found.select("id", score.alias("score"), F.size("found").cast("long").alias("findings"), some(lambda f: f["action"] == "block").alias("blocked"), *[categories.alias("categories")] * summary)
+    rows = found.select("id", score.alias("score"), F.size("found").cast("long").alias("findings"), some(lambda f: f["action"] == "block").alias("blocked"), *[categories.alias("categories")] * summary, *keep)
     said = [summary_of(F.col("findings"), F.col("categories"), level_of(F.col("score"))).alias("summary")] * summary
-    return rows.select("id", "score", "findings", level_of(F.col("score")).alias("level"), "blocked", *said)
+    return rows.select("id", "score", "findings", level_of(F.col("score")).alias("level"), "blocked", *said, *keep)
 
 
 def body_scores(found: DataFrame) -> DataFrame:
@@ -334,15 +363,17 @@ def redact_inside(text: Column, key: Column | None = None) -> Column:
     return text
 
 
-def decide(scored: DataFrame, mode: str, *, block_on_critical: bool = False) -> DataFrame:
+def decide(scored: DataFrame, mode: str | Column, *, block_on_critical: bool | Column = False) -> DataFrame:
     """Adds the action of audit, warn, redact or block mode; blocks asked for by rules come last.
 
+    Both settings may be columns, as they are under settings in force.
+
     A blocked row with a summary has it as its reason.
     """
-    at = {"warn": ("medium", "high", "critical"), "redact": ("high", "critical"), "block": ("high", "critical")}.get(mode, ())
-    action = F.when(F.col("level").isin(*at), mode).otherwise("allow") if at else F.lit("allow")
-    if block_on_critical:
-        action = F.when(F.col("level") == "critical", "block").otherwise(action)
+    mode = F.lit(mode) if isinstance(mode, str) else mode
+    strict = F.lit(block_on_critical) if isinstance(block_on_critical, bool) else block_on_critical
+    bad = mode.isin("redact", "block") & F.col("level").isin("high", "critical") | (mode == "warn") & F.col("level").isin("medium", "high", "critical")
+    action = F.when(strict & (F.col("level") == "critical"), "block").when(bad, mode).otherwise("allow")
     decided = scored.withColumn("action", F.when(F.col("blocked"), "block").otherwise(action))
     return decided.withColumn("blocked_reason", F.when(F.col("action") == "block", F.col("summary"))) if "summary" in scored.columns else decided
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from logloom.operators import dispatch, json_fields, knowledge, logs, security
-from logloom.plans import lookups, protocols, splitting, streams
+from logloom.plans import changes, lookups, protocols, splitting, streams
 from logloom.sources import gateway
 from logloom.streaming import usage as stream_usage
 
@@ -144,5 +144,6 @@ SELECT id, CASE WHEN len(lines) > 1 THEN replace(lines[1], chr(1), ' | ') || '|'
     "kb_stats": "SELECT source, count(*) AS docs, CAST(sum((length(coalesce(text, '')) + 3) // 4) AS BIGINT) AS tokens FROM documents GROUP BY 1",
 }
 
-QUERIES |= protocols.QUERIES | streams.QUERIES | lookups.QUERIES | splitting.QUERIES
+QUERIES |= protocols.QUERIES | streams.QUERIES | lookups.QUERIES | splitting.QUERIES | changes.QUERIES
 SQL |= protocols.SQL | streams.SQL | lookups.SQL | splitting.SQL | lookups.scan_sql(TEXTS, SCAN, scored, WHEN, select, listed)
+SQL |= changes.sql(SQL["usage_from_sse"], scored, FOUND)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -139,6 +139,38 @@ def stream_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("stream_id"), e.alias("offset"), data.alias("data"))
 
 
+def cut_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same streams with every piece cut in two, the second half going with the next piece's first."""
+    own = Window.partitionBy("stream_id").orderBy("offset")
+    size = F.length("data")
+    halves = stream_chunks(spark, sf_dir).select("stream_id", "offset", F.expr("left(data, length(data) div 2)").alias("a"), F.substring("data", F.expr("length(data) div 2 + 1"), size).alias("b"))
+    halves = halves.withColumns({"before": F.lag("b", 1, "").over(own), "after": F.lead("offset").over(own)})
+    rest = halves.filter("after IS NULL").select("stream_id", (F.col("offset") + 1).alias("offset"), F.col("b").cast("binary").alias("data"))
+    return halves.select("stream_id", "offset", F.concat("before", "a").cast("binary").alias("data")).unionByName(rest)
+
+
+def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a feed of changes to customers: inserts, deletes and updates that give some columns."""
+    i = F.col("event_id")
+    op = F.when(i % 11 == 0, "delete").when(i % 4 == 1, "insert").otherwise("update")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select(F.col("user_id").alias("c_custkey"), i.alias("seq"), op.alias("op"), F.when(i % 3 == 0, F.col("event_type")).alias("c_name"), F.when(i % 2 == 0, F.floor("value").cast("long")).alias("balance"))
+
+
+def setting_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh event makes a setting."""
+    i = F.col("event_id")
+    pick = lambda of, k: F.element_at(F.array(*map(F.lit, of)), (k % len(of) + 1).cast("int"))
+    name = pick(SETTINGS, i)
+    value = F.when(name == "mode", pick(("audit", "warn", "redact", "block"), F.floor(i / 10))).when(i % 3 == 0, "false").otherwise("true")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").filter(i % 7 == 0)
+    return e.select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("since"), name.alias("name"), value.alias("value"))
+
+
+#: Settings that the versions are made for.
+SETTINGS = ("enabled", "mode", "scan_request", "scan_unicode", "scan_tools", "scan_network", "block_on_critical")
+
+
 def json_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Request bodies whose user message is a scanned text, with blocks and other values around it."""
     block = F.array(F.struct(F.lit("text").alias("type"), F.lit("see https://a.b").alias("text")))
