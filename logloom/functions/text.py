@@ -86,6 +86,16 @@ def string_list(text: Column) -> Column:
     return F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))
 
 
+def string_map(text: Column) -> Column:
+    """A JSON object of strings; an empty one where it is none."""
+    return F.coalesce(F.from_json(text, "map<string,string>"), F.from_json(F.lit("{}"), "map<string,string>"))
+
+
+def flag(number: Column) -> Column:
+    """Whether a stored 0 or 1 is 1; null is not."""
+    return F.coalesce(number == 1, F.lit(False))
+
+
 def page_count(total: Column, size: int) -> Column:
     return F.greatest(F.lit(1), F.ceil(total / size)).cast("long")
 

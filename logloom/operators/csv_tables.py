@@ -58,13 +58,17 @@ def csv_tables(files: DataFrame) -> DataFrame:
     Bytes that are no UTF-8, records of several widths, and files without a record are errors.
     """
     text = F.try_validate_utf8(F.col("content").cast("string"))
-    bare = F.when(text.startswith("﻿"), F.substring(text, 2, F.length(text))).otherwise(text)
-    read = files.select("doc_id", bare.alias("text")).select("doc_id", records_of(F.col("text")).alias("rows"))
-    width = F.size(F.get("rows", 0))
-    wrong = F.get(F.filter(F.transform("rows", lambda r, i: F.struct(i.alias("i"), F.size(r).alias("n"))), lambda r: r["n"] != width), 0)
-    ragged = F.concat(F.lit(BROKEN), F.format_string("record %d has %d fields, the one before %d", wrong["i"], wrong["n"], width))
-    error = F.when(F.col("rows").isNull(), BROKEN + "invalid UTF-8").when(F.size("rows") == 0, EMPTY).when(wrong.isNotNull(), ragged)
-    return read.withColumn("error", error).withColumn("rows", F.when(F.col("error").isNull(), F.col("rows")))
+    bare = F.when(text.startswith("\ufeff"), F.substring(text, 2, F.length(text))).otherwise(text)
+
+    def judged(rows: Column) -> Column:
+        width = F.size(F.get(rows, 0))
+        wrong = F.get(F.filter(F.transform(rows, lambda r, i: F.struct(i.alias("i"), F.size(r).alias("n"))), lambda r: r["n"] != width), 0)
+        ragged = F.concat(F.lit(BROKEN), F.format_string("record %d has %d fields, the one before %d", wrong["i"], wrong["n"], width))
+        error = F.when(rows.isNull(), BROKEN + "invalid UTF-8").when(F.size(rows) == 0, EMPTY).when(wrong.isNotNull(), ragged)
+        return bound(error, lambda e: F.struct(F.when(e.isNull(), rows).alias("rows"), e.alias("error")))
+
+    # one expression, which is not read again for each column
+    return files.select("doc_id", bound(bare, lambda t: bound(records_of(t), judged)).alias("t")).select("doc_id", "t.rows", "t.error")
 
 
 def csv_markdown(files: DataFrame) -> DataFrame:

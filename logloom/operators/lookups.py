@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.functions.text import extension, file_type, language
+from logloom.functions.text import extension, file_type, flag, generated_id, language, string_list, string_map
 from logloom.operators.chunks import split_by_type
 
 #: Channel types with their default address and models; an unknown type is custom.
@@ -42,6 +42,44 @@ def enabled_channels(channels: DataFrame) -> DataFrame:
     return in_order(channels.filter("status = 1"), F.desc("priority"), F.desc("weight"), F.col("channel_id"))
 
 
+def typed_channels(stored: DataFrame) -> DataFrame:
+    """Stored channels with their model lists and mappings read; what is no JSON is empty."""
+    return stored.withColumns({"models": string_list(F.col("models")), "mapping": string_map(F.col("mapping"))})
+
+
+def created_channels(inputs: DataFrame, *, now: str, seed: str) -> DataFrame:
+    """Rows for new channels inputs(name, type, base_url, models, mapping, priority, weight), as they are stored.
+
+    Ids take a hash of the seed and the name for randomness, so that retried tasks agree; channels
+    start enabled, unnamed types are custom, and lists and mappings are written as JSON.
+    """
+    return inputs.select(
+        generated_id(F.lit(seed), F.col("name")).alias("id"),
+        "name",
+        F.coalesce("type", F.lit("custom")).alias("type"),
+        F.coalesce("base_url", F.lit("")).alias("base_url"),
+        F.to_json(F.coalesce("models", F.array().cast("array<string>"))).alias("models"),
+        F.to_json(F.coalesce("mapping", F.from_json(F.lit("{}"), "map<string,string>"))).alias("mapping"),
+        F.lit(1).alias("status"),
+        F.coalesce("priority", F.lit(0)).cast("int").alias("priority"),
+        F.coalesce("weight", F.lit(1)).cast("int").alias("weight"),
+        F.lit(now).alias("created_at"),
+        F.lit(now).alias("updated_at"),
+    )
+
+
+def log_views(logs: DataFrame) -> DataFrame:
+    """Logs as a client shows them: flags as booleans, the message under its own name."""
+    return logs.withColumns({c: flag(F.col(c)) for c in ("is_stream", "is_retry")}).withColumnRenamed("message", "error_message")
+
+
+def document_totals(docs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(doc_id, chunk_count, token_count) of each document; one without chunks has none."""
+    each = chunks.groupBy("doc_id").agg(F.count("*").alias("chunk_count"), F.sum("token_count").alias("token_count"))
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("chunk_count", "token_count")]
+    return docs.select("doc_id").join(each, "doc_id", "left").select("doc_id", *counts)
+
+
 def newest(table: DataFrame, at: str, key: str, n: int) -> DataFrame:
     """The n newest rows, a top-k without a full sort."""
     return table.orderBy(F.desc(at), key).limit(n)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from logloom.operators import dispatch, json_fields, knowledge, logs, security
-from logloom.plans import changes, lookups, protocols, splitting, streams
+from logloom.plans import changes, lookups, protocols, reads, splitting, streams
 from logloom.sources import gateway
 from logloom.streaming import usage as stream_usage
 
@@ -43,7 +43,6 @@ QUERIES = {
     "channel_candidates": lambda s, d: dispatch.candidates(gateway.requests(s, d), gateway.channels(s)),
     "failover_queue": lambda s, d: queue(s, d).select("request_id", "channel_id", "rank"),
     "attempts_and_outcome": lambda s, d: dispatch.outcomes(tried(s, d)),
-    "list_models": lambda s, d: dispatch.list_models(gateway.channels(s)),
     "key_validity": lambda s, d: dispatch.key_validity(gateway.api_keys(s, d), as_of=NOW),
     "quota_verdict": lambda s, d: dispatch.quota_verdict(gateway.api_keys(s, d), max_tokens=4000),
     "quota_usage": lambda s, d: dispatch.charge(gateway.api_keys(s, d), gateway.request_logs(s, d)),
@@ -132,7 +131,6 @@ SELECT stream_id, coalesce(arg_max(n // 3, event_id) FILTER (given), 0) AS promp
     "failover_queue": f"{QUEUE} SELECT request_id, channel_id, rank FROM q",
     "attempts_and_outcome": f"""{QUEUE}, a AS (SELECT request_id, channel_id, rank, CASE WHEN (request_id + channel_id) % 3 = 0 THEN 200 ELSE 500 + rank END AS status FROM q WHERE rank <= 3)
 SELECT request_id, rank, channel_id, status, status = 200 AS ok FROM a QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY status = 200 DESC, CASE WHEN status = 200 THEN rank ELSE -rank END) = 1""",
-    "list_models": f"WITH {CHANNELS}, n AS (SELECT channel_id, priority, weight, unnest(list_concat(models, keys)) AS model FROM ch WHERE status = 1) SELECT DISTINCT model, first_value(channel_id) OVER (PARTITION BY model ORDER BY priority DESC, weight DESC, channel_id) AS owner FROM n",
     "key_validity": f"""{KEYS} SELECT key_id, status = 1 AND coalesce(coalesce(try_cast(CASE WHEN upper(expires_at) LIKE '%T%' THEN upper(expires_at) END AS TIMESTAMPTZ), try_cast(try_strptime(expires_at, '%Y-%m-%d') + INTERVAL 86399 SECOND || '+00' AS TIMESTAMPTZ)) >= TIMESTAMPTZ '{NOW}', true) AS valid FROM k""",
     "quota_verdict": f"{KEYS} SELECT key_id, CASE WHEN quota_limit > 0 AND (quota_used >= quota_limit OR quota_used + 4000 > quota_limit OR quota_limit - quota_used < 2000) THEN 429 ELSE 200 END AS verdict FROM k",
     "quota_usage": f"{KEYS}, e AS (SELECT CAST(user_id AS VARCHAR) AS key_id, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS spent FROM events GROUP BY 1) SELECT key_id, quota_used + coalesce(spent, 0) AS quota_used FROM k LEFT JOIN e USING (key_id)",
@@ -144,6 +142,6 @@ SELECT id, CASE WHEN len(lines) > 1 THEN replace(lines[1], chr(1), ' | ') || '|'
     "kb_stats": "SELECT source, count(*) AS docs, CAST(sum((length(coalesce(text, '')) + 3) // 4) AS BIGINT) AS tokens FROM documents GROUP BY 1",
 }
 
-QUERIES |= protocols.QUERIES | streams.QUERIES | lookups.QUERIES | splitting.QUERIES | changes.QUERIES
+QUERIES |= protocols.QUERIES | streams.QUERIES | lookups.QUERIES | splitting.QUERIES | changes.QUERIES | reads.QUERIES
 SQL |= protocols.SQL | streams.SQL | lookups.SQL | splitting.SQL | lookups.scan_sql(TEXTS, SCAN, scored, WHEN, select, listed)
-SQL |= changes.sql(SQL["usage_from_sse"], scored, FOUND)
+SQL |= reads.SQL | changes.sql(SQL["usage_from_sse"], scored, FOUND)

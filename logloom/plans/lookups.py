@@ -42,15 +42,10 @@ def text_functions(s, d):
 
 
 QUERIES = {
-    "channels_all": lambda s, d: lookups.in_order(gateway.channel_table(s), F.desc("priority"), F.desc("created_at")).select("place", "channel_id"),
-    "channels_enabled": lambda s, d: lookups.enabled_channels(gateway.channels(s)).select("place", "channel_id"),
-    "channel_adaptors": lambda s, d: lookups.with_adaptor(gateway.channel_table(s)).select("channel_id", "adaptor", "base_url"),
-    "channel_by_id": lambda s, d: gateway.channel_table(s).filter("channel_id = 4").select("channel_id", "status", "priority", "created_at"),
     "log_by_id": lambda s, d: gateway.request_logs(s, d).filter("id = '17'").select("id", "model", "total_tokens", "created_at"),
     "request_keys": lambda s, d: lookups.keys_of(protocol.header_values(gateway.header_requests(s, d)), gateway.secret_keys(s, d)),
     "newest_logs": lambda s, d: lookups.newest(gateway.request_logs(s, d), "created_at", "id", 5).select("id", "created_at"),
     "log_models": lambda s, d: gateway.request_logs(s, d).select("model").distinct().orderBy("model"),
-    "models_shown": lambda s, d: lookups.models_shown(gateway.channels(s)),
     "dashboard_full": lambda s, d: lookups.full_dashboard(gateway.request_logs(s, d), gateway.channels(s), gateway.api_keys(s, d), today=TODAY),
     "dashboard_rounded": lambda s, d: lookups.rounded_dashboard(gateway.request_logs(s, d), today=TODAY),
     "knowledge_counts": lambda s, d: lookups.knowledge_counts(docs(s, d).groupBy("source").agg((F.min("doc_id") % 2).alias("enabled")), docs(s, d), chunks.split_text(docs(s, d))),
@@ -91,16 +86,11 @@ n AS (SELECT doc_id, kb_id, content_hash, CASE f WHEN 0 THEN 'markdown' WHEN 2 T
 KINDS = "unnest(['ts', 'kts', 'yml', 'md', 'csv'])"
 
 SQL = {
-    "channels_all": f"WITH {CHANNELS} SELECT CAST(row_number() OVER (ORDER BY priority DESC, created_at DESC) AS INT) AS place, channel_id FROM ch",
-    "channels_enabled": f"WITH {CHANNELS} SELECT CAST(row_number() OVER (ORDER BY priority DESC, weight DESC, channel_id) AS INT) AS place, channel_id FROM ch WHERE status = 1",
-    "channel_adaptors": f"WITH {CHANNELS} SELECT channel_id, CASE WHEN type = 'other' THEN 'custom' ELSE type END AS adaptor, coalesce(nullif(base_url, ''), CASE type WHEN 'openai' THEN 'https://api.openai.com/v1' WHEN 'deepseek' THEN 'https://api.deepseek.com/v1' ELSE '' END) AS base_url FROM ch",
-    "channel_by_id": f"WITH {CHANNELS} SELECT channel_id, status, priority, created_at FROM ch WHERE channel_id = 4",
     "log_by_id": f"{LOGS} SELECT id, m AS model, tokens AS total_tokens, created_at FROM l WHERE id = '17'",
     "request_keys": """WITH h AS (SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 AND doc_id % 4 <> 1 THEN CAST(doc_id AS VARCHAR) WHEN doc_id % 2 = 0 THEN 'k' || doc_id END AS api_key FROM documents)
 SELECT id, CAST(c_custkey AS VARCHAR) AS key_id FROM h JOIN customer ON api_key = CASE WHEN c_custkey % 2 = 0 THEN 'k' ELSE '' END || c_custkey WHERE c_custkey % 4 <> 0""",
     "newest_logs": f"{LOGS} SELECT id, created_at FROM l ORDER BY created_at DESC, id LIMIT 5",
     "log_models": f"{LOGS} SELECT DISTINCT m AS model FROM l",
-    "models_shown": f"WITH {CHANNELS} SELECT channel_id, coalesce(array_to_string(models[1:3], ','), '') AS shown, CAST(greatest(len(models) - 3, 0) AS INT) AS more FROM ch",
     "dashboard_full": f"{LOGS}, {CHANNELS} SELECT {DASH}, (SELECT count(*) FROM ch) AS total_channels, (SELECT count(*) FROM ch WHERE status = 1) AS active_channels, (SELECT count(*) FROM customer) AS total_api_keys",
     "dashboard_rounded": f"{LOGS} SELECT count(*) FILTER (created_at LIKE '{TODAY}%') AS today_requests, CAST(floor(avg(ms) + 0.5) AS BIGINT) AS avg_latency_ms FROM l",
     "knowledge_counts": f"""WITH RECURSIVE s AS (SELECT doc_id AS id, text FROM documents), {splitting.cut("c", "s", 512, 64)}

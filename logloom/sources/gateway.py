@@ -271,6 +271,36 @@ def answer_chunks(spark: SparkSession, sf_dir: str, size: int = 997) -> DataFram
     return d.select(F.col("id").alias("stream_id"), F.col("k").cast("long").alias("offset"), F.substring("bytes", F.col("k") * size + 1, F.lit(size)).alias("data"), F.lit(None).cast("string").alias("error"))
 
 
+def nation_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A channel for each nation, as the gateway stores it: lists and mappings as JSON texts, some broken."""
+    i = F.col("n_nationkey")
+    pick = lambda *of: F.element_at(F.array(*map(F.lit, of)), (i % len(of) + 1).cast("int"))
+    return spark.read.parquet(f"{sf_dir}/nation.parquet").select(
+        i.cast("long").alias("channel_id"), F.col("n_name").alias("name"), pick('["a","b"]', "[]", '["b","C","d","e","f"]', "no list", '["g"]', None).alias("models"),
+        pick('{"b":"x"}', "{}", "[1]", '{"z":"y","a":"w"}').alias("mapping"), (i % 4 != 0).cast("int").alias("status"), (F.col("n_regionkey") * 10).alias("priority"), (i % 3).alias("weight"),
+        F.concat(F.lit("2024-01-"), F.lpad((31 - i).cast("string"), 2, "0")).alias("created_at"), pick("openai", "claude", "gemini", "deepseek", "custom", "other", None).alias("type"), pick("", "http://x//", None).alias("base_url"),
+    )
+
+
+def csv_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as CSV files, a record a line: its number, its text, and the text with a quote, a break and a comma."""
+    i, quoted = F.col("doc_id"), lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    eol, mark = F.when(i % 4 == 1, "\r\n").otherwise("\n"), F.when(i % 3 == 0, "\ufeff").otherwise("")
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    records = F.transform(lines, lambda line, k: F.concat(k.cast("string"), F.lit(","), quoted(line), F.lit(","), quoted(F.concat(line, F.lit('"\n,')))))
+    ragged = F.when(i % 10 == 9, F.array(F.lit("1,2"))).otherwise(F.array().cast("array<string>"))
+    text = F.concat(mark, F.array_join(F.transform(F.concat(records, ragged), lambda r: F.concat(r, eol)), ""))
+    content = F.when(i % 17 == 3, "").otherwise(text).cast("binary")
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", content.alias("content"))
+
+
+def knowledge_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in three knowledge bases, made over January."""
+    i = F.col("doc_id")
+    at = F.concat(F.lit("2024-01-"), F.lpad((i % 31 + 1).cast("string"), 2, "0"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", (i % 3).alias("kb_id"), at.alias("created_at"), "text")
+
+
 def channel_table(spark: SparkSession) -> DataFrame:
     """Channels with their creation, type and address."""
     of = lambda *v: F.element_at(F.array(*map(F.lit, v)), F.col("channel_id").cast("int"))
