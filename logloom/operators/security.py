@@ -147,6 +147,11 @@ def evidence(rule: str, text: Column, low: Column) -> Column:
 FOUND = "rule_id", "category", "severity", "action", "evidence"
 
 
+def built_in() -> list[tuple[str, str, str]]:
+    """(rule, category, severity) of every built-in rule."""
+    return [(r, category, severity) for r, category, severity, _ in rules(F.lit(""), F.lit(""))]
+
+
 def with_findings(texts: DataFrame, *, disabled: tuple[str, ...] = (), whitelist: tuple[tuple[str, str], ...] = (), custom: tuple[tuple[str, ...], ...] = (), only: str | None = None, groups: tuple[str, ...] = ("unicode", "tool", "network")) -> DataFrame:
     """texts(id, text) with `found`, an array of (rule_id, category, severity, action, evidence).
 

@@ -145,3 +145,4 @@ SELECT id, CASE WHEN len(lines) > 1 THEN replace(lines[1], chr(1), ' | ') || '|'
 QUERIES |= protocols.QUERIES | streams.QUERIES | lookups.QUERIES | splitting.QUERIES | changes.QUERIES | reads.QUERIES
 SQL |= protocols.SQL | streams.SQL | lookups.SQL | splitting.SQL | lookups.scan_sql(TEXTS, SCAN, scored, WHEN, select, listed)
 SQL |= reads.SQL | changes.sql(SQL["usage_from_sse"], scored, FOUND)
+SQL["builtin_rule_changes"] = reads.rule_changes_sql({r: severity for r, (_, severity, _) in WHEN.items()})

@@ -85,6 +85,18 @@ n AS (SELECT doc_id, kb_id, content_hash, CASE f WHEN 0 THEN 'markdown' WHEN 2 T
   WHERE (kb_id, content_hash) NOT IN (SELECT (doc_id % 3, sha256(coalesce(text, ''))) FROM documents WHERE doc_id % 7 = 0))"""
 KINDS = "unnest(['ts', 'kts', 'yml', 'md', 'csv'])"
 
+WORD = r"[\p{L}\p{N}_.:-]"
+MASKED = "CASE WHEN length(x) <= 8 THEN '****' ELSE left(x, 4) || '****' || right(x, 4) END"
+KNOWN = "starts_with(x, 'sk-') AND strlen(x) >= 24 OR starts_with(x, 'sk-ant-') AND strlen(x) >= 30 OR starts_with(x, 'ghp_') AND strlen(x) >= 20 OR starts_with(x, 'AKIA') AND strlen(x) >= 16 OR starts_with(x, 'AIza') AND strlen(x) >= 20 OR starts_with(x, 'eyJ') AND strlen(x) >= 30 AND contains(x, '.')"
+TOKEN = r"regexp_extract(p[i + 2], '^[^ \t\n\f\r]*')"
+SHORT = f"CASE WHEN strlen({TOKEN}) > 6 THEN left({TOKEN}, 2) || '****' || right({TOKEN}, 2) ELSE '****' END"
+#: Words, then what follows each bearer, then key blocks from their first beginning to their last end.
+REDACTED = rf"""WITH a AS (SELECT doc_id, 'Bearer abcdefgh, bearer abc' || chr(10) || coalesce(text, '') || ' key=ghp_0123456789abcdef01 eyJabcdefghijklmnopqrstuvwxyz.0123 -----begin PRIVATE KEY-----' || chr(10) || 'x' || chr(10) || '-----END private KEY----- z' AS t FROM documents),
+w AS (SELECT doc_id, array_to_string(list_transform(regexp_extract_all(t, '{WORD}+|[^{WORD[1:]}+'), lambda x: CASE WHEN {KNOWN} THEN {MASKED} ELSE x END), '') AS t FROM a),
+b AS (SELECT doc_id, regexp_split_to_array(t, '(?i)bearer ') AS p, regexp_extract_all(t, '(?i)bearer ') AS d FROM w),
+c AS (SELECT doc_id, p[1] || array_to_string(list_transform(range(len(d)), lambda i: d[i + 1] || {SHORT} || substr(p[i + 2], length({TOKEN}) + 1)), '') AS t FROM b)
+SELECT doc_id, regexp_replace(t, '(?is)(-----BEGIN PRIVATE KEY-----).*-----END PRIVATE KEY-----', '\1' || chr(10) || '[REDACTED PRIVATE KEY BLOCK]' || chr(10)) AS text FROM c"""
+
 SQL = {
     "log_by_id": f"{LOGS} SELECT id, m AS model, tokens AS total_tokens, created_at FROM l WHERE id = '17'",
     "request_keys": """WITH h AS (SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 AND doc_id % 4 <> 1 THEN CAST(doc_id AS VARCHAR) WHEN doc_id % 2 = 0 THEN 'k' || doc_id END AS api_key FROM documents)
@@ -113,6 +125,7 @@ left(md5(CAST(doc_id AS VARCHAR)), 8) || '-' || substr(md5(CAST(doc_id AS VARCHA
 'sk-' || md5('seed:' || doc_id) AS secret, ext, CASE WHEN ext IN ('md', 'csv') THEN 'markdown' WHEN ext IN ('ts', 'kts', 'yml') THEN 'code' WHEN ext = 'doc' THEN NULL ELSE 'text' END AS file_type, CASE ext WHEN 'ts' THEN 'typescript' WHEN 'kts' THEN 'kotlin' WHEN 'yml' THEN 'yaml' END AS language,
 CASE WHEN doc_id % 2 = 0 THEN 'a+b' ELSE '' END AS strings, CAST(greatest(1, ceil(doc_id / 20)) AS BIGINT) AS pages, CAST(CASE WHEN doc_id % 30 >= 20 THEN 60 ELSE 40 END AS BIGINT) AS estimated FROM c""",
     "compatible_text": "SELECT doc_id, 'A1⁄2' || nfc_normalize(coalesce(text, '')) AS text FROM documents",
+    "redact_inside": REDACTED,
     "ingested_documents": f"{INGEST} SELECT doc_id, kb_id, content_hash, file_type FROM n",
     "ingested_chunks": f"""{INGEST.replace("WITH", "WITH RECURSIVE", 1)}, {splitting.markdown(512, 64, "SELECT doc_id, t AS text FROM n WHERE file_type = 'markdown'")},
 tx AS (SELECT doc_id AS id, t AS text FROM n WHERE file_type <> 'markdown'), {splitting.cut("tc", "tx", 512, 64)}

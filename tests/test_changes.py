@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from logloom.operators import feeds, logs, security
+from logloom.operators import feeds, logs, lookups, security, tables
 from logloom.plans import catalog
 from logloom.sources import gateway
 from logloom.streaming.dashboard import Board, live_usage
@@ -110,3 +110,31 @@ def test_late_rows(spark, tmp_path):
         query = live_usage(given).writeStream.foreachBatch(board.write).outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
         assert query.awaitTermination(120)
     assert sorted(map(tuple, board.days(spark).collect())) == [("2024-01-09", 1, 2, 2), ("2024-01-10", 1, 1, 1)]
+
+
+def test_rules_made(spark):
+    rows = [("blacklist", "tool", "rm", None, None, "d"), ("blacklist", "tool", "rm", None, None, "d"), ("whitelist", "path", "", "low", "block", None), ("grey", "path", "x", None, None, None), (None, "path", "x", None, None, None), ("blacklist", None, "x", None, None, None), ("grey", "else", None, None, None, None)]
+    inputs = spark.createDataFrame(rows, "rule_type string, category string, pattern string, severity string, action string, description string")
+    made = tables.created_rules(inputs, now="t", seed="s").collect()
+    assert {tuple(r)[1:] for r in made} == {("blacklist", "tool", "rm", "medium", "warn", 1, "d", "t"), ("whitelist", "path", "", "low", "block", 1, None, "t")} and len(made) == 2
+    errors = sorted(r.error for r in tables.judged_rules(inputs).collect() if r.error)
+    assert errors == sorted([tables.BAD_TYPE % "grey", tables.BAD_TYPE % "", tables.BAD_CATEGORY % "", tables.BAD_CATEGORY % "else"])
+    defaults = tables.default_rules(spark)
+    assert defaults.count() == 23 and {r.enabled for r in defaults.collect()} == {1}
+
+
+def test_documents_go(spark):
+    docs = spark.createDataFrame([(1, 7), (2, 7), (3, 8), (4, None)], "doc_id long, kb_id long")
+    parts = spark.createDataFrame([(1, 0), (1, 1), (3, 0), (9, 0)], "doc_id long, chunk_index long")
+    left = tables.delete_documents(docs, parts, docs.filter("doc_id in (2, 3)"))
+    assert {r.doc_id for r in left[0].collect()} == {1, 4} and {r.doc_id for r in left[1].collect()} == {1, 9}
+    bases = spark.createDataFrame([(7, 99), (8, 99)], "kb_id long, doc_count long")
+    assert {tuple(r) for r in tables.counted_bases(bases, *left).select("kb_id", "doc_count", "chunk_count").collect()} == {(7, 1, 2), (8, 0, 0)}
+
+
+def test_channels_made(spark):
+    rows = [("a", None, None, None, None, None, None), ("b", "openai", "u", ["m"], {"x": "y"}, 5, 2)]
+    inputs = spark.createDataFrame(rows, "name string, type string, base_url string, models array<string>, mapping map<string,string>, priority int, weight int")
+    got = {r.name: r for r in lookups.created_channels(inputs, now="t", seed="s").collect()}
+    assert tuple(got["a"])[2:] == ("custom", "", "[]", "{}", 1, 0, 1, "t", "t") and tuple(got["b"])[2:] == ("openai", "u", '["m"]', '{"x":"y"}', 1, 5, 2, "t", "t")
+    assert len({r.id for r in got.values()}) == 2 and [tuple(r.models) for r in lookups.typed_channels(lookups.created_channels(inputs, now="t", seed="s")).orderBy("name").collect()] == [(), ("m",)]
