@@ -21,7 +21,6 @@ ignored.
 from __future__ import annotations
 
 import heapq
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -181,14 +180,53 @@ class Search:
         return row, self.ids[row, place], self.scores[row, place]
 
 
+def page_bytes(node: Node) -> Iterator[bytes]:
+    """A tree as plain numbers: kind, entries and width of each page, its arrays, then its children."""
+    leaf = node.vectors is not None
+    rows = node.vectors if leaf else node.centres
+    yield np.array([leaf, *rows.shape], np.int64).tobytes()
+    for a in (rows, node.ids if leaf else node.radii, node.norms2, node.to_parent):
+        yield np.ascontiguousarray(a).tobytes()
+    for child in node.children or ():
+        yield from page_bytes(child)
+
+
+def page_of(raw: bytes, at: int) -> tuple[Node, int]:
+    """The tree that starts at a byte, and where it ends."""
+    leaf, n, width = np.frombuffer(raw, np.int64, 3, at).tolist()
+    at += 24
+
+    def taken(count: int, kind: type = np.float64) -> np.ndarray:
+        nonlocal at
+        out = np.frombuffer(raw, kind, count, at)
+        at += 8 * count
+        return out
+
+    node = Node()
+    node.vectors = node.ids = node.children = node.centres = node.radii = None
+    rows = taken(n * width).reshape(n, width)
+    if leaf:
+        node.vectors, node.ids = rows, taken(n, np.int64)
+    else:
+        node.centres, node.radii = rows, taken(n)
+    node.norms2, node.to_parent = taken(n), taken(n)
+    if not leaf:
+        node.children = []
+        for _ in range(n):
+            child, at = page_of(raw, at)
+            node.children.append(child)
+    return node, at
+
+
 def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One pickled tree for each (cell, part, rows) row."""
+    """One tree, behind its centre, for each (cell, part, rows) row."""
     for b in batches:
         for cell, part, rows in zip(b.column("cell").to_pylist(), b.column("part").to_pylist(), b.column("rows").to_pylist(), strict=True):
             rows.sort(key=lambda r: r["vec_id"])
             x, ids = matrix([r["v"] for r in rows]), np.array([r["vec_id"] for r in rows], np.int64)
             centre = x.mean(axis=0)
-            raw = pickle.dumps((build(x, ids, (x * x).sum(axis=1), np.arange(len(x)), centre), centre, x.shape[1]))
+            root = build(x, ids, (x * x).sum(axis=1), np.arange(len(x)), centre)
+            raw = b"".join([np.array([len(centre)], np.int64).tobytes(), centre.tobytes(), *page_bytes(root)])
             yield pa.RecordBatch.from_arrays([pa.array([cell], pa.int32()), pa.array([part], pa.int32()), pa.array([raw], pa.binary())], names=["cell", "part", "tree"])
 
 
@@ -196,7 +234,9 @@ def searcher(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for raw, block in zip(b.column("tree"), b.column("queries"), strict=True):
-                root, centre, width = pickle.loads(raw.as_py())
+                raw = raw.as_py()
+                width = int(np.frombuffer(raw, np.int64, 1)[0])
+                centre, root = np.frombuffer(raw, np.float64, width, 8), page_of(raw, 8 + 8 * width)[0]
                 asked = block.as_py()
                 own = np.array([r["vec_id"] for r in asked], np.int64)
                 search = Search(matrix([r["v"] for r in asked], width), own, np.array([r["floor"] for r in asked]), k)
@@ -258,12 +298,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = K, page_rows: int
         return run
 
     def found(asked: DataFrame, first: bool) -> DataFrame:
-        """Results of each query in its cells: blocks of queries meet the trees of their cell, part by part."""
+        """Results of each query in its cells: blocks of queries meet the trees of their cell, part by part.
+
+        A tree is shuffled to its task once, and all blocks of its cell come to it there.
+        """
         asked = asked.select("vec_id", "v", "floor").mapInArrow(routed(first), "vec_id long, v array<double>, floor double, cell int")
         block = F.pmod(F.xxhash64(F.lit(7), "vec_id"), F.lit(blocks)).alias("block")
         asked = asked.groupBy("cell", block).agg(F.collect_list(F.struct("vec_id", "v", "floor")).alias("queries"))
         asked = asked.join(F.broadcast(parts), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        return asked.join(index, ["cell", "part"]).repartition("cell", "part", "block").select("tree", "queries").mapInArrow(searcher(k), "query_id long, vec_id long, score long")
+        return asked.join(index, ["cell", "part"]).select("tree", "queries").mapInArrow(searcher(k), "query_id long, vec_id long, score long")
 
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     home = staged(found(queries.withColumn("floor", F.lit(float("-inf"))), True).withColumn("rank", rank).filter(F.col("rank") <= k), "home-results")
