@@ -1,11 +1,12 @@
 """Substring removal at any split of landmarks, links of shared doc_ids, page ids of any sign."""
 
+import itertools
 import random
 
 import numpy as np
 import pytest
 
-from logloom.llm import near_dups, substring_dedup, warc
+from logloom.llm import metric_search, near_dups, source_mixing, substring_dedup, toxicity, warc
 
 
 def mixed_texts(n, seed):
@@ -81,3 +82,70 @@ def test_negative_pages(spark, tmp_path):
     got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.op7_warc(spark, str(tmp_path)).collect()}
     small = (5, "response", None)
     assert got == {-5: (1200, "response", None), -7: (1200, "revisit", -5), 3: small, (1 << 63) - 1: (0, "response", None), -(1 << 63): (1000, "response", None)}
+
+
+def test_pages_survive():
+    """A tree comes back from its bytes as it was."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(-50, 50, (1500, 7)).astype(float)
+    root = metric_search.build(x, np.arange(1500), (x * x).sum(axis=1), np.arange(1500), x.mean(axis=0))
+    raw = b"".join(metric_search.page_bytes(root))
+    again, end = metric_search.page_of(raw, 0)
+    assert end == len(raw) and b"".join(metric_search.page_bytes(again)) == raw
+    pages, left = 0, [again]
+    while left:
+        node = left.pop()
+        pages += 1
+        left += node.children or []
+    assert pages > 6
+
+
+def test_vectors_without_part(spark, tmp_path):
+    """Null, non-finite, empty and repeated vectors; fewer candidates than asked for."""
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 2.0]), (1, [1.0, 1.0]), (50, [0.5, 0.5]), (50, [0.5, 0.5]), (2, None), (3, [nan, 1.0]), (100, [inf, 1.0]), (4, [1.0, None]), (150, []), (None, [9.0, 9.0]), (5, [2.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(map(tuple, metric_search.op5_exact_top_k(spark, str(tmp_path)).collect()))
+    q = 256 * 256
+    assert got == sorted([(0, 1, 1, 3 * q), (0, 2, 5, 2 * q), (0, 3, 50, q * 3 // 2), (50, 1, 0, q * 3 // 2), (50, 2, 1, q), (50, 3, 5, q)])
+
+
+def test_viterbi_against_enumeration():
+    """The decoded reading is the cheapest of all paths through the lattice."""
+    rng = np.random.default_rng(6)
+    restore = toxicity.Restorer(np.log(rng.dirichlet(np.ones(toxicity.SYMBOLS), (toxicity.SYMBOLS, toxicity.SYMBOLS))))
+    for spaced in (False, True):
+        for seen in ("k1ll", "a$$h", "4@b", "h.3.y", "éa0", "t*t", "zzz", "s-1-k"):
+            stages = [*restore.lattice(seen), [((0,), 0.0)]]
+            if spaced:
+                stages = [o + [((0, *s), c + toxicity.BORDER_COST) for s, c in o if s and s[0]] for o in stages]
+            found = []
+            for choice in itertools.product(*stages):
+                symbols = [s for some, _ in choice for s in some]
+                total, x, y = sum(c for _, c in choice), 0, 0
+                for s in symbols:
+                    total += restore.cost[x][y][s]
+                    x, y = y, s
+                found.append((total, symbols))
+            best = min(found)[1]
+            words = "".join(chr(96 + s) if 0 < s < 27 else "\0" if s else " " for s in best).split()
+            assert restore.decode(seen, spaced) == [w.encode() for w in words]
+
+
+def test_seats_against_quotients(spark):
+    """Apportionment is that of highest quotients, seat by seat, under caps and with ties."""
+    rng = random.Random(12)
+    rows, want = [], {}
+    for group in range(40):
+        keys = [(f"s{k}", float(rng.choice([0, 1, 1, 2, 5, 9.5, 40])), rng.randrange(6)) for k in range(rng.randrange(1, 9))]
+        total = rng.randrange(0, 20)
+        rows += [(group, k, w, total, cap) for k, w, cap in keys]
+        seats = dict.fromkeys((k for k, *_ in keys), 0)
+        for _ in range(total):
+            open_ = [(-w / (2 * seats[k] + 1), k) for k, w, cap in keys if w > 0 and seats[k] < cap]
+            if open_:
+                seats[min(open_)[1]] += 1
+        want |= {(group, k): n for k, n in seats.items()}
+    table = spark.createDataFrame(rows, "g int, key string, w double, total long, cap long")
+    got = source_mixing.sainte_lague(table, ["g"], ["key"], "w", "total", "cap", "seats").collect()
+    assert {(r.g, r.key): r.seats for r in got} == want
