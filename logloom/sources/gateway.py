@@ -331,10 +331,10 @@ def custom_rules(spark: SparkSession) -> DataFrame:
 
 
 def many_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A rule for each document's first letters, customer and part; few customers and parts are found in texts."""
+    """A rule for each document's beginning, customer and part; few customers and parts are found in texts."""
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     i = F.col("i")
-    said = read("documents").filter("length(text) >= 12").select(F.col("doc_id").alias("i"), F.when(F.col("doc_id") % 5 == 0, "whitelist").otherwise("blacklist").alias("rule_type"), F.left("text", F.lit(12)).alias("pattern"))
+    said = read("documents").filter("length(text) >= 41").select(F.col("doc_id").alias("i"), F.when(F.col("doc_id") % 5 == 0, "whitelist").otherwise("blacklist").alias("rule_type"), F.left("text", F.lit(41)).alias("pattern"))
     names = read("customer").select(F.col("c_custkey").alias("i"), F.lit("blacklist").alias("rule_type"), F.col("c_name").alias("pattern"))
     parts = read("part").select(F.col("p_partkey").alias("i"), F.lit("blacklist").alias("rule_type"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("pattern"))
     pick = lambda n, *of: F.element_at(F.array(*map(F.lit, of)), (i % n + 1).cast("int"))

@@ -226,12 +226,25 @@ def converted(chunks: DataFrame, protocol: str, model: str) -> DataFrame:
     return sorted_.select("stream_id", "data", "error").mapInArrow(run, EVENTS)
 
 
-def converted_stream(chunks: DataFrame, protocol: str, model: str) -> DataFrame:
-    """The events of a streaming table as its chunks come in; state is one open line and a few counters a stream."""
+#: How long a stream may say nothing before it counts as broken off, and what its client is told.
+IDLE_MS, SILENT = 10 * 60_000, "no data"
+
+
+def converted_stream(chunks: DataFrame, protocol: str, model: str, *, idle_ms: int = IDLE_MS) -> DataFrame:
+    """The events of a streaming table as its chunks come in; state is one open line and a few counters a stream.
+
+    A stream that says nothing for `idle_ms` is broken off by a timer, so no state stays for ever.
+    Timers let Spark run batches without data: a query with the trigger availableNow ends only if
+    spark.sql.streaming.noDataMicroBatches.enabled is off.
+    """
     kind = PROTOCOLS[protocol]
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         answer = kind(int(key[0]), model, json.loads(state.get[0]) if state.exists else None)
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame(list(placed(answer, answer.broken(SILENT))), columns=["stream_id", "place", "event"])
+            return
         part = pd.concat(frames).sort_values("offset")
         rows, ended = [], False
         for data, error in zip(part["data"], part["error"], strict=True):
@@ -247,6 +260,7 @@ def converted_stream(chunks: DataFrame, protocol: str, model: str) -> DataFrame:
             state.remove()
         else:
             state.update((json.dumps(answer.s),))
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(rows, columns=["stream_id", "place", "event"])
 
-    return chunks.groupBy("stream_id").applyInPandasWithState(run, EVENTS, "state string", "append", GroupStateTimeout.NoTimeout)
+    return chunks.groupBy("stream_id").applyInPandasWithState(run, EVENTS, "state string", "append", GroupStateTimeout.ProcessingTimeTimeout)

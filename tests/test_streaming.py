@@ -1,10 +1,11 @@
 """Streams cut at every byte, on a table and under readStream, and usage as a streaming aggregate."""
 
 import json
+import time
 
 import pytest
 
-from logloom.streaming.conversion import BROKEN, DONE, converted, converted_stream
+from logloom.streaming.conversion import BROKEN, DONE, SILENT, converted, converted_stream
 from logloom.streaming.usage import usage_of_streams
 
 TEXT = b'data: {"choices":[{"delta":{"role":"assistant","content":"H\xc3\xa9llo"},"finish_reason":null}]}\n: x\ndata: {"choices":[{"delta":{"content":" world"},"finish_reason":null}]}\r\n\ndata: {bad\ndata: {"choices":[{"delta":{},"finish_reason":"stop"}]}\ndata: [DONE]\n'
@@ -13,6 +14,7 @@ TOOL = (
     b'data: {"choices":[{"delta":{"tool_calls":[{"index":0,"function":{"arguments":"{\\"q\\":\\"x\\"}"}}]},"finish_reason":null}]}\n'
     b'data: {"choices":[{"delta":{},"finish_reason":"tool_calls"}],"usage":{"prompt_tokens":3,"completion_tokens":4}}\n'
 )
+NO_DATA = "spark.sql.streaming.noDataMicroBatches.enabled"
 CHUNKS = "stream_id long, offset long, data binary, error string"
 
 
@@ -36,10 +38,12 @@ def test_cut_at_every_byte(spark, tmp_path, protocol):
     ends = spark.createDataFrame([(k, 10_000, None, None) for k in (1, 2, 3)], CHUNKS)
     for part, low, high in (("a", 0, 60), ("b", 60, 10_001)):
         bytewise.unionByName(ends).filter(f"offset >= {low} and offset < {high}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / part))
+    spark.conf.set(NO_DATA, "false")
     given = spark.readStream.schema(CHUNKS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
     query = converted_stream(given, protocol, "gpt-5").writeStream.format("memory").queryName(f"events_{protocol}").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert events_of(spark.table(f"events_{protocol}")) == want
+    spark.conf.set(NO_DATA, "true")
     names = lambda k: [e.split("\n")[0].removeprefix("event: ") for e in want.get(k, [])]
     if protocol == "messages":
         assert names(1) == ["message_start", "content_block_start", "content_block_delta", "content_block_delta", "content_block_stop", "message_delta", "message_stop"]
@@ -54,6 +58,18 @@ def test_cut_at_every_byte(spark, tmp_path, protocol):
         assert "".join(want[1]).encode() == TEXT and want[4] == ["data: 1", BROKEN % "reset", DONE]
 
 
+def test_silent_streams_break_off(spark, tmp_path):
+    rows = [(1, 0, bytearray(b'data: {"choices":[]}\nda'), None), (2, 0, bytearray(b"data: x\n"), None), (2, 1, None, None)]
+    spark.createDataFrame(rows, CHUNKS).coalesce(1).write.parquet(str(tmp_path / "in"))
+    given = spark.readStream.schema(CHUNKS).parquet(str(tmp_path / "in"))
+    query = converted_stream(given, "chat", "gpt-5", idle_ms=500).writeStream.format("memory").queryName("silent").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="100 milliseconds").start()
+    until = time.time() + 60
+    while spark.table("silent").filter("stream_id = 1").count() < 4 and time.time() < until:
+        time.sleep(0.3)
+    query.stop()
+    assert events_of(spark.table("silent")) == {1: ['data: {"choices":[]}\n', "da", BROKEN % SILENT, DONE], 2: ["data: x\n"]}
+
+
 def test_usage_under_read_stream(spark, tmp_path):
     one = 'data: {"usage":{"prompt_tokens":3,"completion_tokens":4,"total_tokens":7}}'
     data = [(1, 0, one), (2, 0, one.replace("7", "8")), (2, 5, one), (3, 0, None)]
