@@ -7,12 +7,29 @@ those files are read, where sorting before an offset would read all rows. The in
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Order = list[tuple[str, bool]]  # column and whether it descends
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share; in a temporary one only in local mode."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="logloom-pages-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def ordering(order: Order) -> list[Column]:
     return [F.desc_nulls_last(c) if down else F.asc_nulls_first(c) for c, down in order]
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from logloom.operators import chunks, csv_tables, dispatch, feeds, lookups, pages, security, tables
@@ -15,11 +13,10 @@ LISTING = [("created_at", True), ("id", False)]
 
 
 def deep_page(s, d):
-    """Page 300 of 20 logs, newest first, from a table laid out in that order in the shared folder."""
-    shared = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="logloom-pages-")
-    path = f"{shared.rstrip('/')}/log-pages-{abs(hash(d))}"
+    """Page 40 of 20 logs, newest first, from a table laid out in that order in the shared folder."""
+    path = pages.shared_path(s, "log-pages")
     pages.lay_out(gateway.request_logs(s, d).select("id", "created_at", "model"), path, LISTING, files=64)
-    return pages.page(s, path, LISTING, number=300, size=20)
+    return pages.page(s, path, LISTING, number=40, size=20)
 
 
 def csv_cells(s, d):
@@ -106,7 +103,7 @@ SELECT CAST(r_regionkey AS BIGINT) AS kb_id, r_name AS name, (SELECT count(*) FR
     "channels_created": f"""WITH {CHANNELS} SELECT name, coalesce(type, 'custom') AS type, coalesce(base_url, '') AS base_url, CAST(to_json(models) AS VARCHAR) AS models, mapping, 1 AS status, priority, weight,
   '2024-02-01T00:00:00Z' AS created_at, '2024-02-01T00:00:00Z' AS updated_at FROM c""",
     "log_views": "SELECT CAST(event_id AS VARCHAR) AS id, event_id % 2 = 1 AS is_stream, event_id % 7 = 0 AS is_retry, CASE WHEN event_type IN ('error', 'signup') THEN event_type END AS error_message FROM events",
-    "log_page_deep": "SELECT CAST(event_id AS VARCHAR) AS id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS created_at, event_type AS model FROM events ORDER BY created_at DESC, id LIMIT 20 OFFSET 5980",
+    "log_page_deep": "SELECT CAST(event_id AS VARCHAR) AS id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS created_at, event_type AS model FROM events ORDER BY created_at DESC, id LIMIT 20 OFFSET 780",
     "kb_documents": f"WITH {BASES} SELECT doc_id, created_at FROM k WHERE kb_id = 1 ORDER BY created_at DESC, doc_id LIMIT 50",
     "kb_document": f"WITH {BASES} SELECT * FROM k WHERE doc_id = 17",
     "kb_chunks": f"WITH RECURSIVE {BASES}, s AS (SELECT doc_id AS id, text FROM k WHERE kb_id = 2), {splitting.cut('x', 's', 512, 64)} SELECT id AS doc_id, row_number() OVER (PARTITION BY id ORDER BY line, k) - 1 AS chunk_index, content FROM x",

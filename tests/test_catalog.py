@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 def test_equals_sql(spark, name):
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")
-    for t in ("events", "documents", "customer", "embeddings", "conversations"):
+    for t in ("events", "documents", "customer", "embeddings", "conversations", "pages", "part", "nation", "region"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     want = con.execute(catalog.SQL[name])
     columns = [c[0] for c in want.description]
