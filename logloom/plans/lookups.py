@@ -141,7 +141,7 @@ SELECT c_custkey AS stream_id, c_nationkey AS key_id, CASE WHEN c_custkey % 3 =
 lowered = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 #: The many rules that the source derives, as they count.
 MANY = f"""m0 AS (SELECT doc_id AS i, CASE WHEN doc_id % 5 = 0 THEN 'whitelist' ELSE 'blacklist' END AS rule_type, left(text, 41) AS pattern FROM documents WHERE length(text) >= 41
-  UNION ALL SELECT c_custkey, 'blacklist', c_name FROM customer UNION ALL SELECT p_partkey, 'blacklist', split_part(p_name, ' ', 1) FROM part),
+  UNION ALL SELECT c_custkey, 'blacklist', c_name FROM customer UNION ALL SELECT p_partkey, 'blacklist', p_name FROM part),
 m AS (SELECT rule_type, list_extract(['domain', 'tool', 'path', 'keyword'], CAST(i % 4 + 1 AS INT)) AS category, pattern, list_extract(['critical', 'high', 'low', 'info', 'medium', 'medium'], CAST(i % 6 + 1 AS INT)) AS severity,
   CASE i % 3 WHEN 1 THEN 'block' ELSE 'warn' END AS action, {lowered("pattern")} AS low FROM m0 WHERE i % 7 <> 0)"""
 

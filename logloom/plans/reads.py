@@ -81,7 +81,7 @@ BASES = "k AS (SELECT doc_id, doc_id % 3 AS kb_id, '2024-01-' || lpad(CAST(doc_i
 LINES = "l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents WHERE doc_id % 17 <> 3)"
 
 RULES = """r0 AS (SELECT doc_id AS i, CASE WHEN doc_id % 5 = 0 THEN 'whitelist' ELSE 'blacklist' END AS rule_type, left(text, 41) AS pattern FROM documents WHERE length(text) >= 41
-  UNION ALL SELECT c_custkey, 'blacklist', c_name FROM customer UNION ALL SELECT p_partkey, 'blacklist', split_part(p_name, ' ', 1) FROM part),
+  UNION ALL SELECT c_custkey, 'blacklist', c_name FROM customer UNION ALL SELECT p_partkey, 'blacklist', p_name FROM part),
 r AS (SELECT CASE WHEN length(pattern) % 7 = 0 THEN 'grey' ELSE rule_type END AS rule_type, CASE WHEN length(pattern) % 5 = 0 THEN 'other' ELSE list_extract(['domain', 'tool', 'path', 'keyword'], CAST(i % 4 + 1 AS INT)) END AS category,
   pattern, list_extract(['critical', 'high', 'low', 'info', 'odd', NULL], CAST(i % 6 + 1 AS INT)) AS severity, CASE i % 3 WHEN 1 THEN 'block' WHEN 2 THEN 'warn' END AS action FROM r0)"""
 

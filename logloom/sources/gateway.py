@@ -336,7 +336,7 @@ def many_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("i")
     said = read("documents").filter("length(text) >= 41").select(F.col("doc_id").alias("i"), F.when(F.col("doc_id") % 5 == 0, "whitelist").otherwise("blacklist").alias("rule_type"), F.left("text", F.lit(41)).alias("pattern"))
     names = read("customer").select(F.col("c_custkey").alias("i"), F.lit("blacklist").alias("rule_type"), F.col("c_name").alias("pattern"))
-    parts = read("part").select(F.col("p_partkey").alias("i"), F.lit("blacklist").alias("rule_type"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("pattern"))
+    parts = read("part").select(F.col("p_partkey").alias("i"), F.lit("blacklist").alias("rule_type"), F.col("p_name").alias("pattern"))
     pick = lambda n, *of: F.element_at(F.array(*map(F.lit, of)), (i % n + 1).cast("int"))
     return said.unionByName(names).unionByName(parts).select(
         "rule_type", pick(4, "domain", "tool", "path", "keyword").alias("category"), "pattern", pick(6, "critical", "high", "low", "info", "odd", None).alias("severity"),
