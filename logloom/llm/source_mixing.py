@@ -23,7 +23,7 @@ TOTAL_SHARE = 1.5
 MAX_REPEATS = 2
 SEED = 20240
 #: Documents to a shard, and the most shards, so that (source, shard) tables stay small.
-SHARD_DOCS, MAX_SHARDS = 1024, 4096
+SHARD_DOCS, MAX_SHARDS = 1024, 65_536
 #: Blocks that the corpus is cut into where block lengths allow; and those lengths in words.
 BLOCKS, LEAST_BLOCK, MOST_BLOCK = 20_000, 16, 1024
 
@@ -45,16 +45,27 @@ def source_targets(sources: DataFrame) -> DataFrame:
 def sainte_lague(df: DataFrame, group: list[str], key: list[str], weight: str, total: str, cap: str, out: str) -> DataFrame:
     """Integer seats by highest quotients within each group, none above its cap.
 
-    Rounding each exact share gives a sum that is `off` by some seats; no key's result differs
-    from its rounded share by more than `off`, so only those quotients are ranked.
+    Seat k of a key stands at x = (2k + 1) / weight, and the lowest x win. Up to x a key has
+    least(cap, weight * x / 2) seats but for half a seat. The sum of that over n keys is concave,
+    the least of n lines, so the level where it reaches a number of seats is the greatest over
+    the lines. Levels for n / 2 seats fewer and more than the total enclose the last seat: those
+    below the first win, and only those between them, some 2n in all, are ranked.
     """
     w = Window.partitionBy(*group)
-    share = F.when(F.col("_w") > 0, F.col(weight) * F.col(total) / F.col("_w")).otherwise(0.0)
-    d = df.withColumn("_w", F.sum(weight).over(w)).withColumn("_round", F.least(F.round(share).cast("long"), F.col(cap)))
-    d = d.withColumn("_off", F.abs(F.col(total) - F.sum("_round").over(w)))
-    d = d.withColumn("_low", F.greatest(F.lit(0), F.col("_round") - F.col("_off"))).withColumn("_high", F.least(F.col(cap), F.col("_round") + F.col("_off")))
+    live = F.coalesce((F.col(weight) > 0) & (F.col(cap) > 0), F.lit(False))
+    d = df.withColumn("_w", F.when(live, F.col(weight)).otherwise(0.0)).withColumn("_c", F.when(live, F.col(cap)).otherwise(0).cast("long"))
+    d = d.withColumn("_live", live).withColumn("_n", F.sum(F.col("_live").cast("int")).over(w))
+    late = w.orderBy(F.desc_nulls_last(F.when(F.col("_live"), F.col("_c") / F.col("_w"))), *key).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_open", F.sum("_w").over(late)).withColumn("_full", F.sum("_c").over(w) - F.sum("_c").over(late))
+
+    def seats_at(more: F.Column) -> F.Column:
+        level = F.max(F.when(F.col("_live"), 2 * (F.col(total) + more - F.col("_full")) / F.col("_open"))).over(w)
+        return F.greatest(F.lit(0.0), F.least(F.col("_c").cast("double"), F.floor((F.col("_w") * level + 1) / 2).cast("double")))
+
+    around = F.col("_n") / 2 + 2
+    d = d.withColumn("_low", F.coalesce(seats_at(-around), F.lit(0)).cast("long")).withColumn("_high", F.coalesce(seats_at(around), F.lit(0)).cast("long"))
     d = d.withColumn("_rest", F.col(total) - F.sum("_low").over(w))
-    seats = d.withColumn("_k", F.explode_outer(F.when((F.col("_high") > F.col("_low")) & (F.col(weight) > 0), F.sequence("_low", F.col("_high") - 1))))
+    seats = d.withColumn("_k", F.explode_outer(F.when(F.col("_high") > F.col("_low"), F.sequence("_low", F.col("_high") - 1))))
     seats = seats.withColumn("_q", F.col(weight) / (2 * F.col("_k") + 1))
     best = F.row_number().over(w.orderBy(F.desc_nulls_last("_q"), *[F.asc_nulls_last(c) for c in key], "_k"))
     won = F.col("_k").isNotNull() & (best <= F.col("_rest"))

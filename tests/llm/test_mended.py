@@ -2,9 +2,11 @@
 
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from logloom.llm import metric_search, near_dups, source_mixing, substring_dedup, toxicity, warc
 
@@ -149,3 +151,22 @@ def test_seats_against_quotients(spark):
     table = spark.createDataFrame(rows, "g int, key string, w double, total long, cap long")
     got = source_mixing.sainte_lague(table, ["g"], ["key"], "w", "total", "cap", "seats").collect()
     assert {(r.g, r.key): r.seats for r in got} == want
+
+
+def test_seats_of_very_many_keys(spark):
+    """Seats far from the rounded shares: 200,000 keys whose shares all round one way, and keys that caps hold back."""
+    n = 200_000
+    rows = spark.range(n).select(F.lit(0).alias("g"), "id", F.lit(1.0).alias("w"), F.lit(n * 14 // 10).cast("long").alias("total"), F.lit(2).cast("long").alias("cap"))
+    got = source_mixing.sainte_lague(rows, ["g"], ["id"], "w", "total", "cap", "seats")
+    assert {(r.seats, r["count"], r.first, r.last) for r in got.groupBy("seats").agg(F.count("*").alias("count"), F.min("id").alias("first"), F.max("id").alias("last")).collect()} == {
+        (2, n * 4 // 10, 0, n * 4 // 10 - 1),
+        (1, n * 6 // 10, n * 4 // 10, n - 1),
+    }
+    rng = random.Random(4)
+    keys = [(k, rng.choice([1e-9, 0.3, 1.0, 7.0, 1e6]) * rng.random(), rng.choice([0, 1, 3, 50, 4000])) for k in range(400)]
+    for total in (0, 1, 399, 20_000, sum(c for _, _, c in keys) - 1, 10**7):
+        seats = sorted((-w / (2 * j + 1), k, j) for k, w, c in keys for j in range(c))[:total]
+        want = Counter(k for _, k, _ in seats)
+        table = spark.createDataFrame([(0, k, w, total, c) for k, w, c in keys], "g int, id long, w double, total long, cap long")
+        got = source_mixing.sainte_lague(table, ["g"], ["id"], "w", "total", "cap", "seats").collect()
+        assert {r.id: r.seats for r in got} == {k: want[k] for k, _, _ in keys}
