@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logloom.functions.float_bytes import floats_to_bytes
 from logloom.functions.text import extension, file_type, flag, generated_id, language, string_list, string_map
 from logloom.operators.chunks import split_by_type
 
@@ -162,15 +159,16 @@ def ingested(uploads: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFram
     return docs, split_by_type(docs)
 
 
-def vectors_as_bytes(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding) with each vector as 32-bit floats, little-endian; no cast in Spark does it."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            packed = [None if v is None else np.array(v, "<f4").tobytes() for v in b.column("embedding").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(packed, pa.binary())], names=["vec_id", "embedding"])
+def embedded_chunks(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Chunks(chunk_id, embedding, embedding_dim, ...) with the embeddings of vectors(chunk_id, vector) stored over theirs.
 
-    return vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(pack, "vec_id long, embedding binary")
+    Chunks without a new vector keep what they have; vectors of unknown chunks are ignored; of
+    several vectors of one chunk the greatest counts.
+    """
+    new = vectors.filter("vector IS NOT NULL").groupBy("chunk_id").agg(F.max("vector").alias("_new"))
+    rows = chunks.join(new, "chunk_id", "left")
+    rows = rows.withColumn("embedding", F.when(F.col("_new").isNull(), F.col("embedding")).otherwise(floats_to_bytes(F.col("_new"))))
+    return rows.withColumn("embedding_dim", F.coalesce(F.size("_new"), "embedding_dim")).select(*chunks.columns)
 
 
 def exported(docs: DataFrame, kb_id: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from logloom.functions import text
+from logloom.functions.float_bytes import bytes_to_floats, floats_to_bytes
 from logloom.operators import chunks, json_fields, logs, lookups, protocol, rule_tables, security
 from logloom.plans import splitting
 from logloom.sources import gateway
@@ -41,6 +42,16 @@ def text_functions(s, d):
     return rows
 
 
+def embedded_chunks(s, d):
+    """New embeddings for every third chunk, and what all chunks hold then, read back."""
+    vectors = s.read.parquet(f"{d}/embeddings.parquet").withColumn("chunk_id", F.col("vec_id"))
+    old = F.when(F.col("vec_id") % 2 == 0, floats_to_bytes(F.slice("embedding", 1, 8)))
+    rows = vectors.filter("vec_id % 5 <> 0").select("chunk_id", old.alias("embedding"), F.when(old.isNotNull(), 8).alias("embedding_dim"))
+    new = vectors.filter("vec_id % 3 = 0").select("chunk_id", F.transform("embedding", lambda x: x * -3).alias("vector"))
+    read = bytes_to_floats(F.col("embedding")).cast("array<double>")
+    return lookups.embedded_chunks(rows, new).select("chunk_id", "embedding_dim", F.explode_outer(read).alias("component"))
+
+
 QUERIES = {
     "log_by_id": lambda s, d: gateway.request_logs(s, d).filter("id = '17'").select("id", "model", "total_tokens", "created_at"),
     "request_keys": lambda s, d: lookups.keys_of(protocol.header_values(gateway.header_requests(s, d)), gateway.secret_keys(s, d)),
@@ -69,7 +80,8 @@ QUERIES = {
     "compatible_text": lambda s, d: docs(s, d).select("doc_id", text.compatible(F.concat(F.lit("\uff21\u200b\u00bd"), F.coalesce("text", F.lit("")))).alias("text")),
     "ingested_documents": lambda s, d: lookups.ingested(gateway.uploads(s, d), gateway.stored_documents(s, d))[0].select("doc_id", "kb_id", "content_hash", "file_type"),
     "ingested_chunks": lambda s, d: lookups.ingested(gateway.uploads(s, d), gateway.stored_documents(s, d))[1].select("doc_id", "chunk_index", "line_start", "line_end", "content", "token_count", "heading"),
-    "vector_bytes": lambda s, d: lookups.vectors_as_bytes(s.read.parquet(f"{d}/embeddings.parquet")).select("vec_id", F.hex("embedding").alias("bytes")),
+    "vector_bytes": lambda s, d: s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.hex(floats_to_bytes(F.col("embedding"))).alias("bytes")),
+    "kb_embedded_chunks": embedded_chunks,
     "exported_documents": lambda s, d: lookups.exported(lookups.ingested(gateway.uploads(s, d), gateway.stored_documents(s, d))[0], 1),
     "stream_logs": lambda s, d: lookups.charged_streams(s.read.parquet(f"{d}/events.parquet").groupBy(F.col("user_id").alias("stream_id")).agg(F.count("*").alias("total_tokens")).filter("stream_id % 2 = 0"), s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("stream_id"), F.col("c_nationkey").alias("key_id"), F.when(F.col("c_custkey") % 3 == 0, "reset").alias("error"))),
     "conversation_turns": lambda s, d: s.read.parquet(f"{d}/conversations.parquet").filter("conv_id = 1").orderBy("turn").select("turn", "role"),
@@ -131,6 +143,11 @@ CASE WHEN doc_id % 2 = 0 THEN 'a+b' ELSE '' END AS strings, CAST(greatest(1, cei
 tx AS (SELECT doc_id AS id, t AS text FROM n WHERE file_type <> 'markdown'), {splitting.cut("tc", "tx", 512, 64)}
 SELECT doc_id, {splitting.NUMBER.format("o1, o2, o3")}, {splitting.LINES}, content, {splitting.TOKENS}, heading FROM md
 UNION ALL SELECT id, {splitting.NUMBER.format("line, k").replace("doc_id", "id")}, {splitting.LINES}, content, {splitting.TOKENS}, NULL FROM tc""",
+    "vector_bytes": """WITH e AS (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS k, unnest(embedding) AS x FROM embeddings),
+h AS (SELECT vec_id, k, hex(CAST(CAST(CAST(x AS FLOAT) AS BIT) AS BLOB)) AS b FROM e)
+SELECT vec_id, string_agg(b[7:8] || b[5:6] || b[3:4] || b[1:2], '' ORDER BY k) AS bytes FROM h GROUP BY vec_id""",
+    "kb_embedded_chunks": """WITH c AS (SELECT vec_id AS chunk_id, CASE WHEN vec_id % 3 = 0 THEN list_transform(embedding, lambda x: CAST(x * -3 AS FLOAT)) WHEN vec_id % 2 = 0 THEN embedding[1:8] ELSE [NULL] END AS v FROM embeddings WHERE vec_id % 5 <> 0)
+SELECT chunk_id, CASE WHEN v[1] IS NOT NULL THEN CAST(len(v) AS INT) END AS embedding_dim, CAST(unnest(v) AS DOUBLE) AS component FROM c""",
     "exported_documents": f"{INGEST} SELECT doc_id, CASE WHEN kb_id = 1 THEN 200 ELSE 404 END AS status, CASE WHEN kb_id = 1 THEN CASE WHEN file_type = 'markdown' THEN 'text/markdown; charset=utf-8' ELSE 'text/plain; charset=utf-8' END END AS content_type, CASE WHEN kb_id = 1 THEN t END AS body FROM n",
     "stream_logs": """WITH u AS (SELECT user_id, count(*) AS n FROM events WHERE user_id % 2 = 0 GROUP BY 1)
 SELECT c_custkey AS stream_id, c_nationkey AS key_id, CASE WHEN c_custkey % 3 = 0 THEN 502 ELSE 200 END AS status_code, coalesce(n, 0) AS total_tokens FROM customer LEFT JOIN u ON user_id = c_custkey""",
