@@ -1,15 +1,19 @@
 """URL rules: a blocked Bloom filter of listed canonical URLs, then an exact hash join.
 
-A url's candidates are every (host suffix at a label border, path prefix of a listed length), made
-and hashed by SQL functions. A blocked Bloom filter (one 512-bit block and eight bits a key)
-drops nearly all of them in vectorised batches; the rest meet the rules in an exact join, which
-removes false positives, and the longest matching rule decides. Executors build parts of the
-filter, which are combined by bit_or block by block; rules never go to the driver.
+A blocked Bloom filter (one 512-bit block and eight bits a key) holds three keys for each listed
+url: its host, its host with the length of its path, its host with its path. A url's host
+suffixes at label borders are asked first, then the listed lengths under those that may be
+listed, then the prefixes of the lengths left, whose hashes are differences of running sums over
+the path, so that no prefix is built. Hits meet the rules in an exact hash join, which compares
+host and path and so removes false positives; the longest matching rule decides. Urls without a
+hit are in no shuffle. Executors build parts of the filter, which are combined by bit_or block by
+block; rules never go to the driver.
 
 Defined cases: a null url or one without "://" has empty host and path and no rule; a rule
 matches its host, all subdomains, and paths that start with its path; of several the longest
 wins (host plus path, then the longer host), whatever its length; a null rule matches nothing; a
-url without a rule gets `DEFAULT`; repeated rows are judged each alone; an empty table gives no
+rule's host is read with A-Z lower-cased; of two verdicts of one rule the greater word counts (block
+before allow); a url without a rule gets `DEFAULT`; repeated rows are judged each alone; an empty table gives no
 rows, and an empty list no rules; extra columns are ignored.
 The filter is broadcast, so its size is fixed: beyond `MAX_FILTER_BYTES` keys share its bits, and
 more false positives meet the exact join.
@@ -24,11 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm.shared import mix64, table
+from logloom.llm.shared import batches_of, mix64, staged, table, text_buffer
 
 DEFAULT = "allow"
 MAX_FILTER_BYTES = 64 << 20
 BITS_PER_KEY = 16
+#: Kinds of keys in the filter.
+HOST, LENGTH, PATH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
+BASE = np.uint64(0xF1357AEA2E62A9C5)
+#: (host suffix, length) pairs that one vectorised step asks at once.
+PAIRS = 1 << 18
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 
 
@@ -41,6 +50,33 @@ def split_url(url: str) -> tuple[F.Column, F.Column]:
     return F.when(there, host).otherwise(""), F.when(there, path).otherwise("")
 
 
+def joint(host: np.ndarray, kind: np.uint64, part: np.ndarray | int = 0) -> np.ndarray:
+    """A filter key: a host's hash with what else it is asked for."""
+    return mix64(mix64(host ^ kind) ^ np.asarray(part).astype(np.uint64))
+
+
+def running_sums(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sums modulo 2^64 of bytes times powers of their place, which start again with each text."""
+    lengths = np.diff(offsets)
+    powers = np.multiply.accumulate(np.full(int(lengths.max(initial=0)) + 1, BASE))
+    place = np.arange(len(data)) - np.repeat(offsets[:-1], lengths)
+    return np.append(np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[place], dtype=np.uint64))
+
+
+def path_keys(hosts: np.ndarray, sums: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Keys of hosts with the first `lengths` bytes of the paths from `starts`."""
+    return joint(hosts, PATH, mix64(sums[starts + lengths] - sums[starts]) ^ lengths.astype(np.uint64))
+
+
+def rule_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the three keys of each rule."""
+    for b in (x for whole in batches for x in batches_of(whole, "_rule_path")):
+        data, offsets = text_buffer(b.column("_rule_path"))
+        hosts, lengths = b.column("_host_hash").to_numpy().view(np.uint64), np.diff(offsets)
+        keys = [joint(hosts, HOST), joint(hosts, LENGTH, lengths), path_keys(hosts, running_sums(data, offsets), offsets[:-1], lengths)]
+        yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(k.view(np.int64)) for k in keys)], names=[*b.schema.names, "_k_host", "_k_length", "_k_path"])
+
+
 class BlockedBloom:
     """Keys set eight bits within one block of eight 64-bit words."""
 
@@ -82,45 +118,65 @@ def bloom_of(keys: DataFrame) -> BlockedBloom:
     return bloom
 
 
+def possible_rules(b: pa.RecordBatch, bloom: BlockedBloom, listed: np.ndarray) -> pa.Array:
+    """For each row the path keys of rules that may fit; `listed` are the lengths of rule paths in bytes."""
+    data, offsets = text_buffer(b.column("_path"))
+    sums, held = running_sums(data, offsets), b.column("_hashes")
+    row = np.repeat(np.arange(b.num_rows), np.diff(held.offsets.to_numpy()))
+    hosts = held.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    some = bloom.might_hold(joint(hosts, HOST))
+    row, hosts = row[some], hosts[some]
+    fits = np.searchsorted(listed, np.diff(offsets)[row], side="right")
+    ends = np.cumsum(fits)
+    rows, keys, first = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], 0
+    while first < len(row):
+        before = ends[first] - fits[first]
+        last = max(first + 1, int(np.searchsorted(ends, before + PAIRS, side="right")))
+        pair = np.repeat(np.arange(first, last), fits[first:last])
+        length = listed[np.arange(len(pair)) - (ends - fits)[pair] + before]
+        may = bloom.might_hold(joint(hosts[pair], LENGTH, length))
+        pair, length = pair[may], length[may]
+        key = path_keys(hosts[pair], sums, offsets[row[pair]], length)
+        may = bloom.might_hold(key)
+        rows.append(row[pair[may]])
+        keys.append(key[may])
+        first = last
+    counts = np.bincount(np.concatenate(rows), minlength=b.num_rows)
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(np.concatenate(keys).view(np.int64)))
+
+
 def filter_urls(pages: DataFrame, rules: DataFrame, *, id_column: str = "page_id", default: str = DEFAULT) -> DataFrame:
     """Judges each row's url by rules(rule, verdict): id, host, path, rule, verdict."""
     spark = pages.sparkSession
-    listed = rules.filter(F.col("rule").isNotNull()).select(
-        "rule",
-        F.col("verdict").alias("_rule_verdict"),
-        F.regexp_extract("rule", r"^[^/]*", 0).alias("_rule_host"),
-        F.regexp_extract("rule", r"(?s)^[^/]*(.*)$", 1).alias("_rule_path"),
-    )
-    shape = listed.agg(F.collect_set(F.length("_rule_path")), F.max(F.size(F.split("_rule_host", "[.]")))).first()  # lengths, not paths
-    lengths, labels = sorted(shape[0]), shape[1] or 0
-    listed = listed.select("rule", "_rule_verdict", F.concat("_rule_host", F.lit(" "), "_rule_path").alias("_key"), F.length("_rule_host").alias("_host_len"))
-    held = spark.sparkContext.broadcast(bloom_of(listed.select(F.xxhash64("_key").alias("h"))))
+    host_of = F.translate(F.regexp_extract("rule", r"^[^/]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    listed = rules.filter(F.col("rule").isNotNull()).select("rule", F.col("verdict").alias("_rule_verdict"), host_of.alias("_rule_host"), F.regexp_extract("rule", r"(?s)^[^/]*(.*)$", 1).alias("_rule_path"))
+    shape = listed.agg(F.collect_set(F.octet_length("_rule_path")), F.max(F.size(F.split("_rule_host", "[.]")))).first()  # lengths, not paths
+    lengths, labels = np.array(sorted(shape[0]), np.int64), shape[1] or 0
+    listed = listed.withColumn("_host_hash", F.xxhash64("_rule_host"))
+    listed = listed.mapInArrow(rule_keys, "rule string, _rule_verdict string, _rule_host string, _rule_path string, _host_hash long, _k_host long, _k_length long, _k_path long")
+    held = spark.sparkContext.broadcast(bloom_of(listed.select(F.explode(F.array("_k_host", "_k_length", "_k_path")).alias("h")).distinct()))
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys, hashes = b.column("_keys"), b.column("_hashes").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            found = held.value.might_hold(hashes)
-            offsets = np.append(0, np.cumsum(found))[keys.offsets.to_numpy() - keys.offsets[0].as_py()]
-            kept = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), keys.flatten().filter(pa.array(found)))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("_id", "_host", "_path")), kept], names=["_id", "_host", "_path", "_keys"])
+        for b in (x for whole in batches for x in batches_of(whole, "_path")):
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("_id", "_host", "_path")), possible_rules(b, held.value, lengths)], names=["_id", "_host", "_path", "_keys"])
 
     host, path = split_url("_url")
     rows = pages.select(F.col(id_column).alias("_id"), F.col("url").alias("_url")).select("_id", host.alias("_host"), path.alias("_path"))
     kind = dict(rows.dtypes)["_id"]
     parts = F.split("_host", "[.]")
     starts = F.sequence(F.greatest(F.lit(1), F.size(parts) - labels + 1), F.size(parts))  # no rule has more labels
-    fits = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("_path"))
-    suffix = lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ".")
-    keys = F.flatten(F.transform(starts, lambda i: F.transform(fits, lambda n: F.concat(suffix(i), F.lit(" "), F.left("_path", n)))))
-    rows = rows.withColumn("_keys", keys if lengths else F.array().cast("array<string>")).withColumn("_hashes", F.transform("_keys", lambda k: F.xxhash64(k)))
-    rows = rows.mapInArrow(hits, f"_id {kind}, _host string, _path string, _keys array<string>")
-    rows = rows.withColumn("_row", F.monotonically_increasing_id()).withColumn("_key", F.explode_outer("_keys")).drop("_keys")
-    # urls without a hit get keys of their own, which no rule has, so that they do not meet in one task
-    rows = rows.withColumn("_key", F.coalesce("_key", F.concat(F.lit("\0"), F.col("_row").cast("string"))))
-    judged = rows.join(listed, "_key", "left")
-    best = F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("n"), "_host_len", "rule", F.col("_rule_verdict").alias("v"))))
+    suffixes = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(parts, i, F.size(parts)), ".")))
+    rows = rows.withColumn("_hashes", suffixes if labels else F.array().cast("array<long>"))
+    rows = rows.mapInArrow(hits, f"_id {kind}, _host string, _path string, _keys array<long>").withColumn("_row", F.monotonically_increasing_id())
+    rows = staged(rows, "url-hits")
+    given = [F.col("_id").alias(id_column), F.col("_host").alias("host"), F.col("_path").alias("path")]
+    rest = rows.filter(F.size("_keys") == 0).select(*given, F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    some = rows.filter(F.size("_keys") > 0).withColumn("_key", F.explode("_keys")).drop("_keys")
+    same_host = (F.col("_host") == F.col("_rule_host")) | F.endswith("_host", F.concat(F.lit("."), "_rule_host"))
+    judged = some.join(listed, (F.col("_key") == F.col("_k_path")) & same_host & F.startswith("_path", F.col("_rule_path")), "left")
+    best = F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("n"), F.length("_rule_host").alias("host"), "rule", F.col("_rule_verdict").alias("v"))))
     judged = judged.groupBy("_row", "_id", "_host", "_path").agg(best.alias("b"))
-    return judged.select(F.col("_id").alias(id_column), F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("b.rule").alias("rule"), F.coalesce("b.v", F.lit(default)).alias("verdict"))
+    return judged.select(*given, F.col("b.rule").alias("rule"), F.coalesce("b.v", F.lit(default)).alias("verdict")).unionByName(rest)
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from logloom.llm import metric_search, near_dups, source_mixing, substring_dedup, toxicity, warc
+from logloom.llm import metric_search, near_dups, source_mixing, substring_dedup, toxicity, url_filter, warc
 
 
 def mixed_texts(n, seed):
@@ -170,3 +170,27 @@ def test_seats_of_very_many_keys(spark):
         table = spark.createDataFrame([(0, k, w, total, c) for k, w, c in keys], "g int, id long, w double, total long, cap long")
         got = source_mixing.sainte_lague(table, ["g"], ["id"], "w", "total", "cap", "seats").collect()
         assert {r.id: r.seats for r in got} == {k: want[k] for k, _, _ in keys}
+
+
+def test_urls_against_very_many_lengths(spark, monkeypatch):
+    """2,000 path lengths, nested rules, UTF-8, upper-case hosts, two verdicts: as brute force has it, in blocks of any size."""
+    rng = random.Random(8)
+    hosts = ["a.b", "b", "x.a.b", "é.c", "c", "B.D", "d", "", "a..b"]
+    paths = ["/" + "".join(rng.choices("aé/", k=rng.randrange(0, 6))) for _ in range(60)] + ["", *("/" + "z" * n for n in range(2000))]
+    rules = [(rng.choice(hosts) + p, rng.choice(["allow", "block", "grey"])) for p in paths for _ in range(2)] + [(None, "block")]
+    urls = [(k, rng.choice(["http://", "//", ""]) + rng.choice(["", "w.", "A."]) + rng.choice(hosts) + rng.choice(paths) + rng.choice(["", "/q", "?a", "#b"])) for k in range(500)] + [(500, None)]
+    lower = lambda h: "".join(c.lower() if "A" <= c <= "Z" else c for c in h)
+    parted = [(lower(r.split("/")[0]), r[len(r.split("/")[0]) :], r, v) for r, v in rules if r is not None]
+    want = {}
+    for k, url in urls:
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        stop = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
+        host, path = lower(rest[:stop]), rest[stop:].split("?")[0].split("#")[0]
+        fit = [(len(r), len(h), r, v) for h, p, r, v in parted if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        want[k] = (host, path, *(max(fit)[2:] if fit else (None, "none")))
+    table, pages = spark.createDataFrame(rules, "rule string, verdict string"), spark.createDataFrame(urls, "page_id long, url string")
+    for pairs, size in ((1 << 18, url_filter.MAX_FILTER_BYTES), (100, 64)):
+        monkeypatch.setattr(url_filter, "PAIRS", pairs)
+        monkeypatch.setattr(url_filter, "MAX_FILTER_BYTES", size)
+        got = url_filter.filter_urls(pages, table, default="none").collect()
+        assert len(got) == len(urls) and {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got} == want
