@@ -225,18 +225,16 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH) -> DataFrame:
     linkable = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     reps = staged(sketch.filter(linkable).groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "set-reps")
     bands = reps.select(F.col("rep").alias("doc_id"), "n_shingles", F.explode("bands").alias("band"))
-    # a centre has several sets if rows share its doc_id: the sizes of all of them in the bucket lie from _small to _large
-    sizes = [F.min(F.struct("doc_id", F.col("n_shingles").alias("n")))["n"].alias("_small"), (-F.min(F.struct("doc_id", (-F.col("n_shingles")).alias("n")))["n"]).alias("_large")]
-    buckets = bands.groupBy("band").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("_last"), *sizes).filter("centre < _last").drop("_last")
-    fits = (100 * F.col("n_shingles") >= THRESHOLD * F.col("_small")) & (100 * F.col("_large") >= THRESHOLD * F.col("n_shingles"))
-    stars = bands.join(buckets, "band").filter("doc_id <> centre").select("centre", F.col("doc_id").alias("member"), "n_shingles", fits.alias("fits"))
-    stars = staged(stars.groupBy("centre", "member", "n_shingles").agg(F.max("fits").alias("fits")), "stars")
+    buckets = bands.groupBy("band").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("_last")).filter("centre < _last").drop("_last")
+    stars = staged(bands.join(buckets, "band").filter("doc_id <> centre").select("centre", F.col("doc_id").alias("member"), "n_shingles").distinct(), "stars")
     needed = stars.select(F.col("member").alias("doc_id")).union(stars.select("centre")).distinct()
     # the ids grow with the corpus, so they are never broadcast
     sets = texts.join(needed.hint("merge"), "doc_id", "left_semi").mapInArrow(partial(set_rows, width=width), SETS)
     sets = staged(sets.filter(F.length("shingles") > 0).distinct(), "sets")
     # only sets of sizes that can be alike meet, and a star of many members is dealt to as many tasks as it needs
-    pairs = stars.filter("fits").select("centre", "member").distinct()
+    own = reps.groupBy(F.col("rep").alias("centre")).agg(F.min("n_shingles").alias("small"), F.max("n_shingles").alias("large"))
+    fits = (100 * F.col("n_shingles") >= THRESHOLD * F.col("small")) & (100 * F.col("large") >= THRESHOLD * F.col("n_shingles"))
+    pairs = stars.join(own, "centre").filter(fits).select("centre", "member").distinct()
     wide = pairs.groupBy("centre").agg(F.ceil(F.count("*") / STAR_MEMBERS).alias("parts")).filter("parts > 1")
     dealt = pairs.join(wide, "centre", "left").select("centre", "member", F.pmod(F.xxhash64("member"), F.coalesce("parts", F.lit(1))).alias("salt"))
     asked = dealt.select("centre", "salt", F.lit(1).alias("kind"), "member").unionByName(dealt.select("centre", "salt", F.lit(0).alias("kind"), F.col("centre").alias("member")).distinct())

@@ -194,3 +194,31 @@ def test_urls_against_very_many_lengths(spark, monkeypatch):
         monkeypatch.setattr(url_filter, "MAX_FILTER_BYTES", size)
         got = url_filter.filter_urls(pages, table, default="none").collect()
         assert len(got) == len(urls) and {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got} == want
+
+
+def test_wide_stars(spark, monkeypatch):
+    """Stars dealt to several tasks, members of any size and centres with several sets: the components of all true links."""
+    rng = random.Random(5)
+    base = [[f"{name}{k}" for k in range(60)] for name in "xyz"]
+    rows = []
+    for k in range(160):
+        words = list(rng.choice(base))
+        if k % 3:
+            words[rng.randrange(60)] = f"new{k}"
+        if k % 4 == 0:
+            words += [f"tail{k}-{j}" for j in range(rng.choice([3, 8, 14, 16, 40]))]
+        rows.append((k // 2 if k < 20 else k, " ".join(words)))
+    sets = [(doc, {" ".join(p) for p in itertools.pairwise(text.split())}) for doc, text in rows]
+    least = {doc: doc for doc, _ in rows}
+    changed = True
+    while changed:
+        changed = False
+        for (a, x), (b, y) in itertools.combinations(sets, 2):
+            low = min(least[a], least[b])
+            if (least[a], least[b]) != (low, low) and 100 * len(x & y) >= 80 * len(x | y):
+                least[a] = least[b] = low
+                changed = True
+    for members in (near_dups.STAR_MEMBERS, 3):
+        monkeypatch.setattr(near_dups, "STAR_MEMBERS", members)
+        got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert len(got) == len(rows) and {r.doc_id: r.component_id for r in got} == least
