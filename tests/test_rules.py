@@ -74,3 +74,36 @@ def test_many_rules_in_one_pass(spark):
     assert all({h.pattern for h in r.h} == {f"Key{r.id};", f"Key{99_999 - r.id};"} for r in found.collect())
     scored = security.scored(rule_tables.with_rule_tables(texts, spark.createDataFrame([], "rule_id string, enabled int"), rules))
     assert {r.findings for r in scored.collect()} == {2}
+
+
+@pytest.mark.parametrize("most_words", [rule_tables.MOST_WORDS, 1])
+def test_hit_rows(spark, monkeypatch, most_words):
+    """By the join, also where the filters let everything pass, windows lie across steps, and equal rules repeat."""
+    monkeypatch.setattr(rule_tables, "MOST_WORDS", most_words)
+    monkeypatch.setattr(rule_tables, "STEP", 64)
+    rng = random.Random(3)
+    long = "".join(rng.choices("abAB éÉ\U0001f600", k=300))
+    own = [("blacklist", "keyword", p, "low", "block", 1) for p in ("", "Aa", "Aa", "aA", long[7:150], long[100:141].swapcase(), "é" * 9, "K")]
+    rules = rules_of(300, 4) + own
+    texts = [None, "", long, long, "x" + long.translate(LOW) + "y", long[:60], "kK", *("".join(rng.choices("abAB éÉ\U0001f600", k=rng.randrange(40))) for _ in range(150))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    got = {k: [] for k in range(len(texts))}
+    for r in rule_tables.hit_rows(rows, F.col("text"), spark.createDataFrame(rules, CUSTOM), "id").collect():
+        got[r.id].append(tuple(r)[1:])
+    assert {k: sorted(v) for k, v in got.items()} == {k: hits_by_hand(t, rules) for k, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("query", ["custom_rule_hits"])
+def test_rules_are_not_broadcast(spark, tmp_path, monkeypatch, query):
+    """Rules of many times a group's size: one broadcast, of filters of fixed size."""
+    from logloom.plans import lookups
+
+    spark.createDataFrame([(k, f"See CUSTOMER#{k:09d} there") for k in range(1, 40)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(1, 300_000).selectExpr("id AS c_custkey", "format_string('Customer#%09d', id) AS c_name").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(1, "no such part")], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    sent, broadcast = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(value) or broadcast(self, value))
+    rows = lookups.QUERIES[query](spark, str(tmp_path)).collect()
+    assert len(sent) == 1 and sent[0][1].nbytes <= 16 * rule_tables.MOST_WORDS
+    hits = {k for k in range(1, 40) if k % 7}
+    assert {r.doc_id for r in rows} == hits if query == "custom_rule_hits" else {r.id for r in rows if r.findings} >= hits
