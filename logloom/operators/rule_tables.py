@@ -5,7 +5,7 @@ most GROUP_BYTES of patterns. A group is collected and broadcast; each Python wo
 automaton of it, through which Arrow batches of lowered texts run once. What comes back to the row
 are the rules that hit; exemptions and findings are column functions again.
 
-Rule tables without a bound are joined: hit_rows() broadcasts no rules, only
+Rule tables without a bound are joined: hit_rows() and scored_rule_tables() broadcast no rules, only
 filters of fixed size of their patterns' beginnings and wholes. Texts give the pieces that pass, by
 rolling hashes over Arrow batches, and these meet the rules in an equality join of the bytes, so that
 a filter's mistakes and hashes that fall together change no result.
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions.variants import bound
-from logloom.operators.security import BASE, EXEMPTS, SAID, like, lower_ascii, with_findings
+from logloom.operators.security import BASE, EXEMPTS, SAID, base_of, like, lower_ascii, scored, with_findings
 
 #: Pattern bytes of one automaton; it takes about 60 bytes for each.
 GROUP_BYTES = 2 << 20
@@ -277,6 +277,31 @@ def hit_rows(texts: DataFrame, text: Column, custom: DataFrame, *keys: str) -> D
     return joined.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).drop("_k", "_n")
 
 
+def scored_rule_tables(texts: DataFrame, builtin: DataFrame, custom: DataFrame) -> DataFrame:
+    """scored() of with_rule_tables(), for rule tables without a bound.
+
+    What the rules of a pattern do is summed up by pattern, and then by text, so that rows grow with
+    the texts and with the rules but not with the hits. A text is known by its SHA-256.
+    """
+    rules = enabled_rules(custom)
+    white, black = F.col("rule_type") == "whitelist", F.col("rule_type") == "blacklist"
+    spares = {k: F.bool_or(white & (F.col("kind") == k)).alias(k) for k in KINDS}
+    by_low = rules.groupBy(F.col("low").cast("binary").alias("low")).agg(
+        *spares.values(), F.count_if(black).alias("_n"), F.max(F.when(black, F.struct(base_of(F.col("severity")).alias("base"), "severity"))).alias("_worst"), F.bool_or(black & (F.col("action") == "block")).alias("_block")
+    )
+    key = F.sha2("text", 256).alias("_key")
+    pieces = with_pieces(texts, F.col("text"), rules, key).distinct()
+    by_text = pieces.join(by_low, "low").groupBy("_key").agg(*[F.bool_or(k).alias(k) for k in KINDS], F.sum("_n").alias("_n"), F.max("_worst").alias("_worst"), F.bool_or("_block").alias("_block"))
+    found = with_findings(texts, disabled=switched_off(builtin)).select("id", key, "found").join(by_text, "_key", "left")
+    free = [F.when(F.col(kind), F.array(*map(F.lit, categories))).otherwise(F.array().cast("array<string>")) for kind, categories in EXEMPTS.items()]
+    kept = F.when(F.col("keyword"), F.slice("found", 1, 0)).otherwise(bound(F.concat(*free), lambda names: F.filter("found", lambda f: ~F.array_contains(names, f["category"]))))
+    # one finding stands for all of custom rules, with the worst severity and a block if any asks for one
+    worst = F.struct(F.lit("custom.blacklist").alias("rule_id"), F.lit("custom").alias("category"), F.col("_worst.severity").alias("severity"), F.when(F.col("_block"), "block").otherwise("warn").alias("action"), F.lit(None).cast("string").alias("evidence"))
+    all_found = F.when(F.col("_n") > 0, F.concat(kept, F.array(worst))).otherwise(kept)
+    rows = scored(found.select("id", all_found.alias("found"), F.when(F.col("_n") > 0, F.col("_n") - 1).otherwise(0).alias("_more")), keep=("_more",))
+    return rows.withColumn("findings", F.col("findings") + F.col("_more")).drop("_more")
+
+
 def switched_off(builtin: DataFrame) -> tuple[str, ...]:
     """The built-in rules that are off."""
     off = builtin.filter((F.col("enabled") == 0) & F.col("rule_id").isin(*SAID)).select("rule_id").distinct().collect()  # of 23

@@ -66,7 +66,7 @@ QUERIES = {
     "stored_findings": stored,
     "findings_of_log": lambda s, d: lookups.findings_of(stored(s, d), 5).select("place", "rule_id", "severity"),
     "scan_rule_tables": lambda s, d: security.scored(ruled(s, d)),
-    "scan_many_rules": lambda s, d: security.scored(rule_tables.with_rule_tables(gateway.scan_input(s, d), gateway.builtin_rules(s), gateway.many_rules(s, d))),
+    "scan_many_rules": lambda s, d: rule_tables.scored_rule_tables(gateway.scan_input(s, d), gateway.builtin_rules(s), gateway.many_rules(s, d)),
     "custom_rule_hits": custom_hits,
     "scan_summary": lambda s, d: security.decide(summed(s, d), "block"),
     "scan_bodies": lambda s, d: security.body_scores(fields(s, d)),

@@ -93,7 +93,22 @@ def test_hit_rows(spark, monkeypatch, most_words):
     assert {k: sorted(v) for k, v in got.items()} == {k: hits_by_hand(t, rules) for k, t in enumerate(texts)}
 
 
-@pytest.mark.parametrize("query", ["custom_rule_hits"])
+@pytest.mark.parametrize("seed", range(3))
+def test_scored_rule_tables(spark, seed):
+    """As scores of the findings that with_rule_tables() keeps."""
+    rng = random.Random(seed)
+    words = ["curl ", "https://", "/home/", "a@b.cd", "id_rsa", "NGROK", "plain", "é", "AKIA"]
+    texts = [None, "", *(" ".join(rng.choices(words, k=rng.randrange(6))) for _ in range(60))]
+    rules = [(rng.choice(["blacklist", "whitelist"]), rng.choice(rule_tables.KINDS), rng.choice(words) + rng.choice(["", "", "x", " "]), rng.choice(["critical", "info", "odd", "clean", None]), rng.choice(["block", "warn", None]), rng.choice([1, 1, 0])) for _ in range(4 + 6 * seed)]
+    rules += [("blacklist", "keyword", "", "info", None, 1)] * seed
+    rows = spark.createDataFrame([(k // 2, t) for k, t in enumerate(texts)], "id long, text string")
+    builtin, custom = spark.createDataFrame([("network.external_url", 0)], "rule_id string, enabled int"), spark.createDataFrame(rules, CUSTOM)
+    plain = security.scored(rule_tables.with_rule_tables(rows, builtin, custom))
+    joined = rule_tables.scored_rule_tables(rows, builtin, custom)
+    assert joined.columns == plain.columns and sorted(map(tuple, joined.collect())) == sorted(map(tuple, plain.collect()))
+
+
+@pytest.mark.parametrize("query", ["custom_rule_hits", "scan_many_rules"])
 def test_rules_are_not_broadcast(spark, tmp_path, monkeypatch, query):
     """Rules of many times a group's size: one broadcast, of filters of fixed size."""
     from logloom.plans import lookups
