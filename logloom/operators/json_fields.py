@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions.json_text import DEPTH, valid_json, with_value
 from logloom.functions.variants import bound
-from logloom.operators.security import explode_findings, is_whole_secret, mask, with_findings
+from logloom.operators.security import explode_findings, is_whole_secret, mask, may_hold_secret, with_findings
 
 ITEMS, FIELDS = "array<variant>", "map<string,variant>"
 #: A string of a compact body with its colon if it is a key, or what lies between strings.
@@ -68,7 +68,7 @@ def masked_body(value: Column) -> Column:
             secret = F.coalesce(is_whole_secret(text), F.lit(False))
             return F.struct(F.when(secret, F.to_json(mask(text).cast("variant"))).otherwise(p).alias("piece"), secret.alias("secret"))
 
-        text = F.when(p.startswith('"') & ~p.endswith(":"), F.try_variant_get(F.try_parse_json(p), "$", "string"))
+        text = F.when(p.startswith('"') & ~p.endswith(":") & may_hold_secret(p), F.try_variant_get(F.try_parse_json(p), "$", "string"))
         return bound(text, of)
 
     pieces = F.transform(F.regexp_extract_all(F.to_json(value), F.lit(_PIECE), F.lit(0)), piece)
@@ -100,9 +100,10 @@ def forwarded(bodies: DataFrame, decided: DataFrame, *, redact_secrets: bool = T
     brought to one, the strictest, so that rows that share an id neither multiply nor go unblocked.
     """
     strict = F.max(F.when(F.col("action") == "block", 2).when(F.col("action") == "redact", 1).otherwise(0))
-    rows = with_masked(bodies.select("id", "body")).join(decided.groupBy("id").agg(strict.alias("_act")), "id")
+    rows = bodies.select("id", F.col("body").alias("_whole")).join(decided.groupBy("id").agg(strict.alias("_act")), "id")
     blocked, masks = F.col("_act") == 2, (F.col("_act") == 1) | F.lit(redact_secrets)
-    body = F.when(blocked, None).when(masks, F.col("_masked")).otherwise(F.col("body"))
+    rows = with_masked(rows.withColumn("body", F.when(masks, F.col("_whole"))))  # others are not read as JSON
+    body = F.when(blocked, None).when(masks, F.col("_masked")).otherwise(F.col("_whole"))
     return rows.select("id", body.alias("body"), F.when(blocked, 451).otherwise(200).alias("status"), (masks & F.col("changed")).alias("sanitized"))
 
 

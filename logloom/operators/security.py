@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logloom.functions.variants import bound
+
 #: Rule, category, severity, patterns of which any is contained.
 RULES = [
     ("credential.named_secret", "credential", "high", ["authorization:", "cookie:", "sessionid=", "auth_token=", "secret_key", "access_key", "database_url"]),
@@ -329,10 +331,22 @@ def mask_evidence(text: Column) -> Column:
 MASKED = [("sk-", 12), ("sk-ant-", 0), ("sk-proj-", 0), ("AIza", 20), ("x-api-key:", 0), ("authorization: bearer", 0), ("ghp_", 0), ("gho_", 0), ("xoxb-", 0), ("AKIA", 0)]
 
 
+#: The code points that are white space.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def is_whole_secret(text: Column) -> Column:
-    """Whether a value as a whole is a secret, white space around it aside."""
-    bare = F.regexp_replace(text, r"^\p{IsWhite_Space}+|\p{IsWhite_Space}+$", "")
-    return reduce(Column.__or__, [bare.startswith(p) & (F.octet_length(bare) > n) for p, n in MASKED])
+    """Whether a value as a whole is a secret, white space around it aside.
+
+    Only its beginning is looked at, unless that is a secret's; the beginnings end without white space.
+    """
+    longer = lambda t, n: F.octet_length(F.rtrim(t, F.lit(WHITE_SPACE))) > n
+    return bound(F.ltrim(text, F.lit(WHITE_SPACE)), lambda t: reduce(Column.__or__, [t.startswith(p) & longer(t, n) if n else t.startswith(p) for p, n in MASKED]))
+
+
+def may_hold_secret(quoted: Column) -> Column:
+    """Whether a compact JSON string may be a secret as a whole: it begins like one, or with an escape."""
+    return bound(F.ltrim(quoted, F.lit('"' + WHITE_SPACE)), lambda t: reduce(Column.__or__, [t.startswith(p) for p, _ in MASKED], t.startswith("\\")))
 
 
 def redact(values: DataFrame) -> DataFrame:

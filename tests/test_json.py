@@ -120,3 +120,30 @@ def test_forwarded_repeats(spark):
     got = sorted(map(tuple, json_fields.forwarded(bodies, decided, redact_secrets=False).collect()), key=str)
     want = [(1, '["****"]', 200, True), (1, '["b"]', 200, False), (2, None, 451, False), (3, "{", 200, False)]
     assert got == sorted(want, key=str)
+
+
+def test_only_what_is_masked_is_read(spark):
+    """Bodies are brought to their decisions as they are, and read as JSON only where secrets are masked."""
+    from logloom.operators.security import MASKED, WHITE_SPACE
+
+    rng = random.Random(5)
+    spaces = [*WHITE_SPACE, "", "\u200b", "\x1f", '"', "\\"]
+    some = lambda: "".join(rng.choices(spaces, k=rng.randrange(4)))
+    values = [some() + rng.choice([p for p, _ in MASKED] + ["sk", "A", "é"]) + some() + rng.choice(["", "x" * rng.randrange(30)]) + some() for _ in range(400)]
+    bodies = [json.dumps({"a": [v], "sk-0123456789abc": 1}, ensure_ascii=k % 2 == 0) for k, v in enumerate(values)]
+    actions = ["block", "redact", "allow", "redact"]
+    rows = spark.createDataFrame(list(enumerate(bodies)), "id long, body string")
+    out = json_fields.forwarded(rows, spark.createDataFrame([(k, actions[k % 4]) for k in range(len(bodies))], "id long, action string"), redact_secrets=False)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "parseJson" in plan and plan.rindex("parseJson") < plan.index("Join")
+
+    def by_hand(k: int):
+        bare = values[k].strip(WHITE_SPACE)
+        secret = actions[k % 4] == "redact" and any(bare.startswith(p) and len(bare.encode()) > n for p, n in MASKED)
+        masked = "****" if len(values[k]) <= 8 else values[k][:4] + "****" + values[k][-4:]
+        return None if k % 4 == 0 else json.loads(bodies[k]) | ({"a": [masked]} if secret else {}), 451 if k % 4 == 0 else 200, secret
+
+    got = {r.id: (r.body and json.loads(r.body), r.status, r.sanitized) for r in out.collect()}
+    assert got == {k: by_hand(k) for k in range(len(bodies))}
+    assert WHITE_SPACE.isspace() and len(set(WHITE_SPACE)) == 25
+    assert [r.body for r in out.filter("id % 4 = 2").orderBy("id").collect()] == bodies[2::4]
