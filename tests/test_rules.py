@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -95,6 +96,36 @@ def test_hit_rows(spark, monkeypatch, most_words):
     assert {k: sorted(v) for k, v in got.items()} == {k: hits_by_hand(t, rules) for k, t in enumerate(texts)}
 
 
+def test_equal_rules_are_dealt_out(spark):
+    """The rows of one text and one pattern of very many equal rules are made in several tasks."""
+    equal = {"aa": 200_000, "bb": rule_tables.EQUAL, "cc": rule_tables.EQUAL + 1, "dd": 1}
+    rules = spark.createDataFrame(list(equal.items()), "pattern string, n int").select(F.lit("blacklist").alias("rule_type"), F.lit("keyword").alias("category"), "pattern", F.lit("low").alias("severity"), F.lit("warn").alias("action"), F.lit(1).alias("enabled"), F.explode(F.sequence(F.lit(1), "n")))
+    rows = rule_tables.hit_rows(spark.createDataFrame([(1, "AA bb cc dd")], "id long, text string"), F.col("text"), rules, "id")
+    assert {r.pattern: r["count"] for r in rows.groupBy("pattern").count().collect()} == equal
+    made = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(made) < 0.6 * sum(made)
+
+
+def test_long_beginnings_are_not_looked_for_everywhere(monkeypatch):
+    """Every start is looked at for widths up to COMMON only, and patterns of any length are found."""
+    rng, looked = random.Random(8), set()
+    first = rule_tables.Sums.first
+    monkeypatch.setattr(rule_tables.Sums, "first", lambda self, n, width: looked.add(width) or first(self, n, width))
+    text = "".join(rng.choices("abc é", k=900))
+    low = [text[k : k + n].encode() for k, n in enumerate([*range(1, 80), 127, 128, 129, 255, 256, 300, 600])] + [b"q" * n for n in range(1, 40)]
+    batch, words = pa.RecordBatch.from_arrays([pa.array(low)], ["low"]), 1 << 10
+    filters = np.zeros((2, words), np.uint64)
+    for b in rule_tables._filter_bits(words)([batch]):
+        which, word, mask = (c.to_numpy() for c in b.columns)
+        np.bitwise_or.at(filters, (which, word), mask.view(np.uint64))
+    texts = [None, "", text, "x" + text.upper(), text[:50]]
+    found = rule_tables.Pieces(sorted(set(map(len, low))), filters).of_batch(pa.array(texts)).to_pylist()
+    for t, pieces in zip(texts, found):
+        there = {p for p in low if t is not None and p in t.translate(LOW).encode()}
+        assert there <= set(pieces) and len(pieces) < len(there) + 300
+    assert looked == {1, 2, 4, 8, 16}
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_scored_rule_tables(spark, seed):
     """As scores of the findings that with_rule_tables() keeps."""
